@@ -1,0 +1,25 @@
+"""Table schemas of the library and a validation helper."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, types as T
+
+CUBES = "scan_id STRING, excitation DOUBLE, em_idx INT, emission DOUBLE, y INT, x INT, value DOUBLE"
+SCAN_META = "scan_id STRING, excitation DOUBLE, exposure DOUBLE, num_rows INT, num_cols INT, num_bands INT"
+POWER = "excitation DOUBLE, power DOUBLE"
+MASK = "scan_id STRING, y INT, x INT, keep BOOLEAN"
+BANDS = "band_id INT, excitation DOUBLE, em_idx INT, emission DOUBLE"
+PIXELS = "scan_id STRING, pixel_id BIGINT, y INT, x INT, spectrum ARRAY<DOUBLE>"
+ROIS = "roi_id STRING, ord INT, y0 INT, y1 INT, x0 INT, x1 INT"
+TRUTH = "scan_id STRING, pixel_id BIGINT, y INT, x INT, class INT"
+PRED = "scan_id STRING, pixel_id BIGINT, y INT, x INT, cluster INT"
+LATENT = "sample_id BIGINT, dim_id INT, value DOUBLE"
+
+
+def validate(df: DataFrame, ddl: str, what: str = "table") -> DataFrame:
+    """Check that the columns of ``ddl`` exist, cast them to its types and keep the others."""
+    want = T.StructType.fromDDL(ddl)
+    missing = [f.name for f in want if f.name not in df.columns]
+    if missing:
+        raise ValueError(f"{what} lacks columns {missing}")
+    return df.withColumns({f.name: df[f.name].cast(f.dataType) for f in want})
