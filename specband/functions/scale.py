@@ -164,3 +164,14 @@ def rank_rows(df: DataFrame, order: Sequence[str | Column], name: str, start: in
         return df.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1 + start)
     return ordinal(df, order, name).withColumn(name, F.col(name) + start)
 
+
+
+def prefix_max(df: DataFrame, order: Sequence[str], value: str, name: str, inclusive: bool = False) -> DataFrame:
+    """Largest ``value`` of the rows before (or up to) each row in a total order, range-partitioned."""
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order)
+                 .withColumn("__p", F.shiftright(F.monotonically_increasing_id(), 33)))
+    w = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    parts = placed.groupBy("__p").agg(F.max(value).alias("__x")).select("__p", F.max("__x").over(w).alias("__b"))
+    inner = Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    return placed.withColumn("__i", F.max(value).over(inner)).join(F.broadcast(parts), "__p").withColumn(
+        name, F.greatest("__i", "__b")).drop("__p", "__i", "__b")

@@ -102,7 +102,7 @@ def spectra_matrix(column) -> np.ndarray:
         column = column.combine_chunks()
     n = len(column)
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    return np.nan_to_num(flat.reshape(n, -1), copy=False) if n else np.zeros((0, 0))
+    return np.nan_to_num(flat.reshape(n, -1)) if n else np.zeros((0, 0))
 
 
 def gram(pixels: DataFrame, column: str = "spectrum") -> tuple[int, np.ndarray, np.ndarray]:

@@ -40,6 +40,13 @@ SQL_TABLES: dict[str, str] = {
         WHEN ck % 9 = 0 THEN ((blk + 1) * 3 + 1) % 5 ELSE (blk * 3 + 1) % 5 END AS INT) AS cluster FROM grid""",
     "pred2": """SELECT 's' AS scan_id, pixel_id, y, x, CAST(CASE WHEN ck % 37 = 0 THEN -1
         WHEN ck % 5 = 0 THEN (blk + 2) % 4 ELSE blk END AS INT) AS cluster FROM grid""",
+    "ct": """SELECT t.class, p.cluster, count(*) AS n FROM truth t JOIN pred p ON t.pixel_id = p.pixel_id
+        WHERE t.class >= 0 AND p.cluster >= 0 GROUP BY t.class, p.cluster""",
+    "lb": """SELECT label, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(sup) AS BIGINT) AS sup, CAST(sum(pr) AS BIGINT) AS pr FROM (
+        SELECT class AS label, CASE WHEN class = cluster THEN n ELSE 0 END AS tp, n AS sup, 0 AS pr FROM ct
+        UNION ALL SELECT cluster, 0, 0, n FROM ct) q GROUP BY label""",
+    "prf": """SELECT *, (SELECT sum(n) FROM ct) AS tot, CASE WHEN pr = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / pr END AS precision,
+        CASE WHEN sup = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / sup END AS recall, CASE WHEN sup + pr = 0 THEN 0.0 ELSE 2.0 * CAST(tp AS DOUBLE) / (sup + pr) END AS f1 FROM lb""",
     "results": """SELECT CASE WHEN o_orderkey = 0 THEN 'BASELINE_FULL_DATA'
         ELSE concat('mmr_', o_orderkey % 200 + 3, 'bands_', o_orderkey) END AS config_name,
         CASE o_orderpriority WHEN '1-URGENT' THEN 'mmr' WHEN '2-HIGH' THEN 'pca' WHEN '3-MEDIUM' THEN 'variance' ELSE 'greedy' END AS method,
