@@ -232,7 +232,8 @@ def _(t):
     return rd(cmp.per_class_accuracy(cmp.per_class_error_map(t.pred, t.truth)))
 
 
-@case("i27_misclassification_rate", PERM.format(w="n") + ", o AS (SELECT max(s) AS s FROM sc) SELECT round(1 - CAST((SELECT s FROM o) AS DOUBLE) / sum(n), 6) AS misclassification_rate, CAST(sum(n) AS BIGINT) AS total FROM ct")
+@case("i27_misclassification_rate", PERM.format(w="n") + """, mp AS (SELECT cl.cluster, coalesce(e.mapped, cl.cluster) AS mapped FROM cl CROSS JOIN b LEFT JOIN e ON e.cluster = cl.cluster AND e.id = b.id)
+    SELECT round(1 - CAST(sum(CASE WHEN mp.mapped = ct.class THEN n ELSE 0 END) AS DOUBLE) / sum(n), 6) AS misclassification_rate, CAST(sum(n) AS BIGINT) AS total FROM ct JOIN mp ON ct.cluster = mp.cluster""")
 def _(t):
     return rd(cmp.misclassification_rate(ct(t)))
 
