@@ -32,6 +32,9 @@ SQL_TABLES: dict[str, str] = {
         FROM customer WHERE c_custkey % 4 <> 1""",
     "rois": """SELECT r_name AS roi_id, r_regionkey AS ord, r_regionkey * 20 + 2 AS y0, r_regionkey * 20 + 14 AS y1,
         CAST(5 + r_regionkey * 15 AS INT) AS x0, CAST(40 + r_regionkey * 15 AS INT) AS x1 FROM region""",
+    "roipx": """SELECT r_name AS roi_id, r_regionkey AS ord, r_regionkey * 4 AS y0, r_regionkey * 4 + 4 AS y1,
+        CAST(r_regionkey * 5 AS INT) AS x0, CAST(r_regionkey * 5 + 5 AS INT) AS x1 FROM region""",
+    "train": """SELECT p.pixel_id, p.label AS class, r.roi_id FROM pixels p JOIN roipx AS r ON p.y >= r.y0 AND p.y < r.y1 AND p.x >= r.x0 AND p.x < r.x1""",
     "grid": """SELECT o_orderkey AS pixel_id, CAST(floor(o_orderkey / 150) AS INT) AS y, CAST(o_orderkey % 150 AS INT) AS x,
         o_custkey AS ck, floor(o_orderkey / 150) % 10 < 6 AND (o_orderkey % 150) % 12 < 8 AND o_custkey % 10 <> 0 AS fg,
         CAST((floor(floor(o_orderkey / 150) / 10) + floor((o_orderkey % 150) / 12)) % 4 AS INT) AS blk FROM orders""",
@@ -144,6 +147,18 @@ class Tables:
         return self.raw("region").select(F.col("r_name").alias("roi_id"), k.alias("ord"), (k * 20 + 2).alias("y0"),
                                          (k * 20 + 14).alias("y1"), (k * 15 + 5).alias("x0"), (k * 15 + 40).alias("x1"))
 
+    @cached_property
+    def roipx(self) -> DataFrame:
+        k = F.col("r_regionkey")
+        return self.raw("region").select(F.col("r_name").alias("roi_id"), k.alias("ord"), (k * 4).alias("y0"),
+                                         (k * 4 + 4).alias("y1"), (k * 5).alias("x0"), (k * 5 + 5).alias("x1"))
+
+    @cached_property
+    def train(self) -> DataFrame:
+        from specband.operators.compare import rect_join
+
+        return rect_join(self.pixels, self.roipx).select("pixel_id", "y", "x", "spectrum", F.col("label").alias("class"), "roi_id")
+
     @cached_property
     def grid(self) -> DataFrame:
         k = F.col("o_orderkey")
