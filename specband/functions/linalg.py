@@ -86,3 +86,52 @@ def expected_mi_term(a: int, b: int, n: int, step: int = 1 << 18) -> float:
         k = np.arange(s, min(s + step, last + 1), dtype=float)
         total += float(np.sum(k / n * (np.log(n) + np.log(k) - np.log(a) - np.log(b)) * np.exp(logp(k))))
     return total
+
+
+def nnls_gram(g: np.ndarray, h: np.ndarray, max_rounds: int = 200) -> np.ndarray:
+    """Non-negative X minimizing ||A X - B|| from G = A'A (k x k) and H = A'B (k x n), all columns at once.
+
+    Columns with the same set of free variables share one solve; a variable moves between free and zero
+    while it is negative or its gradient is, all at once while that helps, one at a time otherwise.
+    """
+    k, n = h.shape
+    free = np.zeros((k, n), dtype=bool)
+    x, grad = np.zeros((k, n)), -h.astype(float)
+    tol = 1e-10 * max(1.0, float(np.abs(h).max()) if h.size else 1.0)
+    best, chances = np.full(n, k + 1), np.full(n, 3)
+    for _ in range(max_rounds):
+        wrong = (free & (x < -tol)) | (~free & (grad < -tol))
+        todo = np.flatnonzero(wrong.any(axis=0))
+        if not len(todo):
+            break
+        count = wrong[:, todo].sum(axis=0)
+        fewer = count < best[todo]
+        best[todo[fewer]], chances[todo[fewer]] = count[fewer], 3
+        single = ~fewer & (chances[todo] <= 0)
+        chances[todo[~fewer]] -= 1
+        flip = wrong[:, todo].copy()
+        last = k - 1 - np.argmax(flip[::-1], axis=0)
+        flip[:, single] = False
+        flip[last[single], np.flatnonzero(single)] = True
+        free[:, todo] ^= flip
+        patterns, member = np.unique(free[:, todo], axis=1, return_inverse=True)
+        member = member.ravel()
+        for p in range(patterns.shape[1]):
+            f, cols = patterns[:, p], todo[member == p]
+            x[:, cols] = 0.0
+            if f.any():
+                gf = g[np.ix_(f, f)]
+                x[np.ix_(f, cols)] = np.linalg.lstsq(gf, h[np.ix_(f, cols)], rcond=None)[0]
+            grad[:, cols] = g @ x[:, cols] - h[:, cols]
+            grad[np.ix_(f, cols)] = 0.0
+    return np.maximum(x, 0.0)
+
+
+def ls_solve(g: np.ndarray, h: np.ndarray, method: str, alpha: float = 1e-6) -> np.ndarray:
+    """Solution of G X = H: ``clip`` (least squares, negatives to 0), ``ridge`` (the same with alpha on the
+    diagonal), ``nnls`` (true non-negative minimum) or ``free`` (unconstrained)."""
+    if method == "nnls":
+        return nnls_gram(g, h)
+    a = g + alpha * np.eye(len(g)) if method == "ridge" else g
+    x = np.linalg.lstsq(a, h, rcond=None)[0]
+    return x if method == "free" else np.maximum(x, 0.0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -105,50 +107,51 @@ def spectra_matrix(column) -> np.ndarray:
     return np.nan_to_num(flat.reshape(n, -1)) if n else np.zeros((0, 0))
 
 
-def gram(pixels: DataFrame, column: str = "spectrum") -> tuple[int, np.ndarray, np.ndarray]:
-    """Row count, column sums and the B x B matrix of cross products.
+def matrix_sum(pixels: DataFrame, fn: Callable[[np.ndarray], np.ndarray], column: str = "spectrum") -> np.ndarray | None:
+    """Sum over all rows of ``fn(rows x bands)``, a vector whose length depends on the bands only.
 
-    Each partition adds up its own matrix; partial matrices are summed over shrinking rounds, so only
-    B x B numbers ever meet in one place.
+    Each partition adds up its own vector; partial vectors are summed over shrinking rounds, so only
+    32 of them ever meet in one place.
     """
+    def pack(total):
+        return pa.RecordBatch.from_pydict({"v": pa.array([total], pa.list_(pa.float64()))})
+
     def partial(batches):
-        n, s, g = 0, None, None
+        total = None
         for batch in batches:
             x = spectra_matrix(batch.column(0))
-            if len(x) == 0:
-                continue
-            if x.shape[1] > MAX_BANDS:
-                raise ValueError(f"{x.shape[1]} bands exceed {MAX_BANDS}")
-            if g is None:
-                s, g = np.zeros(x.shape[1]), np.zeros((x.shape[1], x.shape[1]))
-            n, s, g = n + len(x), s + x.sum(0), g + x.T @ x
-        if g is not None:
-            yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "s": pa.array([s.tolist()], pa.list_(pa.float64())),
-                                              "g": pa.array([g.ravel()], pa.list_(pa.float64()))})
+            if len(x):
+                if x.shape[1] > MAX_BANDS:
+                    raise ValueError(f"{x.shape[1]} bands exceed {MAX_BANDS}")
+                total = fn(x) if total is None else total + fn(x)
+        if total is not None:
+            yield pack(total)
 
     def add(batches):
-        n, s, g = 0, None, None
+        total = None
         for batch in batches:
-            for k in range(batch.num_rows):
-                sv, gv = batch.column(1)[k].values.to_numpy(), batch.column(2)[k].values.to_numpy()
-                n += batch.column(0)[k].as_py()
-                s, g = (sv.copy(), gv.copy()) if s is None else (s + sv, g + gv)
-        if g is not None:
-            yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "s": pa.array([s], pa.list_(pa.float64())),
-                                              "g": pa.array([g], pa.list_(pa.float64()))})
-
-    schema = "n BIGINT, s ARRAY<DOUBLE>, g ARRAY<DOUBLE>"
-    src = pixels.select(column)
-    parts = src.mapInArrow(partial, schema)
+            for row in batch.column(0):
+                v = row.values.to_numpy()
+                total = v.copy() if total is None else total + v
+        if total is not None:
+            yield pack(total)
+
+    parts = pixels.select(column).mapInArrow(partial, "v ARRAY<DOUBLE>")
     width = _partitions(pixels)
     while width > 32:
         width = -(-width // 32)
-        parts = parts.repartition(width).mapInArrow(add, schema)
-    rows = parts.collect()  # at most 32 partial matrices
-    if not rows:
+        parts = parts.repartition(width).mapInArrow(add, "v ARRAY<DOUBLE>")
+    rows = parts.collect()
+    return np.sum([r["v"] for r in rows], axis=0) if rows else None
+
+
+def gram(pixels: DataFrame, column: str = "spectrum") -> tuple[int, np.ndarray, np.ndarray]:
+    """Row count, column sums and the B x B matrix of cross products."""
+    v = matrix_sum(pixels, lambda x: np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()]), column)
+    if v is None:
         return 0, np.zeros(0), np.zeros((0, 0))
-    b = len(rows[0]["s"])
-    return (sum(r["n"] for r in rows), np.sum([r["s"] for r in rows], axis=0), np.sum([r["g"] for r in rows], axis=0).reshape(b, b))
+    b = int(round((-1 + np.sqrt(1 + 4 * (len(v) - 1))) / 2))
+    return int(v[0]), v[1:1 + b], v[1 + b:].reshape(b, b)
 
 
 def _partitions(df: DataFrame) -> int:

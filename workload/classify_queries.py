@@ -166,10 +166,9 @@ def _(t):
     return cl.cluster_pattern_groups(t.objres, list(range(10, 80, 10)))
 
 
-@case("g19_training_classes_filter", "SELECT doc_id, source FROM documents WHERE NOT (source LIKE '%web%' OR source LIKE '%a%k%')")
+@case("g19_training_classes_filter", "SELECT doc_id, source FROM documents WHERE NOT (source LIKE '%src1%' OR source LIKE '%7%')")
 def _(t):
-    d = t.raw("documents").select("doc_id", "source").where("NOT source LIKE '%a%k%'")
-    return cl.training_classes_filter(d, ["web"], "source")
+    return cl.training_classes_filter(t.raw("documents").select("doc_id", "source"), ["src1", "7"], "source")
 
 
 CK = RK + ", m AS (SELECT k, avg(mean) AS score, avg(rank) AS rank, avg(std) AS std FROM r GROUP BY k)"

@@ -39,6 +39,16 @@ SQL_TABLES: dict[str, str] = {
         o_custkey AS ck, floor(o_orderkey / 150) % 10 < 6 AND (o_orderkey % 150) % 12 < 8 AND o_custkey % 10 <> 0 AS fg,
         CAST((floor(floor(o_orderkey / 150) / 10) + floor((o_orderkey % 150) / 12)) % 4 AS INT) AS blk FROM orders""",
     "truth": """SELECT 's' AS scan_id, pixel_id, y, x, CAST(CASE WHEN fg THEN blk ELSE -1 END AS INT) AS class FROM grid""",
+    "objs8": """WITH RECURSIVE fg AS (SELECT y, x FROM grid WHERE fg), o AS (SELECT unnest([-1,-1,-1,0,0,1,1,1]) AS dy, unnest([-1,0,1,-1,1,-1,0,1]) AS dx),
+        e AS (SELECT a.y * 150 + a.x AS u, b.y * 150 + b.x AS v FROM fg a, o, fg b WHERE b.y = a.y + dy AND b.x = a.x + dx),
+        r AS (SELECT y * 150 + x AS s, y * 150 + x AS u FROM fg UNION SELECT r.s, e.v FROM r JOIN e ON r.u = e.u),
+        m AS (SELECT u, min(s) AS root FROM r GROUP BY u)
+        SELECT CAST(floor(u / 150) AS INT) AS y, CAST(u % 150 AS INT) AS x, CAST(dense_rank() OVER (ORDER BY root) AS BIGINT) AS object_id FROM m""",
+    "objs4": """WITH RECURSIVE fg AS (SELECT y, x FROM grid WHERE fg), o AS (SELECT unnest([-1,0,0,1]) AS dy, unnest([0,-1,1,0]) AS dx),
+        e AS (SELECT a.y * 150 + a.x AS u, b.y * 150 + b.x AS v FROM fg a, o, fg b WHERE b.y = a.y + dy AND b.x = a.x + dx),
+        r AS (SELECT y * 150 + x AS s, y * 150 + x AS u FROM fg UNION SELECT r.s, e.v FROM r JOIN e ON r.u = e.u),
+        m AS (SELECT u, min(s) AS root FROM r GROUP BY u)
+        SELECT CAST(floor(u / 150) AS INT) AS y, CAST(u % 150 AS INT) AS x, CAST(dense_rank() OVER (ORDER BY root) AS BIGINT) AS object_id FROM m""",
     "pred": """SELECT 's' AS scan_id, pixel_id, y, x, CAST(CASE WHEN ck % 31 = 0 THEN -1
         WHEN ck % 9 = 0 THEN ((blk + 1) * 3 + 1) % 5 ELSE (blk * 3 + 1) % 5 END AS INT) AS cluster FROM grid""",
     "pred2": """SELECT 's' AS scan_id, pixel_id, y, x, CAST(CASE WHEN ck % 37 = 0 THEN -1

@@ -1 +1,112 @@
-"""Queries."""
+"""Factorization queries."""
+
+from pyspark.sql import functions as F
+
+from specband.operators import select as sel, unmix as um
+from workload.compare_queries import rd
+from workload.registry import case
+
+
+def positive(t):
+    return t.pixels.withColumn("spectrum", F.transform("spectrum", lambda v: F.abs(v)))
+
+
+@case("m01_unfold_fold", "SELECT y, x, CAST((excitation - 320) / 20 * 31 + em_idx AS INT) AS component, round(value, 6) AS value FROM cubes WHERE value <> 0")
+def _(t):
+    u = um.unfold(t.cubes, t.influence.select("excitation", "em_idx", "band_id"), 217)
+    return rd(um.fold(u, "spectrum").where("value <> 0"))
+
+
+@case("m02_mcr_clean_zero", "SELECT excitation, em_idx, y, x, round(coalesce(value, 0), 6) AS value FROM cells")
+def _(t):
+    return rd(um.mcr_clean(t.cells).select("excitation", "em_idx", "y", "x", "value"))
+
+
+@case("m02_mcr_clean_median", "WITH m AS (SELECT excitation, em_idx, median(value) AS m FROM cells GROUP BY 1, 2) SELECT c.excitation, c.em_idx, y, x, round(coalesce(value, m), 6) AS value FROM cells c JOIN m ON c.excitation = m.excitation AND c.em_idx = m.em_idx")
+def _(t):
+    return rd(um.mcr_clean(t.cells, "median").select("excitation", "em_idx", "y", "x", "value"))
+
+
+@case("m03_mcr_init")
+def _(t):
+    rows = [(m, c, b, float(v)) for m in ("pca", "svd", "random", "farthest") for c, row in enumerate(um.mcr_init(positive(t), 3, m)) for b, v in enumerate(row)]
+    return t.spark.createDataFrame(rows, "method STRING, component INT, band_id INT, value DOUBLE")
+
+
+for _id, _method in (("m04_als_step_clip", "clip"), ("m05_als_step_ridge", "ridge"), ("m06_als_step_nnls", "nnls")):
+    @case(_id)
+    def _(t, method=_method):
+        px = positive(t)
+        s, fit = um.als_step(px, um.mcr_init(px, 3, "farthest"), method)
+        return um.Mcr(s, fit["mse"], fit["explained_variance"]).profile_table(t.spark)
+
+
+@case("m07_fit_mcr")
+def _(t):
+    px = positive(t)
+    return um.fold(um.fit_mcr(px, 3, max_iter=8, init="farthest").concentrations(px))
+
+
+@case("m07_fit_mcr_patience")
+def _(t):
+    return um.profile_blocks(um.fit_mcr(positive(t), 2, max_iter=6, method="nnls", patience=2), t.bands)
+
+
+@case("m08_mcr_metrics", "SELECT round(avg(pow(baseline - perturbed, 2)), 8) AS mse, round(1 - var_pop(baseline - perturbed) / var_pop(baseline), 8) AS explained_variance FROM recon")
+def _(t):
+    return rd(um.mcr_metrics(t.recon), 8)
+
+
+@case("m09_component_stats", "SELECT dim_id AS component, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(max(value), 6) AS max FROM latent GROUP BY dim_id")
+def _(t):
+    return rd(um.component_stats(t.latent.withColumnRenamed("dim_id", "component")))
+
+
+SC = """WITH c AS (SELECT sample_id, dim_id AS component, abs(value) AS value FROM latent WHERE dim_id < 7), m AS (SELECT component, max(value) AS m FROM c GROUP BY component)"""
+
+
+def _cs(t):
+    c = t.latent.where("dim_id < 7").select("sample_id", F.col("dim_id").alias("component"), F.abs("value").alias("value"))
+    s = t.influence.select(((F.col("excitation") - 320) / 20).cast("int").alias("component"), "em_idx", F.col("influence").alias("value"))
+    return um.scale_components(c, s)
+
+
+@case("m10_scale_components_c", SC + " SELECT sample_id, c.component, round(value / m, 6) AS value FROM c JOIN m ON c.component = m.component")
+def _(t):
+    return rd(_cs(t)[0])
+
+
+@case("m10_scale_components_s", SC + ", s AS (SELECT CAST((excitation - 320) / 20 AS INT) AS component, em_idx, influence AS value FROM influence) SELECT s.component, em_idx, round(value * m, 6) AS value FROM s JOIN m ON s.component = m.component")
+def _(t):
+    return rd(_cs(t)[1])
+
+
+@case("m11_mcr_over_combinations")
+def _(t):
+    combos = sel.excitation_combinations(t.bands.where("excitation <= 340"), ["single", "pairs"])
+    return um.mcr_over_combinations(positive(t), t.bands, combos, 2, max_iter=3, init="farthest")
+
+
+M12 = "WITH s AS (SELECT config_name AS name, perturbation_dim AS n_excitations, accuracy AS explained_variance FROM results)"
+
+
+@case("m12_best_combinations_report", M12 + """ (SELECT 'top' AS kind, n_excitations, name, round(explained_variance, 6) AS explained_variance FROM s ORDER BY s.explained_variance DESC, name LIMIT 5)
+    UNION ALL SELECT 'best_of_count', n_excitations, name, round(explained_variance, 6) FROM (SELECT *, row_number() OVER (PARTITION BY n_excitations ORDER BY explained_variance DESC, name) AS rn FROM s) q WHERE rn = 1""")
+def _(t):
+    return rd(um.best_combinations_report(t.results.select(F.col("config_name").alias("name"), F.col("perturbation_dim").alias("n_excitations"), F.col("accuracy").alias("explained_variance"))))
+
+
+@case("m12_performance_by_count", M12 + " SELECT n_excitations, round(avg(explained_variance), 6) AS mean, round(stddev_pop(explained_variance), 6) AS std, count(*) AS n FROM s GROUP BY n_excitations")
+def _(t):
+    return rd(um.performance_by_count(t.results.select(F.col("perturbation_dim").alias("n_excitations"), F.col("accuracy").alias("explained_variance"))))
+
+
+@case("m13_nmf")
+def _(t):
+    return um.nmf(t.pixels, 3, max_iter=5).profile_table(t.spark)
+
+
+@case("m13_fast_ica")
+def _(t):
+    mean, unmixing, _ = um.fast_ica(t.pixels, 3, max_iter=8)
+    return um.ica_sources(t.pixels.select("pixel_id", "spectrum"), mean, unmixing).select("pixel_id", F.posexplode("sources").alias("component", "value"))
