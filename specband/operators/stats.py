@@ -110,8 +110,8 @@ def spectra_matrix(column) -> np.ndarray:
 def matrix_sum(pixels: DataFrame, fn: Callable[[np.ndarray], np.ndarray], column: str = "spectrum") -> np.ndarray | None:
     """Sum over all rows of ``fn(rows x bands)``, a vector whose length depends on the bands only.
 
-    Each partition adds up its own vector; partial vectors are summed over shrinking rounds, so only
-    32 of them ever meet in one place.
+    Each partition adds up its own vector; partial vectors are summed in shrinking rounds, so at most
+    32 of them meet on the driver.
     """
     def pack(total):
         return pa.RecordBatch.from_pydict({"v": pa.array([total], pa.list_(pa.float64()))})
@@ -137,9 +137,8 @@ def matrix_sum(pixels: DataFrame, fn: Callable[[np.ndarray], np.ndarray], column
             yield pack(total)
 
     parts = pixels.select(column).mapInArrow(partial, "v ARRAY<DOUBLE>")
-    width = _partitions(pixels)
-    while width > 32:
-        width = -(-width // 32)
+    cores = pixels.sparkSession.sparkContext.defaultParallelism
+    for width in ([cores, 32] if cores > 32 else [cores]):
         parts = parts.repartition(width).mapInArrow(add, "v ARRAY<DOUBLE>")
     rows = parts.collect()
     return np.sum([r["v"] for r in rows], axis=0) if rows else None
@@ -154,15 +153,6 @@ def gram(pixels: DataFrame, column: str = "spectrum") -> tuple[int, np.ndarray,
     return int(v[0]), v[1:1 + b], v[1 + b:].reshape(b, b)
 
 
-def _partitions(df: DataFrame) -> int:
-    """Upper bound for the number of partial results: input files split by size, or shuffle partitions."""
-    spark = df.sparkSession
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    bytes_ = int(str(size))
-    limit = spark.sparkContext._jsc.sc().defaultParallelism()
-    return max(limit, int(spark.conf.get("spark.sql.shuffle.partitions")), min(bytes_ // (128 << 20), 1_000_000))
-
-
 def moments(pixels: DataFrame) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """n, mean, population covariance and Gram matrix of the spectra."""
     n, s, g = gram(pixels)

@@ -317,3 +317,63 @@ def _(t):
 def _(t):
     a = t.grid.select("ck", F.explode(F.sequence(F.lit(3), F.lit(6))).alias("k")).select("k", (F.col("ck") % F.col("k")).cast("int").alias("cluster"))
     return rd(ex.k_comparison_sizes(a))
+
+
+@case("k33_robustness_evaluate")
+def _(t):
+    from specband.plans.robustness import robustness_evaluate
+
+    subsets = ex.robustness_sample(t.bands.select("band_id"), 5, 12)
+    px = t.pixels.select("pixel_id", "spectrum", (F.col("label") % 4).alias("class"))
+    return robustness_evaluate(px, subsets, n_init=2, max_iter=15)
+
+
+def _scan_truth(t):
+    k = F.col("o_orderkey")
+    return t.raw("orders").select(F.lit("s").alias("scan_id"), (k % 200).cast("int").alias("y"), F.floor(k / 200).cast("int").alias("x"),
+                                  (F.col("o_custkey") % 5 - 1).cast("int").alias("class"))
+
+
+CUT = "emission >= excitation + 40 AND (emission < 2 * excitation - 40 OR emission > 2 * excitation + 40)"
+
+
+def _flagship(n):
+    return f"""WITH k AS (SELECT * FROM cubes WHERE {CUT}), cc AS (SELECT k.excitation, k.em_idx, k.y, k.x, k.value * CASE WHEN e.exposure > 0 THEN
+      (SELECT max(exposure) FROM exposure WHERE excitation IN (SELECT excitation FROM k)) / e.exposure ELSE 1 END AS value FROM k LEFT JOIN exposure e ON k.excitation = e.excitation),
+    v AS (SELECT excitation, em_idx, var_pop(value) AS v FROM cc GROUP BY 1, 2 ORDER BY v DESC, excitation DESC, em_idx DESC LIMIT {n}),
+    b AS (SELECT *, row_number() OVER (ORDER BY excitation, em_idx) - 1 AS b FROM v),
+    tr AS (SELECT o_orderkey % 200 AS y, floor(o_orderkey / 200) AS x, CAST(o_custkey % 5 - 1 AS INT) AS class FROM orders),
+    c10 AS (SELECT cc.y, cc.x, b.b, cc.value FROM cc JOIN b ON cc.excitation = b.excitation AND cc.em_idx = b.em_idx),
+    pxs AS (SELECT DISTINCT y, x FROM c10), al AS (SELECT p.y, p.x, b.b, coalesce(c.value, 0) AS value FROM pxs p CROSS JOIN b LEFT JOIN c10 c ON c.y = p.y AND c.x = p.x AND c.b = b.b),
+    px AS (SELECT al.y, al.x, tr.class, list(al.value ORDER BY al.b) AS s, al.y * 2147483648 + al.x AS id FROM al JOIN tr ON al.y = tr.y AND al.x = tr.x GROUP BY al.y, al.x, tr.class),
+    tn AS (SELECT DISTINCT px.* FROM px JOIN rois AS r ON px.y >= r.y0 AND px.y < r.y1 AND px.x >= r.x0 AND px.x < r.x1 WHERE class >= 0),
+    mo AS (SELECT i, avg(s[i]) AS m, CASE WHEN stddev_pop(s[i]) = 0 THEN 1 ELSE stddev_pop(s[i]) END AS d FROM tn, (SELECT unnest(range(1, {n} + 1)) AS i) q GROUP BY i),
+    ml AS (SELECT list(m ORDER BY i) AS m, list(d ORDER BY i) AS d FROM mo),
+    zp AS (SELECT id, class, list_transform(range(1, {n} + 1), lambda i: (s[i] - m[i]) / d[i]) AS z FROM px, ml), zt AS (SELECT id, class, list_transform(range(1, {n} + 1), lambda i: (s[i] - m[i]) / d[i]) AS z FROM tn, ml),
+    ds AS (SELECT p.id, p.class, t.id AS tid, t.class AS tc, round(list_distance(p.z, t.z), 10) AS d FROM zp p, zt t WHERE p.class >= 0),
+    nn AS (SELECT id, class, tc FROM ds QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, tid) <= 5),
+    vo AS (SELECT id, class, tc, count(*) AS w FROM nn GROUP BY ALL), pr AS (SELECT id, class, tc AS cluster FROM vo QUALIFY row_number() OVER (PARTITION BY id ORDER BY w DESC, tc) = 1),
+    ctt AS (SELECT class, cluster, count(*) AS n FROM pr GROUP BY ALL),
+    pu AS (SELECT CAST(sum(m) AS DOUBLE) / sum(n) AS purity FROM (SELECT max(n) AS m, sum(n) AS n FROM ctt GROUP BY cluster) q)
+    SELECT round(max(purity), 6) AS purity, round(CAST(sum(CASE WHEN class = cluster THEN n ELSE 0 END) AS DOUBLE) / sum(n), 6) AS accuracy, CAST(sum(n) AS BIGINT) AS n_pixels, {n} AS n_bands FROM ctt, pu"""
+
+
+@case("k39_flagship_selection", _flagship(10))
+def _(t):
+    from specband.plans.band_selection import select_and_score
+
+    return rd(select_and_score(t.cubes, t.exposure, _scan_truth(t), t.rois))
+
+
+@case("k39_config_sweep")
+def _(t):
+    from specband.plans import band_selection as bs
+    from workload.sources_queries import scratch
+
+    cells = bs.calibrated_cells(t.cubes, t.exposure).persist()
+
+    def run(cfg):
+        return bs.classify_and_score(cells, bs.varied_bands(cells, cfg["n"]), cfg["n"], _scan_truth(t), t.rois, cfg["k"]).withColumn("n_bands", F.lit(cfg["n"]))
+
+    configs = [{"name": "variance_3bands", "n": 3, "k": 5}, {"name": "variance_6bands", "n": 6, "k": 5}, {"name": "variance_broken", "n": 6}]
+    return ex.config_sweep_runner(t.spark, configs, run, scratch(t.spark))
