@@ -11,14 +11,13 @@ from specband.functions.scale import checked_broadcast, quantiles, scalars
 from specband.operators.stats import correlation_matrix, moments, spectra_matrix
 
 STORED = (5, 10, 25, 50, 75, 90, 95)  # stored percentiles of a latent dimension
-V = F.col("value")
 
 
 # -- importance of latent dimensions ---------------------------------------------------------------
 
 def dim_importance(latent: DataFrame, method: str = "variance") -> DataFrame:
     """``variance``: sample variance; ``activation``: mean absolute value."""
-    score = {"variance": F.var_samp("value"), "activation": F.avg(F.abs(V))}[method]
+    score = {"variance": F.var_samp("value"), "activation": F.avg(F.abs(F.col("value")))}[method]
     return latent.groupBy("dim_id").agg(score.alias("importance"))
 
 

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from specband.functions.columns import clip, let
 from specband.functions.scale import MAX_BANDS, checked_broadcast, ordinal, quantiles, scalars
 
-V = F.col("value")
 
 
 # -- whole-table scaling ---------------------------------------------------------------------------
@@ -20,7 +19,7 @@ def normalize_global_minmax(cells: DataFrame, eps: float = 0.0) -> DataFrame:
     """(v - min) / (max - min + eps) over all excitations; constant data -> 0."""
     s = scalars(cells.agg(F.min("value").alias("lo"), F.max("value").alias("hi")))
     lo, hi = s.getField("lo"), s.getField("hi")
-    return cells.withColumn("value", F.when((hi > lo) | F.lit(eps > 0), (V - lo) / (hi - lo + eps)).when(V.isNotNull(), 0.0))
+    return cells.withColumn("value", F.when((hi > lo) | F.lit(eps > 0), (F.col("value") - lo) / (hi - lo + eps)).when(F.col("value").isNotNull(), 0.0))
 
 
 def normalize_minmax(cells: DataFrame) -> DataFrame:
@@ -29,15 +28,15 @@ def normalize_minmax(cells: DataFrame) -> DataFrame:
 
 def normalize_global_percentile(cells: DataFrame, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """Clip to the exact percentiles of the positive values; without any, to 0..1."""
-    q = quantiles(cells.where(V > 0), "value", {"lo": low, "hi": high})
+    q = quantiles(cells.where(F.col("value") > 0), "value", {"lo": low, "hi": high})
     q = q.agg(F.coalesce(F.max("lo"), F.lit(0.0)).alias("lo"), F.coalesce(F.max("hi"), F.lit(1.0)).alias("hi"))
     s = scalars(q)
-    return cells.withColumn("value", clip((V - s.getField("lo")) / (s.getField("hi") - s.getField("lo") + 1e-10)))
+    return cells.withColumn("value", clip((F.col("value") - s.getField("lo")) / (s.getField("hi") - s.getField("lo") + 1e-10)))
 
 
 def normalize_standard(cells: DataFrame) -> DataFrame:
     s = scalars(cells.agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("sd")))
-    return cells.withColumn("value", (V - s.getField("m")) / (s.getField("sd") + 1e-10))
+    return cells.withColumn("value", (F.col("value") - s.getField("m")) / (s.getField("sd") + 1e-10))
 
 
 # -- per-band scaling ------------------------------------------------------------------------------
@@ -46,7 +45,7 @@ def standardize_bands(cells: DataFrame, band: list[str] = ("excitation", "em_idx
     """Per-band z-score with population deviation: ``eps`` adds 1e-8, ``unit`` turns 0 into 1."""
     m = cells.groupBy(*band).agg(F.avg("value").alias("__m"), F.stddev_pop("value").alias("__sd"))
     sd = F.col("__sd") + 1e-8 if rule == "eps" else F.when(F.col("__sd") == 0, 1.0).otherwise(F.col("__sd"))
-    return cells.join(checked_broadcast(m), list(band)).withColumn("value", (V - F.col("__m")) / sd).drop("__m", "__sd")
+    return cells.join(checked_broadcast(m), list(band)).withColumn("value", (F.col("value") - F.col("__m")) / sd).drop("__m", "__sd")
 
 
 def band_moments(pixels: DataFrame) -> DataFrame:
@@ -76,9 +75,9 @@ def snv(spectrum: Column, sample: bool = False) -> Column:
 
 
 def l2_normalize_band(cells: DataFrame, band: list[str] = ("excitation", "em_idx")) -> DataFrame:
-    norm = cells.groupBy(*band).agg(F.sqrt(F.sum(V * V)).alias("__n"))
+    norm = cells.groupBy(*band).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("__n"))
     return cells.join(checked_broadcast(norm), list(band)).withColumn(
-        "value", V / F.when(F.col("__n") == 0, 1.0).otherwise(F.col("__n"))).drop("__n")
+        "value", F.col("value") / F.when(F.col("__n") == 0, 1.0).otherwise(F.col("__n"))).drop("__n")
 
 
 # -- statistics ------------------------------------------------------------------------------------
@@ -194,7 +193,7 @@ def band_cv_high_variability(cells: DataFrame, band: list[str] = ("excitation",
 
 
 def outlier_rate(cells: DataFrame, z: float = 3.0, band: list[str] = ("excitation", "em_idx")) -> DataFrame:
-    return standardize_bands(cells, band, "unit").agg(F.avg((F.abs(V) > z).cast("double")).alias("outlier_rate"))
+    return standardize_bands(cells, band, "unit").agg(F.avg((F.abs(F.col("value")) > z).cast("double")).alias("outlier_rate"))
 
 
 def distribution_summary(cells: DataFrame, value: str = "value") -> DataFrame:

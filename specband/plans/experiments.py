@@ -14,7 +14,6 @@ from specband.functions.scale import (
 
 BASELINE = "BASELINE_FULL_DATA"
 TOTAL_BANDS = 204
-ACC, NB = F.col("accuracy"), F.col("n_bands")
 
 
 # -- configurations --------------------------------------------------------------------------------
@@ -56,10 +55,10 @@ def tolerance_min_bands(results: DataFrame, levels: Iterable[float] = (0.95, 0.9
     One conditional aggregate per level over a single grouping, so configurations are read once.
     """
     base = _baseline(results)
-    key = F.struct("n_bands", (-ACC).alias("na"), "config_name")
+    key = F.struct("n_bands", (-F.col("accuracy")).alias("na"), "config_name")
     levels = list(levels)
     wide = exclude_baseline(results).groupBy("perturbation_dim").agg(
-        *[F.min(F.when(ACC >= base * lv, key)).alias(f"k{i}") for i, lv in enumerate(levels)])
+        *[F.min(F.when(F.col("accuracy") >= base * lv, key)).alias(f"k{i}") for i, lv in enumerate(levels)])
     rows = F.array(*[F.struct(F.lit(float(lv)).alias("level"), F.col(f"k{i}").alias("k")) for i, lv in enumerate(levels)])
     return wide.select("perturbation_dim", F.inline(rows)).select(
         "perturbation_dim", "level", (base * F.col("level")).alias("threshold"), F.col("k.n_bands").alias("min_bands"),
@@ -69,8 +68,8 @@ def tolerance_min_bands(results: DataFrame, levels: Iterable[float] = (0.95, 0.9
 def tolerance_region_counts(results: DataFrame) -> DataFrame:
     """Configurations per half-open region 0 / 95 / 97 / 99 / 100 % of the baseline."""
     base = _baseline(results)
-    region = (F.when(ACC < base * 0.95, "<95%").when(ACC < base * 0.97, "95-97%").when(ACC < base * 0.99, "97-99%")
-              .when(ACC < base, "99-100%"))
+    region = (F.when(F.col("accuracy") < base * 0.95, "<95%").when(F.col("accuracy") < base * 0.97, "95-97%").when(F.col("accuracy") < base * 0.99, "97-99%")
+              .when(F.col("accuracy") < base, "99-100%"))
     return exclude_baseline(results).withColumn("region", region).where("region IS NOT NULL").groupBy("region").agg(F.count("*").alias("n"))
 
 
@@ -101,7 +100,7 @@ def pareto_frontier(results: DataFrame, perf: str = "accuracy", cost: str = "n_b
 def efficiency(results: DataFrame, total: int = TOTAL_BANDS) -> DataFrame:
     base = _baseline(results)
     return exclude_baseline(results).withColumns({
-        "accuracy_per_band": ACC / NB, "pct_per_band": ACC / base * 100 / NB, "relative_quality": ACC / (NB / float(total))})
+        "accuracy_per_band": F.col("accuracy") / F.col("n_bands"), "pct_per_band": F.col("accuracy") / base * 100 / F.col("n_bands"), "relative_quality": F.col("accuracy") / (F.col("n_bands") / float(total))})
 
 
 BIN_EDGES = [0, 10, 20, 30, 50, 75, 100, 125, 150, 175, 204]
@@ -111,7 +110,7 @@ def band_bin_heatmap(results: DataFrame, dims: list[int], edges: list[int] = BIN
     """Best accuracy per right-closed band-count bin and dimension, as a matrix."""
     label = F.lit(None).cast("string")
     for lo, hi in reversed(list(zip(edges, edges[1:]))):
-        label = F.when((NB > lo) & (NB <= hi), f"({lo}, {hi}]").otherwise(label)
+        label = F.when((F.col("n_bands") > lo) & (F.col("n_bands") <= hi), f"({lo}, {hi}]").otherwise(label)
     binned = exclude_baseline(results).withColumn("bin", label).where("bin IS NOT NULL")
     wide = binned.groupBy("bin").pivot("perturbation_dim", dims).agg(F.max("accuracy"))
     return wide.select("bin", *[F.col(f"`{d}`").alias(f"dim_{d}") for d in dims])
@@ -130,9 +129,9 @@ def least_stable(stability: DataFrame) -> DataFrame:
 # -- objects ---------------------------------------------------------------------------------------
 
 def object_baseline_join(objres: DataFrame, baseline_bands: int = TOTAL_BANDS) -> DataFrame:
-    base = objres.where(NB == baseline_bands).groupBy("object_id").agg(F.max("accuracy").alias("baseline_accuracy"))
+    base = objres.where(F.col("n_bands") == baseline_bands).groupBy("object_id").agg(F.max("accuracy").alias("baseline_accuracy"))
     j = objres.join(base, "object_id", "left")
-    return j.withColumns({"accuracy_diff": ACC - F.col("baseline_accuracy"), "accuracy_ratio": ACC / F.nullif(F.col("baseline_accuracy"), F.lit(0.0))})
+    return j.withColumns({"accuracy_diff": F.col("accuracy") - F.col("baseline_accuracy"), "accuracy_ratio": F.col("accuracy") / F.nullif(F.col("baseline_accuracy"), F.lit(0.0))})
 
 
 def object_stats(joined: DataFrame) -> DataFrame:
@@ -166,9 +165,9 @@ def class_stats_by_bands(objres: DataFrame) -> DataFrame:
 def optimal_and_efficient_bands(joined: DataFrame, within: float = 0.99, total: int = TOTAL_BANDS) -> DataFrame:
     """Per object its best row and the fewest bands within 1 % of the best."""
     best = joined.groupBy("object_id").agg(
-        F.max("accuracy").alias("best_accuracy"), F.min_by("n_bands", F.struct(-ACC, NB)).alias("best_n_bands"), F.max("baseline_accuracy").alias("baseline_accuracy"))
-    near = joined.select("object_id", "n_bands", "accuracy").join(best, "object_id").where(ACC >= F.col("best_accuracy") * within)
-    eff = near.groupBy("object_id").agg(F.min("n_bands").alias("efficient_n_bands"), F.min_by("accuracy", F.struct(NB, -ACC)).alias("efficient_accuracy"))
+        F.max("accuracy").alias("best_accuracy"), F.min_by("n_bands", F.struct(-F.col("accuracy"), F.col("n_bands"))).alias("best_n_bands"), F.max("baseline_accuracy").alias("baseline_accuracy"))
+    near = joined.select("object_id", "n_bands", "accuracy").join(best, "object_id").where(F.col("accuracy") >= F.col("best_accuracy") * within)
+    eff = near.groupBy("object_id").agg(F.min("n_bands").alias("efficient_n_bands"), F.min_by("accuracy", F.struct(F.col("n_bands"), -F.col("accuracy"))).alias("efficient_accuracy"))
     return best.join(eff, "object_id").withColumns({
         "improvement": F.col("best_accuracy") - F.col("baseline_accuracy"), "band_reduction_pct": (1 - F.col("efficient_n_bands") / float(total)) * 100})
 
@@ -191,7 +190,7 @@ def object_rollup(objres: DataFrame) -> DataFrame:
     """Per configuration and overall: mean, sample deviation, pixel-weighted mean and count."""
     out = objres.rollup("config_name").agg(
         F.avg("accuracy").alias("mean"), F.stddev_samp("accuracy").alias("std"),
-        (F.sum(ACC * F.col("num_pixels")) / F.nullif(F.sum("num_pixels"), F.lit(0))).alias("weighted_mean"), F.count("*").alias("n"))
+        (F.sum(F.col("accuracy") * F.col("num_pixels")) / F.nullif(F.sum("num_pixels"), F.lit(0))).alias("weighted_mean"), F.count("*").alias("n"))
     return out.withColumn("config_name", F.coalesce("config_name", F.lit("ALL")))
 
 
