@@ -107,12 +107,18 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[s
         "__p",
         F.coalesce(F.sum("__t").over(w_before), F.lit(0)).alias("__off"),
         F.sum("__t").over(Window.partitionBy(*by)).alias("__total"),
+        "__t",
     )
     w_in = Window.partitionBy("__p", *by).orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    holds = F.lit(False)
+    for p in probs.values():
+        pos = F.lit(float(p)) * (F.col("__total") - 1)
+        for k in (F.floor(pos), F.ceil(pos)):
+            holds = holds | ((F.col("__off") <= k) & (k < F.col("__off") + F.col("__t")))
+    needed = parts.where(holds).select(*[F.col(b).alias(f"__by_{b}") for b in by], F.col("__p").alias("__q"), "__off", "__total")
     located = (
-        placed.withColumn("__cum", F.sum("__n").over(w_in))
-        .join(parts.select(*[F.col(b).alias(f"__by_{b}") for b in by], F.col("__p").alias("__q"), "__off", "__total"),
-              _match(by), "inner")
+        placed.join(needed, _match(by), "inner")  # only partitions that hold a wanted position go on
+        .withColumn("__cum", F.sum("__n").over(w_in))
         .withColumn("__hi", F.col("__off") + F.col("__cum"))
         .withColumn("__lo", F.col("__hi") - F.col("__n"))
     )
@@ -153,9 +159,14 @@ def melt(df: DataFrame, ids: Sequence[str], values: Sequence[str], key: str, val
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for a side proven to have at most ``max_rows`` rows; otherwise the frame unchanged,
-    so that the join stays a shuffled (and skew-handled) one."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    """Broadcast a side proven to have at most ``max_rows`` rows; it is computed once, by the check itself.
+
+    A larger side comes back unchanged, so that the join stays a shuffled (and skew-handled) one.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema, verifySchema=False))
 
 
 def rank_rows(df: DataFrame, order: Sequence[str | Column], name: str, start: int = 0) -> DataFrame:

@@ -72,10 +72,11 @@ def crop(df: DataFrame, y0: int, y1: int, x0: int, x1: int, rebase: bool = False
 
 
 def apply_mask(cubes: DataFrame, mask: DataFrame, check: bool = True) -> DataFrame:
-    """NULL values where the mask does not keep the pixel; unmatched pixels are an error."""
-    if check and not cubes.join(mask, PIXEL, "left_anti").isEmpty():
-        raise ValueError("mask and cubes cover different pixels")
-    return cubes.join(mask, PIXEL, "left").withColumn("value", F.when(F.col("keep"), F.col("value"))).drop("keep")
+    """NULL values where the mask does not keep the pixel; a pixel the mask does not cover fails the job."""
+    kept = F.when(F.col("keep"), F.col("value"))
+    if check:
+        kept = F.when(F.col("keep").isNull(), F.raise_error(F.lit("mask and cubes cover different pixels")).cast("double")).otherwise(kept)
+    return cubes.join(mask, PIXEL, "left").withColumn("value", kept).drop("keep")
 
 
 def mask_from_rectangle(pixels: DataFrame, xa: int, ya: int, xb: int, yb: int, height: int, width: int) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from specband.functions.columns import PIXEL, clip, ratio
+from specband.functions.columns import PIXEL, clip, let
 from specband.functions.scale import checked_broadcast, quantiles, require_bounded, scalars
-from specband.operators.calibrate import full_grid, image_shape, nearest_band, valid_pixels
+from specband.operators.calibrate import full_grid, image_shape, valid_pixels
 
 
 def band_catalog(cubes: DataFrame) -> DataFrame:
@@ -47,8 +47,8 @@ def cube_to_spectrum(cubes: DataFrame, bands: DataFrame, n_bands: int, rule: str
         agg.append(F.min_by(F.col("value").isNotNull(), "band_id").alias("__ok"))
     else:
         agg.append(F.lit(True).alias("__ok"))
-    by_id = F.map_from_entries("__s")
-    filled = F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda b: F.coalesce(by_id[b], F.lit(0.0)))
+    filled = let(F.map_from_entries("__s"), lambda by_id: F.transform(
+        F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda b: F.coalesce(by_id[b], F.lit(0.0))))
     dense = F.transform("__s", lambda e: e["v"])
     return (
         cells.groupBy(*PIXEL).agg(*agg).where("__ok")
@@ -225,11 +225,10 @@ def projection(cube: DataFrame, how: str = "max", percentile: float = 99.0) -> D
 def rgb_by_wavelength(cubes: DataFrame, mask: DataFrame | None = None, targets: tuple[float, float, float] = (650.0, 550.0, 450.0),
                       normalization: str = "global") -> DataFrame:
     """Nearest band per channel and excitation, scaled by global or per-excitation limits or p1-p99; NULL -> 0."""
-    picks = None
-    for c, target in zip("rgb", targets):
-        p = nearest_band(cubes.select("excitation", "em_idx", "emission").distinct(), target).select(
-            "excitation", "em_idx", F.lit(c).alias("channel"))
-        picks = p if picks is None else picks.unionByName(p)
+    known = cubes.select("excitation", "em_idx", "emission").distinct()
+    near = lambda target: F.min_by("em_idx", F.struct(F.abs(F.col("emission") - float(target)), F.col("em_idx")))
+    chosen = [F.struct(F.lit(c).alias("channel"), near(target).alias("em_idx")) for c, target in zip("rgb", targets)]
+    picks = known.groupBy("excitation").agg(F.array(*chosen).alias("p")).select("excitation", F.inline("p"))
     cells = cubes.join(checked_broadcast(picks), ["excitation", "em_idx"])
     inside = F.lit(True)
     if mask is not None:

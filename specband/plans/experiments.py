@@ -208,9 +208,10 @@ def improvement_ranking(results: DataFrame, metric: str = "purity") -> DataFrame
 
 def metric_correlation(results: DataFrame, metrics: list[str]) -> DataFrame:
     """All pairwise Pearson coefficients from one aggregation, in long form."""
-    pairs = [(a, b) for a in metrics for b in metrics]
-    row = results.agg(*[F.corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
-    cells = F.array(*[F.struct(F.lit(a).alias("metric_a"), F.lit(b).alias("metric_b"), F.col(f"{a}__{b}").alias("corr")) for a, b in pairs])
+    names = sorted(metrics)
+    row = results.agg(*[F.corr(a, b).alias(f"{a}__{b}") for a in names for b in names if a <= b])
+    cell = lambda a, b: F.col(f"{min(a, b)}__{max(a, b)}")
+    cells = F.array(*[F.struct(F.lit(a).alias("metric_a"), F.lit(b).alias("metric_b"), cell(a, b).alias("corr")) for a in metrics for b in metrics])
     return row.select(F.inline(cells))
 
 

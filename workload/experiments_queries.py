@@ -51,7 +51,7 @@ def _(t):
     return ex.tolerance_region_counts(t.results)
 
 
-@case("k07_difference_from_baseline", f"SELECT config_name, round(accuracy - {B}, 6) AS difference, round((accuracy - {B}) / {B} * 100, 6) AS difference_pct FROM results WHERE {NB}")
+@case("k07_difference_from_baseline", f"SELECT config_name, round(accuracy - {B}, 6) + 0.0 AS difference, round((accuracy - {B}) / {B} * 100, 6) + 0.0 AS difference_pct FROM results WHERE {NB}")
 def _(t):
     return rd(ex.difference_from_baseline(t.results).select("config_name", "difference", "difference_pct"))
 
