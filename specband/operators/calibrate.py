@@ -142,16 +142,34 @@ def image_shape(df: DataFrame) -> tuple[int, int]:
     return row[0] + 1, row[1] + 1
 
 
+def scan_shapes(df: DataFrame) -> DataFrame:
+    """``scan_id, h, w`` from the largest coordinates of every scan."""
+    return df.groupBy("scan_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+
+
 def downscale(cubes: DataFrame, factor: int, shape: tuple[int, int] | None = None) -> DataFrame:
-    """Block means; incomplete blocks at the far edges are dropped, a missing cell empties its block."""
-    h, w = shape or image_shape(cubes)
-    kept = cubes.where((F.col("y") < h // factor * factor) & (F.col("x") < w // factor * factor))
+    """Block means; incomplete blocks at the far edges are dropped, a missing cell empties its block.
+
+    Without ``shape`` every scan has its own.
+    """
+    if shape:
+        sized = cubes.withColumns({"h": F.lit(shape[0]), "w": F.lit(shape[1])})
+    else:
+        sized = cubes.join(checked_broadcast(scan_shapes(cubes)), "scan_id")
+    whole = lambda c, n: F.col(c) < F.floor(F.col(n) / factor) * factor
+    kept = sized.where(whole("y", "h") & whole("x", "w"))
     return kept.groupBy(
         "scan_id", F.floor(F.col("y") / factor).cast("int").alias("y"), F.floor(F.col("x") / factor).cast("int").alias("x"),
         "excitation", "em_idx",
     ).agg(F.when(F.count("value") == F.count("*"), F.avg("value")).alias("value"))
 
 
+def scan_grid(shapes: DataFrame) -> DataFrame:
+    """Every position of every scan from ``scan_id, h, w``."""
+    rows = shapes.select("scan_id", "w", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y"))
+    return rows.select("scan_id", F.col("y").cast("int").alias("y"), F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("x")).withColumn("x", F.col("x").cast("int"))
+
+
 def full_grid(spark: SparkSession, height: int, width: int) -> DataFrame:
     """One row per image position."""
     return spark.range(height * width).select(

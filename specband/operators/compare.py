@@ -165,7 +165,7 @@ def adjusted_mutual_info(ct: DataFrame) -> DataFrame:
     rows, cols = _marginals(ct, [])
     r, c = rows.select(F.col("n").alias("a")), cols.select(F.col("n").alias("b"))
     n = scalars(ct.agg(F.sum("n").alias("n"))).getField("n")
-    pairs = r.crossJoin(F.broadcast(c)).withColumn("n", n)  # classes x clusters marginals
+    pairs = r.crossJoin(checked_broadcast(c)).withColumn("n", n)  # classes x clusters marginals
 
     def term(batches):
         for pdf in batches:
@@ -182,7 +182,7 @@ def confusion(ct: DataFrame) -> DataFrame:
     """Long matrix over the union of both label sets, zeros included."""
     labels = ct.select(F.explode(F.array("class", "cluster")).alias("label")).distinct()
     t, p = labels.select(F.col("label").alias("class")), labels.select(F.col("label").alias("cluster"))
-    grid = t.crossJoin(F.broadcast(p))  # labels x labels
+    grid = t.crossJoin(checked_broadcast(p))  # labels x labels
     return grid.join(ct, ["class", "cluster"], "left").select("class", "cluster", F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -123,18 +123,18 @@ def degenerate_guard(scores: DataFrame, db_when_single: float = float("inf")) ->
 # -- space -----------------------------------------------------------------------------------------
 
 def neighbour_labels(dense: DataFrame) -> DataFrame:
-    """Dense label grid with arrays of the 4 straight and 4 diagonal neighbour labels (NULL outside).
+    """Dense label grids with arrays of the 4 straight and 4 diagonal neighbour labels (NULL outside).
 
-    Two windows, along rows and along columns, move the labels; a group is one image line.
+    Two windows, along rows and along columns, move the labels; a group is one line of one scan.
     """
     def beside(col: str, along: str, across: str, step: int) -> Column:
-        w = Window.partitionBy(across).orderBy(along)
+        w = Window.partitionBy("scan_id", across).orderBy(along)
         return F.when(F.lag(along, step).over(w) == F.col(along) - step, F.lag(col, step).over(w))
 
     row = dense.withColumns({"l": beside("cluster", "x", "y", 1), "r": beside("cluster", "x", "y", -1)})
     row = row.withColumn("s", F.struct("l", F.col("cluster").alias("c"), "r"))
     both = row.withColumns({"u": beside("s", "y", "x", 1), "d": beside("s", "y", "x", -1)})
-    return both.select("y", "x", "cluster", F.array("u.c", "d.c", "l", "r").alias("straight"), F.array("u.l", "u.r", "d.l", "d.r").alias("diagonal"))
+    return both.select(*PIXEL, "cluster", F.array("u.c", "d.c", "l", "r").alias("straight"), F.array("u.l", "u.r", "d.l", "d.r").alias("diagonal"))
 
 
 def _same(arr: Column) -> Column:
@@ -142,23 +142,20 @@ def _same(arr: Column) -> Column:
 
 
 def spatial_coherence_8(pred: DataFrame, shape: tuple[int, int] | None = None, mask: DataFrame | None = None) -> DataFrame:
-    """Share of equal labels among 8 neighbours (outside counts as different), averaged over labelled pixels."""
+    """Share of equal labels among 8 neighbours (outside counts as different), averaged over the labelled pixels of a scan."""
     n = neighbour_labels(cluster_map(pred, shape)).where(F.col("cluster") >= 0)
     v = _same(F.concat("straight", "diagonal")) / 8.0
     if mask is not None:
-        n = n.join(mask.select("y", "x", "keep"), ["y", "x"], "left")
+        n = n.join(mask.select(*PIXEL, "keep"), PIXEL, "left")
         v = v * F.coalesce(F.col("keep").cast("double"), F.lit(0.0))
-    return n.agg(F.avg(v).alias("spatial_coherence"))
+    return n.groupBy("scan_id").agg(F.avg(v).alias("spatial_coherence"))
 
 
 def spatial_coherence_4(pred: DataFrame, shape: tuple[int, int] | None = None) -> DataFrame:
     """Map of equal labels among 4 neighbours / 4; border and unlabelled pixels are 0."""
-    from specband.operators.calibrate import image_shape
-
-    h, w = shape or image_shape(pred)
-    n = neighbour_labels(cluster_map(pred, (h, w)))
-    inner = F.col("y").between(1, h - 2) & F.col("x").between(1, w - 2) & (F.col("cluster") >= 0)
-    return n.select("y", "x", F.when(inner, _same(F.col("straight")) / 4.0).otherwise(0.0).alias("coherence"))
+    n = neighbour_labels(cluster_map(pred, shape))
+    on_border = F.exists("straight", lambda v: v.isNull())  # the grid is dense, so NULL means outside
+    return n.select(*PIXEL, F.when(~on_border & (F.col("cluster") >= 0), _same(F.col("straight")) / 4.0).otherwise(0.0).alias("coherence"))
 
 
 def relabel_consecutive(pred: DataFrame) -> DataFrame:
@@ -174,7 +171,7 @@ def gaussian_kernel(sigma: float, truncate: float = 4.0) -> list[float]:
 
 
 def smoothed_difference(diff: DataFrame, sigma: float = 3.0) -> DataFrame:
-    """Gaussian filter (reflected edges) of a dense ``y, x, value`` image, one axis after the other.
+    """Gaussian filter (reflected edges) of dense ``scan_id, y, x, value`` images, one axis after the other.
 
     Each image line is one array; the kernel runs over it in place.
     """
@@ -182,8 +179,9 @@ def smoothed_difference(diff: DataFrame, sigma: float = 3.0) -> DataFrame:
     radius = len(kernel) // 2
 
     def along(img: DataFrame, axis: str, line: str) -> DataFrame:
-        rows = img.groupBy(line).agg(F.array_sort(F.collect_list(F.struct(axis, "value"))).alias("__s"))
-        rows = rows.select(line, F.transform("__s", lambda e: e["value"]).alias("__v"), F.size("__s").alias("__n"), F.transform("__s", lambda e: e[axis]).alias("__a"))
+        rows = img.groupBy("scan_id", line).agg(F.array_sort(F.collect_list(F.struct(axis, "value"))).alias("__s"))
+        rows = rows.select("scan_id", line, F.transform("__s", lambda e: e["value"]).alias("__v"), F.size("__s").alias("__n"),
+                           F.transform("__s", lambda e: e[axis]).alias("__a"))
         n = F.col("__n")
 
         def at(i: Column) -> Column:
@@ -191,8 +189,7 @@ def smoothed_difference(diff: DataFrame, sigma: float = 3.0) -> DataFrame:
             return F.get("__v", F.when(j < n, j).otherwise(2 * n - 1 - j).cast("int"))
 
         out = F.transform(F.sequence(F.lit(0), n - 1), lambda p: F.aggregate(
-            F.sequence(F.lit(0), F.lit(len(kernel) - 1)), F.lit(0.0),
-            lambda s, q: s + F.get(F.lit(kernel), q) * at(p + q - radius)))
-        return rows.select(line, F.inline(F.arrays_zip(F.col("__a").alias(axis), out.alias("value"))))
+            F.sequence(F.lit(0), F.lit(len(kernel) - 1)), F.lit(0.0), lambda s, q: s + F.get(F.lit(kernel), q) * at(p + q - radius)))
+        return rows.select("scan_id", line, F.inline(F.arrays_zip(F.col("__a").alias(axis), out.alias("value"))))
 
-    return along(along(diff, "x", "y"), "y", "x").select("y", "x", "value")
+    return along(along(diff, "x", "y"), "y", "x").select(*PIXEL, "value")

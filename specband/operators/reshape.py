@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from specband.functions.columns import PIXEL, clip, let
 from specband.functions.scale import checked_broadcast, quantiles, require_bounded, scalars
-from specband.operators.calibrate import full_grid, image_shape, valid_pixels
+from specband.operators.calibrate import scan_grid, scan_shapes, valid_pixels
 
 
 def band_catalog(cubes: DataFrame) -> DataFrame:
     """Distinct bands with a dense id in (excitation, emission index) order."""
-    from pyspark.sql.window import Window
-
     distinct = cubes.groupBy("excitation", "em_idx").agg(F.max("emission").alias("emission"))
     require_bounded(distinct.select("em_idx"), "band catalog")
     order = Window.orderBy("excitation", "em_idx")  # a few hundred rows
@@ -62,10 +61,12 @@ def spectrum_to_long(pixels: DataFrame, bands: DataFrame) -> DataFrame:
 
 
 def cluster_map(pred: DataFrame, shape: tuple[int, int] | None = None) -> DataFrame:
-    """Labels on the full image; -1 where there is none."""
-    h, w = shape or image_shape(pred)
-    return full_grid(pred.sparkSession, h, w).join(pred.select("y", "x", "cluster"), ["y", "x"], "left").select(
-        "y", "x", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    """Labels on the full image of every scan; -1 where there is none."""
+    if shape:
+        shapes = pred.select("scan_id").distinct().withColumns({"h": F.lit(shape[0]), "w": F.lit(shape[1])})
+    else:
+        shapes = scan_shapes(pred)
+    return scan_grid(shapes).join(pred.select(*PIXEL, "cluster"), PIXEL, "left").select(*PIXEL, F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
 def tile_starts(length: int, size: int, overlap: int) -> list[int]:
@@ -115,7 +116,7 @@ def merge_tiles_running(tiles: DataFrame, keys: list[str] = ("excitation", "em_i
 
 def patches(mask: DataFrame, shape: tuple[int, int], size: int = 32, stride: int = 16, max_n: int = 50,
             min_valid: float = 0.5) -> DataFrame:
-    """First ``max_n`` patches in raster order that lie inside the image and are more than ``min_valid`` kept."""
+    """First ``max_n`` patches per scan in raster order that lie inside the image and are more than ``min_valid`` kept."""
     h, w = shape
 
     def starts(c: str, n: int) -> Column:
@@ -125,10 +126,12 @@ def patches(mask: DataFrame, shape: tuple[int, int], size: int = 32, stride: int
 
     cells = mask.withColumn("py", F.explode(starts("y", h))).withColumn("px", F.explode(starts("x", w)))
     share = F.sum(F.col("keep").cast("bigint")) / float(size * size)
-    return (
+    valid = (
         cells.groupBy("scan_id", (F.col("py") * stride).alias("y0"), (F.col("px") * stride).alias("x0"))
-        .agg(share.alias("valid_share")).where(F.col("valid_share") > min_valid).orderBy("y0", "x0", "scan_id").limit(max_n)
+        .agg(share.alias("valid_share")).where(F.col("valid_share") > min_valid)
     )
+    w = Window.partitionBy("scan_id").orderBy("y0", "x0")  # top-n per scan, limited before the shuffle
+    return valid.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= max_n).drop("__r")
 
 
 def subset_bands(bands: DataFrame, requests: DataFrame, by: list[str] = (), ex_tol: float = 1.0, em_tol: float = 10.0) -> DataFrame:

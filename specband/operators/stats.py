@@ -15,28 +15,43 @@ from specband.functions.scale import MAX_BANDS, checked_broadcast, ordinal, quan
 
 # -- whole-table scaling ---------------------------------------------------------------------------
 
-def normalize_global_minmax(cells: DataFrame, eps: float = 0.0) -> DataFrame:
-    """(v - min) / (max - min + eps) over all excitations; constant data -> 0."""
-    s = scalars(cells.agg(F.min("value").alias("lo"), F.max("value").alias("hi")))
-    lo, hi = s.getField("lo"), s.getField("hi")
-    return cells.withColumn("value", F.when((hi > lo) | F.lit(eps > 0), (F.col("value") - lo) / (hi - lo + eps)).when(F.col("value").isNotNull(), 0.0))
-
-
-def normalize_minmax(cells: DataFrame) -> DataFrame:
-    return normalize_global_minmax(cells, 1e-10)
-
-
-def normalize_global_percentile(cells: DataFrame, low: float = 0.05, high: float = 0.95) -> DataFrame:
-    """Clip to the exact percentiles of the positive values; without any, to 0..1."""
-    q = quantiles(cells.where(F.col("value") > 0), "value", {"lo": low, "hi": high})
-    q = q.agg(F.coalesce(F.max("lo"), F.lit(0.0)).alias("lo"), F.coalesce(F.max("hi"), F.lit(1.0)).alias("hi"))
-    s = scalars(q)
-    return cells.withColumn("value", clip((F.col("value") - s.getField("lo")) / (s.getField("hi") - s.getField("lo") + 1e-10)))
-
-
-def normalize_standard(cells: DataFrame) -> DataFrame:
-    s = scalars(cells.agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("sd")))
-    return cells.withColumn("value", (F.col("value") - s.getField("m")) / (s.getField("sd") + 1e-10))
+def _with_limits(cells: DataFrame, limits: DataFrame, by: list[str]) -> tuple[DataFrame, Callable[[str], Column]]:
+    """Make the columns of ``limits`` (one row, or one per group) available next to every cell."""
+    if not by:
+        s = scalars(limits)
+        return cells, s.getField
+    names = [c for c in limits.columns if c not in by]
+    renamed = limits.withColumnsRenamed({c: f"__{c}" for c in names})
+    return cells.join(checked_broadcast(renamed), by, "left"), lambda c: F.col(f"__{c}")
+
+
+def normalize_global_minmax(cells: DataFrame, eps: float = 0.0, by: list[str] = ()) -> DataFrame:
+    """(v - min) / (max - min + eps) over all excitations; constant data -> 0.  ``by`` (scan_id) keeps scans apart."""
+    limits = cells.groupBy(*by).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    d, at = _with_limits(cells, limits, list(by))
+    lo, hi, v = at("lo"), at("hi"), F.col("value")
+    return d.withColumn("value", F.when((hi > lo) | F.lit(eps > 0), (v - lo) / (hi - lo + eps)).when(v.isNotNull(), 0.0)).select(*cells.columns)
+
+
+def normalize_minmax(cells: DataFrame, by: list[str] = ()) -> DataFrame:
+    return normalize_global_minmax(cells, 1e-10, by)
+
+
+def normalize_global_percentile(cells: DataFrame, low: float = 0.05, high: float = 0.95, by: list[str] = ()) -> DataFrame:
+    """Clip to the exact percentiles of the positive values; without any, to 0..1.  NULL cells stay NULL."""
+    v = F.col("value")
+    q = quantiles(cells.where(v > 0), "value", {"lo": low, "hi": high}, list(by))
+    if not by:
+        q = q.agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"))
+    d, at = _with_limits(cells, q, list(by))
+    lo, hi = F.coalesce(at("lo"), F.lit(0.0)), F.coalesce(at("hi"), F.lit(1.0))
+    return d.withColumn("value", F.when(v.isNotNull(), clip((v - lo) / (hi - lo + 1e-10)))).select(*cells.columns)
+
+
+def normalize_standard(cells: DataFrame, by: list[str] = ()) -> DataFrame:
+    limits = cells.groupBy(*by).agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("sd"))
+    d, at = _with_limits(cells, limits, list(by))
+    return d.withColumn("value", (F.col("value") - at("m")) / (at("sd") + 1e-10)).select(*cells.columns)
 
 
 # -- per-band scaling ------------------------------------------------------------------------------

@@ -53,15 +53,14 @@ H = "WITH d AS (SELECT max(y) + 1 AS h FROM pred), "
     n AS (SELECT p.y, p.x, CAST(sum(CASE WHEN q.cluster = p.cluster THEN 1 ELSE 0 END) AS DOUBLE) / 8 AS v FROM pred p CROSS JOIN o LEFT JOIN pred q ON q.y = p.y + dy AND q.x = p.x + dx WHERE p.cluster >= 0 GROUP BY 1, 2)
     SELECT round(avg(v), 8) AS spatial_coherence FROM n""")
 def _(t):
-    return rd(q.spatial_coherence_8(t.pred), 8)
+    return rd(q.spatial_coherence_8(t.pred).drop("scan_id"), 8)
 
 
 @case("h07_spatial_coherence_4", """WITH d AS (SELECT max(y) + 1 AS h FROM pred), o AS (SELECT unnest([-1, 1, 0, 0]) AS dy, unnest([0, 0, -1, 1]) AS dx),
     n AS (SELECT p.y, p.x, p.cluster, CAST(sum(CASE WHEN q.cluster = p.cluster THEN 1 ELSE 0 END) AS DOUBLE) / 4 AS v FROM pred p CROSS JOIN o LEFT JOIN pred q ON q.y = p.y + dy AND q.x = p.x + dx GROUP BY 1, 2, 3)
     SELECT y, x, CASE WHEN y BETWEEN 1 AND h - 2 AND x BETWEEN 1 AND 148 AND cluster >= 0 THEN v ELSE 0 END AS coherence FROM n, d""")
 def _(t):
-    h = t.pred.agg(F.max("y")).first()[0] + 1
-    return q.spatial_coherence_4(t.pred, (h, 150))
+    return q.spatial_coherence_4(t.pred).drop("scan_id")
 
 
 @case("h08_relabel_consecutive", "SELECT pixel_id, CAST(dense_rank() OVER (ORDER BY c) - 1 AS INT) AS label FROM (SELECT pixel_id, cluster * cluster + 3 AS c FROM pred WHERE cluster >= 0) q")
@@ -77,6 +76,6 @@ _KER = ", ".join(f"({i - 12}, {w!r})" for i, w in enumerate(q.gaussian_kernel(3.
     ay AS (SELECT a.y, a.x, sum(k.w * b.v) AS v FROM ax a CROSS JOIN kr k CROSS JOIN d JOIN ax b ON b.x = a.x AND b.y = CASE WHEN (a.y + o + 4 * h) % (2 * h) < h THEN (a.y + o + 4 * h) % (2 * h) ELSE 2 * h - 1 - (a.y + o + 4 * h) % (2 * h) END GROUP BY 1, 2)
     SELECT y, x, round(v, 7) AS value FROM ay""")
 def _(t):
-    j = t.pred.select("y", "x", "cluster").join(t.pred2.select("y", "x", F.col("cluster").alias("c2")), ["y", "x"])
-    d = j.select("y", "x", F.when(F.col("cluster") != F.col("c2"), 1.0).otherwise(0.0).alias("value"))
-    return rd(q.smoothed_difference(d), 7)
+    j = t.pred.join(t.pred2.select("scan_id", "y", "x", F.col("cluster").alias("c2")), ["scan_id", "y", "x"])
+    d = j.select("scan_id", "y", "x", F.when(F.col("cluster") != F.col("c2"), 1.0).otherwise(0.0).alias("value"))
+    return rd(q.smoothed_difference(d).drop("scan_id"), 7)

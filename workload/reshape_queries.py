@@ -48,7 +48,7 @@ def _(t):
     SELECT g.y, g.x, coalesce(p.cluster, -1) AS cluster FROM g LEFT JOIN p ON g.y = p.y AND g.x = p.x""")
 def _(t):
     h = t.pred.agg(F.max("y")).first()[0] + 1
-    return rs.cluster_map(t.pred.where("cluster >= 0 AND pixel_id % 3 > 0"), (h, 150))
+    return rs.cluster_map(t.pred.where("cluster >= 0 AND pixel_id % 3 > 0"), (h, 150)).drop("scan_id")
 
 
 # tiles of 64 with overlap 8 over 200 rows and W columns

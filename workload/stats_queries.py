@@ -23,8 +23,13 @@ def _(t):
 @case("d02_normalize_global_percentile", HEAD + """round(CASE WHEN value IS NOT NULL THEN greatest(0, least(1, (value - lo) / (hi - lo + 1e-10))) END, 7) AS value FROM cells,
     (SELECT quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM cells WHERE value > 0) q""")
 def _(t):
-    d = st.normalize_global_percentile(t.cells).join(t.cells.select(*CELL, F.col("value").alias("raw")), CELL)
-    return d.select(*CELL, F.when(F.col("raw").isNotNull(), F.round("value", 7)).alias("value"))
+    return st.normalize_global_percentile(t.cells).select(*CELL, r("value", 7))
+
+
+@case("d02_normalize_percentile_by_excitation", HEAD.replace("excitation,", "c.excitation,") + """round(CASE WHEN value IS NOT NULL THEN greatest(0, least(1, (value - lo) / (hi - lo + 1e-10))) END, 7) AS value FROM cells c JOIN
+    (SELECT excitation AS e, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM cells WHERE value > 0 GROUP BY 1) q ON c.excitation = q.e""")
+def _(t):
+    return st.normalize_global_percentile(t.cells, by=["excitation"]).select(*CELL, r("value", 7))
 
 
 @case("d03_normalize_minmax", HEAD + f"round((value - lo) / (hi - lo + 1e-10), 7) AS value FROM cells, {LIM} q")
