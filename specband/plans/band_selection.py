@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from specband.functions.columns import PIXEL
-from specband.functions.scale import MAX_BANDS, checked_broadcast, require_bounded
+from specband.functions.scale import MAX_BANDS, require_bounded
 from specband.operators import calibrate as cal, compare as cmp
 from specband.operators.classify import knn_classify
 from specband.operators.reshape import cube_to_spectrum

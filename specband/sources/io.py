@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.window import Window
 
 from specband.functions.columns import PIXEL, color_key
-from specband.functions.scale import checked_broadcast, rank_rows
+from specband.functions.scale import checked_broadcast, rank_rows, scalars
+from specband.operators.calibrate import full_grid
 
 POWER_COLUMNS = ("Excitation Wavelength (nm)", "Average Power (W)")
 BACKGROUND = [(24, 24, 24, 255), (168, 168, 168, 255)]
@@ -93,8 +93,6 @@ def label_from_frequent_colors(colors: DataFrame, min_count: int = 1000) -> Data
 
 def center_pad_crop(image: DataFrame, shape: tuple[int, int], height: int, width: int, fill: dict[str, int]) -> DataFrame:
     """Centred crop of the larger axes and centred padding of the smaller ones (offset = difference // 2)."""
-    from specband.operators.calibrate import full_grid
-
     dy, dx = ((abs(a - b) // 2) * (1 if b >= a else -1) for a, b in zip(shape, (height, width)))
     moved = image.withColumns({"y": F.col("y") + dy, "x": F.col("x") + dx}).where(
         F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
@@ -143,8 +141,6 @@ def selection_report(influence: DataFrame, selection: DataFrame) -> DataFrame:
     total = influence.agg(F.count("*").alias("n_available"))
     top = selection.agg(F.count("*").alias("n_selected"), F.max("influence").alias("max_influence"),
                         F.min("influence").alias("min_influence"))
-    from specband.functions.scale import scalars
-
     a, b = scalars(total), scalars(top)
     return selection.select(
         "rank", "excitation", "emission", "influence", a.getField("n_available").alias("n_available"),

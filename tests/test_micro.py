@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from specband.functions.columns import emission_axis
-from specband.functions.linalg import assign, expected_mi_term, ls_solve, nnls_gram
+from specband.functions.linalg import assign, expected_mi_term, nnls_gram
 from specband.functions.scale import ordinal, prefix_max, quantiles
 from specband.operators import calibrate as cal, classify as cl, compare as cmp, influence as inf, objects as ob
 from specband.operators import quality as q, reshape as rs, select as sel, stats as st, unmix as um
