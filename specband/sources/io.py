@@ -9,6 +9,7 @@ from specband.functions.scale import checked_broadcast, rank_rows, scalars
 from specband.operators.calibrate import full_grid
 
 POWER_COLUMNS = ("Excitation Wavelength (nm)", "Average Power (W)")
+# Annotation background colours (r, g, b, a).
 BACKGROUND = [(24, 24, 24, 255), (168, 168, 168, 255)]
 
 
@@ -59,7 +60,7 @@ def read_power_table(df: DataFrame, row: str | None = None) -> DataFrame:
     return t.groupBy("excitation").agg(F.max_by("power", "__seq").alias("power"))
 
 
-def label_from_colors(colors: DataFrame, background: list[tuple[int, int, int, int]]) -> DataFrame:
+def label_from_colors(colors: DataFrame, background: list[tuple[int, int, int, int]] = BACKGROUND) -> DataFrame:
     """Distinct non-background colours in sorted order become classes 0, 1, ...; background is -1."""
     back = [F.struct(*[F.lit(v) for v in c]) for c in background]
     key = color_key()

@@ -365,7 +365,8 @@ def _(t):
     return rd(select_and_score(t.cubes, t.exposure, _scan_truth(t), t.rois))
 
 
-@case("k39_config_sweep")
+@case("k39_config_sweep", f"""SELECT 'variance_3bands' AS config_name, a.*, CAST(NULL AS VARCHAR) AS error FROM ({_flagship(3)}) a
+    UNION ALL SELECT 'variance_6bands', b.*, NULL FROM ({_flagship(6)}) b UNION ALL SELECT 'variance_broken', NULL, NULL, NULL, NULL, concat('KeyError: ', chr(39), 'k', chr(39))""")
 def _(t):
     from specband.plans import band_selection as bs
     from workload.sources_queries import scratch
@@ -376,4 +377,6 @@ def _(t):
         return bs.classify_and_score(cells, bs.varied_bands(cells, cfg["n"]), cfg["n"], _scan_truth(t), t.rois, cfg["k"]).withColumn("n_bands", F.lit(cfg["n"]))
 
     configs = [{"name": "variance_3bands", "n": 3, "k": 5}, {"name": "variance_6bands", "n": 6, "k": 5}, {"name": "variance_broken", "n": 6}]
-    return ex.config_sweep_runner(t.spark, configs, run, scratch(t.spark))
+    out = ex.config_sweep_runner(t.spark, configs, run, scratch(t.spark))
+    cells.unpersist()
+    return rd(out)

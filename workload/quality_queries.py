@@ -17,9 +17,12 @@ def _(t):
     return rd(q.silhouette(lp(t), sample=None))
 
 
-@case("h01_silhouette_sample")
+@case("h01_silhouette_sample", """WITH k AS (SELECT * FROM pixels ORDER BY md5(concat(CAST(pixel_id AS VARCHAR), '|42')), pixel_id LIMIT 200),
+    d AS (SELECT a.pixel_id, a.label AS ca, b.label AS cb, sum(list_distance(a.spectrum, b.spectrum)) AS s, count(*) AS n FROM k a, k b GROUP BY 1, 2, 3),
+    w AS (SELECT pixel_id, max(CASE WHEN ca = cb THEN n END) AS own, max(CASE WHEN ca = cb AND n > 1 THEN s / (n - 1) END) AS a, min(CASE WHEN ca <> cb THEN s / n END) AS b FROM d GROUP BY pixel_id)
+    SELECT round(avg(CASE WHEN own = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM w""")
 def _(t):
-    return q.silhouette(lp(t), sample=200)
+    return rd(q.silhouette(lp(t), sample=200))
 
 
 CEN = "c AS (SELECT label AS cluster, band_id, avg(value) AS v, count(*) AS n FROM longpix GROUP BY 1, 2), p AS (SELECT l.label, l.pixel_id, sum(pow(l.value - c.v, 2)) AS sq FROM longpix l JOIN c ON l.label = c.cluster AND l.band_id = c.band_id GROUP BY 1, 2), s AS (SELECT label, avg(sqrt(sq)) AS s, sum(sq) AS w, count(*) AS n FROM p GROUP BY label)"

@@ -36,9 +36,16 @@ def _(t):
     return sel.select_mmr(t.pixels, px_influence(t), 2).select("rank", "band_id")
 
 
-@case("f03_select_mmr_ten")
-def _(t):
-    return sel.select_mmr(t.pixels, px_influence(t), 10)
+@case("f03_select_mmr_ten", """WITH i AS (SELECT band_id, avg(abs(value)) AS v FROM longpix GROUP BY band_id), m AS (SELECT max(v) AS m FROM i),
+    g AS (SELECT a.band_id AS a, b.band_id AS b, sum(a.value * b.value) AS g FROM longpix a JOIN longpix b ON a.pixel_id = b.pixel_id GROUP BY 1, 2),
+    c AS (SELECT g.a, g.b, abs(g.g / sqrt(x.g * y.g)) AS c FROM g JOIN g x ON x.a = g.a AND x.b = g.a JOIN g y ON y.a = g.b AND y.b = g.b),
+    st AS (SELECT 1 AS step, (SELECT band_id FROM i ORDER BY v DESC, band_id LIMIT 1) AS pick, [(SELECT band_id FROM i ORDER BY v DESC, band_id LIMIT 1)] AS s
+      UNION ALL SELECT step + 1, nxt, list_append(s, nxt) FROM (SELECT st.step, st.s, arg_max(i.band_id, i.v / m.m - 0.5 * q.sim) AS nxt FROM st, i, m,
+        (SELECT c.a, st2.step, max(c.c) AS sim FROM c, st st2 WHERE list_contains(st2.s, c.b) GROUP BY 1, 2) q
+        WHERE q.a = i.band_id AND q.step = st.step AND NOT list_contains(st.s, i.band_id) AND st.step < 10 GROUP BY st.step, st.s) z)
+    SELECT CAST(step AS INT) AS rank, CAST(pick AS INT) AS band_id FROM st""")
+def _(t):
+    return sel.select_mmr(t.pixels, px_influence(t), 10).select("rank", "band_id")
 
 
 @case("f04_select_min_distance", "WITH " + WK + """, w AS (SELECT *, row_number() OVER (PARTITION BY excitation ORDER BY rank) AS rn FROM k),
