@@ -74,6 +74,18 @@ def first_k(r: np.ndarray, k: int) -> np.ndarray:
     return pos < k
 
 
+def drop_surplus_copies(block: tuple[np.ndarray, np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of equal training spectra only the k smallest ids can ever be among k neighbours; the block is sorted by id."""
+    t, ids, cls = block
+    if not len(t):
+        return block
+    _, group = np.unique(t, axis=0, return_inverse=True)
+    group = group.ravel()
+    order = np.argsort(group, kind="stable")
+    keep = np.sort(order[first_k(group[order], k)])
+    return t[keep], ids[keep], cls[keep]
+
+
 def training_blocks(train: DataFrame, key: str, rows: int = MAX_BROADCAST_ROWS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Training rows as size-checked blocks (spectra, ids, classes): one block if small, else slices of an ordinal."""
     cols = train.select(F.col(key).alias("id"), F.col("class").cast("int").alias("class"), "spectrum")
@@ -140,7 +152,7 @@ def neighbors(pixels: DataFrame, train: DataFrame, k: int, metric: str = "euclid
     for block in training_blocks(train, key, block_rows):
         if seen:
             out = cut(out)
-        out = out.mapInArrow(mapper(sc.broadcast(block), seen > 0), schema)
+        out = out.mapInArrow(mapper(sc.broadcast(drop_surplus_copies(block, k)), seen > 0), schema)
         seen += 1
     return out
 

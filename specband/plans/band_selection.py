@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from specband.functions.columns import PIXEL
-from specband.functions.scale import MAX_BANDS, require_bounded
+from specband.functions.scale import MAX_BANDS, cut, require_bounded
 from specband.operators import calibrate as cal, compare as cmp
 from specband.operators.classify import knn_classify
 from specband.operators.reshape import cube_to_spectrum
@@ -18,10 +17,11 @@ def calibrated_cells(cubes: DataFrame, exposure: DataFrame, offset: float = 40.0
 
 
 def varied_bands(cells: DataFrame, n: int) -> DataFrame:
-    """The n most varying bands with a dense ``band_id`` in band order."""
-    top = select_variance(cells, n, ["excitation", "em_idx"])
-    require_bounded(top, "selected bands", MAX_BANDS)
-    return top.withColumn("band_id", F.row_number().over(Window.orderBy("excitation", "em_idx")) - 1)  # n rows
+    """The n most varying bands with a dense ``band_id`` in band order; a local table, so later steps do not rescan."""
+    top = require_bounded(select_variance(cells, n, ["excitation", "em_idx"]), "selected bands", MAX_BANDS)
+    top = top.sort_values(["excitation", "em_idx"]).reset_index(drop=True)
+    rows = [(i, float(r.excitation), int(r.em_idx), float(r.variance)) for i, r in enumerate(top.itertuples(index=False))]
+    return cells.sparkSession.createDataFrame(rows, "band_id INT, excitation DOUBLE, em_idx INT, variance DOUBLE")
 
 
 def spectra_on_bands(cells: DataFrame, bands: DataFrame, n: int) -> DataFrame:
@@ -31,7 +31,8 @@ def spectra_on_bands(cells: DataFrame, bands: DataFrame, n: int) -> DataFrame:
 
 def classify_and_score(cells: DataFrame, bands: DataFrame, n: int, truth: DataFrame, rois: DataFrame, k: int = 5) -> DataFrame:
     """kNN trained on the labelled pixels inside the regions; purity and accuracy over all labelled pixels."""
-    px = spectra_on_bands(cells, bands, n).join(truth.select(*PIXEL, "class"), PIXEL)
+    # written once: scaling, training rows and the vote all read these few columns instead of the cells
+    px = cut(spectra_on_bands(cells, bands, n).join(truth.select(*PIXEL, "class"), PIXEL))
     train = cmp.rect_join(px.where(F.col("class") >= 0), rois).dropDuplicates(["pixel_id"])
     pred = knn_classify(px, train, k)
     ct = pred.where(F.col("class") >= 0).groupBy("class", "cluster").agg(F.count("*").alias("n"))
