@@ -162,11 +162,11 @@ def _(t):
     return rd(cmp.scores(ct(t)).select("matthews_corrcoef"))
 
 
-@case("i18_pixel_accuracy", """WITH j AS (SELECT t.class, p.cluster FROM truth t LEFT JOIN pred p ON t.pixel_id = p.pixel_id AND p.pixel_id % 6 > 0 WHERE t.class >= 0),
+@case("i18_pixel_accuracy", """WITH j AS (SELECT t.class, p.cluster FROM truth t LEFT JOIN pred p ON t.pixel_id = p.pixel_id AND p.cluster >= 0 WHERE t.class >= 0),
     s AS (SELECT CAST(sum(CASE WHEN class = cluster THEN 1 ELSE 0 END) AS BIGINT) AS correct_pixels, count(*) AS total_pixels FROM j)
     SELECT round(CAST(correct_pixels AS DOUBLE) / total_pixels, 6) AS accuracy, correct_pixels, total_pixels, round(1 - CAST(correct_pixels AS DOUBLE) / total_pixels, 6) AS error_rate FROM s""")
 def _(t):
-    return rd(cmp.pixel_accuracy(t.pred.where("pixel_id % 6 > 0"), t.truth))
+    return rd(cmp.pixel_accuracy(t.pred.where("cluster >= 0"), t.truth))
 
 
 @case("i19_class_distribution", """SELECT class, CASE WHEN class < 0 THEN 'Background' ELSE concat('Class_', class) END AS name, count(*) AS pixel_count,

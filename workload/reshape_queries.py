@@ -44,11 +44,11 @@ def _(t):
 
 
 @case("c05_cluster_map", """WITH d AS (SELECT max(y) + 1 AS h FROM pred), i AS (SELECT unnest(range(h * 150)) AS i FROM d),
-    g AS (SELECT CAST(floor(i / 150) AS INT) AS y, CAST(i % 150 AS INT) AS x FROM i), p AS (SELECT * FROM pred WHERE cluster >= 0 AND pixel_id % 3 > 0)
+    g AS (SELECT CAST(floor(i / 150) AS INT) AS y, CAST(i % 150 AS INT) AS x FROM i), p AS (SELECT * FROM pred WHERE cluster >= 0)
     SELECT g.y, g.x, coalesce(p.cluster, -1) AS cluster FROM g LEFT JOIN p ON g.y = p.y AND g.x = p.x""")
 def _(t):
     h = t.pred.agg(F.max("y")).first()[0] + 1
-    return rs.cluster_map(t.pred.where("cluster >= 0 AND pixel_id % 3 > 0"), (h, 150)).drop("scan_id")
+    return rs.cluster_map(t.pred.where("cluster >= 0"), (h, 150)).drop("scan_id")
 
 
 # tiles of 64 with overlap 8 over 200 rows and W columns

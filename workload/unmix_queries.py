@@ -83,7 +83,7 @@ def _(t):
 
 @case("m11_mcr_over_combinations")
 def _(t):
-    combos = sel.excitation_combinations(t.bands.where("excitation <= 340"), ["single", "pairs"])
+    combos = sel.excitation_combinations(t.bands, ["single", "all"])
     return um.mcr_over_combinations(positive(t), t.bands, combos, 2, max_iter=3, init="farthest")
 
 
