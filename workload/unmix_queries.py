@@ -84,7 +84,7 @@ def _(t):
 @case("m11_mcr_over_combinations")
 def _(t):
     combos = sel.excitation_combinations(t.bands, ["single", "all"])
-    return um.mcr_over_combinations(positive(t), t.bands, combos, 2, max_iter=3, init="farthest")
+    return um.mcr_over_combinations(positive(t), t.bands, combos, 2, max_iter=3, init="svd")
 
 
 M12 = "WITH s AS (SELECT config_name AS name, perturbation_dim AS n_excitations, accuracy AS explained_variance FROM results)"
