@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from specband.llm import decontaminate as winnow, ngram_join as grams, quality_rules as rules, token_counts as counting
+from specband.llm import decontaminate as winnow, ngram_join as grams, quality_rules as rules, substring_dedup as passages, suffix_dedup as suffixes, token_counts as counting
 from specband.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grams.ngram_join(table(spark, sf_dir, "documents"))
 
 
+@query("op2_substring_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.digest(passages.substring_dedup(table(spark, sf_dir, "documents")))
+
+
 @query("op4_benchmark_decontamination")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.digest(winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
@@ -44,6 +49,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+@query("op9_suffix_array_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.suffix_dedup(table(spark, sf_dir, "documents")))
+
+
 @query("op10_token_counts")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
