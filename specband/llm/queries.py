@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from specband.llm import decontaminate as winnow, ngram_join as grams, quality_rules as rules, substring_dedup as passages, suffix_dedup as suffixes, token_counts as counting
+from specband.llm import decontaminate as winnow, ngram_join as grams, pii, quality_rules as rules, substring_dedup as passages, suffix_dedup as suffixes, token_counts as counting
 from specband.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+@query("op6_pii")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.sanitise(table(spark, sf_dir, "documents")))
+
+
 @query("op9_suffix_array_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(suffixes.suffix_dedup(table(spark, sf_dir, "documents")))

@@ -101,3 +101,32 @@ def byte_repeats(docs, window=50):
         runs = sum(g and (j == 0 or not gone[j - 1]) for j, g in enumerate(gone))
         out.append((d, len(b), sum(gone), runs, sha(bytes(x for j, x in enumerate(b) if not gone[j]))))
     return out
+
+
+PII = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    s = 0
+    for i, c in enumerate(reversed(d)):
+        x = int(c) * (1 + i % 2)
+        s += x - 9 * (x > 9)
+    return s % 10 == 0
+
+
+def pii(t):
+    out = []
+    for k, (kind, pattern) in enumerate(PII.items()):
+        for m in re.finditer(pattern, t or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else 0, "card": 12 <= len(d) <= 19 and luhn(d) if d else 0, "phone": 9 <= len(d) <= 15}[kind]
+            if ok:
+                out.append((m.start(), k, m.end(), kind))
+    out.sort()
+    n = tuple(sum(k == i for _, k, _, _ in out) for i in range(4))
+    return (*n, sha(",".join(f"{kind}:{s}:{e}" for s, _, e, kind in out))), [(s, e) for s, _, e, _ in out]
