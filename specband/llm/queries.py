@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from specband.llm import decontaminate as winnow, ngram_join as grams, pii, quality_rules as rules, substring_dedup as passages, suffix_dedup as suffixes, token_counts as counting
+from specband.llm import decontaminate as winnow, ngram_join as grams, pii, quality_classifier as classifier, quality_rules as rules, substring_dedup as passages, suffix_dedup as suffixes, token_counts as counting
 from specband.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.digest(passages.substring_dedup(table(spark, sf_dir, "documents")))
 
 
+@query("op3_quality_classifier")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op4_benchmark_decontamination")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.digest(winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
