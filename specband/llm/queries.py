@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from specband.llm import decontaminate as winnow, ngram_join as grams, pii, quality_classifier as classifier, quality_rules as rules, substring_dedup as passages, suffix_dedup as suffixes, token_counts as counting
+from specband.llm import decontaminate as winnow, html_text as pages, ngram_join as grams, pieces, pii, quality_classifier as classifier, quality_rules as rules, substring_dedup as passages, suffix_dedup as suffixes, token_counts as counting
 from specband.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,16 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.sanitise(table(spark, sf_dir, "documents")))
 
 
+@query("op7_html_extraction")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.html_text(table(spark, sf_dir, "pages"), keep=["url"])
+
+
+@query("op8_sentencepiece")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 @query("op9_suffix_array_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(suffixes.suffix_dedup(table(spark, sf_dir, "documents")))
