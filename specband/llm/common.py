@@ -7,12 +7,15 @@ the hashes that one slice sends to one partition, so a shuffle costs little more
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from specband.functions.scale import ensure_checkpoint_dir
+
 SLICE_BYTES = 1 << 20  # text handled at once inside a task; one longer text is a slice of its own
 PRIME = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
@@ -29,6 +32,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a written table where all executors can reach it: beside the checkpoints."""
+    ensure_checkpoint_dir(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator needs, under fixed names: extra columns never clash."""
     return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))

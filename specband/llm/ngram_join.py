@@ -1,7 +1,7 @@
 """N-gram Jaccard join with prefix trees.
 
 Every document is its set of distinct word n-grams (64-bit hashes).  All sets are ordered by one global order: n-grams of
-one set first, then n-grams of several sets by hash, then very frequent ones.  Two sets with Jaccard similarity of at
+one set first, then those of several sets from rare to common (by hash within a power of two), then very frequent ones.  Two sets with Jaccard similarity of at
 least ``t`` share an n-gram among the first ``n - ceil(t * n) + 1`` of either (prefix filter), and n-grams of one set
 can be left out of the comparison since they never meet; so only sets with a shared n-gram in their prefix go on.
 
@@ -135,6 +135,9 @@ def shared(blobs: DataFrame, parts: int) -> DataFrame:
         many = np.minimum.reduceat(s, runs[:-1]) != np.maximum.reduceat(s, runs[:-1])
         hot = np.minimum.reduceat(s, runs[:-1]) == -1
         length = np.diff(runs)
+        # the order of n-grams: the number of sets by powers of two, then the hash; told in the n-gram itself
+        rank = np.minimum(np.log2(np.maximum(length, 1)).astype(np.uint64), np.uint64(15))
+        tokens[order] = np.where(np.repeat(hot, length), t, (np.repeat(rank, length) << np.uint64(60)) | (t >> np.uint64(4)))
         pick = order[np.repeat(many & ~hot, length)]
         for kind, at in ((TOKENS, pick), (FLAT, order[np.repeat(hot & many, length) & (s >= 0)])):
             for i in range(0, len(at), 1 << 20):
@@ -297,7 +300,7 @@ def tree_join(pdf: pd.DataFrame, percent: int, every: bool, cross: bool) -> pd.D
     pdf = pdf.sort_values(["n", "sig"], kind="stable")
     lists = [np.frombuffer(b, np.uint64) for b in pdf["tokens"]]
     flat = np.concatenate(lists)
-    # in global order: shared n-grams by hash, the frequent ones last; inside a group any common order serves, so hash order
+    # shared n-grams from rare to common; where frequent ones fall does not matter inside a group, as long as it is one order
     names, local = np.unique(flat, return_inverse=True)
     ends = np.cumsum([len(x) for x in lists])
     tree, sizes, out = PrefixTree(percent, len(names), every), pdf["n"].to_numpy(), []
