@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from specband.llm import decontaminate as winnow, html_text as pages, ngram_join as grams, pieces, pii, quality_classifier as classifier, quality_rules as rules, substring_dedup as passages, suffix_dedup as suffixes, token_counts as counting
+from specband.llm import sql
 from specband.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,12 +30,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@query("op1_ngram_jaccard_join")
+@query("op1_ngram_jaccard_join", sql.NGRAM_JOIN)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grams.ngram_join(table(spark, sf_dir, "documents"))
+    return grams.ngram_join(table(spark, sf_dir, "documents")).drop("class_id")
 
 
-@query("op2_substring_dedup")
+@query("op2_substring_dedup", sql.WORD_PASSAGES)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.digest(passages.substring_dedup(table(spark, sf_dir, "documents")))
 
@@ -44,12 +45,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op4_benchmark_decontamination")
+@query("op4_benchmark_decontamination", sql.CONTAMINATION)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.digest(winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-@query("op5_quality_rules")
+@query("op5_quality_rules", sql.quality())
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents")).drop("clean_text")
 
@@ -69,7 +70,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
-@query("op9_suffix_array_dedup")
+@query("op9_suffix_array_dedup", sql.BYTE_STRINGS)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(suffixes.suffix_dedup(table(spark, sf_dir, "documents")))
 
