@@ -7,6 +7,7 @@ the hashes that one slice sends to one partition, so a shuffle costs little more
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -39,6 +40,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def finished(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of earlier phases now: it does so when the driver collects their handles."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator needs, under fixed names: extra columns never clash."""
     return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))

@@ -8,8 +8,8 @@ first, without loss:
    whole content.  In the partition of an anchor, a run whose content starts in a smaller document is *covered* (all of its
    windows repeat); a run whose anchor occurs in no smaller document is settled as new; only runs that share an anchor,
    but not their content, with another run stay *open*: they lie next to edits and at the ends of copied passages.
-2. *Suffixes.* Windows of open runs are compared one by one by the caller's method, in groups by a shorter prefix; a
-   prefix that is frequent is split again by the full window.
+2. *Suffixes.* Windows of open runs are compared one by one by the caller's method, words in groups by a shorter prefix,
+   bytes in groups by their anchor; a prefix or anchor that is frequent is split again by the full window.
 3. Documents meet their covered runs and repeated windows once, by a key, and are cut.
 
 Slices combine equal entries before every exchange, and what is frequent inside a slice is told to the partition as one
@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from specband.functions.scale import cut
-from specband.llm.common import BYTE_CODE, SPACE, Powers, Rolling, binary, buffers, cut_runs, joined, mix, owners, partitions, slices, within, word_spans
+from specband.llm.common import BYTE_CODE, SPACE, Powers, Rolling, binary, buffers, cut_runs, finished, joined, mix, owners, partitions, slices, within, word_spans
 from specband.llm.decontaminate import winnowed
 
 FREQUENT = 16  # entries of one slice that make an anchor or prefix frequent
 GROUP_ROWS = 200_000  # suffixes of one prefix in a partition, beyond which the prefix is lengthened
 RUNS, COVERED, OPEN, SUFFIX, LONG, REPEAT = range(6)
-BLOBS = "part int, kind int, keys binary, ids binary, counts binary, values binary"
+BLOBS = "part int, kind int, keys binary, ids binary, counts binary, values binary, body binary"
 Resolver = Callable[[np.ndarray, np.ndarray], np.ndarray]  # names (n x 2), ids -> which repeat a smaller document
 
 
@@ -59,8 +59,11 @@ def anchor_runs(codes: np.ndarray, at: np.ndarray, length: int, gram: int, power
     return own[first], first, last, grams[anchor], mix(roll.raw(first, last + length) + mix(shape)), roll
 
 
-def rows_of(part, kind: int, keys: np.ndarray, ids: np.ndarray, who: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-    """Blob rows: the values (one or more numbers each) that go to every partition, grouped by document."""
+def rows_of(part, kind: int, keys: np.ndarray, ids: np.ndarray, who: np.ndarray, values: np.ndarray, pieces: tuple | None = None) -> pa.RecordBatch:
+    """Blob rows: the values (one or more numbers each) that go to every partition, grouped by document.
+
+    ``pieces`` (bytes, starts, ends) adds a byte string to every value.
+    """
     order = np.lexsort((who, part))
     part, who, values = part[order], who[order], np.ascontiguousarray(values[order])
     heads = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (who[1:] != who[:-1])]) if len(part) else np.zeros(0, np.int64)
@@ -69,19 +72,35 @@ def rows_of(part, kind: int, keys: np.ndarray, ids: np.ndarray, who: np.ndarray,
     first = heads[rows[:-1]]
     cuts = np.r_[first, len(part)] if len(first) else np.zeros(1, np.int64)
     width = values.shape[1] if values.ndim == 2 else 1
+    if pieces is None:
+        text = pa.nulls(len(first), pa.binary())
+    else:
+        raw, a, b = pieces[0], pieces[1][order], pieces[2][order]
+        at, which = spread(a, b - 1)
+        text = binary(raw[at], np.r_[0, np.cumsum(b - a)][cuts])
     return pa.RecordBatch.from_arrays(
         [pa.array(part[first].astype(np.int32)), pa.array(np.full(len(first), kind, np.int32)), binary(keys[who[heads]], rows), binary(ids[who[heads]], rows), binary(counts, rows),
-         binary(values.ravel(), cuts * width)], names=["part", "kind", "keys", "ids", "counts", "values"])
+         binary(values.ravel(), cuts * width), text], names=["part", "kind", "keys", "ids", "counts", "values", "body"])
 
 
-def read_blobs(batches: list[pa.RecordBatch], width: int):
+def read_blobs(batches: list[pa.RecordBatch], width: int, dtype=np.uint64):
     """Keys, ids, document index per value, and values of blob rows."""
-    keys, ids, counts, values = ([joined(b.column(c), t) for b in batches] for c, t in ((2, np.int64), (3, np.int64), (4, np.int32), (5, np.uint64)))
+    keys, ids, counts, values = ([joined(b.column(c), t) for b in batches] for c, t in ((2, np.int64), (3, np.int64), (4, np.int32), (5, dtype)))
     cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-    keys, ids, counts, values = cat(keys, np.int64), cat(ids, np.int64), cat(counts, np.int32), cat(values, np.uint64)
+    keys, ids, counts, values = cat(keys, np.int64), cat(ids, np.int64), cat(counts, np.int32), cat(values, dtype)
     return keys, ids, np.repeat(np.arange(len(keys)), counts), values.reshape(-1, width) if width > 1 else values
 
 
+def run_entries(h: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """(anchor, content) in 12 bytes: the partition already tells part of the anchor, and anchors that meet by chance only
+    keep a run open; contents are compared by all 64 bits."""
+    return np.stack([h >> np.uint64(32), content & np.uint64(0xFFFFFFFF), content >> np.uint64(32)], 1).astype(np.uint32)
+
+
+def entry_parts(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return v[:, 0], v[:, 1].astype(np.uint64) | v[:, 2].astype(np.uint64) << np.uint64(32)
+
+
 def home(keys: np.ndarray, parts: int) -> np.ndarray:
     return (keys.view(np.uint64) % np.uint64(parts)).astype(np.int32)
 
@@ -127,10 +146,10 @@ def scan_runs(docs: DataFrame, unit: str, length: int, gram: int, parts: int, fr
                 own, h, content = own[~late], h[~late], content[~late]
                 _, inverse, times = np.unique(h, return_inverse=True, return_counts=True)
                 often = times[inverse] >= frequent
-                yield rows_of((h[~often] % np.uint64(parts)).astype(np.int32), RUNS, keys, ids, own[~often], np.stack([h[~often], content[~often]], 1))
+                yield rows_of((h[~often] % np.uint64(parts)).astype(np.int32), RUNS, keys, ids, own[~often], run_entries(h[~often], content[~often]))
                 if often.any():
                     hot = np.unique(h[often])
-                    yield rows_of((hot % np.uint64(parts)).astype(np.int32), RUNS, np.zeros(1, np.int64), np.array([NO_ID]), np.zeros(len(hot), np.int64), np.stack([hot, hot * 0], 1))
+                    yield rows_of((hot % np.uint64(parts)).astype(np.int32), RUNS, np.zeros(1, np.int64), np.array([NO_ID]), np.zeros(len(hot), np.int64), run_entries(hot, hot * 0))
                     yield rows_of(home(keys[own[often]], parts), OPEN, keys, ids, own[often], content[often])
 
     return docs.mapInArrow(run, BLOBS)
@@ -147,15 +166,16 @@ def settle_runs(blobs: DataFrame, parts: int) -> DataFrame:
             if mine is None:
                 yield other
                 continue
-            keys, ids, who, v = read_blobs(mine.pop(RUNS), 2)
+            keys, ids, who, v = read_blobs(mine.pop(RUNS), 3, np.uint32)
             if not len(v):
                 return
-            order = np.lexsort((ids[who], v[:, 1], v[:, 0]))
-            who, v = who[order], v[order]
+            h, content = entry_parts(v)
+            order = np.lexsort((ids[who], content, h))
+            who, h, content = who[order], h[order], content[order]
             id_ = ids[who]
-            groups = cut_runs(v[:, 0])
+            groups = cut_runs(h)
             size = np.diff(groups)
-            same = np.r_[False, (v[1:, 0] == v[:-1, 0]) & (v[1:, 1] == v[:-1, 1])]
+            same = np.r_[False, (h[1:] == h[:-1]) & (content[1:] == content[:-1])]
             classes = np.r_[np.flatnonzero(~same), len(v)]
             low = np.repeat(id_[classes[:-1]], np.diff(classes))
             covered = id_ > low
@@ -166,7 +186,7 @@ def settle_runs(blobs: DataFrame, parts: int) -> DataFrame:
                 at = np.flatnonzero(pick)
                 for s in in_pieces(len(at)):
                     w = who[at[s]]
-                    yield rows_of(home(keys[w], parts), kind, keys, ids, w, v[at[s], 1])
+                    yield rows_of(home(keys[w], parts), kind, keys, ids, w, content[at[s]])
 
     return blobs.repartitionById(parts, "part").mapInArrow(run, BLOBS)
 
@@ -249,6 +269,86 @@ def open_suffixes(docs: DataFrame, unit: str, length: int, gram: int, prefix: in
     return docs.mapInArrow(run, BLOBS)
 
 
+def open_runs(docs: DataFrame, length: int, gram: int, prefix: int, parts: int, frequent: int) -> DataFrame:
+    """Open runs of bytes, as their content, to the partitions of their anchors: a run's windows overlap, so its bytes are
+    far less than the names of its windows.  Runs of an anchor that is frequent in the slice go window by window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            body, offsets = buffers(batch.column(2))
+            keys_all, ids_all = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for i, j in slices(offsets):
+                here, at = body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                own, first, last, h, content, roll = anchor_runs(BYTE_CODE[here], at, length, gram, powers)
+                use = listed(own, content, batch.column(3).slice(i, j - i))
+                own, first, last, h = own[use], first[use], last[use], h[use]
+                keys, ids = keys_all[i:j], ids_all[i:j]
+                _, inverse, times = np.unique(h, return_inverse=True, return_counts=True)
+                often = times[inverse] >= frequent
+                few, part = np.flatnonzero(~often), lambda x: (x % np.uint64(parts)).astype(np.int32)
+                values = np.stack([h, (first - at[own]).astype(np.uint64), (last - first).astype(np.uint64)], 1)
+                yield rows_of(part(h[few]), SUFFIX, keys, ids, own[few], values[few], (here, first[few], last[few] + length))
+                if often.any():
+                    hot = np.unique(h[often])
+                    none = np.zeros(len(hot), np.int64)
+                    yield rows_of(part(hot), SUFFIX, np.zeros(1, np.int64), np.array([NO_ID]), none, np.stack([hot, hot * 0, hot * 0], 1), (here, none, none))
+                    start, which = spread(first[often], last[often])
+                    who = own[often][which]
+                    names = np.stack([roll.raw(start, start + prefix), roll.raw(start + prefix, start + length), (start - at[who]).astype(np.uint64)], 1)
+                    yield rows_of(longer(names, parts), LONG, keys, ids, who, names)
+
+    return docs.mapInArrow(run, BLOBS)
+
+
+def compare_runs(blobs: DataFrame, length: int, prefix: int, parts: int, resolve: Resolver, group_rows: int) -> DataFrame:
+    """Windows of open runs that repeat one of a smaller document; runs of a frequent anchor go on, window by window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for mine, other in split_kinds(batches, (SUFFIX,)):
+            if mine is None:
+                yield other
+                continue
+            got = mine.pop(SUFFIX)
+            keys, ids, who, v = read_blobs(got, 3)
+            if not len(v):
+                return
+            body = np.concatenate([joined(b.column(6), np.uint8) for b in got])
+            del got
+            mark = ids[who] == NO_ID  # entries for frequent anchors hold no bytes
+            hot = np.unique(v[mark, 0])
+            who, v = who[~mark], v[~mark]
+            size = v[:, 2].astype(np.int64) + 1  # windows of a run
+            begin = np.r_[0, np.cumsum(size + length - 1)][:-1]
+            order = np.argsort(v[:, 0], kind="stable")
+            groups = cut_runs(v[order, 0])
+            far = np.isin(v[order[groups[:-1]], 0], hot)  # this anchor's other runs went window by window
+            total = np.r_[0, np.cumsum(size[order])]
+            powers, g = Powers(), 0
+            while g < len(groups) - 1:  # anchors together, up to a bounded number of windows
+                e = max(g + 1, int(np.searchsorted(total[groups], total[groups[g]] + group_rows, side="right")) - 1)
+                e = g + 1 if far[g] else min([e, *(g + np.flatnonzero(far[g:e])[:1])])
+                r = order[groups[g] : groups[e]]
+                # windows of these runs over their own bytes, one run after another
+                at, _ = spread(begin[r], begin[r] + size[r] + length - 2)
+                roll = Rolling(BYTE_CODE[body[at]], powers)
+                head = np.r_[0, np.cumsum(size[r] + length - 1)][:-1]
+                start, which = spread(head, head + size[r] - 1)
+                names = np.stack([roll.raw(start, start + prefix), roll.raw(start + prefix, start + length)], 1)
+                owner = who[r][which]
+                pos = v[r, 1][which] + (start - head[which]).astype(np.uint64)
+                if far[g] or total[groups[e]] - total[groups[g]] > group_rows:  # one frequent anchor
+                    for s in in_pieces(len(pos)):
+                        values = np.stack([names[s, 0], names[s, 1], pos[s]], 1)
+                        yield rows_of(longer(values, parts), LONG, keys, ids, owner[s], values)
+                else:
+                    hit = np.flatnonzero(resolve(names, ids[owner]))
+                    yield rows_of(home(keys[owner[hit]], parts), REPEAT, keys, ids, owner[hit], pos[hit])
+                g = e
+
+    return blobs.repartitionById(parts, "part").mapInArrow(run, BLOBS)
+
+
 def longer(v: np.ndarray, parts: int) -> np.ndarray:
     """Partition by the full window instead of its prefix."""
     return (mix(v[:, 0] + mix(v[:, 1])) % np.uint64(parts)).astype(np.int32)
@@ -289,15 +389,16 @@ def cut_repeats(docs: DataFrame, unit: str, length: int, gram: int, prefix: int,
 
     Rows with a null id neither cover others nor lose anything.  Rows of one id never cover each other.
     """
-    parts = partitions(docs)
+    spark, parts = docs.sparkSession, partitions(docs)
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
-    known = keyed.where(F.col("doc_id") != NO_ID)
-    runs = cut(settle_runs(scan_runs(known, unit, length, gram, parts, frequent), parts))
-    lists = cut(per_document(runs, parts, {COVERED: "covered", OPEN: "open"}))
-    opened = keyed.join(lists.where(F.octet_length("open") > 0).select("key", "open").hint("shuffle_hash"), "key")
-    found = open_suffixes(opened.select("key", "doc_id", "text", "open"), unit, length, gram, prefix, parts, frequent)
-    found = compare(compare(found, parts, SUFFIX, resolve, group_rows), parts, LONG, resolve, group_rows)
-    starts = per_document(found, parts, {REPEAT: "starts"})
+    lists = cut(per_document(settle_runs(scan_runs(keyed.where(F.col("doc_id") != NO_ID), unit, length, gram, parts, frequent), parts), parts, {COVERED: "covered", OPEN: "open"}))
+    finished(spark)
+    opened = keyed.join(lists.where(F.octet_length("open") > 0).select("key", "open").hint("shuffle_hash"), "key").select("key", "doc_id", "text", "open")
+    if unit == "bytes":
+        found = compare_runs(open_runs(opened, length, gram, prefix, parts, frequent), length, prefix, parts, resolve, group_rows)
+    else:
+        found = compare(open_suffixes(opened, unit, length, gram, prefix, parts, frequent), parts, SUFFIX, resolve, group_rows)
+    starts = per_document(compare(found, parts, LONG, resolve, group_rows), parts, {REPEAT: "starts"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
