@@ -8,6 +8,7 @@ the hashes that one slice sends to one partition, so a shuffle costs little more
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -41,9 +42,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def finished(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of earlier phases now: it does so when the driver collects their handles."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete shuffle files of earlier phases now: it does so when the driver collects their handles.
+
+    The first round drops the handles held from Python, the second what hung on them.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -110,17 +110,32 @@ def in_pieces(n: int, step: int = 1 << 19) -> Iterator[slice]:
         yield slice(i, min(i + step, n))
 
 
+MERGED_ROWS = 256  # rows that are handed on as one
+
+
+def merged(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Rows of one kind and partition as one row: their blobs, one after another."""
+    one = lambda c: pa.array([joined(pa.concat_arrays([b.column(c) for b in rows]).fill_null(b""), np.uint8).tobytes()], pa.binary())
+    return pa.RecordBatch.from_arrays([*(rows[0].column(c).slice(0, 1) for c in range(2)), *map(one, range(2, 7))], names=rows[0].schema.names)
+
+
 def split_kinds(batches: Iterator[pa.RecordBatch], kinds: tuple[int, ...]):
-    """Batches of the wanted kinds, each kept for the end; other rows are handed on at once."""
+    """Batches of the wanted kinds, kept for the end; rows of other kinds are handed on, many as one."""
     mine: dict[int, list] = {k: [] for k in kinds}
-    rest = []
+    rest: dict[tuple[int, int], list] = {}
     for b in batches:
-        kind = b.column(1).to_numpy()
+        part, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
         for k in np.unique(kind).tolist():
-            part = b.filter(pa.array(kind == k))
-            (mine[k] if k in mine else rest).append(part)
-        while rest:
-            yield None, rest.pop()
+            if k in mine:
+                mine[k].append(b.filter(pa.array(kind == k)))
+                continue
+            for p in np.unique(part[kind == k]).tolist():
+                held = rest.setdefault((k, p), [])
+                held.append(b.filter(pa.array((kind == k) & (part == p))))
+                if sum(x.num_rows for x in held) >= MERGED_ROWS:
+                    yield None, merged(rest.pop((k, p)))
+    for held in rest.values():
+        yield None, merged(held)
     yield mine, None
 
 
