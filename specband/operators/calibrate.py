@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from specband.functions.columns import PIXEL, hash_order_key, in_polygon
-from specband.functions.scale import checked_broadcast, scalars
+from specband.functions.scale import scalars
 
 
 def spectral_cutoff(cubes: DataFrame, offset: float = 40.0) -> DataFrame:
@@ -14,33 +14,53 @@ def spectral_cutoff(cubes: DataFrame, offset: float = 40.0) -> DataFrame:
     return cubes.where((em >= ex + offset) & ((em < 2 * ex - offset) | (em > 2 * ex + offset)))
 
 
+def _per_scan(table: DataFrame) -> list[str]:
+    """Keys of an exposure or power table: by scan where the table tells scans apart."""
+    return [c for c in ("scan_id", "excitation") if c in table.columns]
+
+
+def _unique(table: DataFrame, column: str) -> DataFrame:
+    """One row per key; two rows of one key fail the job instead of multiplying cells."""
+    twice = F.raise_error(F.lit(f"{column} table has several rows for one key")).cast("double")
+    return table.groupBy(*_per_scan(table)).agg(F.when(F.count("*") > 1, twice).otherwise(F.max(F.col(column).cast("double"))).alias(column))
+
+
 def attach_exposure(cubes: DataFrame, exposure: DataFrame) -> DataFrame:
-    """Exposure per excitation; NULL where the metadata has none."""
-    return cubes.join(checked_broadcast(exposure.select("excitation", "exposure")), "excitation", "left")
+    """Exposure per excitation, or per scan and excitation if the table has ``scan_id``; NULL where the metadata has none."""
+    return cubes.join(_unique(exposure, "exposure"), _per_scan(exposure), "left")
 
 
 def _reference(table: DataFrame, column: str, ref: str | float) -> DataFrame:
-    if isinstance(ref, str):
-        return table.agg({"min": F.min, "max": F.max, "mean": F.avg}[ref](column).alias("ref"))
-    return table.agg(F.lit(float(ref)).alias("ref"), F.count("*").alias("n")).select("ref")
+    """``ref`` of the whole table, or one per scan if the table has ``scan_id``."""
+    value = {"min": F.min, "max": F.max, "mean": F.avg}[ref](column) if isinstance(ref, str) else F.max(F.lit(float(ref)))
+    return table.groupBy(*[c for c in ("scan_id",) if c in table.columns]).agg(value.alias("ref"))
+
+
+def _with_reference(cells: DataFrame, table: DataFrame, column: str, ref: str | float) -> DataFrame:
+    refs = _reference(table, column, ref)
+    return cells.join(refs, "scan_id", "left") if "scan_id" in refs.columns else cells.withColumn("ref", scalars(refs).getField("ref"))
+
 
+def normalize_exposure(cubes: DataFrame, exposure: DataFrame, ref: str | float = "max", excitations: DataFrame | None = None) -> DataFrame:
+    """value * ref / exposure; ``ref`` is taken over the excitations the cubes contain, per scan if the table tells scans apart.
 
-def normalize_exposure(cubes: DataFrame, exposure: DataFrame, ref: str | float = "max") -> DataFrame:
-    """value * ref / exposure; ``ref`` is taken over the excitations the cubes contain."""
-    used = exposure.join(cubes.select("excitation").distinct(), "excitation", "left_semi")
-    r = scalars(_reference(used, "exposure", ref)).getField("ref")
+    ``excitations`` (from the scan metadata) saves the pass over the cubes that finds them.
+    """
+    used = exposure
+    if isinstance(ref, str):  # a given number needs no look at the cubes
+        present = cubes.select(*_per_scan(exposure)).distinct() if excitations is None else excitations
+        used = exposure.join(present, _per_scan(exposure), "left_semi")
     return (
-        attach_exposure(cubes, exposure)
-        .withColumn("value", F.col("value") * F.when(F.col("exposure") > 0, r / F.col("exposure")).otherwise(1.0))
+        _with_reference(attach_exposure(cubes, exposure), used, "exposure", ref)
+        .withColumn("value", F.col("value") * F.when(F.col("exposure") > 0, F.col("ref") / F.col("exposure")).otherwise(1.0)).drop("ref")
     )
 
 
 def normalize_power(cubes: DataFrame, power: DataFrame, ref: str | float = "min") -> DataFrame:
     """value * ref / power; ``ref`` is taken over the power table; excitations without power stay as they are."""
-    r = scalars(_reference(power, "power", ref)).getField("ref")
     return (
-        cubes.join(checked_broadcast(power.select("excitation", "power")), "excitation", "left")
-        .withColumn("value", F.col("value") * F.coalesce(r / F.nullif(F.col("power"), F.lit(0.0)), F.lit(1.0)))
+        _with_reference(cubes.join(_unique(power, "power"), _per_scan(power), "left"), power, "power", ref)
+        .withColumn("value", F.col("value") * F.coalesce(F.col("ref") / F.nullif(F.col("power"), F.lit(0.0)), F.lit(1.0))).drop("ref")
     )
 
 
@@ -117,20 +137,20 @@ def mask_coverage(mask: DataFrame) -> DataFrame:
 def valid_pixels(cubes: DataFrame, rule: str = "all_excitations") -> DataFrame:
     """Pixels that count as measured.
 
-    ``all_excitations``: every excitation has at least one value (excitations per pixel are few, so the
-    two sets stay tiny and one shuffle is enough); ``first_band``: the first band of the first excitation
-    has a value; ``per_cell``: the non-NULL cells themselves.
+    ``all_excitations``: every excitation of the pixel's scan has at least one value there; ``first_band``: the scan's
+    first band of its first excitation has a value; ``per_cell``: the non-NULL cells themselves.
     """
     if rule == "per_cell":
         return cubes.where(F.col("value").isNotNull())
-    if rule == "all_excitations":
-        seen = F.size(F.collect_set(F.when(F.col("value").isNotNull(), F.col("excitation"))))
-        ok = seen == F.size(F.collect_set("excitation"))
-    elif rule == "first_band":
-        ok = F.min_by(F.col("value").isNotNull(), F.struct("excitation", "em_idx"))
-    else:
+    if rule not in ("all_excitations", "first_band"):
         raise ValueError(f"unknown rule {rule}")
-    return cubes.groupBy(*PIXEL).agg(ok.alias("__ok")).where("__ok").drop("__ok")
+    per_scan = cubes.groupBy("scan_id").agg(F.count_distinct("excitation").alias("__n"), F.min(F.struct("excitation", "em_idx")).alias("__first"))
+    measured = cubes.where(F.col("value").isNotNull())
+    if rule == "all_excitations":
+        seen = measured.groupBy(*PIXEL).agg(F.size(F.collect_set("excitation")).alias("__seen"))  # excitations of a pixel are few
+        return seen.join(per_scan, "scan_id").where(F.col("__seen") == F.col("__n")).select(*PIXEL)
+    at_first = measured.join(per_scan, "scan_id").where(F.struct("excitation", "em_idx") == F.col("__first"))
+    return at_first.select(*PIXEL).distinct()
 
 
 def fill_null(cubes: DataFrame, value: float = 0.0) -> DataFrame:
@@ -155,7 +175,7 @@ def downscale(cubes: DataFrame, factor: int, shape: tuple[int, int] | None = Non
     if shape:
         sized = cubes.withColumns({"h": F.lit(shape[0]), "w": F.lit(shape[1])})
     else:
-        sized = cubes.join(checked_broadcast(scan_shapes(cubes)), "scan_id")
+        sized = cubes.join(scan_shapes(cubes), "scan_id")
     whole = lambda c, n: F.col(c) < F.floor(F.col(n) / factor) * factor
     kept = sized.where(whole("y", "h") & whole("x", "w"))
     return kept.groupBy(
@@ -177,17 +197,21 @@ def full_grid(spark: SparkSession, height: int, width: int) -> DataFrame:
 
 
 def downscale_mask(mask: DataFrame, factor: int, shape: tuple[int, int] | None = None) -> DataFrame:
-    """Nearest-neighbour reduction of a mask: output cell -> nearest source pixel on the stretched index."""
-    h, w = shape or image_shape(mask)
-    oh, ow = round(h / factor), round(w / factor)
+    """Nearest-neighbour reduction of a mask: output cell -> nearest source pixel on the stretched index.
+
+    Without ``shape`` every scan has its own.
+    """
+    shapes = mask.select("scan_id").distinct().withColumns({"h": F.lit(shape[0]), "w": F.lit(shape[1])}) if shape else scan_shapes(mask)
+    small = shapes.select("scan_id", F.col("h").alias("sh"), F.col("w").alias("sw"), F.bround(F.col("h") / factor).cast("int").alias("h"), F.bround(F.col("w") / factor).cast("int").alias("w"))
+    grid = scan_grid(small.select("scan_id", "h", "w").where("h > 0 AND w > 0")).join(small, "scan_id")
 
-    def source(c: str, n: int, m: int):
-        return F.floor(F.col(c) * ((n - 1) / (m - 1) if m > 1 else 0.0) + 0.5).cast("int")
+    def source(c: str, n: str, m: str):
+        step = F.when(F.col(m) > 1, (F.col(n) - 1) / F.nullif(F.col(m) - 1, F.lit(0))).otherwise(0.0)
+        return F.floor(F.col(c) * step + 0.5).cast("int")
 
-    grid = full_grid(mask.sparkSession, oh, ow).select(
-        "y", "x", source("y", h, oh).alias("sy"), source("x", w, ow).alias("sx"))
+    grid = grid.select("scan_id", "y", "x", source("y", "sh", "h").alias("sy"), source("x", "sw", "w").alias("sx"))
     src = mask.select("scan_id", F.col("y").alias("sy"), F.col("x").alias("sx"), "keep")
-    return grid.join(src, ["sy", "sx"]).select("scan_id", "y", "x", "keep")
+    return grid.join(src, ["scan_id", "sy", "sx"]).select("scan_id", "y", "x", "keep")
 
 
 def nearest_band(bands: DataFrame, target: float) -> DataFrame:

@@ -292,11 +292,11 @@ def kmeans(pixels: DataFrame, k: int = 5, n_init: int = 10, seed: int = 42, max_
     return out, best
 
 
-def kmeans_large(pixels: DataFrame, k: int, sample: int = 10_000, n_init: int = 10, seed: int = 42, use_pca: bool = True,
+def kmeans_large(pixels: DataFrame, k: int, sample: int | None = None, n_init: int = 10, seed: int = 42, use_pca: bool = True,
                  key: str = "pixel_id") -> DataFrame:
-    """Optional reduction to 50 axes, scaling on all rows, fit on a reproducible sample, predict everywhere.
+    """Optional reduction to 50 axes, scaling on all rows, fit on all rows (or, on request, on a reproducible sample), predict everywhere.
 
-    Fewer clusters than asked for lead to one more fit on all rows with another seed.
+    Fewer clusters than asked for lead to one more search over all rows with other seeds.
     """
     feats = _features(pixels)
     width = len(pixels.select("spectrum").first()[0])
@@ -305,16 +305,18 @@ def kmeans_large(pixels: DataFrame, k: int, sample: int = 10_000, n_init: int =
         feats = PCA(k=min(50, width - 1), inputCol=col, outputCol="__p").fit(feats).transform(feats)
         col = "__p"
     scaled = StandardScaler(inputCol=col, outputCol="__f", withMean=True, withStd=True).fit(feats).transform(feats).persist()
-    chosen = scaled.orderBy(hash_order_key(key, seed), key).limit(sample)
-    model, cost = None, None
-    for i in range(n_init):
-        m = KMeans(k=k, seed=seed + i, featuresCol="__f", predictionCol="cluster").fit(chosen)
-        if cost is None or m.summary.trainingCost < cost:
-            model, cost = m, m.summary.trainingCost
-    out = model.transform(scaled)
+    chosen = scaled if sample is None else cut(scaled.orderBy(hash_order_key(key, seed), key).limit(sample))
+
+    def best(rows: DataFrame, starts: int, first: int, rounds: int):
+        fits = (KMeans(k=k, seed=first + i, maxIter=rounds, featuresCol="__f", predictionCol="cluster").fit(rows) for i in range(starts))
+        return min(fits, key=lambda m: m.summary.trainingCost)
+
+    out = best(chosen, n_init, seed, 300).transform(scaled)
     if out.select("cluster").distinct().count() < k:
-        out = KMeans(k=k, seed=seed + 1, maxIter=500, featuresCol="__f", predictionCol="cluster").fit(scaled).transform(scaled)
-    return out.select(*pixels.columns, "cluster")
+        out = best(scaled, 2 * n_init, seed + 1, 500).transform(scaled)
+    out = cut(out.select(*pixels.columns, "cluster"))
+    scaled.unpersist()
+    return out
 
 
 def kmeans_k_sweep(pixels: DataFrame, ks: list[int], truth_col: str | None = None, n_init: int = 3, seed: int = 42) -> DataFrame:
@@ -381,7 +383,7 @@ def cluster_sizes(pred: DataFrame) -> DataFrame:
 
 def cluster_pattern_groups(objres: DataFrame, band_counts: list[int], k: int = 4, seed: int = 42) -> DataFrame:
     """Objects grouped by their accuracy curve: pivot (missing 0), scale, K-means, join back."""
-    wide = objres.groupBy("object_id").pivot("n_bands", band_counts).agg(F.first("accuracy")).na.fill(0.0)
+    wide = objres.groupBy("object_id").pivot("n_bands", band_counts).agg(F.max("accuracy")).na.fill(0.0)
     vec = wide.select("object_id", array_to_vector(F.array(*[F.col(f"`{n}`") for n in band_counts])).alias("__v"))
     scaled = StandardScaler(inputCol="__v", outputCol="__f", withMean=True).fit(vec).transform(vec)
     groups = KMeans(k=k, seed=seed, featuresCol="__f", predictionCol="pattern").fit(scaled).transform(scaled).select("object_id", "pattern")

@@ -147,9 +147,10 @@ def objects_per_class(summary: DataFrame) -> DataFrame:
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))))  # one row per class
 
 
-def object_pixels(objects: DataFrame, layer: DataFrame, object_id: int) -> DataFrame:
-    """Values of any pixel layer inside one object."""
-    return layer.join(objects.where(F.col("object_id") == object_id), PIXEL)
+def object_pixels(objects: DataFrame, layer: DataFrame, object_id: int, scan_id: str | None = None) -> DataFrame:
+    """Values of any pixel layer inside the object of that number, of one scan or of every scan."""
+    mine = objects.where(F.col("object_id") == object_id)
+    return layer.join(mine if scan_id is None else mine.where(F.col("scan_id") == scan_id), PIXEL)
 
 
 def objects_by_class(summary: DataFrame, label: int) -> DataFrame:
@@ -223,8 +224,9 @@ def object_global_summary(metrics: DataFrame) -> DataFrame:
     return long.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max")).join(q, "metric")
 
 
-def object_confusion(oc: DataFrame, object_id: int) -> DataFrame:
-    return confusion(oc.where(F.col("object_id") == object_id).groupBy("class", "cluster").agg(F.sum("n").alias("n")))
+def object_confusion(oc: DataFrame, object_id: int, scan_id: str | None = None) -> DataFrame:
+    mine = oc.where(F.col("object_id") == object_id)
+    return confusion((mine if scan_id is None else mine.where(F.col("scan_id") == scan_id)).groupBy("class", "cluster").agg(F.sum("n").alias("n")))
 
 
 def object_metric_map(objects: DataFrame, metrics: DataFrame, metric: str = "accuracy") -> DataFrame:
@@ -232,4 +234,6 @@ def object_metric_map(objects: DataFrame, metrics: DataFrame, metric: str = "acc
 
 
 def multi_config_object_compare(metrics: DataFrame, configs: list[str], metric: str = "accuracy") -> DataFrame:
-    return metrics.groupBy("object_id").pivot("config_name", configs).agg(F.first(metric)).orderBy("object_id")
+    """One row per object (of its scan, where the table has scans), one column per configuration."""
+    by = [c for c in OBJ if c in metrics.columns]
+    return metrics.groupBy(*by).pivot("config_name", configs).agg(F.max(metric)).orderBy(*by)

@@ -18,9 +18,9 @@ from specband.operators.reshape import cluster_map
 from specband.operators.stats import spectra_matrix
 
 
-def silhouette(pixels: DataFrame, sample: int | None = 10_000, key: str = "pixel_id", seed: int = 42, approx: bool = False,
+def silhouette(pixels: DataFrame, sample: int | None = None, key: str = "pixel_id", seed: int = 42, approx: bool = False,
                block_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Mean silhouette with Euclidean distances on a reproducible sample (None: all rows).
+    """Mean silhouette with Euclidean distances over all rows, or on request over a reproducible sample.
 
     Every row adds up its distances to each cluster while the reference rows pass by in blocks of bounded
     size.  ``approx`` uses squared distances, which need the cluster sums only.

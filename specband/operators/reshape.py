@@ -25,13 +25,13 @@ def wide_name(emission: Column, excitation: Column) -> Column:
 def cube_to_wide(cubes: DataFrame, names: list[str], only_valid: str | None = None) -> DataFrame:
     """One row per pixel, one column per ``emission-excitation`` name; absent names stay NULL.
 
-    The names are given, so no extra job looks for pivot values.
+    The names are given, so no extra job looks for pivot values; of several values of a cell the largest stays.
     """
     if only_valid:
         cubes = cubes.join(valid_pixels(cubes, only_valid), PIXEL, "left_semi")
     return (
         cubes.withColumn("__band", wide_name(F.col("emission"), F.col("excitation")))
-        .groupBy(*PIXEL).pivot("__band", names).agg(F.first("value"))
+        .groupBy(*PIXEL).pivot("__band", names).agg(F.max("value"))
     )
 
 
@@ -40,17 +40,20 @@ def cube_to_spectrum(cubes: DataFrame, bands: DataFrame, n_bands: int, rule: str
     cells = cubes.join(checked_broadcast(bands.select("excitation", "em_idx", "band_id")), ["excitation", "em_idx"])
     agg = [F.array_sort(F.collect_list(F.struct("band_id", F.coalesce("value", F.lit(0.0)).alias("v")))).alias("__s")]
     if rule == "all_excitations":
-        seen = F.size(F.collect_set(F.when(F.col("value").isNotNull(), F.col("excitation"))))
-        agg.append((seen == F.size(F.collect_set("excitation"))).alias("__ok"))
+        agg.append(F.size(F.collect_set(F.when(F.col("value").isNotNull(), F.col("excitation")))).alias("__seen"))
     elif rule == "first_band":
-        agg.append(F.min_by(F.col("value").isNotNull(), "band_id").alias("__ok"))
+        agg.append(F.max(F.when(F.col("value").isNotNull(), F.col("band_id") == 0)).alias("__ok"))
     else:
         agg.append(F.lit(True).alias("__ok"))
     filled = let(F.map_from_entries("__s"), lambda by_id: F.transform(
         F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda b: F.coalesce(by_id[b], F.lit(0.0))))
     dense = F.transform("__s", lambda e: e["v"])
+    grouped = cells.groupBy(*PIXEL).agg(*agg)
+    if rule == "all_excitations":  # of the scan, not of the pixel
+        every = cells.groupBy("scan_id").agg(F.count_distinct("excitation").alias("__n"))
+        grouped = grouped.join(every, "scan_id").withColumn("__ok", F.col("__seen") == F.col("__n"))
     return (
-        cells.groupBy(*PIXEL).agg(*agg).where("__ok")
+        grouped.where("__ok")
         .select(*PIXEL, F.when(F.size("__s") == n_bands, dense).otherwise(filled).alias("spectrum"))
     )
 
@@ -77,28 +80,30 @@ def tile_starts(length: int, size: int, overlap: int) -> list[int]:
     return [max(0, length - size) if i * stride + size >= length else i * stride for i in range(n)]
 
 
-def _axis_tiles(c: str, length: int, size: int, overlap: int) -> Column:
+def _axis_tiles(c: str, length: Column, size: int, overlap: int) -> Column:
     """Indexes of the tiles that contain a coordinate, by arithmetic (no join with a tile table)."""
     stride = size - overlap
-    starts = tile_starts(length, size, overlap)
-    last = len(starts) - 1
+    whole = F.greatest(F.lit(1), F.floor((length - overlap) / stride)).cast("int")
+    last = whole - F.when(whole * stride + overlap < length, 0).otherwise(1)
+    start = F.when(last * stride + size >= length, F.greatest(F.lit(0), length - size)).otherwise(last * stride)
     lo = F.greatest(F.lit(0), F.ceil((F.col(c) - size + 1) / stride))
-    hi = F.least(F.lit(last - 1), F.floor(F.col(c) / stride))
+    hi = F.least(last - 1, F.floor(F.col(c) / stride))
     inner = F.when(lo <= hi, F.sequence(lo.cast("int"), hi.cast("int"))).otherwise(F.array().cast("array<int>"))
-    at_end = F.when(F.col(c) >= starts[last], F.array(F.lit(last))).otherwise(F.array().cast("array<int>"))
+    at_end = F.when(F.col(c) >= start, F.array(last)).otherwise(F.array().cast("array<int>"))
     return F.concat(inner, at_end)
 
 
-def tile(cells: DataFrame, shape: tuple[int, int], size: int = 128, overlap: int = 16) -> DataFrame:
-    """Every row once per tile that covers it, with tile numbers and the tile's start."""
-    h, w = shape
+def tile(cells: DataFrame, shape: tuple[int, int] | None = None, size: int = 128, overlap: int = 16) -> DataFrame:
+    """Every row once per tile that covers it, with tile numbers and the tile's start; without ``shape`` every scan has its own."""
     stride = size - overlap
-    out = cells.withColumn("tile_y", F.explode(_axis_tiles("y", h, size, overlap)))
-    out = out.withColumn("tile_x", F.explode(_axis_tiles("x", w, size, overlap)))
-    for axis, n in (("y", h), ("x", w)):
+    sized = cells.withColumns({"__h": F.lit(shape[0]), "__w": F.lit(shape[1])}) if shape else cells.join(scan_shapes(cells).withColumnsRenamed({"h": "__h", "w": "__w"}), "scan_id")
+    out = sized
+    for axis, n in (("y", F.col("__h")), ("x", F.col("__w"))):
+        out = out.withColumn(f"tile_{axis}", F.explode(_axis_tiles(axis, n, size, overlap)))
+    for axis, n in (("y", F.col("__h")), ("x", F.col("__w"))):
         t = F.col(f"tile_{axis}") * stride
-        out = out.withColumn(f"{axis}_start", F.when(t + size >= n, F.lit(max(0, n - size))).otherwise(t))
-    return out
+        out = out.withColumn(f"{axis}_start", F.when(t + size >= n, F.greatest(F.lit(0), n - size)).otherwise(t))
+    return out.drop("__h", "__w")
 
 
 def merge_tiles(tiles: DataFrame, keys: list[str] = ("excitation", "em_idx")) -> DataFrame:
@@ -114,22 +119,27 @@ def merge_tiles_running(tiles: DataFrame, keys: list[str] = ("excitation", "em_i
     return tiles.groupBy(*PIXEL, *keys).agg(seq.alias("__s")).select(*PIXEL, *keys, merged.alias("value"))
 
 
-def patches(mask: DataFrame, shape: tuple[int, int], size: int = 32, stride: int = 16, max_n: int = 50,
+def patches(mask: DataFrame, shape: tuple[int, int] | None = None, size: int = 32, stride: int = 16, max_n: int | None = None,
             min_valid: float = 0.5) -> DataFrame:
-    """First ``max_n`` patches per scan in raster order that lie inside the image and are more than ``min_valid`` kept."""
-    h, w = shape
+    """Patches in raster order that lie inside the image and are more than ``min_valid`` kept, on request only ``max_n`` per scan.
 
-    def starts(c: str, n: int) -> Column:
+    Without ``shape`` every scan has its own.
+    """
+    sized = mask.withColumns({"__h": F.lit(shape[0]), "__w": F.lit(shape[1])}) if shape else mask.join(scan_shapes(mask).withColumnsRenamed({"h": "__h", "w": "__w"}), "scan_id")
+
+    def starts(c: str, n: str) -> Column:
         lo = F.greatest(F.lit(0), F.ceil((F.col(c) - size + 1) / stride)).cast("int")
-        hi = F.least(F.lit((n - size) // stride), F.floor(F.col(c) / stride)).cast("int")
+        hi = F.least(F.floor((F.col(n) - size) / stride), F.floor(F.col(c) / stride)).cast("int")
         return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
 
-    cells = mask.withColumn("py", F.explode(starts("y", h))).withColumn("px", F.explode(starts("x", w)))
+    cells = sized.withColumn("py", F.explode(starts("y", "__h"))).withColumn("px", F.explode(starts("x", "__w")))
     share = F.sum(F.col("keep").cast("bigint")) / float(size * size)
     valid = (
         cells.groupBy("scan_id", (F.col("py") * stride).alias("y0"), (F.col("px") * stride).alias("x0"))
         .agg(share.alias("valid_share")).where(F.col("valid_share") > min_valid)
     )
+    if max_n is None:
+        return valid
     w = Window.partitionBy("scan_id").orderBy("y0", "x0")  # top-n per scan, limited before the shuffle
     return valid.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= max_n).drop("__r")
 
@@ -212,8 +222,8 @@ def false_color(cube: DataFrame, n_bands: int, percentile: float = 99.0) -> Data
         return p.select("scan_id", "y", "x", *[F.col("value").alias(c) for c in "rgb"])
     idx = {c: int(n_bands * s) for c, s in zip("rgb", (0.2, 0.5, 0.8))}
     picked = cube.where(F.col("em_idx").isin(list(idx.values())))
-    limits = quantiles(picked, "value", {"p": percentile / 100}, ["em_idx"])
-    scaled = picked.join(checked_broadcast(limits), "em_idx").withColumn("value", clip(F.col("value") / F.nullif(F.col("p"), F.lit(0.0))))
+    limits = quantiles(picked, "value", {"p": percentile / 100}, ["scan_id", "em_idx"])
+    scaled = picked.join(limits, ["scan_id", "em_idx"]).withColumn("value", clip(F.col("value") / F.nullif(F.col("p"), F.lit(0.0))))
     return scaled.groupBy(*PIXEL).agg(*[F.max(F.when(F.col("em_idx") == i, F.col("value"))).alias(c) for c, i in idx.items()])
 
 
@@ -221,8 +231,8 @@ def projection(cube: DataFrame, how: str = "max", percentile: float = 99.0) -> D
     """Maximum or mean over a pixel's bands, divided by its percentile over the image and clipped."""
     fn = {"max": F.max, "mean": F.avg}[how]
     flat = cube.groupBy(*PIXEL).agg(fn("value").alias("value"))
-    p = scalars(quantiles(flat, "value", {"p": percentile / 100})).getField("p")
-    return flat.withColumn("value", clip(F.col("value") / F.nullif(p, F.lit(0.0))))
+    limits = quantiles(flat, "value", {"p": percentile / 100}, ["scan_id"])
+    return flat.join(limits, "scan_id", "left").withColumn("value", clip(F.col("value") / F.nullif(F.col("p"), F.lit(0.0)))).drop("p")
 
 
 def rgb_by_wavelength(cubes: DataFrame, mask: DataFrame | None = None, targets: tuple[float, float, float] = (650.0, 550.0, 450.0),
@@ -237,28 +247,27 @@ def rgb_by_wavelength(cubes: DataFrame, mask: DataFrame | None = None, targets:
     if mask is not None:
         cells, inside = cells.join(mask, PIXEL, "left"), F.coalesce(F.col("keep"), F.lit(False))
     shown = F.when(inside, F.col("value")).otherwise(F.col("value") * 0)  # masked pixels are black
+    values = cells.withColumn("value", shown)
     if normalization == "global":
-        lim = scalars(cells.where(inside).agg(F.min("value").alias("lo"), F.max("value").alias("hi")))
-        lo, hi = lim.getField("lo"), lim.getField("hi")
+        lim = cells.where(inside).groupBy("scan_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    elif normalization == "local":
+        lim = values.groupBy("scan_id", "excitation").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    elif normalization == "percentile":
+        lim = quantiles(values, "value", {"lo": 0.01, "hi": 0.99}, ["scan_id", "excitation"])
     else:
-        values = cells.withColumn("value", shown)
-        if normalization == "local":
-            lim = values.groupBy("excitation").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-        elif normalization == "percentile":
-            lim = quantiles(values, "value", {"lo": 0.01, "hi": 0.99}, ["excitation"])
-        else:
-            raise ValueError(f"unknown normalization {normalization}")
-        cells = cells.join(checked_broadcast(lim), "excitation")
-        lo, hi = F.col("lo"), F.col("hi")
+        raise ValueError(f"unknown normalization {normalization}")
+    cells = cells.join(lim, [c for c in ("scan_id", "excitation") if c in lim.columns], "left")
+    lo, hi = F.col("lo"), F.col("hi")
     scaled = F.coalesce(clip((shown - lo) / (hi - lo + 1e-8)), F.lit(0.0))
     return cells.groupBy(*PIXEL, "excitation").agg(
         *[F.coalesce(F.max(F.when(F.col("channel") == c, scaled)), F.lit(0.0)).alias(c) for c in "rgb"])
 
 
 def rgb_enhance(channels: DataFrame, brightness: float = 2.5, gamma: float | None = None) -> DataFrame:
-    """Long ``channel, value``: stretch p2..p98 of the positive values, brighten, clip, optional gamma."""
-    lim = quantiles(channels.where(F.col("value") > 0), "value", {"lo": 0.02, "hi": 0.98}, ["channel"])
-    out = channels.join(checked_broadcast(lim), "channel", "left")
+    """Long ``channel, value``: stretch p2..p98 of an image's positive values, brighten, clip, optional gamma."""
+    by = [c for c in ("scan_id", "channel") if c in channels.columns]
+    lim = quantiles(channels.where(F.col("value") > 0), "value", {"lo": 0.02, "hi": 0.98}, by)
+    out = channels.join(lim, by, "left")
     lo, hi = F.coalesce("lo", F.lit(0.0)), F.coalesce("hi", F.lit(1.0))
     v = clip(clip((F.col("value") - lo) / (hi - lo + 1e-10)) * brightness)
     return out.withColumn("value", F.pow(v, F.lit(gamma)) if gamma else v).drop("lo", "hi")

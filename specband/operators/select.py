@@ -87,26 +87,27 @@ def _loadings(pixels: DataFrame, k: int, standardize: bool = True) -> tuple[np.n
 
 
 def loadings_sequential(loadings: np.ndarray, variances: np.ndarray, n: int) -> list[int]:
-    """Component by component: its strongest band, then its others by loading until n are found."""
-    chosen: dict[int, None] = {}
-    for row in loadings:
-        for b in np.argsort(row)[::-1]:
-            if len(chosen) < n:
-                chosen.setdefault(int(b))
-    for b in np.argsort(variances)[::-1]:
-        if len(chosen) < n:
-            chosen.setdefault(int(b))
-    return list(chosen)[:n]
+    """The n bands that enter first when components list their bands one after another, strongest loading first.
+
+    A band enters at its best place over all components; bands no component lists follow by variance.
+    """
+    k, width = loadings.shape
+    place = lambda v: width - 1 - v.argsort(-1).argsort(-1)  # 0 for the largest
+    turns = np.vstack([place(loadings), place(variances)[None, :]]) + width * np.arange(k + 1)[:, None]
+    return turns.min(0).argsort()[:n].tolist()
 
 
 def loadings_top5(loadings: np.ndarray, n: int) -> list[int]:
-    """Union of the strongest band and, while short of n, the five strongest of each component; cut by band index."""
-    chosen: set[int] = set()
-    for row in loadings:
-        chosen.add(int(np.argmax(row)))
-        if len(chosen) < n:
-            chosen.update(int(b) for b in np.argsort(row)[-5:])
-    return sorted(chosen)[:n]
+    """Bands that lead a component, with the five strongest of every component reached before n bands are known; the first n by index."""
+    k, width = loadings.shape
+    among = loadings.argsort(1).argsort(1) >= width - 5
+    leads = np.zeros_like(among)
+    leads[np.arange(k), loadings.argmax(1)] = True
+    since = lambda m: np.where(m.any(0), m.argmax(0), k)  # first component that names the band
+    five, lead = since(among), since(leads)
+    known = ((five[None, :] < np.arange(k)[:, None]) | (lead[None, :] <= np.arange(k)[:, None])).sum(1)
+    full = int(np.argmax(known >= n)) if (known >= n).any() else k
+    return np.flatnonzero((five < full) | (lead < k))[:n].tolist()
 
 
 def select_pca_loadings_seq(pixels: DataFrame, n: int) -> DataFrame:

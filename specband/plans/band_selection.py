@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from specband.functions.columns import PIXEL
-from specband.functions.scale import MAX_BANDS, cut, require_bounded
+from specband.functions.scale import MAX_BANDS, cut, rank_rows, require_bounded
 from specband.operators import calibrate as cal, compare as cmp
 from specband.operators.classify import knn_classify
 from specband.operators.reshape import cube_to_spectrum
@@ -25,15 +25,21 @@ def varied_bands(cells: DataFrame, n: int) -> DataFrame:
 
 
 def spectra_on_bands(cells: DataFrame, bands: DataFrame, n: int) -> DataFrame:
-    """Pixels with one array over the chosen bands; missing cells are 0."""
-    return cube_to_spectrum(cells, bands, n, rule=None).withColumn("pixel_id", F.col("y").cast("bigint") * (1 << 31) + F.col("x"))
+    """Pixels with one array over the chosen bands; missing cells are 0.
+
+    ``pixel_id`` numbers (scan, y, x) in that order: scans by name, then coordinates of up to 21 bits each.
+    """
+    scans = rank_rows(cells.select("scan_id").distinct(), ["scan_id"], "__s")
+    px = cube_to_spectrum(cells, bands, n, rule=None).join(scans, "scan_id")
+    number = F.col("__s").cast("bigint") * (1 << 42) + F.col("y").cast("bigint") * (1 << 21) + F.col("x")
+    return px.withColumn("pixel_id", number).drop("__s")
 
 
 def classify_and_score(cells: DataFrame, bands: DataFrame, n: int, truth: DataFrame, rois: DataFrame, k: int = 5) -> DataFrame:
     """kNN trained on the labelled pixels inside the regions; purity and accuracy over all labelled pixels."""
     # written once: scaling, training rows and the vote all read these few columns instead of the cells
     px = cut(spectra_on_bands(cells, bands, n).join(truth.select(*PIXEL, "class"), PIXEL))
-    train = cmp.rect_join(px.where(F.col("class") >= 0), rois).dropDuplicates(["pixel_id"])
+    train = cmp.rect_join(px.where(F.col("class") >= 0), rois).dropDuplicates(PIXEL)
     pred = knn_classify(px, train, k)
     ct = pred.where(F.col("class") >= 0).groupBy("class", "cluster").agg(F.count("*").alias("n"))
     ok = F.sum(F.when(F.col("class") == F.col("cluster"), F.col("n")).otherwise(0))

@@ -173,7 +173,7 @@ def optimal_and_efficient_bands(joined: DataFrame, within: float = 0.99, total:
 
 
 def object_accuracy_pivot(joined: DataFrame, band_counts: list[int]) -> DataFrame:
-    wide = joined.groupBy("object_id", "baseline_accuracy").pivot("n_bands", band_counts).agg(F.first("accuracy"))
+    wide = joined.groupBy("object_id", "baseline_accuracy").pivot("n_bands", band_counts).agg(F.max("accuracy"))
     return wide.orderBy(F.desc("baseline_accuracy"), "object_id").select(
         "object_id", "baseline_accuracy", *[F.col(f"`{n}`").alias(f"bands_{n}") for n in band_counts])
 
@@ -360,19 +360,33 @@ def confidence_interval(df: DataFrame, metric: str, z: float = 1.96) -> DataFram
 
 # -- sweeps ----------------------------------------------------------------------------------------
 
+def finished_configs(spark, path: str) -> set[str]:
+    """Names whose result was committed without an error; a failed or half-written one runs again."""
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = fs.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/config=*/_SUCCESS"))
+    if not found:
+        return set()
+    done = spark.read.option("mergeSchema", True).option("basePath", path).parquet(*[str(f.getPath().getParent()) for f in found])
+    return {r[0] for r in done.where(F.col("error").isNull()).select("config_name").distinct().collect()}  # one name per configuration
+
+
 def config_sweep_runner(spark, configs: Iterable[dict], run: Callable[[dict], DataFrame], path: str) -> DataFrame:
     """Run ``run(config)`` (one result row) per configuration; each outcome is appended to ``path``.
 
     A failing configuration becomes a row with its error text; already written names are skipped, so a
     restarted sweep continues where it stopped.
     """
+    done = finished_configs(spark, path)
     for cfg in configs:
+        if cfg["name"] in done:
+            continue
+        out = f"{path}/config={cfg['name']}"
         try:
             row = run(cfg).withColumn("error", F.lit(None).cast("string"))
-            row.withColumn("config_name", F.lit(cfg["name"])).write.mode("append").parquet(f"{path}/config={cfg['name']}")
+            row.withColumn("config_name", F.lit(cfg["name"])).write.mode("overwrite").parquet(out)
         except Exception as exc:  # noqa: BLE001 - the sweep must survive any failing configuration
-            failed = spark.createDataFrame([(cfg["name"], f"{type(exc).__name__}: {exc}"[:500])], "config_name STRING, error STRING")
-            failed.write.mode("append").parquet(f"{path}/config={cfg['name']}")
+            failed = spark.createDataFrame([(cfg["name"], f"{type(exc).__name__}: {exc}")], "config_name STRING, error STRING")
+            failed.write.mode("overwrite").parquet(out)
     return spark.read.option("mergeSchema", True).option("basePath", path).parquet(f"{path}/config=*").drop("config")
 
 

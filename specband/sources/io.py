@@ -120,13 +120,13 @@ def write_table(df: DataFrame, path: str, fmt: str | None = None, partition_by:
 
 
 def layers(cubes: DataFrame, selection: DataFrame, n: int) -> DataFrame:
-    """The n best bands as images scaled from their own minimum..maximum to 0..65535."""
+    """The n best bands as images, each scan's scaled from its own minimum..maximum to 0..65535."""
     best = checked_broadcast(selection.where(F.col("rank") <= n).select("rank", "excitation", "em_idx"))
     cells = cubes.join(best, ["excitation", "em_idx"]).withColumn("value", F.coalesce("value", F.lit(0.0)))
-    lim = cells.groupBy("rank").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    lim = cells.groupBy("scan_id", "rank").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     span = F.col("hi") - F.col("lo")
     scaled = F.when(span > 0, F.floor((F.col("value") - F.col("lo")) / span * 65535)).otherwise(0)
-    return cells.join(checked_broadcast(lim), "rank").select(
+    return cells.join(lim, ["scan_id", "rank"]).select(
         *PIXEL, "rank", "excitation", "em_idx", scaled.cast("int").alias("layer"))
 
 

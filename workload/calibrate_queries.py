@@ -111,12 +111,14 @@ def _(t):
     return cal.mask_coverage(t.mask).withColumn("pct", F.round("pct", 6))
 
 
-@case("b13_valid_pixels_all", """SELECT y, x FROM (SELECT y, x, excitation, count(value) AS n FROM cells GROUP BY y, x, excitation) q GROUP BY y, x HAVING min(n) > 0""")
+@case("b13_valid_pixels_all", """SELECT y, x FROM cells WHERE value IS NOT NULL GROUP BY y, x
+    HAVING count(DISTINCT excitation) = (SELECT count(DISTINCT excitation) FROM cells)""")
 def _(t):
     return cal.valid_pixels(t.cells).select("y", "x")
 
 
-@case("b13_valid_pixels_first", """SELECT y, x FROM (SELECT y, x, value, row_number() OVER (PARTITION BY y, x ORDER BY excitation, em_idx) AS rn FROM cells) q WHERE rn = 1 AND value IS NOT NULL""")
+@case("b13_valid_pixels_first", """SELECT DISTINCT y, x FROM cells c JOIN (SELECT excitation, em_idx FROM cells ORDER BY excitation, em_idx LIMIT 1) f
+    ON c.excitation = f.excitation AND c.em_idx = f.em_idx WHERE value IS NOT NULL""")
 def _(t):
     return cal.valid_pixels(t.cells, "first_band").select("y", "x")
 

@@ -17,7 +17,7 @@ def _pivot(src):
     return f"SELECT y, x, {cols} FROM {src} GROUP BY y, x"
 
 
-VALID = "(SELECT y, x FROM (SELECT y, x, excitation, count(value) AS n FROM cells GROUP BY y, x, excitation) q GROUP BY y, x HAVING min(n) > 0)"
+VALID = "(SELECT y, x FROM cells WHERE value IS NOT NULL GROUP BY y, x HAVING count(DISTINCT excitation) = (SELECT count(DISTINCT excitation) FROM cells))"
 
 
 @case("c01_cube_to_wide", _pivot("cubes"))
