@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, StandardScaler
+from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
@@ -15,7 +15,8 @@ from pyspark.sql.window import Window
 from specband.functions.columns import PIXEL, hash_order_key, let
 from specband.functions.scale import MAX_BROADCAST_ROWS, bounded_pandas, checked_broadcast, cut, ordinal, scalars
 from specband.operators.compare import rect_join, roi_mapping
-from specband.operators.stats import band_moments, spectra_matrix
+from specband.operators.kmeans import Run, best_of, label as nearest_label, lockstep
+from specband.operators.stats import band_moments, moments, spectra_matrix
 
 
 # -- training rows ---------------------------------------------------------------------------------
@@ -275,68 +276,79 @@ def union_spectra_files(spark, path: str, schema: str) -> DataFrame:
 
 # -- K-means ---------------------------------------------------------------------------------------
 
-def _features(pixels: DataFrame) -> DataFrame:
-    return pixels.withColumn("__v", array_to_vector("spectrum"))
+def kmeans(pixels: DataFrame, k: int = 5, n_init: int = 10, seed: int = 42, max_iter: int = 300, tol: float = 1e-4) -> tuple[DataFrame, Run]:
+    """Best of ``n_init`` seeded starts by cost, all fitted in the same passes: pixels with ``cluster``, and the run."""
+    best = _fits(pixels, [k], n_init, seed, max_iter, tol)[k]
+    return nearest_label(pixels, best, _as_is), best
 
 
-def kmeans(pixels: DataFrame, k: int = 5, n_init: int = 10, seed: int = 42, max_iter: int = 300) -> tuple[DataFrame, object]:
-    """Best of ``n_init`` seeded fits by training cost: pixels with ``cluster`` and the model."""
-    feats = _features(pixels).persist()
-    best = None
-    for i in range(n_init):
-        model = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="__v", predictionCol="cluster").fit(feats)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    out = best.transform(_features(pixels)).drop("__v")
-    feats.unpersist()
-    return out, best
+def _as_is(x: np.ndarray) -> np.ndarray:
+    return x
+
+
+def _fits(pixels: DataFrame, ks: list[int], n_init: int, seed: int, max_iter: int, tol: float = 1e-4, shape=_as_is) -> dict[int, Run]:
+    """The best run per k; runs of all k advance together over the cached pixels."""
+    data = pixels.select("spectrum").persist()
+    try:
+        width = len(data.first()[0])
+        runs = lockstep(data, [Run(np.arange(width), k, seed + i) for k in ks for i in range(n_init)], shape, max_iter, tol)
+    finally:
+        data.unpersist()
+    return {k: best_of([r for r in runs if r.k == k]) for k in ks}
 
 
 def kmeans_large(pixels: DataFrame, k: int, sample: int | None = None, n_init: int = 10, seed: int = 42, use_pca: bool = True,
                  key: str = "pixel_id") -> DataFrame:
     """Optional reduction to 50 axes, scaling on all rows, fit on all rows (or, on request, on a reproducible sample), predict everywhere.
 
-    Fewer clusters than asked for lead to one more search over all rows with other seeds.
+    Fewer clusters than asked for lead to one more search over all rows with twice the starts.
     """
-    feats = _features(pixels)
-    width = len(pixels.select("spectrum").first()[0])
-    col = "__v"
-    if use_pca and width > 50:
-        feats = PCA(k=min(50, width - 1), inputCol=col, outputCol="__p").fit(feats).transform(feats)
-        col = "__p"
-    scaled = StandardScaler(inputCol=col, outputCol="__f", withMean=True, withStd=True).fit(feats).transform(feats).persist()
-    chosen = scaled if sample is None else cut(scaled.orderBy(hash_order_key(key, seed), key).limit(sample))
-
-    def best(rows: DataFrame, starts: int, first: int, rounds: int):
-        fits = (KMeans(k=k, seed=first + i, maxIter=rounds, featuresCol="__f", predictionCol="cluster").fit(rows) for i in range(starts))
-        return min(fits, key=lambda m: m.summary.trainingCost)
-
-    out = best(chosen, n_init, seed, 300).transform(scaled)
+    _, mean, cov, _ = moments(pixels)
+    values, vectors = np.linalg.eigh(cov)
+    width = len(mean)
+    axes = vectors[:, np.argsort(values)[::-1][:min(50, width - 1)]] if use_pca and width > 50 else np.eye(width)
+    spread = np.sqrt(np.maximum(np.einsum("ij,ik,kj->j", axes, cov, axes), 0.0))
+    spread = np.where(spread > 0, spread, 1.0)
+
+    def shape(x: np.ndarray) -> np.ndarray:
+        return (x - mean) @ axes / spread
+
+    def fit(rows: DataFrame, starts: int, first: int, rounds: int) -> Run:
+        runs = [Run(np.arange(axes.shape[1]), k, first + i) for i in range(starts)]
+        return best_of(lockstep(rows, runs, shape, rounds, 1e-4))
+
+    chosen = (pixels if sample is None else cut(pixels.orderBy(hash_order_key(key, seed), key).limit(sample))).select("spectrum").persist()
+    out = nearest_label(pixels, fit(chosen, n_init, seed, 300), shape)
+    chosen.unpersist()
     if out.select("cluster").distinct().count() < k:
-        out = best(scaled, 2 * n_init, seed + 1, 500).transform(scaled)
-    out = cut(out.select(*pixels.columns, "cluster"))
-    scaled.unpersist()
+        out = nearest_label(pixels, fit(pixels.select("spectrum"), 2 * n_init, seed + 1, 500), shape)
     return out
 
 
-def kmeans_k_sweep(pixels: DataFrame, ks: list[int], truth_col: str | None = None, n_init: int = 3, seed: int = 42) -> DataFrame:
+def kmeans_k_sweep(pixels: DataFrame, ks: list[int], truth_col: str | None = None, n_init: int = 10, seed: int = 42) -> DataFrame:
     """Inertia, size and (squared-distance) silhouette per k, with purity where a truth column is given."""
     from pyspark.ml.evaluation import ClusteringEvaluator
 
+    fits = _fits(pixels, ks, n_init, seed, 300)
+    out = pixels.withColumn("__v", array_to_vector("spectrum"))
+    for k, run in fits.items():  # one pass labels every k
+        out = nearest_label(out.drop("__v"), run, _as_is, f"__k{k}")
+    out = out.persist()
     rows = []
-    for k in ks:
-        assigned, model = kmeans(pixels, k, n_init, seed)
-        sil = ClusteringEvaluator(featuresCol="__v", predictionCol="cluster").evaluate(_features(assigned))
+    for k, run in fits.items():
+        sil = ClusteringEvaluator(featuresCol="__v", predictionCol=f"__k{k}").evaluate(out.withColumn("__v", array_to_vector("spectrum")))
         pur = None
         if truth_col:
-            c = assigned.groupBy("cluster", truth_col).agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max("n").alias("m"), F.sum("n").alias("n"))
+            c = out.groupBy(f"__k{k}", truth_col).agg(F.count("*").alias("n")).groupBy(f"__k{k}").agg(F.max("n").alias("m"), F.sum("n").alias("n"))
             pur = c.agg((F.sum("m") / F.sum("n")).alias("p")).first()[0]
-        rows.append((k, float(model.summary.trainingCost), float(sil), pur))
+        rows.append((k, run.cost, float(sil), pur))
+    out.unpersist()
     return pixels.sparkSession.createDataFrame(rows, "k INT, inertia DOUBLE, silhouette DOUBLE, purity DOUBLE")
 
 
 def best_k(sweep: DataFrame, by: str = "silhouette") -> DataFrame:
-    return sweep.agg(F.max_by("k", by).alias("k"), F.max(by).alias("score"))
+    """The k of the largest score; the smaller k wins ties."""
+    return sweep.agg(F.min_by("k", F.struct(-F.col(by), F.col("k"))).alias("k"), F.max(by).alias("score"))
 
 
 def assign_nearest_center(pixels: DataFrame, centers: DataFrame) -> DataFrame:

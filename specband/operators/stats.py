@@ -175,9 +175,8 @@ def moments(pixels: DataFrame) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]
 
 
 def _matrix_frame(spark, m: np.ndarray, name: str) -> DataFrame:
-    i, j = np.indices(m.shape)
-    rows = list(zip(i.ravel().tolist(), j.ravel().tolist(), m.ravel().tolist()))
-    return spark.createDataFrame(rows, f"band_a INT, band_b INT, {name} DOUBLE")
+    i, j = np.indices(m.shape, dtype=np.int32)
+    return spark.createDataFrame(pa.table({"band_a": i.ravel(), "band_b": j.ravel(), name: m.ravel()}))
 
 
 def correlation_matrix(cov: np.ndarray) -> np.ndarray:

@@ -353,6 +353,56 @@ def paired_t(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.agg(m.alias("mean_diff"), (m / F.nullif(s / F.sqrt(n), F.lit(0.0))).alias("t"), (n - 1).alias("df"))
 
 
+def two_sample_t(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Student's t with pooled variance between every two groups (``a`` < ``b``), with degrees of freedom and two-sided p.
+
+    Groups are aggregated first, so pairs are pairs of (few) groups.  p is NULL where t is.
+    """
+    s = df.groupBy(F.col(group).alias("g")).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v"))
+    side = lambda x: s.select(*[F.col(c).alias(f"{c}_{x}") for c in s.columns])
+    pairs = side("a").join(side("b"), F.col("g_a") < F.col("g_b"))
+    dof = F.col("n_a") + F.col("n_b") - 2
+    pooled = ((F.col("n_a") - 1) * F.col("v_a") + (F.col("n_b") - 1) * F.col("v_b")) / F.nullif(dof, F.lit(0)) * (1 / F.nullif(F.col("n_a"), F.lit(0)) + 1 / F.nullif(F.col("n_b"), F.lit(0)))
+    diff = F.col("m_a") - F.col("m_b")
+    out = pairs.select(F.col("g_a").alias("a"), F.col("g_b").alias("b"), dof.alias("df"), diff.alias("mean_diff"), (diff / F.nullif(F.sqrt(pooled), F.lit(0.0))).alias("t"))
+    kind = dict(out.dtypes)["a"]
+
+    def with_p(frames):
+        for f in frames:
+            f["p"] = [None if t is None or t != t else two_sided_p(float(t), int(d)) for t, d in zip(f["t"], f["df"])]
+            yield f
+
+    return out.mapInPandas(with_p, f"a {kind}, b {kind}, df BIGINT, mean_diff DOUBLE, t DOUBLE, p DOUBLE")
+
+
+def two_sided_p(t: float, df: int) -> float:
+    """P(|T| >= |t|) of Student's distribution: the regularized incomplete beta function as a continued fraction."""
+    x, a, b = df / (df + t * t), df / 2.0, 0.5
+    if x >= 1.0:
+        return 1.0
+    flip = x > (a + 1) / (a + b + 2)
+    if flip:
+        x, a, b = 1 - x, b, a
+    f = c = 1.0
+    d = 0.0
+    for i in range(400):  # modified Lentz steps
+        m = i // 2
+        if i == 0:
+            step = 1.0
+        elif i % 2 == 0:
+            step = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        else:
+            step = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d = 1.0 / ((1.0 + step * d) or 1e-300)
+        c = (1.0 + step / c) or 1e-300
+        f *= c * d
+        if i and abs(c * d - 1) < 1e-14:
+            break
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    value = front * (f - 1.0)
+    return 1.0 - value if flip else value
+
+
 def confidence_interval(df: DataFrame, metric: str, z: float = 1.96) -> DataFrame:
     m, half = F.avg(metric), z * F.stddev_samp(metric) / F.sqrt(F.count(metric))
     return df.agg(m.alias("mean"), (m - half).alias("low"), (m + half).alias("high"))

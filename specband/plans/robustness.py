@@ -5,67 +5,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from specband.functions.columns import hash_order_key
 from specband.functions.scale import require_bounded
 from specband.operators.compare import apply_mapping, hungarian_mapping, scores
+from specband.operators.kmeans import Run, best_of, lockstep, nearest_center
 from specband.operators.stats import matrix_sum, moments
 
-SEED_ROWS = 2_000  # rows that starting centres are drawn from; the fit itself reads every pixel
-
-
-def spread_centers(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k-means++ draw."""
-    rows = [int(rng.integers(len(x)))]
-    d = ((x - x[rows[0]]) ** 2).sum(1)
-    while len(rows) < k:
-        p = d / d.sum() if d.sum() > 0 else np.full(len(x), 1 / len(x))
-        rows.append(int(rng.choice(len(x), p=p)))
-        d = np.minimum(d, ((x - x[rows[-1]]) ** 2).sum(1))
-    return x[rows]
-
-
-def nearest_center(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    d = (x * x).sum(1)[:, None] + (centers * centers).sum(1)[None, :] - 2 * x @ centers.T
-    lab = d.argmin(1)
-    return lab, d[np.arange(len(x)), lab]
-
-
-def lockstep_kmeans(pixels: DataFrame, subsets: list[list[int]], k: int, n_init: int, seed: int, max_iter: int, tol: float,
-                    mean: np.ndarray, std: np.ndarray, start: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Best centres per subset.  All runs advance together: one pass over the pixels per Lloyd round.
-
-    ``pixels.spectrum`` ends with the class, which is not clustered.
-    """
-    runs = [(i, spread_centers(((start - mean) / std)[:, s], k, np.random.default_rng(seed + r))) for i, s in enumerate(subsets) for r in range(n_init)]
-    active, cost = list(range(len(runs))), np.full(len(runs), np.inf)
-    for _ in range(max_iter):
-        work = [(subsets[runs[r][0]], runs[r][1]) for r in active]
-
-        def sums(x, work=work):
-            z = (x[:, :-1] - mean) / std
-            out = []
-            for s, c in work:
-                lab, d = nearest_center(z[:, s], c)
-                hot = (lab[:, None] == np.arange(k)[None, :]).astype(float)
-                out += [(hot.T @ z[:, s]).ravel(), hot.sum(0), [max(0.0, d.sum())]]
-            return np.concatenate(out)
-
-        v, at, still = matrix_sum(pixels, sums), 0, []
-        for r, (s, c) in zip(active, work):
-            m = k * len(s)
-            tot, cnt, cost[r] = v[at:at + m].reshape(k, len(s)), v[at + m:at + m + k], v[at + m + k]
-            at += m + k + 1
-            new = np.where(cnt[:, None] > 0, tot / np.maximum(cnt, 1)[:, None], c)
-            runs[r] = (runs[r][0], new)
-            if ((new - c) ** 2).sum() > tol:
-                still.append(r)
-        active = still
-        if not active:
-            break
-    best = [min((r for r in range(len(runs)) if runs[r][0] == i), key=lambda r: cost[r]) for i in range(len(subsets))]
-    return [runs[r][1] for r in best], cost[best]
-
-
 def robustness_evaluate(pixels: DataFrame, subsets: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42, max_iter: int = 100,
                         tol: float = 1e-4, batch: int = 500) -> DataFrame:
     """Per band subset: z-score, K-means, best one-to-one relabelling, then accuracy, weighted scores and kappa.
@@ -76,18 +20,20 @@ def robustness_evaluate(pixels: DataFrame, subsets: DataFrame, k: int = 4, n_ini
     spark = pixels.sparkSession
     _, mean, cov, _ = moments(pixels)
     std = np.sqrt(np.clip(np.diag(cov), 0, None)) + 1e-8
-    start = np.array([r[0] for r in pixels.orderBy(hash_order_key("pixel_id", seed), "pixel_id").limit(SEED_ROWS).select("spectrum").collect()], dtype=float)
+    shape = lambda x: (x[:, :-1] - mean) / std  # spectra end with the class, which is not clustered
     labelled = pixels.select(F.concat("spectrum", F.array(F.col("class").cast("double"))).alias("spectrum")).persist()
     n_class = int(pixels.agg(F.max("class")).first()[0]) + 1
     rows = []
     try:
         for lo in range(0, len(sets), batch):
             part = sets[lo:lo + batch]
-            centers, _ = lockstep_kmeans(labelled, part, k, n_init, seed, max_iter, tol, mean, std, start)
+            runs = [[Run(np.array(s), k, seed + i) for i in range(n_init)] for s in part]
+            lockstep(labelled, [r for own in runs for r in own], shape, max_iter, tol)
+            centers = [best_of(own).centers for own in runs]
 
             def table(x, part=part, centers=centers):
                 cls = x[:, -1].astype(int)
-                z, keep = (x[:, :-1] - mean) / std, cls >= 0
+                z, keep = shape(x), cls >= 0
                 return np.concatenate([np.bincount(cls[keep] * k + nearest_center(z[keep][:, s], c)[0], minlength=n_class * k).astype(float) for s, c in zip(part, centers)])
 
             counts = matrix_sum(labelled, table).reshape(len(part), n_class, k)

@@ -1,5 +1,6 @@
 """Hand-computed small cases, numpy re-derivations and invariants."""
 
+import math
 from itertools import permutations
 
 import numpy as np
@@ -484,3 +485,17 @@ def test_nmf_error_falls_and_ica_separates(mixture, spark):
     got = np.array([r["sources"] for r in um.ica_sources(d, mean, w).orderBy("pixel_id").collect()])
     corr = np.abs(np.corrcoef(got.T, src.T)[:2, 2:])
     assert (corr.max(axis=1) > 0.95).all()
+
+
+def test_two_sided_p_against_integration():
+    for t, df in ((0.0, 5), (0.3, 3), (1.0, 1), (2.5, 7), (4.0, 40), (-1.7, 12), (12.0, 2)):
+        x = np.linspace(0, abs(t), 200_001)
+        pdf = np.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / np.sqrt(df * np.pi) * (1 + x * x / df) ** (-(df + 1) / 2)
+        assert ex.two_sided_p(t, df) == pytest.approx(1 - 2 * np.trapezoid(pdf, x), abs=1e-8)
+
+
+def test_two_sample_t(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 3.0), ("b", 4.0), ("b", 6.0), ("c", 5.0)], "g STRING, v DOUBLE")
+    got = {(r["a"], r["b"]): (r["df"], r["mean_diff"], r["t"]) for r in ex.two_sample_t(df, "g", "v").collect()}
+    assert got["a", "b"] == (3, -3.0, pytest.approx(-3.0 / np.sqrt((2 * 1.0 + 1 * 2.0) / 3 * (1 / 3 + 1 / 2))))
+    assert set(got) == {("a", "b"), ("a", "c"), ("b", "c")}

@@ -101,18 +101,31 @@ def _(t):
 
 @case("g09_kmeans")
 def _(t):
-    out, _ = cl.kmeans(t.pixels.select("pixel_id", "spectrum"), 5, n_init=3)
+    out, _ = cl.kmeans(t.pixels.select("pixel_id", "spectrum"), 5)
     return out.select("pixel_id", "cluster")
 
 
 @case("g10_kmeans_large")
 def _(t):
-    return cl.kmeans_large(t.pixels.select("pixel_id", "spectrum"), 5, n_init=2).select("pixel_id", "cluster")
+    return cl.kmeans_large(t.pixels.select("pixel_id", "spectrum"), 5).select("pixel_id", "cluster")
 
 
 @case("g11_kmeans_k_sweep")
 def _(t):
-    return cl.kmeans_k_sweep(t.pixels, [2, 3, 4], "label", n_init=1)
+    return cl.kmeans_k_sweep(t.pixels, [2, 3, 4, 5, 6, 7, 8], "label")
+
+
+SWEEP = "SELECT l_linenumber AS k, {} AS score FROM lineitem GROUP BY l_linenumber"
+
+
+@case("g11_best_k_by_silhouette", f"SELECT k, round(score, 6) AS score FROM ({SWEEP.format('avg(l_discount)')}) q ORDER BY score DESC, k LIMIT 1")
+def _(t):
+    return rd(cl.best_k(t.raw("lineitem").groupBy(F.col("l_linenumber").alias("k")).agg(F.avg("l_discount").alias("silhouette"))))
+
+
+@case("g11_best_k_by_purity", f"SELECT k, round(score, 6) AS score FROM ({SWEEP.format('avg(l_tax)')}) q ORDER BY score DESC, k LIMIT 1")
+def _(t):
+    return rd(cl.best_k(t.raw("lineitem").groupBy(F.col("l_linenumber").alias("k")).agg(F.avg("l_tax").alias("purity")), "purity"))
 
 
 @case("g12_assign_nearest_center", """WITH c AS (SELECT label AS cluster, band_id, avg(value) AS v FROM longpix GROUP BY 1, 2),

@@ -283,6 +283,14 @@ def _(t):
     return rd(ex.speedup(t.timings, "view", "click"))
 
 
+@case("k38_two_sample_t", """WITH s AS (SELECT event_type AS g, count(value) AS n, avg(value) AS m, var_samp(value) AS v FROM events GROUP BY event_type),
+    p AS (SELECT a.g AS a, b.g AS b, a.n + b.n - 2 AS df, a.m - b.m AS d, ((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) * (1.0 / a.n + 1.0 / b.n) AS e FROM s a JOIN s b ON a.g < b.g)
+    SELECT a, b, df, round(d, 6) AS mean_diff, round(d / sqrt(e), 5) AS t FROM p""")
+def _(t):
+    out = ex.two_sample_t(t.raw("events"), "event_type", "value")
+    return rd(out.drop("t", "p")).join(out.select("a", "b", F.round("t", 5).alias("t")), ["a", "b"])
+
+
 @case("k38_paired_t", "SELECT round(avg(purity - accuracy), 6) AS mean_diff, round(avg(purity - accuracy) / (stddev_samp(purity - accuracy) / sqrt(count(*))), 5) AS t, count(*) - 1 AS df FROM results")
 def _(t):
     return rd(ex.paired_t(t.results, "purity", "accuracy")).withColumn("t", F.round("t", 5))
@@ -325,7 +333,7 @@ def _(t):
 
     subsets = ex.robustness_sample(t.bands.select("band_id"), 5, 12)
     px = t.pixels.select("pixel_id", "spectrum", (F.col("label") % 4).alias("class"))
-    return robustness_evaluate(px, subsets, n_init=2, max_iter=15)
+    return robustness_evaluate(px, subsets)
 
 
 def _scan_truth(t):
