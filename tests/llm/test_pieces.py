@@ -1,4 +1,4 @@
-"""Viterbi segmentations against a plain search over the same scores, and exact round trips."""
+"""Merges against the library, Viterbi against a plain search over the same scores, and exact round trips."""
 
 import hashlib
 
@@ -52,11 +52,22 @@ MORE = [(30, "a  b   c"), (31, " lead and trail "), (32, "tab\tnew\nline"), (33,
 
 def test_segmentation(make, odd_texts, path, plain):
     rows = [r for r in odd_texts if r[0] != 14] + MORE
-    got = {r.doc_id: list(r.ids) for r in pieces.encode(make(rows), path).collect()}
+    got = {r.doc_id: list(r.ids) for r in pieces.encode(make(rows), path, "viterbi").collect()}
     for d, t in rows:
         assert got[d] == plain(t or ""), d
 
 
+def test_merges_equal_the_library(make, odd_texts, path):
+    import sentencepiece
+
+    assert pieces.model_type(path) == pieces.BPE
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    rows = odd_texts + MORE + [(40, "mark ▁ here"), (41, "aaaaaaaaaaaaaaaa bbbbbbb  thethethe")]
+    got = {r.doc_id: list(r.ids) for r in pieces.encode(make(rows), path).collect()}
+    for d, t in rows:
+        assert got[d] == sp.encode(t or ""), d
+
+
 def test_round_trip(make, odd_texts, path):
     import sentencepiece
 
@@ -80,10 +91,14 @@ def test_odd_ids(spark, path):
 
 
 def test_the_table(spark, sf_dir, path, plain):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     text = {r.doc_id: r.text for r in docs.collect()}
     out = pieces.round_trip(docs, path).collect()
     assert len(out) == len(text) and all(r.exact for r in out)
-    for r in out:
+    assert all(list(r.ids) == sp.encode(text[r.doc_id]) for r in out)
+    for r in pieces.encode(docs, path, "viterbi").collect():
         if len(text[r.doc_id]) < 3000:
             assert list(r.ids) == plain(text[r.doc_id])
