@@ -410,11 +410,12 @@ def improvement_stats(states: DataFrame) -> DataFrame:
                       n(1).alias("improved_pixels"), n(2).alias("degraded_pixels"), n(3).alias("still_wrong_pixels"))
 
 
-def image_difference_stats(a: DataFrame, b: DataFrame, value: str = "value") -> DataFrame:
+def image_difference_stats(a: DataFrame, b: DataFrame, value: str = "value", by: tuple[str, ...] = ()) -> DataFrame:
+    """Mean, root mean square and largest absolute difference of cells with equal keys, one row per ``by``."""
     keys = [c for c in a.columns if c != value]
     d = F.col("__a") - F.col("__b")
     j = a.withColumnRenamed(value, "__a").join(b.withColumnRenamed(value, "__b"), keys)
-    return j.agg(F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"), F.max(F.abs(d)).alias("max_abs"))
+    return j.groupBy(*by).agg(F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"), F.max(F.abs(d)).alias("max_abs"))
 
 
 def roc_auc_ovr(scores_long: DataFrame) -> DataFrame:

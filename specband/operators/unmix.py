@@ -178,10 +178,10 @@ def component_stats(maps: DataFrame) -> DataFrame:
 
 
 def scale_components(c: DataFrame, s: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Concentrations to a maximum of 1 per component, the profiles take the inverse factor; zero components stay."""
+    """Concentrations to a maximum of 1 per component, the profiles take the inverse factor; components that are zero or lack one side stay."""
     s_norm = s.groupBy("component").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("__s"))
     c_agg = c.groupBy("component").agg(F.max("value").alias("__m"), F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("__c"))
-    f = s_norm.join(c_agg, "component")
+    f = s_norm.join(c_agg, "component", "full").na.fill(0.0, ["__s", "__m", "__c"])
     top = F.col("__m") * F.col("__s")
     live = (F.col("__s") > 1e-12) & (F.col("__c") > 1e-12)
     factor = F.when(live & (top > 1e-12), 1 / F.nullif(F.col("__m"), F.lit(0.0))).when(live, F.col("__s")).otherwise(1.0)

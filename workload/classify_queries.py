@@ -142,16 +142,17 @@ def _(t):
     return cl.mask_labels(t.pred, mask).select("y", "x", "cluster")
 
 
-PC = "pc AS (SELECT c.excitation, c.em_idx, c.value, p.cluster FROM cells c JOIN pred p ON c.y = p.x AND c.x = p.y WHERE p.cluster >= 0)"
+PC = "pc AS (SELECT c.excitation, c.em_idx, c.value, p.cluster FROM cells c JOIN pred p ON p.pixel_id = c.x * 200 + c.y WHERE p.cluster >= 0)"
 PR = PC + ", pr AS (SELECT cluster, excitation, em_idx, avg(value) AS mean, stddev_pop(value) AS std, count(value) AS n FROM pc GROUP BY 1, 2, 3)"
 
 
-def _flip(t):
-    return t.pred.select("scan_id", F.col("x").alias("y"), F.col("y").alias("x"), "cluster")
+def _placed(t):
+    """Labels by the place of their order in the cubes, so that every cell has one."""
+    return t.pred.select("scan_id", (F.col("pixel_id") % 200).cast("int").alias("y"), F.floor(F.col("pixel_id") / 200).cast("int").alias("x"), "cluster")
 
 
 def _pc(t):
-    return t.cells.join(_flip(t).where("cluster >= 0"), ["scan_id", "y", "x"])
+    return t.cells.join(_placed(t).where("cluster >= 0"), ["scan_id", "y", "x"])
 
 
 @case("g14_cluster_profile", "WITH " + PR + " SELECT cluster, excitation, em_idx, round(mean, 6) AS mean, round(std, 6) AS std, n FROM pr")
@@ -166,7 +167,7 @@ def _(t):
 
 @case("g16_cluster_ex_em_matrix", "WITH " + PC + ", b AS (SELECT cluster FROM pred WHERE cluster >= 0 GROUP BY cluster ORDER BY count(*) DESC, cluster LIMIT 1) SELECT excitation, em_idx, round(avg(value), 6) AS mean FROM pc JOIN b ON pc.cluster = b.cluster GROUP BY 1, 2")
 def _(t):
-    return rd(cl.cluster_ex_em_matrix(t.cells, _flip(t)))
+    return rd(cl.cluster_ex_em_matrix(t.cells, _placed(t)))
 
 
 @case("g17_cluster_sizes", "SELECT cluster, count(*) AS n, round(100.0 * CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (), 6) AS pct FROM pred WHERE cluster >= 0 GROUP BY cluster")

@@ -268,11 +268,11 @@ def _(t):
     return rd(cmp.improvement_stats(cmp.improvement_map(t.truth, t.pred, t.pred2)))
 
 
-@case("i30_image_difference_stats", """SELECT round(avg(abs(d)), 6) AS mae, round(sqrt(avg(d * d)), 6) AS rmse, round(max(abs(d)), 6) AS max_abs
-    FROM (SELECT a.value - b.value AS d FROM cubes a JOIN cubes b ON a.y = b.y AND a.x = b.x AND a.em_idx = b.em_idx AND a.excitation = 320 AND b.excitation = 340) q""")
+@case("i30_image_difference_stats", """SELECT excitation, round(avg(abs(d)), 6) AS mae, round(sqrt(avg(d * d)), 6) AS rmse, round(max(abs(d)), 6) AS max_abs
+    FROM (SELECT a.excitation, a.value - b.value AS d FROM cubes a JOIN cubes b ON a.y = b.y AND a.x = b.x AND a.em_idx = b.em_idx AND a.excitation + 20 = b.excitation) q GROUP BY excitation""")
 def _(t):
-    a, b = (t.cubes.where(f"excitation = {e}").select("y", "x", "em_idx", "value") for e in (320, 340))
-    return rd(cmp.image_difference_stats(a, b))
+    a, b = (t.cubes.select("scan_id", (F.col("excitation") - step).alias("excitation"), "y", "x", "em_idx", "value") for step in (0, 20))
+    return rd(cmp.image_difference_stats(a, b, by=("excitation",)))
 
 
 ST = """pp AS (SELECT 'base' AS method, pixel_id, cluster FROM pred UNION ALL SELECT 'opt', pixel_id, cluster FROM pred2),

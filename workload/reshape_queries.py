@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from specband.operators import calibrate as cal, reshape as rs, stats as st
 from workload.registry import case
 
-NAMES = [f"{420 + 10 * e}-{300 + 20 * k}" for k in range(1, 8) for e in (0, 5, 30)]
+NAMES = [f"{420 + 10 * e}-{300 + 20 * k}" for k in range(1, 8) for e in range(31)]
 
 
 def r(c, n=6):
@@ -119,20 +119,20 @@ def _(t):
     return rs.subset_bands_emission_only(bands, t.picks.where("config = 'cfg3'").select((F.col("emission") + 4).alias("emission")))
 
 
-C12 = """WITH l AS (SELECT pixel_id, band_id, value, CAST(floor(band_id / 24) AS INT) AS part FROM longpix WHERE band_id < 48),
+C12 = """WITH l AS (SELECT pixel_id, band_id, value, CAST(floor(band_id / 24) AS INT) AS part FROM longpix),
     s AS (SELECT pixel_id, {p} AS part, avg(value) AS m, stddev_pop(value) AS sd FROM l GROUP BY ALL)
     SELECT l.pixel_id, CAST(l.band_id AS INT) AS pos, round((l.value - s.m) / s.sd, 6) AS value FROM l JOIN s ON l.pixel_id = s.pixel_id AND ({p2}) = s.part"""
 
 
 @case("c12_combine_cubes_each", C12.format(p="part", p2="l.part"))
 def _(t):
-    d = rs.combine_cubes(t.pixels, [(0, 24), (24, 48)], st.snv, True)
+    d = rs.combine_cubes(t.pixels, [(0, 24), (24, 48), (48, 64)], st.snv, True)
     return d.select("pixel_id", F.posexplode("spectrum").alias("pos", "value")).withColumn("value", F.round("value", 6))
 
 
 @case("c12_combine_cubes_whole", C12.format(p="0", p2="0"))
 def _(t):
-    d = rs.combine_cubes(t.pixels, [(0, 24), (24, 48)], st.snv, False)
+    d = rs.combine_cubes(t.pixels, [(0, 24), (24, 48), (48, 64)], st.snv, False)
     return d.select("pixel_id", F.posexplode("spectrum").alias("pos", "value")).withColumn("value", F.round("value", 6))
 
 

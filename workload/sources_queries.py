@@ -120,13 +120,15 @@ def _(t):
     return io.read_results_partitions(t.spark, path).groupBy("perturbation_dim").agg(F.count("*").alias("n"), F.round(F.max("accuracy"), 6).alias("best"))
 
 
-@case("a16_export_concat", """SELECT y, x, spectrum[1] AS "420-300", spectrum[2] AS "430-300", spectrum[64] AS "490-440" FROM pixels""")
+WIDE = [f"{420 + 10 * (b % 8)}-{300 + 20 * (b // 8)}" for b in range(64)]
+
+
+@case("a16_export_concat", "SELECT y, x, " + ", ".join(f'spectrum[{b + 1}] AS "{n}"' for b, n in enumerate(WIDE)) + " FROM pixels")
 def _(t):
     path = scratch(t.spark)
-    names = [f"{420 + 10 * (b % 8)}-{300 + 20 * (b // 8)}" for b in range(64)]
-    io.write_table(io.export_wide(t.pixels, names).withColumn("config", F.lit("full")), path, "csv", ["config"])
-    back = t.spark.read.option("header", True).schema("y INT, x INT, " + ", ".join(f"`{n}` DOUBLE" for n in names)).csv(path)
-    return back.select("y", "x", "`420-300`", "`430-300`", "`490-440`")
+    io.write_table(io.export_wide(t.pixels, WIDE).withColumn("config", F.lit("full")), path, "csv", ["config"])
+    back = t.spark.read.option("header", True).schema("y INT, x INT, " + ", ".join(f"`{n}` DOUBLE" for n in WIDE)).csv(path)
+    return back.select("y", "x", *[f"`{n}`" for n in WIDE])
 
 
 @case("a17_scan_summary", """SELECT excitation, max(y) + 1 AS height, max(x) + 1 AS width, count(DISTINCT em_idx) AS n_bands, min(emission) AS em_min,

@@ -62,21 +62,25 @@ def _(t):
     return rd(um.component_stats(t.latent.withColumnRenamed("dim_id", "component")))
 
 
-SC = """WITH c AS (SELECT sample_id, dim_id AS component, abs(value) AS value FROM latent WHERE dim_id < 7), m AS (SELECT component, max(value) AS m FROM c GROUP BY component)"""
+SC = """WITH c AS (SELECT sample_id, dim_id AS component, abs(value) AS value FROM latent), m AS (SELECT component, max(value) AS m FROM c GROUP BY component)"""
 
 
 def _cs(t):
-    c = t.latent.where("dim_id < 7").select("sample_id", F.col("dim_id").alias("component"), F.abs("value").alias("value"))
-    s = t.influence.select(((F.col("excitation") - 320) / 20).cast("int").alias("component"), "em_idx", F.col("influence").alias("value"))
+    c = t.latent.select("sample_id", F.col("dim_id").alias("component"), F.abs("value").alias("value"))
+    s = t.influence.select((F.col("band_id") % 64).cast("int").alias("component"), F.floor(F.col("band_id") / 64).cast("int").alias("em_idx"), F.col("influence").alias("value"))
     return um.scale_components(c, s)
 
 
-@case("m10_scale_components_c", SC + " SELECT sample_id, c.component, round(value / m, 6) AS value FROM c JOIN m ON c.component = m.component")
+PROFILES = ", s AS (SELECT CAST(band_id % 64 AS INT) AS component, CAST(floor(band_id / 64) AS INT) AS em_idx, influence AS value FROM influence)"
+
+
+@case("m10_scale_components_c", SC + PROFILES + """ SELECT sample_id, c.component, round(CASE WHEN c.component IN (SELECT component FROM s) THEN value / m ELSE value END, 6) AS value
+    FROM c JOIN m ON c.component = m.component""")
 def _(t):
     return rd(_cs(t)[0])
 
 
-@case("m10_scale_components_s", SC + ", s AS (SELECT CAST((excitation - 320) / 20 AS INT) AS component, em_idx, influence AS value FROM influence) SELECT s.component, em_idx, round(value * m, 6) AS value FROM s JOIN m ON s.component = m.component")
+@case("m10_scale_components_s", SC + PROFILES + " SELECT s.component, em_idx, round(value * m, 6) AS value FROM s JOIN m ON s.component = m.component")
 def _(t):
     return rd(_cs(t)[1])
 
