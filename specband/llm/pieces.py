@@ -90,7 +90,9 @@ class Vocabulary:
             chars = np.array([[ord(c) for c in pieces[i]] for i in ids], np.uint64)
             keys = self.hashes(chars, length)[:, 0]
             order = np.argsort(keys)
-            self.by_length[length] = keys[order], ids[order], scores[ids[order]]
+            near = np.zeros(1 << 18, bool)  # leading bits of the keys: most substrings are no pieces and end here
+            near[keys >> np.uint64(46)] = True
+            self.by_length[length] = keys[order], ids[order], scores[ids[order]], near
         marks = [pieces[i] for i in normal if chr(MARK) in pieces[i].lstrip(chr(MARK))]
         self.splits = not marks  # no piece has a space mark behind another character
         out = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else " ⁇ ".encode() if sp.is_unknown(i) else p.replace(chr(MARK), " ").encode()
@@ -111,10 +113,14 @@ class Vocabulary:
 
     def find(self, hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1: no piece) and scores of substrings of a length."""
-        keys, ids, scores = self.by_length[length]
-        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-        hit = keys[at] == hashes
-        return np.where(hit, ids[at], -1), np.where(hit, scores[at], -np.inf)
+        keys, ids, scores, near = self.by_length[length]
+        flat = hashes.ravel()
+        maybe = np.flatnonzero(near[flat >> np.uint64(46)])
+        at = np.minimum(np.searchsorted(keys, flat[maybe]), len(keys) - 1)
+        hit = keys[at] == flat[maybe]
+        found, value = np.full(len(flat), -1, np.int32), np.full(len(flat), -np.inf)
+        found[maybe[hit]], value[maybe[hit]] = ids[at[hit]], scores[at[hit]]
+        return found.reshape(hashes.shape), value.reshape(hashes.shape)
 
     def viterbi(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best segmentation of units of equal length: ids in order (-1: character without a piece) and piece lengths, 0-padded."""
@@ -182,30 +188,42 @@ class Vocabulary:
 
     def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all units, one after another, and their offsets; every unit gets a space mark in front."""
-        parts, owner = [], []
-        for i, u in enumerate(units):
-            chars = np.array([MARK, *map(ord, u.replace(" ", chr(MARK)))], np.uint32)
-            cuts = self.seams(chars.astype(np.uint64)) if len(chars) > LONG_UNIT else ()
-            for p in np.split(chars, cuts):
-                parts.append(p)
-                owner.append(i)
-        sizes = np.array([len(p) for p in parts], np.int64)
-        found: list = [None] * len(parts)
-        for n in np.unique(sizes).tolist():
-            group = np.flatnonzero(sizes == n)
+        size = np.fromiter(map(len, units), np.int64, len(units)) + 1
+        start = np.r_[0, np.cumsum(size)]
+        codes = np.full(start[-1], MARK, np.uint32)
+        inner = np.ones(len(codes), bool)
+        inner[start[:-1]] = False
+        codes[inner] = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes[codes == 0x20] = MARK
+        # parts: short units whole, long ones cut where no piece lies across
+        long = np.flatnonzero(size > LONG_UNIT)
+        cuts = [start[i] + self.seams(codes[start[i] : start[i + 1]].astype(np.uint64)) for i in long.tolist()]
+        begin = np.sort(np.concatenate([start[:-1], *cuts]))
+        length, owner = np.diff(np.r_[begin, start[-1]]), np.searchsorted(start, begin, side="right") - 1
+        made, done = np.zeros(len(begin), np.int64), []
+        for n in np.unique(length).tolist():
+            group = np.flatnonzero(length == n)
             step = max(1, (1 << 17) // n)
             for g in range(0, len(group), step):
                 at = group[g : g + step]
-                chars = np.stack([parts[i] for i in at]).astype(np.uint64)
+                chars = codes[begin[at][:, None] + np.arange(n)].astype(np.uint64)
                 ids, lengths = self.merged(chars) if self.merges else self.viterbi(chars)
                 used = lengths > 0
-                for r, i in enumerate(at.tolist()):
-                    row = ids[r][used[r]]
-                    if (row < 0).any():
-                        row = self.with_bytes(row, lengths[r][used[r]], parts[i])
-                    found[i] = row
-        count = np.bincount(np.array(owner, np.int64), weights=[len(f) for f in found], minlength=len(units)).astype(np.int64) if parts else np.zeros(len(units), np.int64)
-        return np.concatenate(found) if found else np.zeros(0, np.int32), np.r_[0, np.cumsum(count)]
+                odd = np.flatnonzero(((ids < 0) & used).any(1))
+                for r in odd.tolist():
+                    row = self.with_bytes(ids[r][used[r]], lengths[r][used[r]], chars[r])
+                    made[at[r]] = len(row)
+                    done.append((at[r : r + 1], row))
+                used[odd] = False
+                plain = np.setdiff1d(np.arange(len(at)), odd, assume_unique=True)
+                made[at[plain]] = used[plain].sum(1)
+                done.append((at[plain], ids[used]))
+        to = np.r_[0, np.cumsum(made)]
+        out = np.zeros(to[-1], np.int32)
+        for at, flat in done:
+            count = made[at]
+            out[np.repeat(to[at] - (np.cumsum(count) - count), count) + np.arange(len(flat))] = flat
+        return out, np.r_[0, np.cumsum(np.bincount(owner, weights=made, minlength=len(units)).astype(np.int64))]
 
     def with_bytes(self, row: np.ndarray, lengths: np.ndarray, chars: np.ndarray) -> np.ndarray:
         out, ends = [], np.cumsum(lengths)
@@ -213,7 +231,7 @@ class Vocabulary:
             if id_ >= 0:
                 out.append(id_)
                 continue
-            raw = chr(chars[ends[i] - 1]).encode("utf-8", "surrogatepass")
+            raw = chr(int(chars[ends[i] - 1])).encode("utf-8", "surrogatepass")
             ids = self.bytes[list(raw)]
             out += [self.unknown] if (ids < 0).any() else ids.tolist()
         return np.array(out, np.int32)
