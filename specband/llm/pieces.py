@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from specband.llm.common import BYTE_CODE, SLICE_BYTES, Powers, Rolling, buffers, mix, slices
+from specband.llm.common import BYTE_CODE, Powers, Rolling, buffers, mix, slices
 
 MARK = 0x2581
 LONG_UNIT = 48  # characters beyond which a unit is cut between characters that no piece joins
@@ -203,7 +203,7 @@ class Vocabulary:
         made, done = np.zeros(len(begin), np.int64), []
         for n in np.unique(length).tolist():
             group = np.flatnonzero(length == n)
-            step = max(1, (1 << 17) // n)
+            step = max(1, (1 << 16) // n)
             for g in range(0, len(group), step):
                 at = group[g : g + step]
                 chars = codes[begin[at][:, None] + np.arange(n)].astype(np.uint64)
@@ -303,7 +303,7 @@ def encode(docs: DataFrame, model_path: str, search: str | None = None, id_col:
         vocab, powers = vocabulary(model_path, search), Powers()
         for batch in batches:
             body, offsets = buffers(batch.column(1))
-            for i, j in slices(offsets, 2 * SLICE_BYTES):
+            for i, j in slices(offsets):
                 ids, at = encode_texts(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], vocab, powers)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], names=["doc_id", "ids"])
 
@@ -338,7 +338,7 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
         vocab, powers = vocabulary(model_path), Powers()
         for batch in batches:
             body, offsets = buffers(batch.column(1))
-            for i, j in slices(offsets, 2 * SLICE_BYTES):
+            for i, j in slices(offsets):
                 here, part = body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 ids, at = encode_texts(here, part, vocab, powers)
                 texts, raw = [t.encode() for t in vocab.decode(ids, at)], here.tobytes()
