@@ -1,8 +1,7 @@
 """Repeated byte strings, by distributed prefix doubling.
 
 A position's rank at a length names the string of that length that starts there; ranks of two halves give the rank of
-twice the length.  Doubling starts at half the threshold: below that nearly every position of a corpus still shares its
-rank with another, so earlier rounds would sort all positions and drop none.  A partition sorts its positions by the first
+twice the length.  Doubling starts at half the threshold: earlier rounds would sort every position of the corpus.  A partition sorts its positions by the first
 rank, drops the ones that are unique, sorts the pairs (rank here, rank half a threshold on) of the others and reranks; equal
 pairs are equal strings of full length.  Positions that no other document can share are settled before (see ``repeats``).
 """
