@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from specband.functions.scale import checked_broadcast, quantiles, scalars
 from specband.operators.stats import correlation_matrix, moments, spectra_matrix
 
+# Fixed values.
 STORED = (5, 10, 25, 50, 75, 90, 95)  # stored percentiles of a latent dimension
 
 

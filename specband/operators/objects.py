@@ -179,15 +179,16 @@ def object_mapped_contingency(oc: DataFrame, fraction: bool = False) -> DataFram
 
 
 def object_metrics(oc: DataFrame, average: str = "macro") -> DataFrame:
-    """Accuracy, counts, averaged precision / recall / F1, kappa, MCC, the single true class (or -1) and
-    the distribution of predictions."""
+    """Accuracy, counts, averaged precision / recall / F1, kappa, MCC, the single true class (or -1), the class of most pixels
+    (the smaller one on a tie) and the distribution of predictions."""
     s = scores(oc, OBJ)
     cls = oc.groupBy(*OBJ).agg(F.countDistinct("class").alias("k"), F.min("class").alias("c")).select(
         *OBJ, F.when(F.col("k") == 1, F.col("c")).otherwise(-1).alias("true_class"))
+    most = oc.groupBy(*OBJ, "class").agg(F.sum("n").alias("n")).groupBy(*OBJ).agg(F.min_by("class", F.struct(-F.col("n"), F.col("class"))).alias("class_label"))
     dist = oc.groupBy(*OBJ, "cluster").agg(F.sum("n").alias("n")).groupBy(*OBJ).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("cluster", "n")))).alias("prediction_distribution"))
-    return s.join(cls, OBJ).join(dist, OBJ).select(
-        *OBJ, "true_class", F.col("total").alias("total_pixels"), F.col("correct").alias("correct_pixels"), (F.col("total") - F.col("correct")).alias("incorrect_pixels"),
+    return s.join(cls, OBJ).join(most, OBJ).join(dist, OBJ).select(
+        *OBJ, "true_class", "class_label", F.col("total").alias("total_pixels"), F.col("correct").alias("correct_pixels"), (F.col("total") - F.col("correct")).alias("incorrect_pixels"),
         "accuracy", *[F.col(f"{m}_{average}").alias(m) for m in ("precision", "recall", "f1")], "cohen_kappa", F.col("matthews_corrcoef").alias("mcc"), "prediction_distribution")
 
 
@@ -201,7 +202,8 @@ def object_accuracy(objects: DataFrame, pred: DataFrame, truth: DataFrame) -> Da
                                           (F.col("ok") / F.col("labelled")).alias("accuracy"))
 
 
-def aggregate_by_class(metrics: DataFrame, by: str = "true_class") -> DataFrame:
+def aggregate_by_class(metrics: DataFrame, by: str = "class_label") -> DataFrame:
+    """Counts, means, population deviations and extremes of the scores of each class's objects."""
     aggs = [F.count("*").alias("num_objects"), F.sum("total_pixels").alias("total_pixels")]
     for m in METRICS:
         aggs += [F.avg(m).alias(f"{m}_mean"), F.stddev_pop(m).alias(f"{m}_std"), F.min(m).alias(f"{m}_min"), F.max(m).alias(f"{m}_max")]

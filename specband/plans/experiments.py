@@ -12,6 +12,7 @@ from specband.functions.scale import (
     argmax_rows, checked_broadcast, melt, prefix_max, quantiles, scalars,
 )
 
+# The name of the baseline, the number of all bands.
 BASELINE = "BASELINE_FULL_DATA"
 TOTAL_BANDS = 204
 
@@ -103,6 +104,7 @@ def efficiency(results: DataFrame, total: int = TOTAL_BANDS) -> DataFrame:
         "accuracy_per_band": F.col("accuracy") / F.col("n_bands"), "pct_per_band": F.col("accuracy") / base * 100 / F.col("n_bands"), "relative_quality": F.col("accuracy") / (F.col("n_bands") / float(total))})
 
 
+# Edges of the band-count bins.
 BIN_EDGES = [0, 10, 20, 30, 50, 75, 100, 125, 150, 175, 204]
 
 

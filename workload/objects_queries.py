@@ -77,12 +77,13 @@ OM = OCT + """, ol AS (SELECT object_id, label, CAST(sum(tp) AS DOUBLE) AS tp, C
       CASE WHEN sum(su * pr) / (max(t) * max(t)) = 1 THEN NULL ELSE (sum(tp) / max(t) - sum(su * pr) / (max(t) * max(t))) / (1 - sum(su * pr) / (max(t) * max(t))) END AS kappa,
       CASE WHEN (max(t) * max(t) - sum(pr * pr)) * (max(t) * max(t) - sum(su * su)) = 0 THEN 0 ELSE (sum(tp) * max(t) - sum(su * pr)) / sqrt((max(t) * max(t) - sum(pr * pr)) * (max(t) * max(t) - sum(su * su))) END AS mcc FROM pf GROUP BY object_id),
     tc AS (SELECT object_id, CASE WHEN count(DISTINCT class) = 1 THEN min(class) ELSE -1 END AS true_class, string_agg(DISTINCT CAST(cluster AS VARCHAR), ',' ORDER BY CAST(cluster AS VARCHAR)) AS preds FROM oc GROUP BY object_id),
-    m AS (SELECT om.object_id, true_class, preds, CAST(t AS BIGINT) AS total_pixels, CAST(ok AS BIGINT) AS correct_pixels, accuracy, {p} AS precision, {r} AS recall, {f} AS f1, kappa AS cohen_kappa, mcc FROM om JOIN tc ON om.object_id = tc.object_id)"""
+    ml AS (SELECT object_id, min_by(class, class - 1000 * n) AS class_label FROM (SELECT object_id, class, sum(n) AS n FROM oc GROUP BY 1, 2) q GROUP BY object_id),
+    m AS (SELECT om.object_id, true_class, class_label, preds, CAST(t AS BIGINT) AS total_pixels, CAST(ok AS BIGINT) AS correct_pixels, accuracy, {p} AS precision, {r} AS recall, {f} AS f1, kappa AS cohen_kappa, mcc FROM om JOIN tc ON om.object_id = tc.object_id JOIN ml ON om.object_id = ml.object_id)"""
 MAC, WEI = OM.format(p="pm", r="rm", f="fm"), OM.format(p="pw", r="rw", f="fw")
 SEL = ", ".join(f"round({m}, 6) AS {m}" for m in ob.METRICS)
 
 
-@case("j07_object_metrics_macro", "WITH " + MAC + f" SELECT object_id, true_class, total_pixels, correct_pixels, total_pixels - correct_pixels AS incorrect_pixels, {SEL}, preds FROM m")
+@case("j07_object_metrics_macro", "WITH " + MAC + f" SELECT object_id, true_class, class_label, total_pixels, correct_pixels, total_pixels - correct_pixels AS incorrect_pixels, {SEL}, preds FROM m")
 def _(t):
     m = ob.object_metrics(oc(t))
     return rd(m.withColumn("preds", F.array_join(F.array_sort(F.map_keys("prediction_distribution").cast("array<string>")), ",")).drop("prediction_distribution", "scan_id"))
@@ -106,7 +107,7 @@ def _(t):
     return rd(ob.object_accuracy(objs(t), t.pred2, t.truth).drop("scan_id"))
 
 
-@case("j10_aggregate_by_class", "WITH " + MAC + " SELECT true_class, count(*) AS num_objects, CAST(sum(total_pixels) AS BIGINT) AS total_pixels, " + ", ".join(f"round({f}({m}), 6) AS {m}_{s}" for m in ob.METRICS for f, s in (("avg", "mean"), ("stddev_pop", "std"), ("min", "min"), ("max", "max"))) + " FROM m GROUP BY true_class")
+@case("j10_aggregate_by_class", "WITH " + MAC + " SELECT class_label, count(*) AS num_objects, CAST(sum(total_pixels) AS BIGINT) AS total_pixels, " + ", ".join(f"round({f}({m}), 6) AS {m}_{s}" for m in ob.METRICS for f, s in (("avg", "mean"), ("stddev_pop", "std"), ("min", "min"), ("max", "max"))) + " FROM m GROUP BY class_label")
 def _(t):
     return rd(ob.aggregate_by_class(ob.object_metrics(oc(t))))
 
