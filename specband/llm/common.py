@@ -76,7 +76,7 @@ class Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) <= n:
-            size = max(n + 1, min(2 * len(self.up), SLICE_BYTES * 2))
+            size = max(n + 1, min(2 * len(self.up), SLICE_BYTES + 1024))
             for name, base in (("up", PRIME), ("down", pow(PRIME, -1, 1 << 64))):
                 p = np.full(size, base, np.uint64)
                 p[0] = 1
