@@ -30,6 +30,13 @@ def test_layout(page):
     assert visible_text(page) == CASES[page]
 
 
+def test_stray_quotes():
+    assert visible_text('<a href="x"">one</a> <p class="b">two</p> <i id="c">three</i> end') == "one\n\ntwo\n\nthree end"
+    assert visible_text("<p class=it's>Don't stop</p>") == "Don't stop"
+    assert visible_text("<a title=x\"hidden>a</a><b '>b</b><i x=\"1\"y='>'>c</i>") == "abc"
+    assert visible_text("<a href='>'>z</a><a href = \">\">y</a><img alt=a=\"b>c") == "zyc"
+
+
 def test_deep_and_long():
     assert visible_text("<div>" * 5000 + "x") == "x"
     assert visible_text("<ul><li>" * 2000 + "x").endswith("x")
