@@ -1,8 +1,9 @@
 """Visible text of HTML pages, laid out as a browser would.
 
-A page becomes a tree (void elements, end tags that HTML implies, unknown tags kept), hidden subtrees are left out, and
-the tree is rendered: blocks start lines and keep their spacing, list items get bullets or numbers, table cells are
-aligned in columns, preformatted text keeps its white space.
+A page becomes a tree (void elements, start and end tags that HTML implies, unknown tags kept), hidden subtrees are left
+out, and the tree is rendered: blocks start lines and keep their spacing, list items get bullets or numbers, table cells
+are aligned in columns, preformatted text keeps its white space.  Trees may be of any depth: walks keep their own stack.
+Only layout has limits (indentation, aligned tables within tables).  Text fields and selections are values, not text.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from specband.llm.common import buffers, slices
 
 # The element groups of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+DRAWN = frozenset("desc metadata defs symbol clippath mask marker pattern lineargradient radialgradient".split())  # no text of its own in a drawing
+NOTES = frozenset(("annotation", "annotation-xml"))  # not shown in a formula
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())  # text up to their end tag
-UNSEEN = frozenset("head script style title meta link base template datalist noembed noframes iframe object audio video canvas svg math select textarea input param source track".split())
+UNSEEN = frozenset("head script style title meta link base template datalist noembed noframes iframe object audio video canvas select textarea input param source track".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu table pre blockquote figure fieldset".split())  # blank line around
 BLOCKS = SPACED | frozenset("html body div section article aside header footer nav main form address li dt dd figcaption details summary hr caption center dir legend hgroup search".split())
 CLOSES_P = (SPACED | BLOCKS) - frozenset("html body li dt dd caption legend figcaption summary".split())
@@ -31,6 +34,12 @@ ENDED_BY = {  # an open element of the key ends when one of these starts
 }
 WALLS = {"li": frozenset({"ul", "ol", "menu", "dir"}), "dt": frozenset({"dl"}), "dd": frozenset({"dl"}), "p": frozenset({"td", "th", "li", "button", "caption", "object"})}
 TABLE_WALL = frozenset({"table"})
+GROUPS = frozenset("thead tbody tfoot".split())
+STAYS_OPEN = {"td": GROUPS | {"tr", "table"}, "th": GROUPS | {"tr", "table"}, "tr": GROUPS | {"table"}} | {t: TABLE_WALL for t in (*GROUPS, "caption", "colgroup")}
+HEAD = frozenset("base basefont bgsound link meta title script style template noscript noframes".split())  # what does not end the head
+PLACED = BLOCKS | frozenset(ENDED_BY)
+WIDEST = 400  # indentation that deeper blocks share
+ALIGNED = 50  # tables within tables that are aligned; deeper ones have a line per cell line
 # As HTML reads a tag: a quoted value starts directly after "=", any other quote is an ordinary character; an open quote ends like an unquoted value.
 ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)"
@@ -52,25 +61,53 @@ def attributes(source: str) -> dict[str, str]:
 
 
 def is_hidden(tag: str, attrs: dict[str, str]) -> bool:
-    return tag in UNSEEN or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or bool(HIDING.search(attrs.get("style", "")))
+    return tag in UNSEEN or "hidden" in attrs or bool(HIDING.search(attrs.get("style", "")))
 
 
-def parse(source: str) -> Element:
-    root = Element("#root")
-    stack, at, n = [root], 0, len(source)
+class Tree:
+    """The open elements of a page, and where those of each tag stand."""
 
-    def close(tags: frozenset | set, wall: frozenset) -> None:
+    def __init__(self) -> None:
+        self.root = Element("#root")
+        self.stack, self.where, self.placed = [self.root], {}, []
+
+    def last(self, tags: frozenset | set) -> int:
+        """Place of the innermost open element among ``tags``; 0 for none."""
+        return max((self.where[t][-1] for t in tags if self.where.get(t)), default=0)
+
+    def push(self, element: Element) -> None:
+        self.where.setdefault(element.tag, []).append(len(self.stack))
+        if element.tag in PLACED:
+            self.placed.append(len(self.stack))
+        self.stack.append(element)
+
+    def cut(self, k: int) -> None:
+        for e in self.stack[k:]:
+            self.where[e.tag].pop()
+        del self.stack[k:]
+        while self.placed and self.placed[-1] >= k:
+            self.placed.pop()
+
+    def close(self, tags: frozenset | set, wall: frozenset) -> None:
         """End the innermost open element among ``tags`` unless a wall comes first."""
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                del stack[k:]
-                return
-            if stack[k].tag in wall:
-                return
+        k = self.last(tags)
+        if k and k >= self.last(wall) and k >= self.last({"template"}):
+            self.cut(k)
+
+    def add(self, kid: Element | str) -> None:
+        self.stack[-1].kids.append(kid)
+
+
+def parse(source: str) -> Element:
+    tree, at, n = Tree(), 0, len(source)
+    stack, where = tree.stack, tree.where
 
     def add_text(text: str) -> None:
         if text:
-            stack[-1].kids.append(html.unescape(text) if "&" in text else text)
+            text = html.unescape(text) if "&" in text else text
+            if stack[-1].tag == "head" and not text.isspace():
+                tree.cut(len(stack) - 1)
+            tree.add(text)
 
     while at < n:
         m = TOKEN.search(source, at)
@@ -82,47 +119,57 @@ def parse(source: str) -> Element:
         tag = m[2]
         if tag is None:
             if m[0].startswith("<![CDATA["):
-                stack[-1].kids.append(m[0][9:].removesuffix("]]>"))
+                tree.add(m[0][9:].removesuffix("]]>"))
             continue
         tag = tag.lower()
+        if tag == "text" and where.get("svg"):
+            tag = "svg:text"
         if m[1]:
-            if tag == "p" and not any(e.tag == "p" for e in stack):
-                stack[-1].kids.append(Element("p"))
+            if tag == "p" and not where.get("p"):
+                tree.add(Element("p"))
             elif tag == "br":
-                stack[-1].kids.append(Element("br"))
+                tree.add(Element("br"))
             else:
-                close({tag}, TABLE_WALL if tag not in ("table", "body", "html") and tag not in ENDED_BY else WALLS.get(tag, frozenset()) | (TABLE_WALL if tag in ENDED_BY and tag not in ("li", "dt", "dd") else frozenset()))
+                tree.close({tag}, TABLE_WALL if tag not in ("table", "body", "html") and tag not in ENDED_BY else WALLS.get(tag, frozenset()) | (TABLE_WALL if tag in ENDED_BY and tag not in ("li", "dt", "dd") else frozenset()))
             continue
+        if stack[-1].tag == "head" and tag not in HEAD:
+            tree.cut(len(stack) - 1)
         if tag in CLOSES_P:
-            close({"p"}, TABLE_WALL | WALLS["p"])
+            tree.close({"p"}, TABLE_WALL | WALLS["p"])
+        floor = tree.last({"template"})
+        if tag in STAYS_OPEN and tree.last(TABLE_WALL) > floor:
+            tree.cut(tree.last(STAYS_OPEN[tag]) + 1)
+            if tag in ("td", "th") and stack[-1].tag != "tr":
+                row = Element("tr")
+                tree.add(row)
+                tree.push(row)
         for _ in range(3):  # td, tr and tbody may all end
-            top = next((e for e in reversed(stack) if e.tag in ENDED_BY or e.tag in BLOCKS), None)
-            if top is None or tag not in ENDED_BY.get(top.tag, ()):
+            top = tree.placed[-1] if tree.placed else 0
+            if top <= floor or tag not in ENDED_BY.get(stack[top].tag, ()):
                 break
-            del stack[stack.index(top) :]
-        else:
-            top = None
+            tree.cut(top)
         if tag in ("li", "dt", "dd"):
-            close({"li"} if tag == "li" else {"dt", "dd"}, WALLS[tag] | TABLE_WALL)
-        if tag in ("html", "body") and any(e.tag == tag for e in stack):
+            tree.close({"li"} if tag == "li" else {"dt", "dd"}, WALLS[tag] | TABLE_WALL)
+        if tag in ("html", "body") and where.get(tag):
             continue
         attrs = attributes(m[3])
-        element = Element(tag, is_hidden(tag, attrs), attrs)
-        stack[-1].kids.append(element)
+        hidden = is_hidden(tag, attrs) or tag in DRAWN and bool(where.get("svg")) or tag in NOTES and bool(where.get("math"))
+        element = Element(tag, hidden, attrs)
+        tree.add(element)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
             element.kids.append(source[at : end.start() if end else n])
             at = end.end() if end else n
         elif tag not in VOID and not m[0].endswith("/>") or tag in BLOCKS and tag not in VOID:
-            if len(stack) < 250:  # deeper elements hang on the same parent
-                stack.append(element)
-    return root
+            tree.push(element)
+    return tree.root
 
 
 class Lines:
     """Output lines with collapsed white space and block spacing."""
 
-    def __init__(self) -> None:
+    def __init__(self, nested: int = 0) -> None:
+        self.nested = nested  # tables around
         self.done: list[str] = []
         self.line = ""
         self.gap = 0  # blank lines owed before the next text
@@ -166,8 +213,25 @@ class Lines:
         self.gap = max(self.gap, blank)
 
 
-def render(node: Element, out: Lines, depth: int = 0) -> None:
-    for kid in node.kids:
+Steps = Iterator["Steps"]  # a walk over part of a tree: what it yields is walked before it goes on
+
+
+def walk(steps: Steps) -> None:
+    stack = [steps]
+    while stack:
+        inner = next(stack[-1], None)
+        if inner is None:
+            stack.pop()
+        else:
+            stack.append(inner)
+
+
+def deeper(indent: str, more: int) -> str:
+    return indent + " " * more if len(indent) < WIDEST else indent
+
+
+def render(kids: list, out: Lines, depth: int = 0) -> Steps:
+    for kid in kids:
         if isinstance(kid, str):
             out.text(kid)
             continue
@@ -180,13 +244,18 @@ def render(node: Element, out: Lines, depth: int = 0) -> None:
             out.space(1)
         elif tag == "table":
             out.space(1)
-            for line in table_lines(kid, depth):
-                out.write(line)
-                out.end()
+            if out.nested < ALIGNED:
+                lines: list[str] = []
+                yield table_lines(kid, depth, out.nested + 1, lines)
+                for line in lines:
+                    out.write(line)
+                    out.end()
+            else:
+                yield plain_table(kid, out, depth)
             out.space(1)
         elif tag in ("ul", "ol", "menu", "dir"):
             out.space(0 if out.first is not None or depth else 1)
-            list_items(kid, out, depth)
+            yield list_items(kid, out, depth)
             out.space(0 if depth else 1)
         elif tag == "pre":
             out.space(1)
@@ -194,23 +263,23 @@ def render(node: Element, out: Lines, depth: int = 0) -> None:
             first = kid.kids[0] if kid.kids else None
             if isinstance(first, str) and first.startswith("\n"):
                 kid.kids[0] = first[1:]
-            render(kid, out, depth)
+            yield render(kid.kids, out, depth)
             out.pre -= 1
             out.space(1)
-        elif tag in BLOCKS:
+        elif tag in BLOCKS or tag == "svg:text":
             blank = 1 if tag in SPACED else 0
             keep = out.indent
             out.space(blank)
             if tag in ("blockquote", "dd"):
-                out.indent += "    "
-            render(kid, out, depth)
+                out.indent = deeper(keep, 4)
+            yield render(kid.kids, out, depth)
             out.space(blank)
             out.indent = keep
-        else:
-            render(kid, out, depth)
+        elif kid.kids:
+            yield render(kid.kids, out, depth)
 
 
-def list_items(node: Element, out: Lines, depth: int) -> None:
+def list_items(node: Element, out: Lines, depth: int) -> Steps:
     number = node.attrs.get("start", "1")
     number = int(number) if re.fullmatch(r"-?\d{1,9}", number) else 1
     keep = out.indent
@@ -225,55 +294,73 @@ def list_items(node: Element, out: Lines, depth: int) -> None:
             mark = f"{number}. " if node.tag == "ol" else "* "
             number += 1
             out.end()
-            out.first, out.indent = keep + mark, keep + " " * len(mark)
-            render(kid, out, depth + 1)
+            out.first, out.indent = keep + mark, deeper(keep, len(mark))
+            yield render(kid.kids, out, depth + 1)
             out.end()
             out.first, out.indent = None, keep
         else:
-            wrapper = Element("#item")
-            wrapper.kids.append(kid)
-            render(wrapper, out, depth + 1)
+            yield render([kid], out, depth + 1)
     out.indent = keep
 
 
-def rows_of(node: Element) -> Iterator[Element]:
-    for kid in node.kids:
-        if isinstance(kid, str) or kid.hidden:
+def table_parts(node: Element) -> tuple[list, list[Element]]:
+    """What stands outside the rows of a table, and its rows, both in their order."""
+    stray, rows, stack = [], [], [iter(node.kids)]
+    while stack:
+        kid = next(stack[-1], None)
+        if kid is None:
+            stack.pop()
+        elif isinstance(kid, str):
+            if kid.strip():
+                stray.append(kid)
+        elif kid.hidden:
             continue
-        if kid.tag == "tr":
-            yield kid
-        elif kid.tag in ("tbody", "thead", "tfoot", "form", "center"):
-            yield from rows_of(kid)
+        elif kid.tag == "tr":
+            rows.append(kid)
+        elif kid.tag in GROUPS or kid.tag in ("form", "center", "colgroup"):
+            stack.append(iter(kid.kids))
+        else:
+            stray.append(kid)
+    return stray, rows
 
 
-def cell_lines(node: Element, depth: int) -> list[str]:
-    out = Lines()
-    render(node, out, depth)
+def cell_lines(kids: list, depth: int, nested: int, into: list[str]) -> Steps:
+    out = Lines(nested)
+    yield render(kids, out, depth)
     out.end()
-    return out.done or [""]
+    into += out.done or [""]
 
 
-def table_lines(node: Element, depth: int) -> list[str]:
+def plain_table(node: Element, out: Lines, depth: int) -> Steps:
+    """A table whose cells begin on lines of their own."""
+    stray, rows = table_parts(node)
+    yield render(stray, out, depth + 1)
+    for row in rows:
+        for cell in row.kids:
+            if isinstance(cell, str) or not cell.hidden:
+                out.end()
+                yield render(cell.kids if not isinstance(cell, str) and cell.tag in ("td", "th") else [cell], out, depth + 1)
+        out.end()
+
+
+def table_lines(node: Element, depth: int, nested: int, out: list[str]) -> Steps:
     """Rows of a table with cells padded to their columns; text outside cells stands before the rows."""
-    stray = Element("#stray")
-    for kid in node.kids:
-        if isinstance(kid, str) and kid.strip() or not isinstance(kid, str) and not kid.hidden and kid.tag not in ("tr", "tbody", "thead", "tfoot", "form", "center", "colgroup", "col"):
-            stray.kids.append(kid)
-    head = cell_lines(stray, depth + 1) if stray.kids else []
+    stray, parts = table_parts(node)
+    if stray:
+        yield cell_lines(stray, depth + 1, nested, out)
     rows = []
-    for row in rows_of(node):
+    for row in parts:
         cells = []
         for cell in row.kids:
             if isinstance(cell, str):
                 if cell.strip():
                     cells.append(([BLANK.sub(" ", cell).strip()], 1))
             elif not cell.hidden:
-                holder = cell if cell.tag in ("td", "th") else None
-                if holder is None:
-                    holder = Element("td")
-                    holder.kids.append(cell)
-                span = holder.attrs.get("colspan", "1")
-                cells.append((cell_lines(holder, depth + 1), min(int(span), 100) if span.isdecimal() and int(span[:4]) else 1))
+                own = cell.tag in ("td", "th")
+                lines: list[str] = []
+                yield cell_lines(cell.kids if own else [cell], depth + 1, nested, lines)
+                span = cell.attrs.get("colspan", "1") if own else "1"
+                cells.append((lines, min(int(span), 100) if span.isdecimal() and int(span[:4]) else 1))
         rows.append(cells)
     widths: list[int] = []
     for cells in rows:
@@ -283,16 +370,14 @@ def table_lines(node: Element, depth: int) -> list[str]:
             if span == 1:
                 widths[col] = max(widths[col], *map(len, lines))
             col += span
-    out = list(head)
     for cells in rows:
         for k in range(max((len(lines) for lines, _ in cells), default=0)):
-            col, parts = 0, []
+            col, line = 0, []
             for lines, span in cells:
                 width = sum(widths[col : col + span]) + 2 * (span - 1)
-                parts.append((lines[k] if k < len(lines) else "").ljust(width))
+                line.append((lines[k] if k < len(lines) else "").ljust(width))
                 col += span
-            out.append("  ".join(parts).rstrip())
-    return out
+            out.append("  ".join(line).rstrip())
 
 
 def visible_text(source: str | None) -> str | None:
@@ -300,7 +385,7 @@ def visible_text(source: str | None) -> str | None:
     if source is None:
         return None
     out = Lines()
-    render(parse(source), out)
+    walk(render(parse(source).kids, out))
     out.end()
     lines = out.done
     while lines and not lines[-1]:

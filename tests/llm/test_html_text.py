@@ -37,6 +37,35 @@ def test_stray_quotes():
     assert visible_text("<a href='>'>z</a><a href = \">\">y</a><img alt=a=\"b>c") == "zyc"
 
 
+TABLES = {
+    "<table><thead><th>Name<th>Age<tr><td>a<td>b</table>": "Name  Age\na     b", "<table><tbody><td>x</table>y": "x\n\ny", "<table><td>a<td>b<tr><td>c</table>": "a  b\nc",
+    "<table><tbody>loose<tr><td>a</table>": "loose\na", "<table><form><p>f</p><tr><td>a</form></table>": "f\na", "<table><colgroup>k<tr><td>a</table>": "k\na",
+    "<table><tr><td><div>a<td>b</table>": "a  b", "<table><tr><td>a<template><tr><td>no</template>b<td>c</table>": "ab  c",
+}
+
+
+@pytest.mark.parametrize("page", list(TABLES))
+def test_all_text_of_tables(page):
+    assert visible_text(page) == TABLES[page]
+
+
+def test_shown_elements():
+    assert visible_text("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>") == "x=1"
+    assert visible_text("<svg><title>no</title><defs><text>no</text></defs><text>one</text><text>two</text></svg>") == "one\ntwo"
+    assert visible_text("<p aria-hidden=true>a<svg><style>b{}</style></svg>") == "a"
+    assert visible_text("<head><title>t</title><p>seen") == "seen" and visible_text("<head>seen") == "seen"
+
+
+def test_any_depth():
+    deep = "<b>" * 300
+    assert visible_text(deep + "<i hidden>no</i><u style='display:none'>no</u>a</i></b>b") == "ab"
+    assert visible_text("<ul><li>out" + deep + "<li>x</li></ul>" + "y") == "* out\n* x\n\ny"
+    assert visible_text("<div>" * 300 + "<p>a</p><p>b</p>" + "</div>" * 300 + "<p>c") == "a\n\nb\n\nc"
+    assert visible_text("<font>" * 100000 + "x" + "</i>" * 10000) == "x"
+    assert visible_text("<table><tr><td>x<td>" * 3000).split() == ["x"] * 3000
+    assert visible_text("<blockquote>x" * 20000).split() == ["x"] * 20000
+
+
 def test_deep_and_long():
     assert visible_text("<div>" * 5000 + "x") == "x"
     assert visible_text("<ul><li>" * 2000 + "x").endswith("x")
