@@ -1,10 +1,11 @@
 """Personal data: patterns, and terms that give a protected value away, in DataFrame functions only.
 
-Values found by the patterns are the protected entities.  Over the whole corpus, a term near an entity is judged by
-its pointwise mutual information with it: ``PMI(e; t) = log2(p(e, t) / (p(e) p(t)))`` against what the entity itself
-carries, ``IC(e) = -log2 p(e)``.  A term that discloses at least ``share`` of that information, in at least ``contexts``
-different surroundings, is found in every document that mentions the entity: it is removed if it discloses everything,
-else generalised.  Copies of one passage are one surrounding, so a term is not blamed for being copied along.
+Values found by the patterns are the protected entities.  Every term of a document that mentions an entity, of any length
+and at any distance, is judged over the whole corpus by its pointwise mutual information with it:
+``PMI(e; t) = log2(p(e, t) / (p(e) p(t)))`` against what the entity itself carries, ``IC(e) = -log2 p(e)``.  A term that
+discloses at least ``share`` of that information, in at least ``contexts`` documents of different terms, is found in every
+document that mentions the entity: it is removed if it discloses everything, else generalised.  Copies of one document
+are one of these documents, so a term is not blamed for being copied along.
 
 Only documents with a protected value are joined with their terms; all others pass with a projection.
 """
@@ -31,8 +32,6 @@ OCTETS = rf"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{{1,2}})\.){{3}}0*(?:2
 TERM = r"[\p{L}\p{N}]++"
 GAP = r"[^\p{L}\p{N}]+"
 SPAN = "array<struct<s:int,k:int,e:int,v:string>>"
-REACH = 80  # characters on either side of a value that are searched for terms
-NEAR = 5  # terms on either side
 
 
 def digits(m: Column) -> Column:
@@ -79,27 +78,26 @@ def terms(text: Column) -> Column:
 
 
 def mentions(found: DataFrame) -> DataFrame:
-    """``key, entity, context, term``: the terms around every protected value."""
-    at = found.select("key", "text", F.explode("base").alias("b"))
-    left = terms(F.substring("text", F.greatest(F.col("b.s") - REACH, F.lit(0)) + 1, F.least(F.col("b.s"), F.lit(REACH))))
-    right = terms(F.substring("text", F.col("b.e") + 1, F.lit(REACH)))
-    left = let(left, lambda x: F.slice(x, F.greatest(F.size(x) - NEAR + 1, F.lit(1)), NEAR))
-    around = at.select("key", F.struct(F.col("b.k").alias("k"), F.when(F.col("b.k") > 0, digits(F.col("b.v"))).otherwise(F.lower("b.v")).alias("v")).alias("entity"),
-                       F.concat(left, F.slice(right, 1, NEAR)).alias("near"))
-    return around.select("key", "entity", F.xxhash64("near").alias("context"), F.explode_outer(F.filter(F.array_distinct("near"), lambda w: F.length(w) > 2)).alias("term"))
+    """``key, words, context, entity``: every different value of every row, with the row's terms; rows of equal terms are one context."""
+    value = lambda b: F.struct(b["k"].alias("k"), F.when(b["k"] > 0, digits(b["v"])).otherwise(F.lower(b["v"])).alias("v"))
+    rows = found.select("key", F.array_sort(F.array_distinct(terms(F.col("text")))).alias("words"), F.array_distinct(F.transform("base", value)).alias("entities"))
+    return rows.select("key", "words", F.xxhash64("words").alias("context"), F.explode("entities").alias("entity"))
 
 
-def disclosing_terms(docs: DataFrame, near: DataFrame, share: float, contexts: int) -> DataFrame:
+def disclosing_terms(docs: DataFrame, seen: DataFrame, share: float, contexts: int) -> DataFrame:
     """``entity, term, all``: terms that disclose an entity; ``all``: completely.
 
-    Every figure counts all documents: df(t) of the whole corpus, df(e) and df(e, t) of all mentions.
+    Every figure counts rows, whole texts of all of them: df(t) of the corpus, df(e) and df(e, t) of those that mention the entity.
+    An entity in fewer than ``contexts`` contexts has no term in so many, so its terms are not listed.
     """
     total = docs.select(F.count(F.lit(1)).alias("n"))
-    ent = near.groupBy("entity").agg(F.count_distinct("key").alias("df_e"))
-    both = near.where("term IS NOT NULL").groupBy("entity", "term").agg(F.count_distinct("context").alias("c"), F.count_distinct("key").alias("co")).where(F.col("c") >= contexts)
+    ent = seen.groupBy("entity", "context").agg(F.count("*").alias("m")).groupBy("entity").agg(F.count("*").alias("c"), F.sum("m").alias("df_e"))
+    ent = ent.where(F.col("c") >= contexts).select("entity", "df_e")
+    groups = seen.join(ent, "entity").groupBy("entity", "df_e", "context").agg(F.count("*").alias("m"), F.first("words").alias("words"))
+    both = groups.select("entity", "df_e", "m", F.explode("words").alias("term")).groupBy("entity", "df_e", "term").agg(F.count("*").alias("c"), F.sum("m").alias("co"))
     words = docs.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
     n = total.scalar().cast("double")
-    joined = both.join(ent, "entity").join(words, "term")
+    joined = both.where(F.col("c") >= contexts).join(words, "term")
     pmi = F.log2(F.col("co") * n / (F.col("df_t") * F.col("df_e")))
     ic = F.log2(n / F.col("df_e"))
     return joined.where((ic > 0) & (pmi >= ic * share)).select("entity", "term", (F.col("co") == F.col("df_t")).alias("all"))
@@ -117,9 +115,9 @@ def sanitise(docs: DataFrame, share: float = 0.8, contexts: int = 3, id_col: str
     found = src.withColumn("base", base_spans(F.coalesce("text", F.lit(""))))
     none = F.array().cast("array<struct<term:string,all:boolean>>")
     hits = found.where(F.size("base") > 0).withColumn("key", F.xxhash64("doc_id", "text"))
-    near = mentions(hits.select("key", "text", "base"))
-    risky = disclosing_terms(src.select("text"), near, share, contexts)
-    per_doc = near.select("key", "entity").distinct().join(risky, "entity").groupBy("key").agg(
+    seen = mentions(hits.select("key", "text", "base"))
+    risky = disclosing_terms(src.select("text"), seen, share, contexts)
+    per_doc = seen.select("key", "entity").distinct().join(risky, "entity").groupBy("key").agg(
         F.collect_set(F.struct("term", F.col("all").alias("all"))).alias("risky"))  # bounded by the values of one document
     hits = hits.join(per_doc, "key", "left").drop("key").withColumn("risky", F.coalesce("risky", none))
     clean = found.where(F.size("base") == 0).select("doc_id", "in", "base", F.array().cast(SPAN).alias("added"), F.col("text").alias("clean_text"))

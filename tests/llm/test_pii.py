@@ -1,5 +1,11 @@
 """Pattern spans against Python's matcher, and terms that disclose."""
 
+import math
+import random
+import re
+
+from pyspark.sql import functions as F
+
 from specband.llm import pii
 from tests.llm import brute
 
@@ -34,6 +40,32 @@ def test_clean_text_and_terms(make):
     assert spans[10].startswith("term:0:7,email:") and spans[11] == ""
 
 
+def test_terms_anywhere_and_of_any_length(make):
+    gap = lambda i: " ".join(f"g{i}x{k}" for k in range(30))
+    docs = [(i, f"Merganser Li {gap(i)} write to a.b@c.org") for i in range(5)] + [(10 + i, f"a.b@c.org Garganey {gap(i + 5)} the end") for i in range(3)]
+    docs += [(13 + i, f"a.b@c.org {gap(i + 8)} far off Garganey the end") for i in range(5)] + [(100 + i, f"the end {i}") for i in range(200)]
+    out = {r.doc_id: r.clean_text for r in pii.sanitise(make(docs)).collect()}
+    assert all("Merganser" not in out[i] and "Li" not in out[i].split() and gap(i) in out[i] for i in range(5))
+    assert all("Garganey" not in out[10 + i] for i in range(8)) and out[10].endswith("the end")
+
+
+def test_terms_against_plain_counting(make):
+    r = random.Random(3)
+    docs = [(i, " ".join(r.choice("abcdefghijklmnopqrstuvwxyz") + r.choice("xyz漢é") for _ in range(r.randrange(4, 30))) + r.choice(["", " m1@x.org", " m2@x.org m1@x.org", " 8.8.8.8 m2@x.org"])) for i in range(60)]
+    docs += docs[:7] + [(100 + i, docs[3][1]) for i in range(4)]
+    seen = [(set(re.findall(r"\w+", t)), {m for m in re.findall(r"m\d@x.org|8\.8\.8\.8", t)}) for _, t in docs]
+    want = set()
+    for e in ("m1@x.org", "m2@x.org", "8.8.8.8"):
+        mine = [w for w, es in seen if e in es]
+        for t in set().union(*mine):
+            co, df, kinds = sum(t in w for w in mine), sum(t in w for w, _ in seen), len({frozenset(w) for w in mine if t in w})
+            if kinds >= 3 and math.log2(co * len(docs) / (df * len(mine))) >= 0.8 * math.log2(len(docs) / len(mine)):
+                want.add((e.replace(".", "") if e[0] == "8" else e, t, co == df))
+    df = make(docs).withColumn("key", F.col("doc_id")).withColumn("base", pii.base_spans(F.col("text"))).where(F.size("base") > 0)
+    got = pii.disclosing_terms(make(docs).select("text"), pii.mentions(df), 0.8, 3).collect()
+    assert want and {(g.entity.v, g.term, g["all"]) for g in got} == want
+
+
 def test_copies_are_one_context(make):
     docs = [(i, "Kestrel lives at a.b@c.org now") for i in range(9)] + [(20 + i, f"word{i}") for i in range(9)]
     assert all(not r.added for r in pii.sanitise(make(docs)).collect())
