@@ -76,3 +76,12 @@ def test_empty(make, spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert docs.count() == 0
+
+
+def test_rows_that_share_an_id(make, spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(1, text(1)), (2, text(1)), (2, text(2)), (3, text(3)), (3, text(4)), (3, text(4)), (4, text(3) + " more"), (5, " "), (5, " "), (None, text(1)), (6, text(5)), (6, text(5) + " end")]
+    out = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, make(rows, extra=False), "").collect()]
+    six = [t for d, t in out if d == 6]
+    assert len(six) == 1 and six[0] in (text(5), text(5) + " end")
+    assert sorted((r for r in out if r[0] != 6), key=str) == sorted([(1, text(1)), (2, text(2)), (3, text(3)), (3, text(4)), (5, " "), (5, " "), (None, text(1))], key=str)
