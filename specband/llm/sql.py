@@ -63,6 +63,25 @@ SELECT dw.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
 FROM dw LEFT JOIN wd ON wd.doc_id = dw.doc_id LEFT JOIN it ON it.doc_id = dw.doc_id
 """
 
+DIVERGENCE = rf"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), {AZ}) AS t FROM documents),
+x AS (SELECT i, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+v AS (SELECT lang, term, count(*) AS n FROM x GROUP BY lang, term HAVING count(DISTINCT i) >= 30),
+z AS (SELECT lang, count(*) AS size, sum(n) AS whole FROM v GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM x GROUP BY ALL),
+f AS (SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n, v.n AS n_lang FROM g JOIN v ON v.lang = g.lang
+      LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+s AS (SELECT lang, source, sum(n) AS total FROM f GROUP BY lang, source),
+p AS (SELECT f.lang, f.source, term, n, 1 + 1000000000::HUGEINT * (n + 5) // (total + 5 * size) AS p, 1 + 1000000000::HUGEINT * (n_lang + 5) // (whole + 5 * size) AS q
+      FROM f JOIN s ON s.lang = f.lang AND s.source = f.source JOIN z ON z.lang = f.lang),
+e AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(e.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN e ON e.lang = a.lang AND e.source = a.source AND e.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM o QUALIFY part = 'pair' OR rank <= 50
+"""
+
 
 def quality(r: Rules = Rules()) -> str:
     boiler = " OR ".join(f"contains(lower(l), '{p}')" for p in BOILERPLATE)
