@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from specband.llm import decontaminate as winnow, html_text as pages, ngram_join as grams, pieces, pii, quality_classifier as classifier, quality_rules as rules, source_divergence as divergence, substring_dedup as passages, suffix_dedup as suffixes, token_counts as counting
+from specband.llm import alignment, decontaminate as winnow, html_text as pages, ngram_join as grams, pieces, pii, quality_classifier as classifier, quality_rules as rules, source_divergence as divergence, substring_dedup as passages, suffix_dedup as suffixes, token_counts as counting
 from specband.llm import sql
 from specband.llm.common import table
 
@@ -83,3 +83,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_source_divergence", sql.DIVERGENCE)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+@query("op11_tokenizer_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.tokenizer_alignment(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
