@@ -22,6 +22,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +64,8 @@ class Pair:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)}
         self.bound = sum(map(len, self.a_bytes.values())) + sum(map(len, self.b_bytes.values()))
+        self.a_table, self.b_table = Spelling(self.a_bytes), Spelling(self.b_bytes)
+        self.digits = [[f"{i}{mark}" for i in range(max(len(self.a_table.size), len(self.b_table.size)))] for mark in ",|;"]
         with open(a_path, encoding="utf-8") as f:
             spec = json.load(f)
         before = spec.get("pre_tokenizer") or {}
@@ -80,6 +83,57 @@ def pair(a_path: str, b_path: str) -> Pair:
     return Pair(a_path, b_path)
 
 
+def gather(values: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``values[at[r]:at[r + 1]]`` of the rows one after another, and their bounds."""
+    size = at[rows + 1] - at[rows]
+    ends = np.cumsum(size)
+    index = np.arange(ends[-1] if len(ends) else 0) + np.repeat(at[rows] - (ends - size), size)
+    return values[index], np.r_[0, ends].astype(np.int64)
+
+
+def flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids one after another, and the bounds of the texts."""
+    at = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int64)
+    return np.fromiter(chain.from_iterable(ids), np.int64, at[-1]), at
+
+
+class Spelling:
+    """Bytes of all tokens of a vocabulary."""
+
+    def __init__(self, of: dict[int, bytes]) -> None:
+        every = [of.get(i, b"") for i in range(max(of) + 1)]
+        self.size = np.array([len(x) for x in every], np.int64)
+        self.at, self.bytes = np.r_[0, np.cumsum(self.size)], np.frombuffer(b"".join(every), np.uint8)
+
+    def spells(self, ids: np.ndarray, at: np.ndarray, texts: list[bytes]) -> np.ndarray:
+        """Whether the tokens of a text, joined, are its bytes."""
+        ends = np.r_[0, np.cumsum(self.size[ids])][at]
+        same = np.diff(ends) == np.array([len(t) for t in texts], np.int64)
+        if same.all():
+            got, want = gather(self.bytes, self.at, ids)[0], np.frombuffer(b"".join(texts), np.uint8)
+            if np.array_equal(got, want):
+                return same
+            off = np.r_[0, np.cumsum(got != want)]
+            return off[ends[1:]] == off[ends[:-1]]
+        here = np.flatnonzero(same)
+        if len(here):
+            sub, bounds = gather(ids, at, here)
+            same[here] = self.spells(sub, bounds, [texts[k] for k in here])
+        return same
+
+
+def shown(a_id: np.ndarray, a_at: np.ndarray, i: np.ndarray, b_id: np.ndarray, b_at: np.ndarray, j: np.ndarray, digits: list[list[str]]) -> list[str]:
+    """Per text its groups as ``a1,a2|b1;a3|b2,b3;``, from the links (i, j) that end them; ``digits`` spells ids with each separator."""
+    group = np.r_[2 * np.searchsorted(i, np.arange(len(a_id))), 2 * np.searchsorted(j, np.arange(len(b_id))) + 1]
+    order = np.argsort(group, kind="stable")
+    group, ids = group[order], np.r_[a_id, b_id][order]
+    step = np.diff(np.r_[group, group[-1:] + 2])  # 0: same side of a group, 1: from A to B, else the next group
+    kind = np.where(step == 0, 0, np.where((step == 1) & (group % 2 == 0), 1, 2))
+    words = [digits[k][x] for k, x in zip(kind.tolist(), ids.tolist())]
+    at = (a_at + b_at).tolist()
+    return ["".join(words[x:y]) for x, y in zip(at, at[1:])]
+
+
 def lockstep(a_end: np.ndarray, a_at: np.ndarray, b_end: np.ndarray, b_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices (into A, into B) of all tokens of a text that end at the same byte.
 
@@ -128,19 +182,17 @@ class Parts:
     def merge(self, texts: list[str]) -> None:
         p = self.pair
         a, b = p.ids(texts)
-        for k, t in enumerate(texts):  # a text whose bytes a tokenizer changes has no tokens
-            want = b" " + t.encode()
-            if b"".join([p.a_bytes.get(i, b"?") for i in a[k]]) != want or b"".join([p.b_bytes[i] for i in b[k]]) != want:
-                a[k], b[k] = [], []
-        flat = lambda ids, of: (np.array([i for x in ids for i in x], np.int64), np.cumsum([len(of[i]) for x in ids for i in x], dtype=np.int64), np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int64))
-        (a_id, a_end, a_at), (b_id, b_end, b_at) = flat(a, p.a_bytes), flat(b, p.b_bytes)
-        total = np.r_[0, a_end][a_at]  # equal byte ends of both: the joined bytes are the same
+        raw = [b" " + t.encode() for t in texts]
+        (a_id, a_at), (b_id, b_at) = flat(a), flat(b)
+        good = p.a_table.spells(a_id, a_at, raw) & p.b_table.spells(b_id, b_at, raw)
+        if not good.all():  # a text whose bytes a tokenizer changes has no tokens
+            (a_id, a_at), (b_id, b_at) = (flat([x if ok else [] for x, ok in zip(ids, good)]) for ids in (a, b))
+        a_end, b_end = np.cumsum(p.a_table.size[a_id]), np.cumsum(p.b_table.size[b_id])
+        total = np.r_[0, a_end][a_at]  # the same byte ends in both: the joined bytes are equal
         marks = np.unique(np.concatenate([total, np.arange(0, total[-1], LANE)]))
         i, j = lockstep(a_end, lanes(a_end, marks), b_end, lanes(b_end, marks))
         links = np.searchsorted(i, a_at)
-        show = lambda ids, ends, cuts: [",".join(x) for x in np.split(np.array(ids, dtype=str), cuts + 1)[:-1]] if len(cuts) else []
-        groups = [f"{x}|{y}" for x, y in zip(show(a_id, a_end, i), show(b_id, b_end, j))]
-        self.shown += [";".join(groups[links[k]:links[k + 1]]) for k in range(len(texts))]
+        self.shown += shown(a_id, a_at, i, b_id, b_at, j, p.digits)
         sizes = np.stack([np.diff(a_at), np.diff(b_at), np.diff(links)], 1)
         sizes[sizes[:, 2] == 0] = -1
         self.sizes = np.concatenate([self.sizes, sizes])
@@ -156,14 +208,6 @@ class Parts:
         return np.fromiter(map(self.number.__getitem__, texts), np.int64, len(texts))
 
 
-def gather(values: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The runs ``values[at[r]:at[r + 1]]`` of the rows one after another, and their bounds."""
-    size = at[rows + 1] - at[rows]
-    ends = np.cumsum(size)
-    index = np.arange(ends[-1] if len(ends) else 0) + np.repeat(at[rows] - (ends - size), size)
-    return values[index], np.r_[0, ends].astype(np.int64)
-
-
 def aligned(texts: list[str], parts: Parts) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
     """Per text: A tokens, B tokens and links; the digest; and all linked pairs with their bounds."""
     if parts.held > CACHE_BYTES:
@@ -179,8 +223,10 @@ def aligned(texts: list[str], parts: Parts) -> tuple[np.ndarray, list[str], np.n
         bounds = np.r_[0, np.cumsum([len(x) for x in pieces])].astype(np.int64)
     sums = np.concatenate([np.zeros((1, 3), np.int64), np.cumsum(np.maximum(parts.sizes[place], 0), axis=0)])
     counts = sums[bounds[1:]] - sums[bounds[:-1]]
-    shown = [";".join([parts.shown[q] for q in place[bounds[k]:bounds[k + 1]]]) for k in range(len(texts))]
-    digest = [hashlib.sha256(s.encode()).hexdigest() if s else "" for s in shown]
+    words = list(map(parts.shown.__getitem__, place.tolist()))
+    at = bounds.tolist()
+    joint = ["".join(words[x:y]) for x, y in zip(at, at[1:])]
+    digest = [hashlib.sha256(s[:-1].encode()).hexdigest() if s else "" for s in joint]
     pairs, inner = gather(parts.pairs, parts.at, place)
     return counts, digest, pairs, inner[bounds]
 
