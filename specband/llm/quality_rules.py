@@ -14,7 +14,7 @@ from specband.llm.common import id_text
 
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-# Openings and phrases of boilerplate lines, lower case.
+# Phrases of boilerplate lines, lower case: this library's own choice.
 BOILERPLATE = (
     "licensed under the", "all rights reserved", "copyright (c)", "terms of service", "terms of use", "privacy policy", "cookie policy",
     "accept cookies", "use of cookies", "enable javascript", "lorem ipsum", "click here to", "subscribe to our", "sign up for our",
@@ -57,10 +57,10 @@ def repeated_words(ws: Column) -> Column:
                            lambda acc: acc["n"])
 
     def windows(ws: Column) -> Column:
-        two = F.slice(ws, 2, F.greatest(F.size(ws) - 1, F.lit(0)))
-        three = F.slice(ws, 3, F.greatest(F.size(ws) - 2, F.lit(0)))
-        hashed = F.transform(F.arrays_zip(ws.alias("a"), two.alias("b"), three.alias("c")), lambda z, i: F.struct(F.xxhash64(z["a"], z["b"], z["c"]).alias("h"), i.alias("i")))
-        return F.array_sort(F.slice(hashed, 1, F.size(ws) - 2))
+        return F.transform(F.slice(ws, 1, F.size(ws) - 2), lambda w, i: F.xxhash64(w, ws[i + 1], ws[i + 2]))
+
+    def placed(h: Column) -> Column:
+        return F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
 
     def repeats(s: Column) -> Column:
         prev = F.concat(F.array(F.lit(None).cast("bigint")), s["h"])
@@ -69,7 +69,11 @@ def repeated_words(ws: Column) -> Column:
         hit = F.filter(pairs, lambda z: F.coalesce(z["s"]["h"] == z["p"], F.lit(False)) | F.coalesce(z["s"]["h"] == z["q"], F.lit(False)))
         return F.array_sort(F.transform(hit, lambda z: z["s"]["i"]))
 
-    return F.when(F.size(ws) < 3, F.lit(0).cast("bigint")).otherwise(let(windows(ws), lambda s: let(repeats(s), covered)))
+    def counted(h: Column) -> Column:
+        # most texts repeat no window: only the others are sorted
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("bigint")).otherwise(let(placed(h), lambda s: let(repeats(s), covered)))
+
+    return F.when(F.size(ws) < 3, F.lit(0).cast("bigint")).otherwise(let(windows(ws), counted))
 
 
 def count_of(text: Column, chars: str) -> Column:
@@ -77,22 +81,39 @@ def count_of(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
+NAVIGATION = "|»›•"
+
+
+def holds(text: Column, parts) -> Column:
+    found = F.lit(False)
+    for part in parts:
+        found = found | F.contains(text, F.lit(part))
+    return found
+
+
+def suspicious(text: Column, rules: Rules = Rules()) -> Column:
+    """False only for texts none of whose lines can fail: what every failing line needs is looked for in the whole text.
+
+    A line without k capitals in a row (other signs between them do not count) has at most (k - 1) / k of its letters and one more as
+    capitals, so under the default thresholds a shouting line has three.
+    """
+    share = lambda k: (k - 1) / k * (1 + 1 / rules.min_shout_letters) * 100
+    capitals = r"[^\p{L}]*".join([r"\p{Lu}"] * max([k for k in (1, 2, 3) if share(k) <= rules.upper_percent], default=0))
+    return (count_of(text, SYMBOLS) > 2) | holds(text, NAVIGATION) | F.rlike(text, F.lit(capitals)) | holds(F.lower(text), BOILERPLATE)
+
+
 def line_verdicts(text: Column, rules: Rules = Rules()) -> Column:
-    """Array of (line, kept) structs, one per line of the text."""
+    """Array of (line, kept) structs, one per line of the text; dear conditions stand behind cheap ones that they imply."""
 
     def judge(line: Column) -> Column:
-        n_words = F.size(F.split(F.trim(line), SPACES))
         symbols = count_of(line, SYMBOLS)
         letters = F.length(F.regexp_replace(line, r"[^\p{L}]+", ""))
         upper = F.length(F.regexp_replace(line, r"[^\p{Lu}]+", ""))
-        low = F.lower(line)
-        nav = count_of(line, "|»›•") >= rules.nav_cells
-        punctuation = symbols > rules.line_symbols_per_word * n_words + 2
-        shout = (letters >= rules.min_shout_letters) & (upper * 100 > letters * rules.upper_percent)
-        boiler = F.lit(False)
-        for phrase in BOILERPLATE:
-            boiler = boiler | F.contains(low, F.lit(phrase))
-        return F.struct(line.alias("line"), (~(nav | punctuation | shout | (boiler & (F.length(line) < 200)))).alias("ok"))
+        nav = holds(line, NAVIGATION) & (count_of(line, NAVIGATION) >= rules.nav_cells)
+        punctuation = (symbols > 2) & (symbols > rules.line_symbols_per_word * F.size(F.split(F.trim(line), SPACES)) + 2)
+        shout = (F.length(line) >= rules.min_shout_letters) & (letters >= rules.min_shout_letters) & (upper * 100 > letters * rules.upper_percent)
+        boiler = (F.length(line) < 200) & holds(F.lower(line), BOILERPLATE)
+        return F.struct(line.alias("line"), (~(nav | punctuation | boiler | shout)).alias("ok"))
 
     return F.transform(F.split(text, "\n"), judge)
 
@@ -111,9 +132,10 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id
         F.length(F.regexp_replace("t", SPACES, "")).cast("bigint").alias("word_chars"), count_of(F.col("t"), SYMBOLS).cast("bigint").alias("n_symbols"),
         let(F.filter(F.split("t", "\n"), lambda x: F.length(F.regexp_replace(x, SPACES, "")) > 0),
             lambda ls: F.struct(F.size(ls).cast("bigint").alias("lines"), (F.size(ls) - F.size(F.array_distinct(ls))).cast("bigint").alias("dups"))).alias("l"),
-        let(line_verdicts(F.col("t"), rules), lambda v: F.struct(
+        F.when(suspicious(F.col("t"), rules), let(line_verdicts(F.col("t"), rules), lambda v: F.struct(
             F.aggregate(v, F.lit(0), lambda a, x: a + F.when(x["ok"], 0).otherwise(F.length(x["line"]))).alias("lost"),
-            F.array_join(F.transform(F.filter(v, lambda x: x["ok"]), lambda x: x["line"]), "\n").alias("clean"))).alias("v"))
+            F.array_join(F.transform(F.filter(v, lambda x: x["ok"]), lambda x: x["line"]), "\n").alias("clean")))).otherwise(
+            F.struct(F.lit(0).alias("lost"), F.col("t").alias("clean"))).alias("v"))
     n, rep = F.col("w.n_words"), F.col("w.n_repeat_words")
     failed = (n < rules.min_words) | (rep * 100 > n * rules.max_repeat_percent)
     lost = F.col("v.lost") * 100 > F.length("t") * rules.max_lost_percent
