@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from specband.llm import alignment, decontaminate as winnow, html_text as pages, ngram_join as grams, pieces, pii, quality_classifier as classifier, quality_rules as rules, source_divergence as divergence, substring_dedup as passages, suffix_dedup as suffixes, token_counts as counting
+from specband.llm import alignment, decontaminate as winnow, embedding_join as vectors, html_text as pages, ngram_join as grams, pieces, pii, quality_classifier as classifier, quality_rules as rules, source_divergence as divergence, substring_dedup as passages, suffix_dedup as suffixes, token_counts as counting
 from specband.llm import sql
 from specband.llm.common import table
 
@@ -80,6 +80,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+@query("op12_embedding_near_dedup", sql.VECTORS)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.embedding_join(table(spark, sf_dir, "embeddings"))
+
+
 @query("op13_source_divergence", sql.DIVERGENCE)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents"))

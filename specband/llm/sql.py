@@ -82,6 +82,17 @@ o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(e
 SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM o QUALIFY part = 'pair' OR rank <= 50
 """
 
+VECTORS = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (SELECT a.r AS u, b.r AS w FROM ok a JOIN ok b ON a.r < b.r AND list_cosine_similarity(a.e, b.e) >= 0.9),
+e AS (SELECT u, w FROM p UNION ALL SELECT w, u FROM p),
+n AS (SELECT u AS r, count(*) AS n FROM e GROUP BY u),
+x AS (SELECT r AS s, r AS u FROM v UNION SELECT x.s, e.w FROM x JOIN e ON x.u = e.u),
+m AS (SELECT x.s AS r, min(v.vec_id) AS low FROM x JOIN v ON v.r = x.u GROUP BY x.s)
+SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, m.low AS component_id, v.vec_id = m.low AS kept FROM v JOIN m ON m.r = v.r LEFT JOIN n ON n.r = v.r
+"""
+
 
 def quality(r: Rules = Rules()) -> str:
     boiler = " OR ".join(f"contains(lower(l), '{p}')" for p in BOILERPLATE)
