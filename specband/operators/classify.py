@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector
@@ -13,10 +10,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from specband.functions.columns import PIXEL, hash_order_key, let
-from specband.functions.scale import MAX_BROADCAST_ROWS, bounded_pandas, checked_broadcast, cut, ordinal, scalars
+from specband.functions.scale import bounded_pandas, checked_broadcast, cut, ordinal, scalars
 from specband.operators.compare import rect_join, roi_mapping
+from specband.operators.knn import neighbors
 from specband.operators.kmeans import Run, best_of, label as nearest_label, lockstep
-from specband.operators.stats import band_moments, moments, spectra_matrix
+from specband.operators.stats import moments
 
 
 # -- training rows ---------------------------------------------------------------------------------
@@ -44,120 +42,6 @@ def training_classes_filter(spectra: DataFrame, excluded: list[str], column: str
 
 # -- nearest neighbours ----------------------------------------------------------------------------
 
-def nearest(x: np.ndarray, t: np.ndarray, ids: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, training position and exact distance of the k nearest training rows, sorted by (row, distance, id).
-
-    Matrix products shortlist the candidates with a slack far above their rounding error; only the
-    shortlist is measured exactly.
-    """
-    if metric == "euclidean":
-        x2, t2 = (x * x).sum(1), (t * t).sum(1)
-        rough = x2[:, None] + t2[None, :] - 2 * x @ t.T
-        slack = 1e-9 * (x2 + (t2.max() if len(t2) else 0.0) + 1.0)
-    else:
-        rough = np.stack([np.abs(t - row).sum(1) for row in x]) if len(x) else np.zeros((0, len(t)))
-        slack = np.full(len(x), 1e-12)
-    if t.shape[0] > k:
-        limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + slack
-        r, c = np.nonzero(rough <= limit[:, None])
-    else:
-        r, c = (a.ravel() for a in np.indices(rough.shape))
-    diff = x[r] - t[c]
-    d = np.sqrt((diff * diff).sum(1)) if metric == "euclidean" else np.abs(diff).sum(1)
-    order = np.lexsort((ids[c], d, r))
-    return r[order], c[order], d[order]
-
-
-def first_k(r: np.ndarray, k: int) -> np.ndarray:
-    """Mask of the first k entries of every run in sorted ``r``."""
-    start = np.r_[0, np.flatnonzero(np.diff(r)) + 1] if len(r) else np.zeros(0, int)
-    pos = np.arange(len(r)) - np.repeat(start, np.diff(np.r_[start, len(r)]))
-    return pos < k
-
-
-def drop_surplus_copies(block: tuple[np.ndarray, np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of equal training spectra only the k smallest ids can ever be among k neighbours; the block is sorted by id."""
-    t, ids, cls = block
-    if not len(t):
-        return block
-    _, group = np.unique(t, axis=0, return_inverse=True)
-    group = group.ravel()
-    order = np.argsort(group, kind="stable")
-    keep = np.sort(order[first_k(group[order], k)])
-    return t[keep], ids[keep], cls[keep]
-
-
-def training_blocks(train: DataFrame, key: str, rows: int = MAX_BROADCAST_ROWS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Training rows as size-checked blocks (spectra, ids, classes): one block if small, else slices of an ordinal."""
-    cols = train.select(F.col(key).alias("id"), F.col("class").cast("int").alias("class"), "spectrum")
-
-    def arrays(pdf):
-        pdf = pdf.sort_values("id", kind="stable")
-        return np.array(pdf["spectrum"].tolist(), dtype=float), pdf["id"].to_numpy(np.int64), pdf["class"].to_numpy(np.int32)
-
-    small = bounded_pandas(cols, rows)
-    if small is not None:
-        yield arrays(small)
-        return
-    numbered = cut(ordinal(cols, ["id"], "__o"))
-    total = numbered.count()
-    for lo in range(0, total, rows):
-        yield arrays(numbered.where(F.col("__o").between(lo, lo + rows - 1)).drop("__o").toPandas())
-
-
-def neighbors(pixels: DataFrame, train: DataFrame, k: int, metric: str = "euclidean", scale: bool = True, key: str = "pixel_id",
-              block_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``pixels`` with the k nearest training rows as arrays ``nn_d, nn_id, nn_class`` (nearest first).
-
-    Pixels stay where they are.  Training rows come to them in blocks of bounded size; with several
-    blocks the running k best are merged block by block.
-    """
-    shift = None
-    if scale:
-        m = band_moments(train).first()
-        shift = (np.array(m["mean"]), np.array([s if s else 1.0 for s in m["std"]]))
-    names = [c for c in pixels.columns if c not in ("nn_d", "nn_id", "nn_class")]
-    ddl = ", ".join(f"`{n}` {dict(pixels.dtypes)[n]}" for n in names)
-    schema = f"{ddl}, nn_d ARRAY<DOUBLE>, nn_id ARRAY<BIGINT>, nn_class ARRAY<INT>"
-    at = names.index("spectrum")
-    sc = pixels.sparkSession.sparkContext
-
-    def mapper(shared, has_prior):
-        def run(batches):
-            t, ids, cls = shared.value
-            t = (t - shift[0]) / shift[1] if shift else t
-            step = max(1, 4_000_000 // max(len(t), 1))
-            for batch in batches:
-                x = spectra_matrix(batch.column(at))
-                x = (x - shift[0]) / shift[1] if shift and len(x) else x
-                parts = []
-                for lo in range(0, len(x), step):
-                    r, c, d = nearest(x[lo:lo + step], t, ids, k, metric)
-                    keep = first_k(r, k)
-                    parts.append((r[keep] + lo, d[keep], ids[c[keep]], cls[c[keep]]))
-                if has_prior and batch.num_rows:
-                    col = lambda i: batch.column(len(names) + i)
-                    sizes = np.diff(col(0).offsets.to_numpy())
-                    parts.append((np.repeat(np.arange(batch.num_rows), sizes), col(0).flatten().to_numpy(), col(1).flatten().to_numpy(), col(2).flatten().to_numpy()))
-                r, d, o, c = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0) for i in range(4))
-                order = np.lexsort((o, d, r))
-                r, d, o, c = r[order], d[order], o[order], c[order]
-                keep = first_k(r, k)
-                r, d, o, c = r[keep], d[keep], o[keep], c[keep]
-                off = pa.array(np.r_[0, np.cumsum(np.bincount(r.astype(int), minlength=batch.num_rows))].astype(np.int32))
-                lists = [pa.ListArray.from_arrays(off, pa.array(v)) for v in (d.astype(float), o.astype(np.int64), c.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))] + lists, names=names + ["nn_d", "nn_id", "nn_class"])
-        return run
-
-    out, seen = pixels.select(*names), 0
-    for block in training_blocks(train, key, block_rows):
-        if seen:
-            out = cut(out)
-        out = out.mapInArrow(mapper(sc.broadcast(drop_surplus_copies(block, k)), seen > 0), schema)
-        seen += 1
-    return out
-
-
 def votes(k: int, weights: str = "uniform") -> Column:
     """Neighbour arrays -> array of (class, weight) over the first k, classes ascending.
 
@@ -209,15 +93,13 @@ def stratified_folds(rows: DataFrame, key: str, folds: int = 5) -> DataFrame:
 
 def knn_cv(rows: DataFrame, ks: list[int], key: str = "pixel_id", folds: int = 5, weights: tuple[str, ...] = ("uniform",),
            metrics: tuple[str, ...] = ("euclidean",), scoring: str = "accuracy") -> DataFrame:
-    """Score per (metric, weights, k, fold).  One neighbour search up to max(ks) per fold serves every k."""
-    rows = cut(stratified_folds(rows, key, folds))
-    top, out = max(ks), None
+    """Score per (metric, weights, k, fold).  One search per metric serves all folds and every k: a row's neighbours come from outside its fold."""
+    rows, out = cut(stratified_folds(rows, key, folds)), None
     for metric in metrics:
-        for f in range(folds):
-            nn = neighbors(rows.where(F.col("fold") == f), rows.where(F.col("fold") != f), top, metric, False, key)
-            grid = F.array(*[F.struct(F.lit(w).alias("weights"), F.lit(k).alias("k"), vote_label(votes(k, w)).alias("pred")) for w in weights for k in ks])
-            part = nn.select("fold", "class", F.inline(grid)).withColumn("metric", F.lit(metric))
-            out = part if out is None else out.unionByName(part)
+        nn = neighbors(rows, rows, max(ks), metric, False, key, outside="fold")
+        grid = F.array(*[F.struct(F.lit(w).alias("weights"), F.lit(k).alias("k"), vote_label(votes(k, w)).alias("pred")) for w in weights for k in ks])
+        part = nn.select("fold", "class", F.inline(grid)).withColumn("metric", F.lit(metric))
+        out = part if out is None else out.unionByName(part)
     per = out.groupBy("metric", "weights", "k", "fold", "class").agg(
         F.sum(F.when(F.col("class") == F.col("pred"), 1).otherwise(0)).alias("ok"), F.count("*").alias("n"))
     score = {"accuracy": F.sum("ok") / F.sum("n"), "balanced_accuracy": F.avg(F.col("ok") / F.col("n"))}[scoring]

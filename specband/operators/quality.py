@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,18 +14,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from specband.functions.columns import PIXEL, hash_order_key
-from specband.functions.scale import MAX_BROADCAST_ROWS, checked_broadcast, cut, rank_rows, require_bounded, scalars
-from specband.operators.classify import training_blocks
+from specband.functions.blocks import Blocks, matrix, write_blocks
+from specband.functions.scale import checked_broadcast, cut, rank_rows, require_bounded, scalars
+from specband.operators.knn import BLOCK_ROWS
 from specband.operators.reshape import cluster_map
-from specband.operators.stats import spectra_matrix
 
 
 def silhouette(pixels: DataFrame, sample: int | None = None, key: str = "pixel_id", seed: int = 42, approx: bool = False,
-               block_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+               block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Mean silhouette with Euclidean distances over all rows, or on request over a reproducible sample.
 
-    Every row adds up its distances to each cluster while the reference rows pass by in blocks of bounded
-    size.  ``approx`` uses squared distances, which need the cluster sums only.
+    The rows are written once as blocks of one cluster each; every task adds up, block against block, the distances of its own rows to each
+    cluster, so one pass yields the value and no row passes the driver.  ``approx`` uses squared distances, which need the cluster sums only.
     """
     pts = pixels.select(key, F.col("cluster").cast("int").alias("cluster"), "spectrum")
     if approx:
@@ -33,43 +35,48 @@ def silhouette(pixels: DataFrame, sample: int | None = None, key: str = "pixel_i
     if sample is not None:
         pts = pts.orderBy(hash_order_key(key, seed), key).limit(sample)
     pts = cut(pts)
-    sizes = require_bounded(pts.groupBy("cluster").agg(F.count("*").alias("n")).orderBy("cluster"), "clusters")
-    ids, counts = sizes["cluster"].to_numpy(), sizes["n"].to_numpy(float)
-    if len(ids) < 2:
-        return pixels.sparkSession.createDataFrame([(0.0,)], "silhouette DOUBLE")
-    sc = pixels.sparkSession.sparkContext
-    schema = f"`{key}` {dict(pts.dtypes)[key]}, cluster INT, spectrum ARRAY<DOUBLE>, sums ARRAY<DOUBLE>"
-
-    def mapper(shared, has_prior):
-        def run(batches):
-            t, _, cls = shared.value
-            member = (cls[:, None] == ids[None, :]).astype(float)
-            for batch in batches:
-                x = spectra_matrix(batch.column(2))
-                s = np.zeros((batch.num_rows, len(ids)))
-                for i in range(0, batch.num_rows, 64):
-                    d = np.stack([np.sqrt(((t - row) ** 2).sum(1)) for row in x[i:i + 64]])
-                    s[i:i + 64] = d @ member
-                if has_prior and batch.num_rows:
-                    s = s + spectra_matrix(batch.column(3))
-                off = pa.array(np.arange(0, s.size + 1, len(ids), dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(3)] + [pa.ListArray.from_arrays(off, pa.array(s.ravel()))],
-                                                 names=[key, "cluster", "spectrum", "sums"])
-        return run
-
-    out, seen = pts, 0
-    for block in training_blocks(pts.withColumnRenamed("cluster", "class"), key, block_rows):
-        out = cut(out) if seen else out
-        out = out.mapInArrow(mapper(sc.broadcast(block), seen > 0), schema)
-        seen += 1
-    entries = F.zip_with(F.zip_with("sums", F.lit(counts.tolist()), lambda s, n: F.struct(s.alias("s"), n.alias("n"))),
-                         F.lit([int(i) for i in ids]), lambda e, i: F.struct(e["s"].alias("s"), e["n"].alias("n"), i.alias("i")))
-    own = F.filter(entries, lambda e: e["i"] == F.col("cluster"))[0]
-    b = F.array_min(F.transform(F.filter(entries, lambda e: e["i"] != F.col("cluster")), lambda e: e["s"] / e["n"]))
-    r = out.select(own.alias("o"), b.alias("b"))
-    a = F.col("o.s") / F.nullif(F.col("o.n") - 1, F.lit(0.0))
-    sil = F.when(F.col("o.n") <= 1, 0.0).otherwise((F.col("b") - a) / F.nullif(F.greatest(a, F.col("b")), F.lit(0.0)))
-    return r.agg(F.avg(F.coalesce(sil, F.lit(0.0))).alias("silhouette"))
+    order = F.xxhash64(key)
+    placed = pts.select(F.col("cluster").alias("part"), F.lit(0.0).alias("at"), order.alias("id"), F.lit(0).alias("tag"), F.col("cluster").alias("label"), "spectrum")
+    folder = write_blocks(placed.repartitionByRange("part", "id").sortWithinPartitions("part", "id"), block_rows, "silhouette")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.collect()
+        blocks = None
+        for batch in batches:
+            if blocks is None:
+                blocks = Blocks(folder)
+                ranges = blocks.ranges()
+                ids, part = np.unique(ranges["part"], return_inverse=True)
+                counts = np.bincount(part, ranges["n"], len(ids))
+            x, cls = matrix(batch.column(1)), np.searchsorted(ids, batch.column(0).to_numpy())
+            sums = np.zeros((len(x), len(ids)))
+            for block, c in zip(ranges["block"], part):
+                t = blocks.read(int(block))[0]
+                step = max(1, 4_000_000 // len(t))
+                for lo in range(0, len(x), step):
+                    sums[lo:lo + step, c] += exact_distances(x[lo:lo + step], t).sum(1)
+            rows, n = np.arange(len(x)), counts[cls]
+            if len(ids) < 2:
+                value = np.zeros(len(x))
+            else:
+                a = sums[rows, cls] / np.maximum(n - 1, 1)
+                mean = sums / counts
+                mean[rows, cls] = np.inf
+                b = mean.min(1, initial=np.inf)
+                top = np.maximum(a, b)
+                value = np.where((n > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0.0)
+            yield pa.RecordBatch.from_arrays([pa.array(value)], names=["v"])
+
+    return pts.select("cluster", "spectrum").mapInArrow(run, "v double").agg(F.coalesce(F.avg("v"), F.lit(0.0)).alias("silhouette"))
+
+
+def exact_distances(x: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Euclidean distances band by band: sums of squares without the cancellation of a matrix product."""
+    total = np.zeros((len(x), len(t)))
+    for b in range(x.shape[1]):
+        d = x[:, b, None] - t[None, :, b]
+        total += d * d
+    return np.sqrt(total)
 
 
 def centroids(pixels: DataFrame) -> DataFrame:
