@@ -80,54 +80,61 @@ def ordinal(df: DataFrame, order: Sequence[str | Column], name: str = "ordinal")
     )
 
 
+LOG_BINS, SUB_BINS = 256, 4096  # bins per factor e in the first round; sub-bins of a bin in the second
+
+
 def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
     """Exact linearly interpolated percentiles per group, as columns ``by + probs``.
 
-    Equal values collapse to counts before the shuffle (sensor data has few distinct
-    levels), the distinct values are range-partitioned, and running counts per
-    partition plus partition offsets locate the two neighbours of every percentile.
-    No task ever holds a whole group.
+    Selection by refining histograms.  Round one counts values per logarithmic bin, round two counts sub-bins of equal width, but only of
+    the bins that hold a wanted position, round three counts the single values of the sub-bins that hold one.  Counts combine in the tasks,
+    so what is shuffled are bin counts and, at last, a few values; nothing is sorted or written.  The binning functions never fall as the
+    value grows, so bins keep the order of the values.  Nulls and NaN are left out; a group without values has no row.
     """
     by = list(by)
-    v = F.col(value)
-    counts = (
-        df.where(v.isNotNull() & ~F.isnan(v.cast("double")))
-        .groupBy(*by, v.cast("double").alias("__v"))
-        .agg(F.count("*").alias("__n"))
-    )
-    placed = cut(
-        counts.repartitionByRange(*by, "__v")
-        .sortWithinPartitions(*by, "__v")
-        .withColumn("__p", F.shiftright(F.monotonically_increasing_id(), 33))
-    )
-    w_before = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    parts = placed.groupBy(*by, "__p").agg(F.sum("__n").alias("__t"))
-    parts = parts.select(
-        *by,
-        "__p",
-        F.coalesce(F.sum("__t").over(w_before), F.lit(0)).alias("__off"),
-        F.sum("__t").over(Window.partitionBy(*by)).alias("__total"),
-        "__t",
-    )
-    w_in = Window.partitionBy("__p", *by).orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    holds = F.lit(False)
-    for p in probs.values():
-        pos = F.lit(float(p)) * (F.col("__total") - 1)
-        for k in (F.floor(pos), F.ceil(pos)):
-            holds = holds | ((F.col("__off") <= k) & (k < F.col("__off") + F.col("__t")))
-    needed = parts.where(holds).select(*[F.col(b).alias(f"__by_{b}") for b in by], F.col("__p").alias("__q"), "__off", "__total")
-    located = (
-        placed.join(needed, _match(by), "inner")  # only partitions that hold a wanted position go on
-        .withColumn("__cum", F.sum("__n").over(w_in))
-        .withColumn("__hi", F.col("__off") + F.col("__cum"))
-        .withColumn("__lo", F.col("__hi") - F.col("__n"))
-    )
+    v = F.col("__v")
+    rows = df.select(*by, F.col(value).cast("double").alias("__v")).where(v.isNotNull() & ~F.isnan(v))
+    size = F.floor(F.least(F.log(F.abs(v)) * LOG_BINS, F.lit(2.0**40))) + (1 << 20)  # above 0 for every number but 0
+    rows = rows.withColumn("__b", F.when(v == 0, F.lit(0).cast("bigint")).when(v > 0, size).otherwise(-size))
+    tallies = [F.count("*").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")]
+
+    def placed(h: DataFrame, group: list[str], order: str, start: Column | None) -> DataFrame:
+        """Position of the first value of every bin, and the bins that hold a wanted position."""
+        w = Window.partitionBy(*group).orderBy(order)
+        before = F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        h = h.withColumn("__below", before if start is None else before + start)
+        if start is None:
+            h = h.withColumn("__total", F.sum("__n").over(Window.partitionBy(*group)))
+        holds = F.lit(False)
+        for p in probs.values():
+            pos = F.lit(float(p)) * (F.col("__total") - 1)
+            for k in (F.floor(pos), F.ceil(pos)):
+                holds = holds | ((F.col("__below") <= k) & (k < F.col("__below") + F.col("__n")))
+        return h.where(holds)
+
+    def matched(wanted: DataFrame) -> DataFrame:
+        """Rows in the wanted bins, beside what is known of the bin: few bins per group, so rows stay where they are."""
+        names = {c: f"__w{c}" for c in [*by, "__b"]}
+        side = checked_broadcast(wanted.withColumnsRenamed(names))
+        cond = F.col("__b") == F.col("__w__b")
+        for c in by:
+            cond = cond & F.col(c).eqNullSafe(F.col(f"__w{c}"))
+        return rows.join(side, cond).drop(*names.values())
+
+    width = F.col("__hi") - F.col("__lo")
+    part = F.when(width > 0, F.least(F.floor((v - F.col("__lo")) / width * SUB_BINS), F.lit(SUB_BINS - 1))).otherwise(F.lit(0).cast("bigint"))
+    first = placed(rows.groupBy(*by, "__b").agg(*tallies), by, "__b", None).drop("__n")
+    known = ["__lo", "__hi", "__below", "__total"]
+    second = matched(first).withColumn("__s", part).groupBy(*by, "__b", "__s", *known).agg(F.count("*").alias("__n"))
+    second = placed(second, [*by, "__b"], "__s", F.col("__below")).drop("__n").withColumnRenamed("__s", "__want")
+    third = matched(second).where(part == F.col("__want")).groupBy(*by, "__b", "__want", "__below", "__total", "__v").agg(F.count("*").alias("__n"))
+    found = placed(third, [*by, "__b", "__want"], "__v", F.col("__below"))
     aggs = []
     for name, p in probs.items():
         pos = F.lit(float(p)) * (F.col("__total") - 1)
         for tag, k in (("a", F.floor(pos)), ("b", F.ceil(pos))):
-            aggs.append(F.max(F.when((F.col("__lo") <= k) & (k < F.col("__hi")), F.col("__v"))).alias(f"__{tag}_{name}"))
-    picked = located.groupBy(*by).agg(F.max("__total").alias("__total"), *aggs)
+            aggs.append(F.max(F.when((F.col("__below") <= k) & (k < F.col("__below") + F.col("__n")), v)).alias(f"__{tag}_{name}"))
+    picked = found.groupBy(*by).agg(F.max("__total").alias("__total"), *aggs)
     out = []
     for name, p in probs.items():
         pos = F.lit(float(p)) * (F.col("__total") - 1)
@@ -136,13 +143,6 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[s
     return picked.select(*by, *out)
 
 
-def _match(by: Sequence[str]) -> Column:
-    cond = F.col("__p") == F.col("__q")
-    for b in by:
-        cond = cond & F.col(b).eqNullSafe(F.col(f"__by_{b}"))
-    return cond
-
-
 def argmax_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """First row of every group in ``order`` (built from orderable columns); partial aggregation, no sort.
 
