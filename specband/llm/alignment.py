@@ -16,6 +16,7 @@ both vocabularies together: the table of corpus-wide counts has that bound, what
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from specband.llm.common import SLICE_BYTES, binary, buffers, cut_runs, id_text, joined, shared_folder, slices
 
 LANE = 2048  # bytes of one text that one entry of the state vector walks through
-CACHE_BYTES = 16 << 20  # parts a task keeps
+CACHE_BYTES = 4 << 20  # parts a task keeps
 ENCODE = 4096  # parts handed to a library at once
 MARK = "▁"
 SAFE = re.compile(rf"(?<=[^\s{MARK}]) (?=[^\s{MARK}])")
@@ -235,10 +236,11 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     """One row per input row: token, group and link counts, a digest of the groups, and ``pairs``: linked ids as 64-bit numbers (A id * 2^32 + B id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.collect()  # worker processes are used again: what an earlier task held goes first
         parts = Parts(pair(a_path, b_path))
         for batch in batches:
             text = batch.column(1)
-            for i, j in slices(buffers(text)[1], 2 * SLICE_BYTES):
+            for i, j in slices(buffers(text)[1], SLICE_BYTES):
                 counts, digest, pairs, at = aligned([t or "" for t in text.slice(i, j - i).to_pylist()], parts)
                 n_a, n_b, n_links = (pa.array(c) for c in counts.T)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), n_a, n_b, n_links, n_links, pa.array(digest, pa.string()), binary(pairs, at)],
