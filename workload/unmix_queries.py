@@ -14,7 +14,7 @@ def positive(t):
 @case("m01_unfold_fold", "SELECT y, x, CAST((excitation - 320) / 20 * 31 + em_idx AS INT) AS component, round(value, 6) AS value FROM cubes WHERE value <> 0")
 def _(t):
     u = um.unfold(t.cubes, t.influence.select("excitation", "em_idx", "band_id"), 217)
-    return rd(um.fold(u, "spectrum").where("value <> 0"))
+    return rd(um.fold(u, "spectrum").where("value <> 0").drop("scan_id"))
 
 
 @case("m02_mcr_clean_zero", "SELECT excitation, em_idx, y, x, round(coalesce(value, 0), 6) AS value FROM cells")
@@ -29,7 +29,7 @@ def _(t):
 
 @case("m03_mcr_init")
 def _(t):
-    rows = [(m, c, b, float(v)) for m in ("pca", "svd", "random", "farthest") for c, row in enumerate(um.mcr_init(positive(t), 3, m)) for b, v in enumerate(row)]
+    rows = [(m, c, b, float(v)) for m in ("pca", "svd", "random", "nmf", "farthest") for c, row in enumerate(um.mcr_init(positive(t), 3, m)) for b, v in enumerate(row)]
     return t.spark.createDataFrame(rows, "method STRING, component INT, band_id INT, value DOUBLE")
 
 
@@ -44,12 +44,12 @@ for _id, _method in (("m04_als_step_clip", "clip"), ("m05_als_step_ridge", "ridg
 @case("m07_fit_mcr")
 def _(t):
     px = positive(t)
-    return um.fold(um.fit_mcr(px, 3, max_iter=8, init="farthest").concentrations(px))
+    return um.fold(um.fit_mcr(px, 3, init="farthest").concentrations(px))
 
 
 @case("m07_fit_mcr_patience")
 def _(t):
-    return um.profile_blocks(um.fit_mcr(positive(t), 2, max_iter=6, method="nnls", patience=2), t.bands)
+    return um.profile_blocks(um.fit_mcr(positive(t), 2, method="nnls", patience=2), t.bands)
 
 
 @case("m08_mcr_metrics", "SELECT round(avg(pow(baseline - perturbed, 2)), 8) AS mse, round(1 - var_pop(baseline - perturbed) / var_pop(baseline), 8) AS explained_variance FROM recon")
@@ -87,8 +87,7 @@ def _(t):
 
 @case("m11_mcr_over_combinations")
 def _(t):
-    combos = sel.excitation_combinations(t.bands, ["single", "all"])
-    return um.mcr_over_combinations(positive(t), t.bands, combos, 2, max_iter=3, init="svd")
+    return um.mcr_over_combinations(positive(t), t.bands, sel.excitation_combinations(t.bands), 2, init="svd")
 
 
 M12 = "WITH s AS (SELECT config_name AS name, perturbation_dim AS n_excitations, accuracy AS explained_variance FROM results)"
@@ -107,10 +106,10 @@ def _(t):
 
 @case("m13_nmf")
 def _(t):
-    return um.nmf(t.pixels, 3, max_iter=5).profile_table(t.spark)
+    return um.nmf(t.pixels, 3).profile_table(t.spark)
 
 
 @case("m13_fast_ica")
 def _(t):
-    mean, unmixing, _ = um.fast_ica(t.pixels, 3, max_iter=8)
+    mean, unmixing, _ = um.fast_ica(t.pixels, 3)
     return um.ica_sources(t.pixels.select("pixel_id", "spectrum"), mean, unmixing).select("pixel_id", F.posexplode("sources").alias("component", "value"))
