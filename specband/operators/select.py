@@ -1,19 +1,21 @@
 """Ranking and band selection.
 
-Greedy choices need only band x band matrices, which Spark computes from all pixels; the loop over a
-few hundred bands then runs on those matrices.
+Greedy choices need single rows of band x band matrices, which Spark computes from all pixels and keeps as a table of tiles; the loop over
+the chosen bands reads the rows it needs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from specband.functions.scale import MAX_BANDS, argmax_rows, rank_rows, require_bounded, scalars
-from specband.operators.stats import correlation_matrix, cosine_matrix, gram, moments
+from specband.functions.scale import argmax_rows, rank_rows, require_bounded, scalars
+from specband.operators.gram import GramTable
+from specband.operators.stats import correlation_matrix, moments
 
 
 def rank_bands(influence: DataFrame) -> DataFrame:
@@ -25,16 +27,17 @@ def top_n(ranked: DataFrame, n: int) -> DataFrame:
     return ranked.where(F.col("rank") <= n)
 
 
-def mmr_order(influence: np.ndarray, similarity: np.ndarray, n: int, lam: float = 0.5, form: str = "code") -> list[int]:
+def mmr_order(influence: np.ndarray, similarity: np.ndarray | Callable[[int], np.ndarray], n: int, lam: float = 0.5, form: str = "code") -> list[int]:
     """Indexes chosen greedily by relevance minus similarity to the chosen ones.
 
     ``form='code'``: relevance - lam * similarity; ``'convex'``: lam * relevance - (1 - lam) * similarity.
-    The candidates come in ranked order, the first of equal scores wins.
+    The candidates come in ranked order, the first of equal scores wins.  ``similarity``: a matrix, or a function that gives its rows.
     """
+    row = similarity if callable(similarity) else lambda i: similarity[:, i]
     order = np.argsort(-influence, kind="stable")
     top = influence[order[0]]
     rel = influence / top if top > 0 else np.zeros_like(influence)
-    chosen, closest = [int(order[0])], np.abs(similarity[:, order[0]]).copy()
+    chosen, closest = [int(order[0])], np.abs(row(int(order[0]))).copy()
     free = np.ones(len(influence), dtype=bool)
     free[order[0]] = False
     while len(chosen) < n and free.any():
@@ -44,16 +47,16 @@ def mmr_order(influence: np.ndarray, similarity: np.ndarray, n: int, lam: float
         pick = int(order[int(np.argmax(ranked))])
         chosen.append(pick)
         free[pick] = False
-        closest = np.maximum(closest, np.abs(similarity[:, pick]))
+        closest = np.maximum(closest, np.abs(row(pick)))
     return chosen
 
 
 def select_mmr(pixels: DataFrame, influence: DataFrame, n: int, lam: float = 0.5, form: str = "code") -> DataFrame:
     """Diverse top n: ``influence`` has band_id (= position in ``spectrum``) and influence."""
-    inf = require_bounded(influence.select("band_id", "influence").orderBy("band_id"), "influence", MAX_BANDS)
-    cos = cosine_matrix(gram(pixels)[2])
+    gram = GramTable(pixels)
+    inf = require_bounded(influence.select("band_id", "influence").orderBy("band_id"), "influence", gram.width)  # one row per band
     ids = inf["band_id"].to_numpy()
-    picked = mmr_order(inf["influence"].to_numpy(dtype=float), cos[np.ix_(ids, ids)], n, lam, form)
+    picked = mmr_order(inf["influence"].to_numpy(dtype=float), lambda i: gram.cosine_row(int(ids[i]))[ids], n, lam, form)
     rows = [(r + 1, int(ids[i])) for r, i in enumerate(picked)]
     sel = pixels.sparkSession.createDataFrame(rows, "rank INT, band_id INT")
     return sel.join(influence, "band_id").orderBy("rank")
@@ -126,20 +129,26 @@ def select_variance(cells: DataFrame, n: int, band: list[str] = ("band_id",)) ->
 
 def greedy_diversity(cov: np.ndarray, n: int, lam: float = 0.5) -> list[int]:
     """Start with the most varying band; add by lam * scaled variance + (1 - lam) * (1 - mean |correlation|)."""
-    var, corr = np.diag(cov), np.abs(correlation_matrix(cov))
+    corr = correlation_matrix(cov)
+    return greedy_order(np.diag(cov), lambda b: corr[b], n, lam)
+
+
+def greedy_order(var: np.ndarray, row: Callable[[int], np.ndarray], n: int, lam: float = 0.5) -> list[int]:
+    """The greedy choice from the variances and a function that gives rows of the correlation matrix."""
     rel = (var - var.min()) / (var.max() - var.min() + 1e-8)
     chosen = [int(np.argmax(var))]
-    total = corr[:, chosen[0]].copy()
+    total = np.abs(row(chosen[0]))
     for _ in range(min(n, len(var)) - 1):
         score = lam * rel + (1 - lam) * (1 - total / len(chosen))
         score[chosen] = -np.inf
         chosen.append(int(np.argmax(score)))
-        total += corr[:, chosen[-1]]
+        total = total + np.abs(row(chosen[-1]))
     return sorted(chosen)
 
 
 def select_greedy_diversity(pixels: DataFrame, n: int, lam: float = 0.5) -> DataFrame:
-    return _frame(pixels.sparkSession, greedy_diversity(moments(pixels)[2], n, lam))
+    gram = GramTable(pixels)
+    return _frame(pixels.sparkSession, greedy_order(gram.variances(), gram.correlation_row, n, lam))
 
 
 def dedupe_pairs(selection: DataFrame, order: str = "ord", by: list[str] = ()) -> DataFrame:

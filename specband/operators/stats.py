@@ -174,29 +174,23 @@ def moments(pixels: DataFrame) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]
     return n, mean, g / max(n, 1) - np.outer(mean, mean), g
 
 
-def _matrix_frame(spark, m: np.ndarray, name: str) -> DataFrame:
-    i, j = np.indices(m.shape, dtype=np.int32)
-    return spark.createDataFrame(pa.table({"band_a": i.ravel(), "band_b": j.ravel(), name: m.ravel()}))
-
-
 def correlation_matrix(cov: np.ndarray) -> np.ndarray:
     sd = np.sqrt(np.clip(np.diag(cov), 0, None))
     with np.errstate(invalid="ignore", divide="ignore"):
         return np.nan_to_num(cov / np.outer(sd, sd))
 
 
-def cosine_matrix(g: np.ndarray) -> np.ndarray:
-    d = np.sqrt(np.diag(g))
-    d = np.where(d == 0, 1.0, d)
-    return g / np.outer(d, d)
-
-
 def band_correlation(pixels: DataFrame) -> DataFrame:
-    return _matrix_frame(pixels.sparkSession, correlation_matrix(moments(pixels)[2]), "corr")
+    """``band_a, band_b, corr``; the matrix is a table at any number of bands, a constant band correlates 0."""
+    from specband.operators.gram import GramTable
+
+    return GramTable(pixels).long("corr", "correlation")
 
 
 def band_cosine(pixels: DataFrame) -> DataFrame:
-    return _matrix_frame(pixels.sparkSession, cosine_matrix(gram(pixels)[2]), "cosine")
+    from specband.operators.gram import GramTable
+
+    return GramTable(pixels).long("cosine", "cosine")
 
 
 def band_cv_high_variability(cells: DataFrame, band: list[str] = ("excitation", "em_idx")) -> DataFrame:
