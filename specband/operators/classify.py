@@ -196,15 +196,17 @@ def kmeans_large(pixels: DataFrame, k: int, sample: int | None = None, n_init: i
         return (x - mean) @ axes / spread
 
     def fit(rows: DataFrame, starts: int, first: int, rounds: int) -> Run:
-        runs = [Run(np.arange(axes.shape[1]), k, first + i) for i in range(starts)]
-        return best_of(lockstep(rows, runs, shape, rounds, 1e-4))
-
-    chosen = (pixels if sample is None else cut(pixels.orderBy(hash_order_key(key, seed), key).limit(sample))).select("spectrum").persist()
-    out = nearest_label(pixels, fit(chosen, n_init, seed, 300), shape)
-    chosen.unpersist()
-    if out.select("cluster").distinct().count() < k:
-        out = nearest_label(pixels, fit(pixels.select("spectrum"), 2 * n_init, seed + 1, 500), shape)
-    return out
+        data = rows.select("spectrum").persist()
+        try:
+            return best_of(lockstep(data, [Run(np.arange(axes.shape[1]), k, first + i) for i in range(starts)], shape, rounds, 1e-4))
+        finally:
+            data.unpersist()
+
+    chosen = pixels if sample is None else cut(pixels.orderBy(hash_order_key(key, seed), key).limit(sample))
+    run = fit(chosen, n_init, seed, 300)
+    if run.filled < k:  # counts of the last round
+        run = fit(pixels, 2 * n_init, seed + 1, 500)
+    return nearest_label(pixels, run, shape)
 
 
 def kmeans_k_sweep(pixels: DataFrame, ks: list[int], truth_col: str | None = None, n_init: int = 10, seed: int = 42) -> DataFrame:

@@ -121,11 +121,11 @@ def spectra_matrix(column) -> np.ndarray:
     return np.nan_to_num(flat.reshape(n, -1)) if n else np.zeros((0, 0))
 
 
-def matrix_sum(pixels: DataFrame, fn: Callable[[np.ndarray], np.ndarray], column: str = "spectrum") -> np.ndarray | None:
+def matrix_sum(pixels: DataFrame, fn: Callable[[np.ndarray], np.ndarray], column: str = "spectrum", partitions: int | None = None) -> np.ndarray | None:
     """Sum over all rows of ``fn(rows x bands)``, a vector whose length depends on the bands only.
 
     Each partition adds up its own vector; partial vectors are summed in shrinking rounds, so at most
-    32 of them meet on the driver.
+    32 of them meet on the driver.  Callers that know the number of ``partitions`` save the rounds where it is small already.
     """
     def pack(total):
         return pa.RecordBatch.from_pydict({"v": pa.array([total], pa.list_(pa.float64()))})
@@ -152,7 +152,7 @@ def matrix_sum(pixels: DataFrame, fn: Callable[[np.ndarray], np.ndarray], column
 
     parts = pixels.select(column).mapInArrow(partial, "v ARRAY<DOUBLE>")
     cores = pixels.sparkSession.sparkContext.defaultParallelism
-    for width in ([cores, 32] if cores > 32 else [cores]):
+    for width in [] if partitions is not None and partitions <= 32 else [cores, 32] if cores > 32 else [cores]:
         parts = parts.repartition(width).mapInArrow(add, "v ARRAY<DOUBLE>")
     rows = parts.collect()
     return np.sum([r["v"] for r in rows], axis=0) if rows else None
