@@ -66,11 +66,14 @@ def normalize_power(cubes: DataFrame, power: DataFrame, ref: str | float = "min"
 
 def calibrate(
     cubes: DataFrame, exposure: DataFrame, power: DataFrame,
-    offset: float = 40.0, exposure_ref: str | float = "max", power_ref: str | float = "min",
+    offset: float = 40.0, exposure_ref: str | float = "max", power_ref: str | float = "min", excitations: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Cut-off, exposure and power in sequence; every stage is kept (lazily) under its name."""
+    """Cut-off, exposure and power in sequence; every stage is kept (lazily) under its name.
+
+    ``excitations`` (those the cut-off leaves, from the scan metadata) saves the pass over the cells that finds them.
+    """
     cut_off = spectral_cutoff(cubes, offset)
-    exposed = normalize_exposure(cut_off, exposure, exposure_ref)
+    exposed = normalize_exposure(cut_off, exposure, exposure_ref, excitations)
     return {"raw": cubes, "cutoff": cut_off, "exposure": exposed, "power": normalize_power(exposed, power, power_ref)}
 
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import permutations
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
@@ -82,16 +81,32 @@ def hungarian_mapping(ct: DataFrame, by: list[str] = (), fraction: bool = False)
 
 
 def permutation_mapping(ct: DataFrame, k: int = 4) -> DataFrame:
-    """Best of all k! relabelings by matched pixels (k small): one row per cluster 0..k-1."""
-    perms = list(permutations(range(k)))
-    table = ct.sparkSession.createDataFrame(
-        [(p, c, t) for p, perm in enumerate(perms) for c, t in enumerate(perm)], "perm INT, cluster INT, mapped INT")
-    hit = table.join(ct, (table["cluster"] == ct["cluster"]) & (table["mapped"] == ct["class"]), "left")
-    score = hit.groupBy("perm").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("correct"))
-    best = scalars(score.agg(F.min_by("perm", F.struct(-F.col("correct"), F.col("perm"))).alias("perm"), F.max("correct").alias("c")))
-    total = scalars(ct.agg(F.sum("n").alias("n")))
-    return table.where(F.col("perm") == best.getField("perm")).select(
-        "cluster", "mapped", (best.getField("c") / total.getField("n")).alias("accuracy"))
+    """Best of all k! relabelings by matched pixels: one row per cluster 0..k-1; of equal ones the first in lexicographic order.
+
+    Dynamic programming over the sets of classes given away so far, 2^k * k steps instead of k! * k.
+    """
+    if k > 20:
+        raise ValueError("more than 20 clusters: use hungarian_mapping")
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        w = np.zeros((k, k))
+        own = pdf[pdf["cluster"].between(0, k - 1) & pdf["class"].between(0, k - 1)]
+        np.add.at(w, (own["cluster"].to_numpy(int), own["class"].to_numpy(int)), own["n"].to_numpy(float))
+        sets = np.arange(1 << k)
+        taken = sum((sets >> t) & 1 for t in range(k))
+        rest, pick = np.zeros(1 << k), np.zeros(1 << k, np.int64)  # best of the clusters from popcount on, and the smallest class that gives it
+        for c in range(k - 1, -1, -1):
+            m = sets[taken == c]
+            value = np.stack([np.where((m >> t) & 1, -np.inf, w[c, t] + rest[m | (1 << t)]) for t in range(k)])
+            pick[m] = value.argmax(0)
+            rest[m] = value.max(0)
+        mapped, m = [], 0
+        for _ in range(k):
+            mapped.append(int(pick[m]))
+            m |= 1 << mapped[-1]
+        return pd.DataFrame({"cluster": np.arange(k, dtype=np.int32), "mapped": np.array(mapped, np.int32), "accuracy": rest[0] / max(float(pdf["n"].sum()), 1.0)})
+
+    return ct.groupBy().applyInPandas(solve, "cluster INT, mapped INT, accuracy DOUBLE")  # the contingency table: one row per pair of labels
 
 
 def apply_mapping(df: DataFrame, mapping: DataFrame, by: list[str] = ()) -> DataFrame:

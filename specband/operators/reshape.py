@@ -169,19 +169,24 @@ def subset_bands(bands: DataFrame, requests: DataFrame, by: list[str] = (), ex_t
     )
 
 
-def subset_bands_emission_only(bands: DataFrame, emissions: DataFrame, em_tol: float = 10.0) -> DataFrame:
-    """Older rule: targets apply to every excitation; an excitation without a match keeps all bands."""
-    t = require_bounded(emissions.select("emission").distinct(), "emission targets")["emission"].tolist()
-    targets = F.array(*[F.lit(float(v)) for v in sorted(t)]) if t else F.array().cast("array<double>")
-    near = bands.select("excitation", "em_idx", "emission", F.explode_outer(targets).alias("t"))
+def subset_bands_emission_only(bands: DataFrame, emissions: DataFrame, em_tol: float = 10.0, by: list[str] = ()) -> DataFrame:
+    """Older rule: targets apply to every excitation; an excitation without a match keeps all bands.
+
+    ``by`` (configuration columns of ``emissions``) applies every configuration's targets to the bands at once.
+    """
+    by = list(by)
+    band = F.struct("excitation", "em_idx", "emission")
+    every = scalars(bands.agg(F.collect_list(band).alias("b"))).getField("b")  # the band dimension
+    groups = emissions.select(*by).distinct() if by else bands.sparkSession.range(1).select(F.lit(0).alias("__g"))
+    keys = by or ["__g"]
+    targets = emissions.select(*by, *([] if by else [F.lit(0).alias("__g")]), F.col("emission").cast("double").alias("t")).distinct()
     key = F.struct(F.abs(F.col("emission") - F.col("t")).alias("d"), F.col("em_idx"))
-    hit = near.groupBy("excitation", "t").agg(F.min(key).alias("k")).where(F.col("k.d") < em_tol).select(
-        "excitation", F.col("k.em_idx").alias("em_idx")).distinct().withColumn("__hit", F.lit(1))
-    any_hit = hit.groupBy("excitation").agg(F.lit(1).alias("__any"))
-    return (
-        bands.join(hit, ["excitation", "em_idx"], "left").join(any_hit, "excitation", "left")
-        .where("__hit IS NOT NULL OR __any IS NULL").drop("__hit", "__any")
-    )
+    near = targets.select(*keys, "t", F.inline(every)).groupBy(*keys, "excitation", "t").agg(F.min(key).alias("k"))
+    hit = near.where(F.col("k.d") < em_tol).select(*keys, "excitation", F.col("k.em_idx").alias("em_idx")).distinct()
+    any_hit = hit.select(*keys, "excitation").distinct().withColumn("__any", F.lit(1))
+    rows = groups.select(*keys, F.inline(every)).join(hit.withColumn("__hit", F.lit(1)), [*keys, "excitation", "em_idx"], "left")
+    kept = rows.join(any_hit, [*keys, "excitation"], "left").where("__hit IS NOT NULL OR __any IS NULL")
+    return kept.select(*by, "excitation", "em_idx", "emission")
 
 
 def combine_cubes(pixels: DataFrame, slices: list[tuple[int, int]], normalize=None, normalize_first: bool = True) -> DataFrame:
@@ -212,27 +217,28 @@ def features_array(features: DataFrame) -> DataFrame:
     return features.groupBy(*PIXEL).agg(F.transform(s, lambda e: e["feature"]).alias("spectrum"))
 
 
-def false_color(cube: DataFrame, n_bands: int, percentile: float = 99.0) -> DataFrame:
-    """Bands at 20, 50 and 80 % of one excitation's list, each divided by its percentile and clipped.
+def false_color(cube: DataFrame, n_bands: int, percentile: float = 99.0, by: list[str] = ()) -> DataFrame:
+    """Bands at 20, 50 and 80 % of an excitation's list, each divided by its percentile and clipped.
 
-    With fewer than three bands the maximum projection is used for all channels.
+    With fewer than three bands the maximum projection is used for all channels.  ``by=["excitation"]`` makes one image per excitation.
     """
+    by = list(by)
     if n_bands < 3:
-        p = projection(cube, "max", percentile)
-        return p.select("scan_id", "y", "x", *[F.col("value").alias(c) for c in "rgb"])
+        p = projection(cube, "max", percentile, by)
+        return p.select("scan_id", "y", "x", *by, *[F.col("value").alias(c) for c in "rgb"])
     idx = {c: int(n_bands * s) for c, s in zip("rgb", (0.2, 0.5, 0.8))}
     picked = cube.where(F.col("em_idx").isin(list(idx.values())))
-    limits = quantiles(picked, "value", {"p": percentile / 100}, ["scan_id", "em_idx"])
-    scaled = picked.join(limits, ["scan_id", "em_idx"]).withColumn("value", clip(F.col("value") / F.nullif(F.col("p"), F.lit(0.0))))
-    return scaled.groupBy(*PIXEL).agg(*[F.max(F.when(F.col("em_idx") == i, F.col("value"))).alias(c) for c, i in idx.items()])
+    limits = quantiles(picked, "value", {"p": percentile / 100}, ["scan_id", *by, "em_idx"])
+    scaled = picked.join(limits, ["scan_id", *by, "em_idx"]).withColumn("value", clip(F.col("value") / F.nullif(F.col("p"), F.lit(0.0))))
+    return scaled.groupBy(*PIXEL, *by).agg(*[F.max(F.when(F.col("em_idx") == i, F.col("value"))).alias(c) for c, i in idx.items()])
 
 
-def projection(cube: DataFrame, how: str = "max", percentile: float = 99.0) -> DataFrame:
-    """Maximum or mean over a pixel's bands, divided by its percentile over the image and clipped."""
-    fn = {"max": F.max, "mean": F.avg}[how]
-    flat = cube.groupBy(*PIXEL).agg(fn("value").alias("value"))
-    limits = quantiles(flat, "value", {"p": percentile / 100}, ["scan_id"])
-    return flat.join(limits, "scan_id", "left").withColumn("value", clip(F.col("value") / F.nullif(F.col("p"), F.lit(0.0)))).drop("p")
+def projection(cube: DataFrame, how: str = "max", percentile: float = 99.0, by: list[str] = ()) -> DataFrame:
+    """Maximum or mean over a pixel's bands, divided by its percentile over the image and clipped; one image per value of ``by``."""
+    by, fn = list(by), {"max": F.max, "mean": F.avg}[how]
+    flat = cube.groupBy(*PIXEL, *by).agg(fn("value").alias("value"))
+    limits = quantiles(flat, "value", {"p": percentile / 100}, ["scan_id", *by])
+    return flat.join(limits, ["scan_id", *by], "left").withColumn("value", clip(F.col("value") / F.nullif(F.col("p"), F.lit(0.0)))).drop("p")
 
 
 def rgb_by_wavelength(cubes: DataFrame, mask: DataFrame | None = None, targets: tuple[float, float, float] = (650.0, 550.0, 450.0),

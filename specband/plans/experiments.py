@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Callable, Iterable
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -291,26 +294,41 @@ def progression_best(results: DataFrame, x: str = "n_bands", metric: str = "accu
 
 # -- robustness ------------------------------------------------------------------------------------
 
+def rank_key(total: int, seed: int) -> tuple[int, int]:
+    """Factor and shift of the permutation ``i -> (factor * i + shift) mod total``; the factor has no divisor in common with ``total``."""
+    number = lambda name: int.from_bytes(hashlib.sha256(f"{name}|{seed}".encode()).digest(), "big") % total
+    factor = max(1, number("factor"))
+    while math.gcd(factor, total) != 1:
+        factor += 1
+    return factor, number("shift")
+
+
+def unranked(rank: int, size: int, columns: list[list[int]]) -> list[int]:
+    """The subset with this number in colexicographic order; ``columns[j][c]`` is the number of (j + 1)-subsets below c."""
+    out = []
+    for j in range(size - 1, -1, -1):
+        c = bisect_right(columns[j], rank) - 1
+        out.append(c)
+        rank -= columns[j][c]
+    return out[::-1]
+
+
 def robustness_sample(bands: DataFrame, n_bands: int, max_n: int = 10_000, seed: int = 42) -> DataFrame:
-    """All subsets of ``n_bands`` bands when there are at most ``max_n``, else that many distinct random ones."""
-    ids = bands.select(F.sort_array(F.collect_set("band_id")).alias("ids"))  # the band dimension
-    total = math.comb(ids.select(F.size("ids")).first()[0], n_bands)
-    if total <= max_n:
-        out = bands.select(F.array("band_id").alias("subset"))
-        for _ in range(n_bands - 1):
-            nxt = checked_broadcast(bands.select(F.col("band_id").alias("__n")))
-            out = out.join(nxt, F.element_at("subset", -1) < F.col("__n")).select(F.concat("subset", F.array("__n")).alias("subset"))
-        return out
-    spark, need, draws = bands.sparkSession, max_n, max_n
-    all_ids = ids.first()["ids"]
-    while True:
-        key = lambda b: F.struct(F.md5(F.concat_ws("|", F.col("id"), b, F.lit(seed))).alias("h"), b.alias("b"))
-        pick = F.slice(F.array_sort(F.transform(F.lit(all_ids), key)), 1, n_bands)
-        drawn = spark.range(draws).select("id", F.array_sort(F.transform(pick, lambda e: e["b"])).alias("subset"))
-        distinct = drawn.groupBy("subset").agg(F.min("id").alias("id"))
-        if distinct.count() >= need:
-            return distinct.orderBy("id").limit(max_n).select("subset")
-        draws *= 2
+    """All subsets of ``n_bands`` bands when there are at most ``max_n``, else that many distinct random ones.
+
+    The i-th subset is the one whose number is the i-th of a keyed permutation of all subset numbers: subsets are distinct by
+    construction, any two of them are (nearly) independent, and each row makes its own from its number.
+    """
+    ids = sorted(r["band_id"] for r in bands.select("band_id").distinct().collect())  # the band dimension
+    total = math.comb(len(ids), n_bands)
+    factor, shift = rank_key(total, seed) if total > max_n else (1, 0)
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [[math.comb(c, j + 1) for c in range(len(ids))] for j in range(n_bands)]
+        for f in frames:
+            yield pd.DataFrame({"subset": [[ids[c] for c in unranked((factor * int(i) + shift) % total, n_bands, columns)] for i in f["id"]]})
+
+    return bands.sparkSession.range(min(total, max_n)).mapInPandas(draw, "subset array<int>")
 
 
 def robustness_report(scored: DataFrame, metric: str = "accuracy") -> DataFrame:

@@ -1,5 +1,7 @@
 """Experiment analytics queries."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from specband.plans import experiments as ex
@@ -244,9 +246,20 @@ def _(t):
     return ex.robustness_sample(t.influence, 2, 10**6).select(F.col("subset")[0].alias("a"), F.col("subset")[1].alias("b"))
 
 
-@case("k32_robustness_sample_random")
+TOTAL = math.comb(64, 13)
+FACTOR, SHIFT = ex.rank_key(TOTAL, 42)
+
+
+@case("k32_robustness_sample_random", f"""WITH RECURSIVE b AS (SELECT row_number() OVER (ORDER BY band_id) - 1 AS c, band_id FROM bands),
+    bin AS (SELECT 0 AS j, c, CAST(1 AS HUGEINT) AS v FROM (SELECT unnest(range(64)) AS c) q
+      UNION ALL SELECT j + 1, c, coalesce(sum(v) OVER (ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT FROM bin WHERE j < 13),
+    l AS (SELECT j, list(v ORDER BY c) AS vs FROM bin GROUP BY j),
+    u AS (SELECT i, 13 AS j, ({FACTOR}::HUGEINT * i + {SHIFT}::HUGEINT) % {TOTAL}::HUGEINT AS r, CAST([] AS BIGINT[]) AS s FROM (SELECT unnest(range(10000)) AS i) q
+      UNION ALL SELECT i, j - 1, r - list_max(w), list_prepend(CAST(len(w) - 1 AS BIGINT), s)
+      FROM (SELECT i, u.j, r, s, list_filter(l.vs, lambda v: v <= u.r) AS w FROM u JOIN l ON l.j = u.j WHERE u.j > 0) q)
+    SELECT string_agg(CAST(band_id AS VARCHAR), ',' ORDER BY band_id) AS subset FROM (SELECT i, unnest(s) AS c FROM u WHERE j = 0) q JOIN b ON b.c = q.c GROUP BY i""")
 def _(t):
-    return ex.robustness_sample(t.influence, 13, 500).select(F.concat_ws(",", F.col("subset").cast("array<string>")).alias("subset"))
+    return ex.robustness_sample(t.bands, 13).select(F.concat_ws(",", F.col("subset").cast("array<string>")).alias("subset"))
 
 
 PCT = (1, 5, 10, 25, 50, 75, 90, 95, 99)

@@ -108,15 +108,15 @@ def _(t):
     return rs.subset_bands(bands, t.picks, ["config"])
 
 
-@case("c11_subset_bands_emission_only", """WITH tg AS (SELECT DISTINCT emission + 4 AS t FROM picks WHERE config = 'cfg3'),
+@case("c11_subset_bands_emission_only", """WITH tg AS (SELECT DISTINCT config, emission + 4 AS t FROM picks), g AS (SELECT DISTINCT config FROM tg),
     b AS (SELECT excitation, em_idx, emission + excitation / 2 AS emission FROM influence),
-    n AS (SELECT excitation, t, min(abs(emission - t)) AS d, arg_min(em_idx, abs(emission - t) * 1000 + em_idx) AS em_idx FROM b, tg GROUP BY excitation, t),
-    h AS (SELECT DISTINCT excitation, em_idx FROM n WHERE d < 10)
-    SELECT b.excitation, b.em_idx, b.emission FROM b LEFT JOIN h ON b.excitation = h.excitation AND b.em_idx = h.em_idx
-    WHERE h.em_idx IS NOT NULL OR b.excitation NOT IN (SELECT excitation FROM h)""")
+    n AS (SELECT config, excitation, t, min(abs(emission - t)) AS d, arg_min(em_idx, abs(emission - t) * 1000 + em_idx) AS em_idx FROM b, tg GROUP BY config, excitation, t),
+    h AS (SELECT DISTINCT config, excitation, em_idx FROM n WHERE d < 10), e AS (SELECT DISTINCT config, excitation FROM h)
+    SELECT g.config, b.excitation, b.em_idx, b.emission FROM g CROSS JOIN b LEFT JOIN h ON h.config = g.config AND b.excitation = h.excitation AND b.em_idx = h.em_idx
+    LEFT JOIN e ON e.config = g.config AND e.excitation = b.excitation WHERE h.em_idx IS NOT NULL OR e.excitation IS NULL""")
 def _(t):
     bands = t.influence.select("excitation", "em_idx", (F.col("emission") + F.col("excitation") / 2).alias("emission"))
-    return rs.subset_bands_emission_only(bands, t.picks.where("config = 'cfg3'").select((F.col("emission") + 4).alias("emission")))
+    return rs.subset_bands_emission_only(bands, t.picks.select("config", (F.col("emission") + 4).alias("emission")), by=["config"])
 
 
 C12 = """WITH l AS (SELECT pixel_id, band_id, value, CAST(floor(band_id / 24) AS INT) AS part FROM longpix),
@@ -148,25 +148,26 @@ def _(t):
     return f.select("y", "x", F.posexplode("spectrum").alias("pos", "feature")).withColumn("feature", F.round("feature", 6))
 
 
-@case("c14_false_color", """WITH k AS (SELECT * FROM cubes WHERE excitation = 360 AND em_idx IN (6, 15, 24)), p AS (SELECT em_idx, quantile_cont(value, 0.99) AS p FROM k GROUP BY em_idx),
-    s AS (SELECT k.y, k.x, k.em_idx, least(1, k.value / p.p) AS v FROM k JOIN p ON k.em_idx = p.em_idx)
-    SELECT y, x, round(max(CASE WHEN em_idx = 6 THEN v END), 6) AS r, round(max(CASE WHEN em_idx = 15 THEN v END), 6) AS g, round(max(CASE WHEN em_idx = 24 THEN v END), 6) AS b FROM s GROUP BY y, x""")
+@case("c14_false_color", """WITH k AS (SELECT * FROM cubes WHERE em_idx IN (6, 15, 24)), p AS (SELECT excitation, em_idx, quantile_cont(value, 0.99) AS p FROM k GROUP BY excitation, em_idx),
+    s AS (SELECT k.y, k.x, k.excitation, k.em_idx, least(1, k.value / p.p) AS v FROM k JOIN p ON k.em_idx = p.em_idx AND k.excitation = p.excitation)
+    SELECT y, x, excitation, round(max(CASE WHEN em_idx = 6 THEN v END), 6) AS r, round(max(CASE WHEN em_idx = 15 THEN v END), 6) AS g, round(max(CASE WHEN em_idx = 24 THEN v END), 6) AS b
+    FROM s GROUP BY y, x, excitation""")
 def _(t):
-    return rs.false_color(cal.select_excitation(t.cubes, 360), 31).select("y", "x", r("r"), r("g"), r("b"))
+    return rs.false_color(t.cubes, 31, by=["excitation"]).select("y", "x", "excitation", r("r"), r("g"), r("b"))
 
 
-C15 = """WITH f AS (SELECT y, x, {fn}(value) AS v FROM cubes WHERE excitation = 360 GROUP BY y, x)
-    SELECT y, x, round(least(1, v / (SELECT quantile_cont(v, 0.99) FROM f)), 6) AS value FROM f"""
+C15 = """WITH f AS (SELECT y, x, excitation, {fn}(value) AS v FROM cubes GROUP BY y, x, excitation), p AS (SELECT excitation, quantile_cont(v, 0.99) AS p FROM f GROUP BY excitation)
+    SELECT y, x, f.excitation, round(least(1, v / p), 6) AS value FROM f JOIN p ON p.excitation = f.excitation"""
 
 
 @case("c15_projection_max", C15.format(fn="max"))
 def _(t):
-    return rs.projection(cal.select_excitation(t.cubes, 360), "max").select("y", "x", r("value"))
+    return rs.projection(t.cubes, "max", by=["excitation"]).select("y", "x", "excitation", r("value"))
 
 
 @case("c15_projection_mean", C15.format(fn="avg"))
 def _(t):
-    return rs.projection(cal.select_excitation(t.cubes, 360), "mean").select("y", "x", r("value"))
+    return rs.projection(t.cubes, "mean", by=["excitation"]).select("y", "x", "excitation", r("value"))
 
 
 C16 = """WITH b AS (SELECT DISTINCT excitation, em_idx, emission FROM cubes), tg AS (SELECT 'r' AS ch, 650.0 AS t UNION ALL SELECT 'g', 550 UNION ALL SELECT 'b', 450),

@@ -26,10 +26,10 @@ SQL_TABLES: dict[str, str] = {
     "mask": """SELECT DISTINCT scan_id, y, x, (y * 7 + x) % 5 <> 0 AS keep FROM cubes""",
     "cells": """SELECT scan_id, excitation, em_idx, emission, y, x,
         CASE WHEN (y + em_idx) % 3 = 0 THEN NULL ELSE value END AS value FROM cubes""",
-    "exposure": """SELECT CAST(300 + 20 * s_suppkey AS DOUBLE) AS excitation, abs(s_acctbal) + 1 AS exposure
-        FROM supplier WHERE s_suppkey <> 3""",
-    "power": """SELECT CAST(300 + 20 * c_custkey AS DOUBLE) AS excitation, abs(c_acctbal) / 1000 + 0.5 AS power
-        FROM customer WHERE c_custkey % 4 <> 1""",
+    "exposure": """SELECT CAST(300 + 20 * s_suppkey AS DOUBLE) AS excitation, CASE WHEN s_suppkey <> 3 THEN abs(s_acctbal) + 1 END AS exposure
+        FROM supplier""",
+    "power": """SELECT CAST(300 + 20 * c_custkey AS DOUBLE) AS excitation, CASE WHEN c_custkey % 4 <> 1 THEN abs(c_acctbal) / 1000 + 0.5 END AS power
+        FROM customer""",
     "rois": """SELECT r_name AS roi_id, r_regionkey AS ord, r_regionkey * 20 + 2 AS y0, r_regionkey * 20 + 14 AS y1,
         CAST(5 + r_regionkey * 15 AS INT) AS x0, CAST(40 + r_regionkey * 15 AS INT) AS x1 FROM region""",
     "roipx": """SELECT r_name AS roi_id, r_regionkey AS ord, r_regionkey * 4 AS y0, r_regionkey * 4 + 4 AS y1,
@@ -143,13 +143,13 @@ class Tables:
 
     @cached_property
     def exposure(self) -> DataFrame:
-        return self.raw("supplier").where("s_suppkey <> 3").select(
-            (300 + 20 * F.col("s_suppkey")).cast("double").alias("excitation"), (F.abs("s_acctbal") + 1).alias("exposure"))
+        return self.raw("supplier").select(  # one scan without a known exposure
+            (300 + 20 * F.col("s_suppkey")).cast("double").alias("excitation"), F.when(F.col("s_suppkey") != 3, F.abs("s_acctbal") + 1).alias("exposure"))
 
     @cached_property
     def power(self) -> DataFrame:
-        return self.raw("customer").where("c_custkey % 4 <> 1").select(
-            (300 + 20 * F.col("c_custkey")).cast("double").alias("excitation"), (F.abs("c_acctbal") / 1000 + 0.5).alias("power"))
+        return self.raw("customer").select(  # every fourth excitation without a measured power
+            (300 + 20 * F.col("c_custkey")).cast("double").alias("excitation"), F.when(F.col("c_custkey") % 4 != 1, F.abs("c_acctbal") / 1000 + 0.5).alias("power"))
 
     @cached_property
     def rois(self) -> DataFrame:
