@@ -14,6 +14,15 @@ def spectral_cutoff(cubes: DataFrame, offset: float = 40.0) -> DataFrame:
     return cubes.where((em >= ex + offset) & ((em < 2 * ex - offset) | (em > 2 * ex + offset)))
 
 
+def scan_manifest(cubes: DataFrame) -> DataFrame:
+    """What is known of every band of every scan without its cells: ``scan_id, excitation, em_idx, emission, cells, measured, h, w``.
+
+    One combinable aggregate, made once when a scan is stored (``io.write_cubes``); later steps take references, validity and shapes from it.
+    """
+    return cubes.groupBy("scan_id", "excitation", "em_idx").agg(
+        F.max("emission").alias("emission"), F.count("*").alias("cells"), F.count("value").alias("measured"), (F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+
+
 def _per_scan(table: DataFrame) -> list[str]:
     """Keys of an exposure or power table: by scan where the table tells scans apart."""
     return [c for c in ("scan_id", "excitation") if c in table.columns]
@@ -66,12 +75,14 @@ def normalize_power(cubes: DataFrame, power: DataFrame, ref: str | float = "min"
 
 def calibrate(
     cubes: DataFrame, exposure: DataFrame, power: DataFrame,
-    offset: float = 40.0, exposure_ref: str | float = "max", power_ref: str | float = "min", excitations: DataFrame | None = None,
+    offset: float = 40.0, exposure_ref: str | float = "max", power_ref: str | float = "min", manifest: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Cut-off, exposure and power in sequence; every stage is kept (lazily) under its name.
 
-    ``excitations`` (those the cut-off leaves, from the scan metadata) saves the pass over the cells that finds them.
+    With the ``manifest`` of the scans (``scan_id, excitation, emission``) the cells are read once: the cut-off is applied to it to find the
+    excitations whose exposures give the reference.
     """
+    excitations = None if manifest is None else spectral_cutoff(manifest, offset).select(*_per_scan(exposure)).distinct()
     cut_off = spectral_cutoff(cubes, offset)
     exposed = normalize_exposure(cut_off, exposure, exposure_ref, excitations)
     return {"raw": cubes, "cutoff": cut_off, "exposure": exposed, "power": normalize_power(exposed, power, power_ref)}
@@ -137,8 +148,8 @@ def mask_coverage(mask: DataFrame) -> DataFrame:
     return mask.agg(masked.alias("masked"), total.alias("total"), (100.0 * masked / F.nullif(total, F.lit(0))).alias("pct"))
 
 
-def valid_pixels(cubes: DataFrame, rule: str = "all_excitations") -> DataFrame:
-    """Pixels that count as measured.
+def valid_pixels(cubes: DataFrame, rule: str = "all_excitations", manifest: DataFrame | None = None) -> DataFrame:
+    """Pixels that count as measured; with a ``manifest`` of the scans one aggregate of the cells says which.
 
     ``all_excitations``: every excitation of the pixel's scan has at least one value there; ``first_band``: the scan's
     first band of its first excitation has a value; ``per_cell``: the non-NULL cells themselves.
@@ -147,7 +158,7 @@ def valid_pixels(cubes: DataFrame, rule: str = "all_excitations") -> DataFrame:
         return cubes.where(F.col("value").isNotNull())
     if rule not in ("all_excitations", "first_band"):
         raise ValueError(f"unknown rule {rule}")
-    per_scan = cubes.groupBy("scan_id").agg(F.count_distinct("excitation").alias("__n"), F.min(F.struct("excitation", "em_idx")).alias("__first"))
+    per_scan = (cubes if manifest is None else manifest).groupBy("scan_id").agg(F.count_distinct("excitation").alias("__n"), F.min(F.struct("excitation", "em_idx")).alias("__first"))
     measured = cubes.where(F.col("value").isNotNull())
     if rule == "all_excitations":
         seen = measured.groupBy(*PIXEL).agg(F.size(F.collect_set("excitation")).alias("__seen"))  # excitations of a pixel are few

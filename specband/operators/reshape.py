@@ -35,9 +35,13 @@ def cube_to_wide(cubes: DataFrame, names: list[str], only_valid: str | None = No
     )
 
 
-def cube_to_spectrum(cubes: DataFrame, bands: DataFrame, n_bands: int, rule: str | None = "all_excitations") -> DataFrame:
-    """Valid pixels with one ordered array over all bands; missing cells become 0."""
-    cells = cubes.join(checked_broadcast(bands.select("excitation", "em_idx", "band_id")), ["excitation", "em_idx"])
+def cube_to_spectrum(cubes: DataFrame, bands: DataFrame, n_bands: int, rule: str | None = "all_excitations", manifest: DataFrame | None = None) -> DataFrame:
+    """Valid pixels with one ordered array over all bands; missing cells become 0.
+
+    With a ``manifest`` of the scans the cells are aggregated once: what is measured of a pixel is counted with its array.
+    """
+    named = checked_broadcast(bands.select("excitation", "em_idx", "band_id"))
+    cells = cubes.join(named, ["excitation", "em_idx"])
     agg = [F.array_sort(F.collect_list(F.struct("band_id", F.coalesce("value", F.lit(0.0)).alias("v")))).alias("__s")]
     if rule == "all_excitations":
         agg.append(F.size(F.collect_set(F.when(F.col("value").isNotNull(), F.col("excitation")))).alias("__seen"))
@@ -50,7 +54,9 @@ def cube_to_spectrum(cubes: DataFrame, bands: DataFrame, n_bands: int, rule: str
     dense = F.transform("__s", lambda e: e["v"])
     grouped = cells.groupBy(*PIXEL).agg(*agg)
     if rule == "all_excitations":  # of the scan, not of the pixel
-        every = cells.groupBy("scan_id").agg(F.count_distinct("excitation").alias("__n"))
+        known = cells if manifest is None else manifest.join(named, ["excitation", "em_idx"], "left_semi")
+        every = known.groupBy("scan_id").agg(F.count_distinct("excitation").alias("__n"))
+        every = every if manifest is None else checked_broadcast(every)
         grouped = grouped.join(every, "scan_id").withColumn("__ok", F.col("__seen") == F.col("__n"))
     return (
         grouped.where("__ok")

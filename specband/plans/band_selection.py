@@ -12,8 +12,10 @@ from specband.operators.reshape import cube_to_spectrum
 from specband.operators.select import select_variance
 
 
-def calibrated_cells(cubes: DataFrame, exposure: DataFrame, offset: float = 40.0, ref: str = "max") -> DataFrame:
-    return cal.normalize_exposure(cal.spectral_cutoff(cubes, offset), exposure, ref)
+def calibrated_cells(cubes: DataFrame, exposure: DataFrame, offset: float = 40.0, ref: str = "max", manifest: DataFrame | None = None) -> DataFrame:
+    """Cut-off and exposure; the ``manifest`` of the scans tells the excitations, so that the cells are read once."""
+    used = None if manifest is None else cal.spectral_cutoff(manifest, offset).select("scan_id", "excitation").distinct()
+    return cal.normalize_exposure(cal.spectral_cutoff(cubes, offset), exposure, ref, used)
 
 
 def varied_bands(cells: DataFrame, n: int) -> DataFrame:
@@ -47,7 +49,7 @@ def classify_and_score(cells: DataFrame, bands: DataFrame, n: int, truth: DataFr
     return both.select("purity", "accuracy", "n_pixels")
 
 
-def select_and_score(cubes: DataFrame, exposure: DataFrame, truth: DataFrame, rois: DataFrame, n: int = 10, k: int = 5) -> DataFrame:
+def select_and_score(cubes: DataFrame, exposure: DataFrame, truth: DataFrame, rois: DataFrame, n: int = 10, k: int = 5, manifest: DataFrame | None = None) -> DataFrame:
     """Calibrate, choose the n most varying bands, classify on them and score: one row."""
-    cells = calibrated_cells(cubes, exposure)
+    cells = calibrated_cells(cubes, exposure, manifest=manifest)
     return classify_and_score(cells, varied_bands(cells, n), n, truth, rois, k).withColumn("n_bands", F.lit(n))

@@ -6,8 +6,10 @@ import hashlib
 import math
 from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -440,16 +442,17 @@ def finished_configs(spark, path: str) -> set[str]:
     return {r[0] for r in done.where(F.col("error").isNull()).select("config_name").distinct().collect()}  # one name per configuration
 
 
-def config_sweep_runner(spark, configs: Iterable[dict], run: Callable[[dict], DataFrame], path: str) -> DataFrame:
-    """Run ``run(config)`` (one result row) per configuration; each outcome is appended to ``path``.
+def config_sweep_runner(spark, configs: Iterable[dict], run: Callable[[dict], DataFrame], path: str, workers: int = 4) -> DataFrame:
+    """Run ``run(config)`` (one result row) per configuration; each outcome is written under ``path`` with a commit of its own.
 
-    A failing configuration becomes a row with its error text; already written names are skipped, so a
-    restarted sweep continues where it stopped.
+    Up to ``workers`` configurations run at once, each in a scheduler pool of its own, so that small jobs fill what large ones leave
+    free (with the fair scheduler they share evenly).  A failing configuration becomes a row with its error text; already written names
+    are skipped, so a restarted sweep continues where it stopped.
     """
     done = finished_configs(spark, path)
-    for cfg in configs:
-        if cfg["name"] in done:
-            continue
+
+    def one(cfg: dict, pool: str) -> None:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", pool)
         out = f"{path}/config={cfg['name']}"
         try:
             row = run(cfg).withColumn("error", F.lit(None).cast("string"))
@@ -457,6 +460,11 @@ def config_sweep_runner(spark, configs: Iterable[dict], run: Callable[[dict], Da
         except Exception as exc:  # noqa: BLE001 - the sweep must survive any failing configuration
             failed = spark.createDataFrame([(cfg["name"], f"{type(exc).__name__}: {exc}")], "config_name STRING, error STRING")
             failed.write.mode("overwrite").parquet(out)
+
+    with ThreadPoolExecutor(max_workers=max(1, workers)) as threads:
+        waiting = [threads.submit(inheritable_thread_target(spark)(one), cfg, f"sweep-{i % max(1, workers)}") for i, cfg in enumerate(configs) if cfg["name"] not in done]
+        for w in waiting:
+            w.result()
     return spark.read.option("mergeSchema", True).option("basePath", path).parquet(f"{path}/config=*").drop("config")
 
 

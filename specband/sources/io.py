@@ -178,3 +178,21 @@ def scan_summary(cubes: DataFrame) -> DataFrame:
     return cubes.groupBy("excitation").agg(
         (F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"), F.countDistinct("em_idx").alias("n_bands"),
         F.min("emission").alias("em_min"), F.max("emission").alias("em_max"), F.count("value").alias("n_values"))
+
+
+def write_cubes(cubes: DataFrame, path: str) -> DataFrame:
+    """Store long cubes by scan and excitation, with their manifest beside them; returns the manifest."""
+    from specband.operators.calibrate import scan_manifest
+
+    cubes.repartition("scan_id", "excitation").write.mode("overwrite").partitionBy("scan_id", "excitation").parquet(f"{path}/cells")
+    scan_manifest(cubes.sparkSession.read.schema(cubes.schema).parquet(f"{path}/cells")).write.mode("overwrite").parquet(f"{path}/manifest")
+    return read_manifest(cubes.sparkSession, path)
+
+
+def read_cubes(spark: SparkSession, path: str) -> DataFrame:
+    """Cells stored by ``write_cubes``; filters on scan and excitation prune files."""
+    return spark.read.parquet(f"{path}/cells").withColumn("scan_id", F.col("scan_id").cast("string")).withColumn("excitation", F.col("excitation").cast("double"))
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/manifest")

@@ -48,7 +48,7 @@ def _(t):
     round(n.value * coalesce((SELECT min(power) FROM power) / p.power, 1), 5) AS value
     FROM n LEFT JOIN power p ON n.excitation = p.excitation""")
 def _(t):
-    return cal.calibrate(t.cubes, t.exposure, t.power)["power"].select("excitation", "em_idx", "y", "x", R4("value"))
+    return cal.calibrate(t.cubes, t.exposure, t.power, manifest=t.scan_bands)["power"].select("excitation", "em_idx", "y", "x", R4("value"))
 
 
 @case("b05_select_excitation", "SELECT y, x, em_idx, round(value, 6) AS value FROM cubes WHERE excitation = 360")
@@ -114,13 +114,13 @@ def _(t):
 @case("b13_valid_pixels_all", """SELECT y, x FROM cells WHERE value IS NOT NULL GROUP BY y, x
     HAVING count(DISTINCT excitation) = (SELECT count(DISTINCT excitation) FROM cells)""")
 def _(t):
-    return cal.valid_pixels(t.cells).select("y", "x")
+    return cal.valid_pixels(t.cells, manifest=t.scan_bands).select("y", "x")
 
 
 @case("b13_valid_pixels_first", """SELECT DISTINCT y, x FROM cells c JOIN (SELECT excitation, em_idx FROM cells ORDER BY excitation, em_idx LIMIT 1) f
     ON c.excitation = f.excitation AND c.em_idx = f.em_idx WHERE value IS NOT NULL""")
 def _(t):
-    return cal.valid_pixels(t.cells, "first_band").select("y", "x")
+    return cal.valid_pixels(t.cells, "first_band", t.scan_bands).select("y", "x")
 
 
 @case("b13_valid_pixels_cell", "SELECT y, x, count(*) AS n FROM cells WHERE value IS NOT NULL GROUP BY y, x")

@@ -128,6 +128,16 @@ def _(t):
     return rd(cl.best_k(t.raw("lineitem").groupBy(F.col("l_linenumber").alias("k")).agg(F.avg("l_tax").alias("purity")), "purity"))
 
 
+@case("g11_best_k_of_sweep_by_silhouette")
+def _(t):
+    return cl.best_k(cl.kmeans_k_sweep(t.pixels, [2, 3, 4, 5, 6]))
+
+
+@case("g11_best_k_of_sweep_by_purity")
+def _(t):
+    return cl.best_k(cl.kmeans_k_sweep(t.pixels, [2, 3, 4, 5, 6], "label"), "purity")
+
+
 @case("g12_assign_nearest_center", """WITH c AS (SELECT label AS cluster, band_id, avg(value) AS v FROM longpix GROUP BY 1, 2),
     d AS (SELECT l.pixel_id, c.cluster, sqrt(sum(pow(l.value - c.v, 2))) AS d FROM longpix l JOIN c ON l.band_id = c.band_id GROUP BY 1, 2)
     SELECT pixel_id, cluster, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY pixel_id ORDER BY d, cluster) AS r FROM d) q WHERE r = 1""")

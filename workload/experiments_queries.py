@@ -383,7 +383,7 @@ def _flagship(n):
 def _(t):
     from specband.plans.band_selection import select_and_score
 
-    return rd(select_and_score(t.cubes, t.exposure, _scan_truth(t), t.rois))
+    return rd(select_and_score(t.cubes, t.exposure, _scan_truth(t), t.rois, manifest=t.scan_bands))
 
 
 @case("k39_config_sweep", f"""SELECT 'variance_3bands' AS config_name, a.*, CAST(NULL AS VARCHAR) AS error FROM ({_flagship(3)}) a
@@ -392,7 +392,7 @@ def _(t):
     from specband.plans import band_selection as bs
     from workload.sources_queries import scratch
 
-    cells = bs.calibrated_cells(t.cubes, t.exposure).persist()
+    cells = bs.calibrated_cells(t.cubes, t.exposure, manifest=t.scan_bands).persist()
 
     def run(cfg):
         return bs.classify_and_score(cells, bs.varied_bands(cells, cfg["n"]), cfg["n"], _scan_truth(t), t.rois, cfg["k"]).withColumn("n_bands", F.lit(cfg["n"]))

@@ -34,7 +34,7 @@ def _(t):
     FROM cells c JOIN v ON c.y = v.y AND c.x = v.x WHERE value <> 0""")
 def _(t):
     bands = t.influence.select("excitation", "em_idx", "band_id")
-    spec = rs.cube_to_spectrum(t.cells, bands, 7 * 31)
+    spec = rs.cube_to_spectrum(t.cells, bands, 7 * 31, manifest=t.scan_bands)
     return spec.select("y", "x", F.posexplode("spectrum").alias("band_id", "value")).where("value <> 0").select("y", "x", "band_id", r("value"))
 
 

@@ -23,6 +23,8 @@ SQL_TABLES: dict[str, str] = {
         CAST(420 + 10 * (l_suppkey % 31) AS DOUBLE) AS emission, CAST(l_orderkey % 200 AS INT) AS y,
         CAST(floor(l_orderkey / 200) AS INT) AS x, avg(sqrt(l_extendedprice / 1000.0)) AS value
         FROM lineitem GROUP BY l_linenumber, l_suppkey % 31, l_orderkey % 200, floor(l_orderkey / 200)""",
+    "scan_bands": """SELECT 's' AS scan_id, CAST(300 + 20 * l_linenumber AS DOUBLE) AS excitation, CAST(l_suppkey % 31 AS INT) AS em_idx,
+        CAST(420 + 10 * (l_suppkey % 31) AS DOUBLE) AS emission FROM lineitem GROUP BY l_linenumber, l_suppkey % 31""",
     "mask": """SELECT DISTINCT scan_id, y, x, (y * 7 + x) % 5 <> 0 AS keep FROM cubes""",
     "cells": """SELECT scan_id, excitation, em_idx, emission, y, x,
         CASE WHEN (y + em_idx) % 3 = 0 THEN NULL ELSE value END AS value FROM cubes""",
@@ -137,6 +139,13 @@ class Tables:
     def mask(self) -> DataFrame:
         return self.cubes.select("scan_id", "y", "x", ((F.col("y") * 7 + F.col("x")) % 5 != 0).alias("keep")).distinct()
 
+    @cached_property
+    def scan_bands(self) -> DataFrame:
+        """The manifest of the scan: its bands, from two narrow columns."""
+        i = (F.col("l_suppkey") % 31).cast("int")
+        return self.raw("lineitem").select(F.lit("s").alias("scan_id"), (300 + 20 * F.col("l_linenumber")).cast("double").alias("excitation"), i.alias("em_idx"),
+                                           (420 + 10 * i).cast("double").alias("emission")).distinct()
+
     @cached_property
     def cells(self) -> DataFrame:
         return self.cubes.withColumn("value", F.when((F.col("y") + F.col("em_idx")) % 3 != 0, F.col("value")))
