@@ -181,13 +181,14 @@ def object_mapped_contingency(oc: DataFrame, fraction: bool = False) -> DataFram
 def object_metrics(oc: DataFrame, average: str = "macro") -> DataFrame:
     """Accuracy, counts, averaged precision / recall / F1, kappa, MCC, the single true class (or -1), the class of most pixels
     (the smaller one on a tie) and the distribution of predictions."""
-    s = scores(oc, OBJ)
-    cls = oc.groupBy(*OBJ).agg(F.countDistinct("class").alias("k"), F.min("class").alias("c")).select(
-        *OBJ, F.when(F.col("k") == 1, F.col("c")).otherwise(-1).alias("true_class"))
-    most = oc.groupBy(*OBJ, "class").agg(F.sum("n").alias("n")).groupBy(*OBJ).agg(F.min_by("class", F.struct(-F.col("n"), F.col("class"))).alias("class_label"))
-    dist = oc.groupBy(*OBJ, "cluster").agg(F.sum("n").alias("n")).groupBy(*OBJ).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("cluster", "n")))).alias("prediction_distribution"))
-    return s.join(cls, OBJ).join(most, OBJ).join(dist, OBJ).select(
+    rows = F.collect_list(F.struct("class", "cluster", F.col("n").cast("bigint").alias("n")))  # classes x clusters of one object
+    total = lambda field, label: F.aggregate(F.filter("__r", lambda e: e[field] == label), F.lit(0).cast("bigint"), lambda acc, e: acc + e["n"])
+    labels = lambda field: F.array_sort(F.array_distinct(F.transform("__r", lambda e: e[field])))
+    per = oc.groupBy(*OBJ).agg(rows.alias("__r")).select(
+        *OBJ, F.when(F.size(labels("class")) == 1, labels("class")[0]).otherwise(-1).alias("true_class"),
+        F.array_min(F.transform(labels("class"), lambda c: F.struct((-total("class", c)).alias("n"), c.alias("c"))))["c"].alias("class_label"),
+        F.map_from_entries(F.transform(labels("cluster"), lambda c: F.struct(c, total("cluster", c)))).alias("prediction_distribution"))
+    return scores(oc, OBJ).join(per, OBJ).select(
         *OBJ, "true_class", "class_label", F.col("total").alias("total_pixels"), F.col("correct").alias("correct_pixels"), (F.col("total") - F.col("correct")).alias("incorrect_pixels"),
         "accuracy", *[F.col(f"{m}_{average}").alias(m) for m in ("precision", "recall", "f1")], "cohen_kappa", F.col("matthews_corrcoef").alias("mcc"), "prediction_distribution")
 

@@ -196,3 +196,23 @@ def read_cubes(spark: SparkSession, path: str) -> DataFrame:
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/manifest")
+
+
+# -- co-located tables ------------------------------------------------------------------------------
+
+def write_colocated(df: DataFrame, name: str, path: str, buckets: int, by: list[str] = PIXEL) -> DataFrame:
+    """Store a pixel table bucketed and sorted by its keys, and return it as table ``name``.
+
+    Tables of one number of buckets over the same keys (labels, predictions, objects, masks) are joined bucket by bucket: no pixel is
+    moved again.  One file per bucket; choose ``buckets`` so that a bucket fits a task, for the largest of the tables.
+    """
+    df.repartition(buckets, *by).write.mode("overwrite").bucketBy(buckets, *by).sortBy(*by).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def read_colocated(spark: SparkSession, name: str, path: str, buckets: int, by: list[str] = PIXEL) -> DataFrame:
+    """A table of ``write_colocated`` in a session that does not know it yet; the layout is that of the files."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+    keys = ", ".join(f"`{c}`" for c in by)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
