@@ -38,6 +38,7 @@ LEADERS = 16  # tried per list
 BALL = 32  # members that make a ball
 CODES, SUBSPACES = 256, 8
 TARGETS, QUERIES = 2_048, 4_096  # vectors of a list and queries that meet in one task
+ASKED, RANKED = 256, 1 << 14  # queries looked up at once, candidates measured at once
 SLACK = 1e-7
 
 
@@ -182,24 +183,21 @@ def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 def searched(index: Index, cell: int, q_key, q_m, q_u, q_own, t_key, t_m, t_u, codes, missed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys that have links here, the rows they link with, and the root of their links."""
     far, centre = np.sqrt(2 - 2 * index.t) + SLACK, index.cell(cell)
-    found_q, found_t = [], []
-    for at in range(0, len(q_key), 256):
-        rows = slice(at, at + 256)
-        i, j = np.nonzero(index.distances(q_u[rows] - centre, codes) - missed <= far)
+    keys, place = np.unique(np.r_[q_key, t_key], return_inverse=True)
+    q_at, t_at = place[:len(q_key)], place[len(q_key):]
+    n, label = np.zeros(len(keys), np.int64), np.arange(len(keys))
+    for at in range(0, len(q_key), ASKED):  # links of a few queries at a time: only counts and roots are kept
+        i, j = np.nonzero(index.distances(q_u[at:at + ASKED] - centre, codes) - missed <= far)
         i += at
         ok = ~q_own[i] | (q_key[i] < t_key[j])  # inside a list every pair is met from both ends
         i, j = i[ok], j[ok]
-        for part in range(0, len(i), 1 << 16):
-            x, y = i[part:part + (1 << 16)], j[part:part + (1 << 16)]
-            near = np.einsum("ij,ij->i", q_u[x], t_u[y]) >= index.t
-            found_q.append(x[near])
-            found_t.append(y[near])
-    i, j = (np.concatenate(f) if f else np.zeros(0, np.int64) for f in (found_q, found_t))
-    keys, place = np.unique(np.r_[q_key, t_key], return_inverse=True)
-    a, b = place[:len(q_key)][i], place[len(q_key):][j]
-    n = (np.bincount(a, t_m[j], len(keys)) + np.bincount(b, q_m[i], len(keys))).astype(np.int64)
+        near = np.concatenate([np.zeros(0, bool)] + [np.einsum("ij,ij->i", q_u[i[p:p + RANKED]], t_u[j[p:p + RANKED]]) >= index.t for p in range(0, len(i), RANKED)])
+        i, j = i[near], j[near]
+        n += (np.bincount(q_at[i], t_m[j], len(keys)) + np.bincount(t_at[j], q_m[i], len(keys))).astype(np.int64)
+        if len(i):
+            label = roots(np.r_[q_at[i], np.arange(len(keys))], np.r_[t_at[j], label], len(keys))
     linked = np.flatnonzero(n)
-    return keys[linked], n[linked], keys[roots(a, b, len(keys))[linked]]
+    return keys[linked], n[linked], keys[label[linked]]
 
 
 def embedding_join(vectors: DataFrame, t: float = 0.9, spread: float | None = 4.0, sample: int = SAMPLE, lists: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding",
