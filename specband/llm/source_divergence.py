@@ -142,7 +142,8 @@ def source_divergence(docs: DataFrame, min_docs: int = 30, top: int = 50, block:
     terms = terms.withColumn("rank", F.row_number().over(by_group)).where(F.col("rank") <= top)
 
     entries = kept.groupBy("lang", "profile").agg(F.count("*").alias("terms"))  # equal columns: one entry and its run length
-    placed = cut(entries.repartitionByRange("lang", "profile").sortWithinPartitions("lang", "profile").withColumn("pos", F.monotonically_increasing_id()))
+    near = [F.col("lang"), F.slice("profile", 1, 3), F.xxhash64("profile")]  # short keys: Spark samples them on the driver
+    placed = cut(entries.repartitionByRange(*near).sortWithinPartitions("lang", "profile").withColumn("pos", F.monotonically_increasing_id()))
     placed = placed.withColumn("block", F.floor(F.col("pos") / block))
     told = placed.select("lang", "block").distinct().join(groups, "lang").select(F.col("lang").alias("tongue"), F.col("block").alias("at"), "source", "total", "size")
     sums = placed.select("lang", "block", "pos", "terms", F.inline("profile")).groupBy("lang", "block").cogroup(told.groupBy("tongue", "at")).applyInPandas(
