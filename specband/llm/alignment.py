@@ -34,6 +34,7 @@ from specband.llm.common import SLICE_BYTES, binary, buffers, cut_runs, id_text,
 LANE = 2048  # bytes of one text that one entry of the state vector walks through
 CACHE_BYTES = 4 << 20  # parts a task keeps
 ENCODE = 4096  # parts handed to a library at once
+LINKS = 1 << 18  # links looked up at once
 MARK = "▁"
 SAFE = re.compile(rf"(?<=[^\s{MARK}]) (?=[^\s{MARK}])")
 ROWS = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, pairs binary"
@@ -249,15 +250,23 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     return id_text(docs, id_col, text_col).mapInArrow(run, ROWS)
 
 
+def held(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a binary column and the bounds of its rows."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    return joined(column, np.int64), ((at - at[0]) // 8).astype(np.int64)
+
+
 def pair_counts(rows: DataFrame) -> DataFrame:
     """``pair, n``: links over all rows that hold the id pair; every task adds up what it has read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, total = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for b in batches:
-            k, n = np.unique(joined(b.column(0), np.int64), return_counts=True)
-            known, at = np.unique(np.r_[known, k], return_inverse=True)
-            total = np.bincount(at, np.r_[total, n], len(known)).astype(np.int64) if len(known) else total
+            pairs, _ = held(b.column(0))
+            for lo in range(0, len(pairs), LINKS):
+                k, n = np.unique(pairs[lo:lo + LINKS], return_counts=True)
+                known, at = np.unique(np.r_[known, k], return_inverse=True)
+                total = np.bincount(at, np.r_[total, n], len(known)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(total)], names=["pair", "n"])
 
     return rows.select("pairs").mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
@@ -290,12 +299,16 @@ def tokenizer_alignment(docs: DataFrame, a_path: str, b_path: str, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n, best = told.value
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index("pairs"))
-            at = np.r_[0, np.cumsum([len(x) // 8 for x in (y.as_buffer() if y.is_valid else b"" for y in column)])].astype(np.int64)
-            place = np.searchsorted(keys, joined(column, np.int64))
-            total, top = np.r_[0, np.cumsum(n[place])], np.r_[0, np.cumsum(best[place])]
+            pairs, at = held(batch.column(batch.schema.get_field_index("pairs")))
+            sums = [np.zeros((2, 0), np.int64)]
+            for i, j in slices(at, LINKS):  # few links at a time; one row's links at least
+                place = np.searchsorted(keys, pairs[at[i]:at[j]])
+                total, top = np.r_[0, np.cumsum(n[place])], np.r_[0, np.cumsum(best[place])]
+                lo, hi = at[i:j] - at[i], at[i + 1:j + 1] - at[i]
+                sums.append(np.stack([top[hi] - top[lo], total[hi] - total[lo]]))
+            n_best, count_sum = np.concatenate(sums, axis=1)
             own = {f: batch.column(batch.schema.get_field_index(f)) for f in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")}
-            own |= {"n_best": pa.array(top[at[1:]] - top[at[:-1]]), "count_sum": pa.array(total[at[1:]] - total[at[:-1]])}
+            own |= {"n_best": pa.array(n_best), "count_sum": pa.array(count_sum)}
             names = [f.split()[0] for f in RESULT.split(", ")]
             yield pa.RecordBatch.from_arrays([own[f] for f in names], names=names)
 
