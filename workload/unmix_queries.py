@@ -41,6 +41,57 @@ for _id, _method in (("m04_als_step_clip", "clip"), ("m05_als_step_ridge", "ridg
         return um.Mcr(s, fit["mse"], fit["explained_variance"]).profile_table(t.spark)
 
 
+def _pair(method, a, b, c, h1, h2):
+    """Closed form of the two-component least squares in SQL: G = ((a, b), (b, c)), H = (h1, h2)."""
+    if method == "ridge":
+        a, c = f"({a} + 1e-6)", f"({c} + 1e-6)"
+    x1, x2 = f"(({c} * {h1} - {b} * {h2}) / ({a} * {c} - {b} * {b}))", f"(({a} * {h2} - {b} * {h1}) / ({a} * {c} - {b} * {b}))"
+    if method != "nnls":
+        return f"greatest(0, {x1})", f"greatest(0, {x2})"
+    inside = f"{x1} >= 0 AND {x2} >= 0"
+    first = f"pow(greatest(0, {h1}), 2) / {a} >= pow(greatest(0, {h2}), 2) / {c}"  # on the edge, the component that explains more
+    return (f"CASE WHEN {inside} THEN {x1} WHEN {first} THEN greatest(0, {h1}) / {a} ELSE 0 END", f"CASE WHEN {inside} THEN {x2} WHEN {first} THEN 0 ELSE greatest(0, {h2}) / {c} END")
+
+
+def _two(method):
+    """One alternation with two components in SQL: the longest spectrum and the one farthest from its line, concentrations, new profiles."""
+    c1, c2 = _pair(method, "a", "b", "c", "h1", "h2")
+    n1, n2 = _pair(method, "ga", "gb", "gc", "x1", "x2")
+    return f"""WITH px AS (SELECT pixel_id, band_id, abs(value) AS v FROM longpix), sq AS (SELECT pixel_id, sum(v * v) AS n FROM px GROUP BY pixel_id),
+    s1 AS (SELECT band_id, v FROM px WHERE pixel_id = (SELECT pixel_id FROM sq ORDER BY n DESC LIMIT 1)),
+    d1 AS (SELECT px.pixel_id, sum(px.v * s1.v) AS h1 FROM px JOIN s1 ON s1.band_id = px.band_id GROUP BY px.pixel_id),
+    far AS (SELECT d1.pixel_id FROM d1 JOIN sq ON sq.pixel_id = d1.pixel_id ORDER BY n - h1 * h1 / (SELECT sum(v * v) FROM s1) DESC LIMIT 1),
+    s2 AS (SELECT band_id, v FROM px WHERE pixel_id = (SELECT pixel_id FROM far)),
+    g AS (SELECT sum(s1.v * s1.v) AS a, sum(s1.v * s2.v) AS b, sum(s2.v * s2.v) AS c FROM s1 JOIN s2 ON s1.band_id = s2.band_id),
+    d2 AS (SELECT px.pixel_id, sum(px.v * s2.v) AS h2 FROM px JOIN s2 ON s2.band_id = px.band_id GROUP BY px.pixel_id),
+    cc AS (SELECT d1.pixel_id, {c1} AS c1, {c2} AS c2 FROM d1 JOIN d2 ON d1.pixel_id = d2.pixel_id, g),
+    gg AS (SELECT sum(c1 * c1) AS ga, sum(c1 * c2) AS gb, sum(c2 * c2) AS gc FROM cc),
+    cx AS (SELECT band_id, sum(c1 * v) AS x1, sum(c2 * v) AS x2 FROM px JOIN cc ON cc.pixel_id = px.pixel_id GROUP BY band_id),
+    ns AS (SELECT band_id, {n1} AS n1, {n2} AS n2 FROM cx, gg), nn AS (SELECT sqrt(sum(n1 * n1)) AS m1, sqrt(sum(n2 * n2)) AS m2 FROM ns)
+    SELECT CAST(0 AS INT) AS component, CAST(band_id AS INT) AS band_id, round(n1 / m1, 6) AS value FROM ns, nn UNION ALL SELECT 1, CAST(band_id AS INT), round(n2 / m2, 6) FROM ns, nn"""
+
+
+for _id, _method in (("m04_als_step_clip_two", "clip"), ("m05_als_step_ridge_two", "ridge"), ("m06_als_step_nnls_two", "nnls")):
+    @case(_id, _two(_method))
+    def _(t, method=_method):
+        px = positive(t)
+        s, fit = um.als_step(px, um.mcr_init(px, 2, "farthest"), method)
+        return rd(um.Mcr(s, fit["mse"], fit["explained_variance"]).profile_table(t.spark))
+
+
+M3 = """WITH px AS (SELECT pixel_id, band_id, abs(value) AS v FROM longpix), sq AS (SELECT pixel_id, sum(v * v) AS n FROM px GROUP BY pixel_id),
+    s1 AS (SELECT band_id, v FROM px WHERE pixel_id = (SELECT pixel_id FROM sq ORDER BY n DESC LIMIT 1)),
+    d1 AS (SELECT px.pixel_id, sum(px.v * s1.v) AS h1 FROM px JOIN s1 ON s1.band_id = px.band_id GROUP BY px.pixel_id),
+    far AS (SELECT d1.pixel_id FROM d1 JOIN sq ON sq.pixel_id = d1.pixel_id ORDER BY n - h1 * h1 / (SELECT sum(v * v) FROM s1) DESC LIMIT 1)
+    SELECT CAST(0 AS INT) AS component, CAST(band_id AS INT) AS band_id, round(v, 6) AS value FROM s1
+    UNION ALL SELECT 1, CAST(band_id AS INT), round(v, 6) FROM px WHERE pixel_id = (SELECT pixel_id FROM far)"""
+
+
+@case("m03_mcr_init_farthest", M3)
+def _(t):
+    return rd(um.Mcr(um.mcr_init(positive(t), 2, "farthest"), 0.0, 0.0).profile_table(t.spark))
+
+
 @case("m07_fit_mcr")
 def _(t):
     px = positive(t)
