@@ -2,14 +2,15 @@
 
 A page becomes a tree (void elements, start and end tags that HTML implies, unknown tags kept), hidden subtrees are left
 out, and the tree is rendered: blocks start lines and keep their spacing, list items get bullets or numbers, table cells
-are aligned in columns, preformatted text keeps its white space.  Trees may be of any depth: walks keep their own stack.
-Only layout has limits (indentation, aligned tables within tables).  Text fields and selections are values, not text.
+are aligned on a grid with row and column spans, preformatted text keeps its white space, controls show what they hold (a closed selection its
+chosen option).  Trees may be of any depth: walks keep their own stack.  Only layout has limits (indentation, aligned tables within tables).
 """
 
 from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,7 +23,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 DRAWN = frozenset("desc metadata defs symbol clippath mask marker pattern lineargradient radialgradient".split())  # no text of its own in a drawing
 NOTES = frozenset(("annotation", "annotation-xml"))  # not shown in a formula
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())  # text up to their end tag
-UNSEEN = frozenset("head script style title meta link base template datalist noembed noframes iframe object audio video canvas select textarea input param source track".split())
+UNSEEN = frozenset("head script style title meta link base template datalist noembed noframes iframe object audio video canvas param source track".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu table pre blockquote figure fieldset".split())  # blank line around
 BLOCKS = SPACED | frozenset("html body div section article aside header footer nav main form address li dt dd figcaption details summary hr caption center dir legend hgroup search".split())
 CLOSES_P = (SPACED | BLOCKS) - frozenset("html body li dt dd caption legend figcaption summary".split())
@@ -44,20 +45,24 @@ ALIGNED = 50  # tables within tables that are aligned; deeper ones have a line p
 ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)"
                    r"((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+)*+)>?", re.S)
-HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-MAYBE_HIDDEN = re.compile(r"hidden|display|visibility|start|value|span", re.I)
+HIDING = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
+TELLING = re.compile(r"hidden|display|visibility|start|value|span|selected|multiple|size|type", re.I)  # attributes that matter here
+SILENT = frozenset("hidden password checkbox radio file image range color".split())  # inputs that show no text
+LABELS = {"submit": "Submit", "reset": "Reset"}  # what such a button shows without a value
 BLANK = re.compile(r"[ \t\r\n\f]+")
 
 
 class Element:
-    __slots__ = ("tag", "hidden", "attrs", "kids")
+    __slots__ = ("tag", "hidden", "attrs", "kids", "veiled")
 
-    def __init__(self, tag: str, hidden: bool = False, attrs: dict | None = None) -> None:
+    def __init__(self, tag: str, hidden: bool = False, attrs: dict | None = None, veiled: bool = False) -> None:
         self.tag, self.hidden, self.attrs, self.kids = tag, hidden, attrs or {}, []
+        self.veiled = veiled  # invisible, but a descendant may be visible again
 
 
 def attributes(source: str) -> dict[str, str]:
-    return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(source)} if source and MAYBE_HIDDEN.search(source) else {}
+    return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(source)} if source and TELLING.search(source) else {}
 
 
 def is_hidden(tag: str, attrs: dict[str, str]) -> bool:
@@ -107,7 +112,8 @@ def parse(source: str) -> Element:
             text = html.unescape(text) if "&" in text else text
             if stack[-1].tag == "head" and not text.isspace():
                 tree.cut(len(stack) - 1)
-            tree.add(text)
+            if not stack[-1].veiled:
+                tree.add(text)
 
     while at < n:
         m = TOKEN.search(source, at)
@@ -119,7 +125,11 @@ def parse(source: str) -> Element:
         tag = m[2]
         if tag is None:
             if m[0].startswith("<![CDATA["):
-                tree.add(m[0][9:].removesuffix("]]>"))
+                if where.get("svg") or where.get("math"):
+                    if not stack[-1].veiled:
+                        tree.add(m[0][9:].removesuffix("]]>"))
+                else:  # elsewhere a comment, up to the first ">"
+                    at = source.find(">", m.start()) + 1 or n
             continue
         tag = tag.lower()
         if tag == "text" and where.get("svg"):
@@ -140,7 +150,7 @@ def parse(source: str) -> Element:
         if tag in STAYS_OPEN and tree.last(TABLE_WALL) > floor:
             tree.cut(tree.last(STAYS_OPEN[tag]) + 1)
             if tag in ("td", "th") and stack[-1].tag != "tr":
-                row = Element("tr")
+                row = Element("tr", veiled=stack[-1].veiled)
                 tree.add(row)
                 tree.push(row)
         for _ in range(3):  # td, tr and tbody may all end
@@ -154,11 +164,13 @@ def parse(source: str) -> Element:
             continue
         attrs = attributes(m[3])
         hidden = is_hidden(tag, attrs) or tag in DRAWN and bool(where.get("svg")) or tag in NOTES and bool(where.get("math"))
-        element = Element(tag, hidden, attrs)
+        seen = VISIBILITY.findall(attrs.get("style", ""))
+        element = Element(tag, hidden, attrs, seen[-1].lower() != "visible" if seen else stack[-1].veiled)
         tree.add(element)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-            element.kids.append(source[at : end.start() if end else n])
+            if not element.veiled:
+                element.kids.append(html.unescape(source[at : end.start() if end else n]) if tag == "textarea" else source[at : end.start() if end else n])
             at = end.end() if end else n
         elif tag not in VOID and not m[0].endswith("/>") or tag in BLOCKS and tag not in VOID:
             tree.push(element)
@@ -266,6 +278,16 @@ def render(kids: list, out: Lines, depth: int = 0) -> Steps:
             yield render(kid.kids, out, depth)
             out.pre -= 1
             out.space(1)
+        elif tag == "textarea":
+            out.pre += 1
+            out.text("".join(kid.kids).removeprefix("\n"))
+            out.pre -= 1
+        elif tag == "input":
+            kind = kid.attrs.get("type", "").lower()
+            if kind not in SILENT and not kid.veiled:
+                out.text(kid.attrs.get("value", LABELS.get(kind, "")))
+        elif tag == "select":
+            out.text(" ".join(chosen(kid)))
         elif tag in BLOCKS or tag == "svg:text":
             blank = 1 if tag in SPACED else 0
             keep = out.indent
@@ -279,6 +301,23 @@ def render(kids: list, out: Lines, depth: int = 0) -> Steps:
             yield render(kid.kids, out, depth)
 
 
+def chosen(node: Element) -> list[str]:
+    """Options that a selection shows: all of an open list, else the last one marked as selected, or the first."""
+    options, stack = [], [iter(node.kids)]
+    while stack:
+        kid = next(stack[-1], None)
+        if kid is None:
+            stack.pop()
+        elif isinstance(kid, Element) and not kid.hidden:
+            if kid.tag == "option":
+                options.append(kid)
+            stack.append(iter(kid.kids))
+    size = node.attrs.get("size", "1")
+    if "multiple" not in node.attrs and not (size.isdecimal() and int(size[:4]) > 1):
+        options = ([o for o in options if "selected" in o.attrs] or options[:1])[-1:]
+    return [BLANK.sub(" ", "".join(k for k in o.kids if isinstance(k, str))).strip() for o in options]
+
+
 def list_items(node: Element, out: Lines, depth: int) -> Steps:
     number = node.attrs.get("start", "1")
     number = int(number) if re.fullmatch(r"-?\d{1,9}", number) else 1
@@ -343,41 +382,65 @@ def plain_table(node: Element, out: Lines, depth: int) -> Steps:
         out.end()
 
 
+def columns(s: str) -> int:
+    """Columns of a fixed-width screen: wide characters take two, combining and invisible ones none."""
+    if s.isascii():
+        return len(s)
+    return sum(0 if unicodedata.category(c) in ("Mn", "Me", "Cf") else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s)
+
+
+def span_of(cell: Element, name: str) -> int:
+    value = cell.attrs.get(name, "1")
+    return int(value[:5]) if value.isdecimal() else 1
+
+
 def table_lines(node: Element, depth: int, nested: int, out: list[str]) -> Steps:
-    """Rows of a table with cells padded to their columns; text outside cells stands before the rows."""
+    """Rows of a table with cells padded to their columns; text outside cells stands before the rows.
+
+    Cells take the first free columns of the grid: those that a cell of an earlier row reaches down into are not free.
+    """
     stray, parts = table_parts(node)
     if stray:
         yield cell_lines(stray, depth + 1, nested, out)
-    rows = []
-    for row in parts:
-        cells = []
+    rows, taken = [], {}  # column -> row up to which it is taken
+    for r, row in enumerate(parts):
+        cells, col = [], 0
         for cell in row.kids:
             if isinstance(cell, str):
-                if cell.strip():
-                    cells.append(([BLANK.sub(" ", cell).strip()], 1))
-            elif not cell.hidden:
+                if not cell.strip():
+                    continue
+                lines, wide, high = [BLANK.sub(" ", cell).strip()], 1, 1
+            elif cell.hidden:
+                continue
+            else:
                 own = cell.tag in ("td", "th")
                 lines: list[str] = []
                 yield cell_lines(cell.kids if own else [cell], depth + 1, nested, lines)
-                span = cell.attrs.get("colspan", "1") if own else "1"
-                cells.append((lines, min(int(span), 100) if span.isdecimal() and int(span[:4]) else 1))
+                wide, high = (min(max(span_of(cell, "colspan"), 1), 100), span_of(cell, "rowspan")) if own else (1, 1)
+            while taken.get(col, -1) >= r:
+                col += 1
+            if high != 1:
+                for c in range(col, col + wide):
+                    taken[c] = r + high - 1 if high else len(parts)
+            cells.append((col, wide, lines))
+            col += wide
         rows.append(cells)
-    widths: list[int] = []
+    widths = [0] * max((col + wide for cells in rows for col, wide, _ in cells), default=0)
     for cells in rows:
-        col = 0
-        for lines, span in cells:
-            widths += [0] * (col + span - len(widths))
-            if span == 1:
-                widths[col] = max(widths[col], *map(len, lines))
-            col += span
+        for col, wide, lines in cells:
+            if wide == 1:
+                widths[col] = max(widths[col], *map(columns, lines))
+    starts = [0]
+    for w in widths:
+        starts.append(starts[-1] + w + 2)
     for cells in rows:
-        for k in range(max((len(lines) for lines, _ in cells), default=0)):
-            col, line = 0, []
-            for lines, span in cells:
-                width = sum(widths[col : col + span]) + 2 * (span - 1)
-                line.append((lines[k] if k < len(lines) else "").ljust(width))
-                col += span
-            out.append("  ".join(line).rstrip())
+        for k in range(max((len(lines) for _, _, lines in cells), default=0)):
+            line, end = "", 0
+            for i, (col, _, lines) in enumerate(cells):
+                gap = max(starts[col] - end, 2 if i else 0)
+                text = lines[k] if k < len(lines) else ""
+                line, end = line + " " * gap + text, end + gap + columns(text)
+            out.append(line.rstrip())
 
 
 def visible_text(source: str | None) -> str | None:

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from specband.functions.scale import cut
+from specband.operators.stats import matrix_sum
 from specband.llm.common import BYTE_CODE, SPACE, Powers, Rolling, buffers, id_text, owners, slices, word_spans
 
 STATISTICS = ("log_words", "log_bytes", "word_bytes", "long_words", "upper", "digits", "symbols", "pipes", "bangs", "stops", "commas", "other_punct", "non_ascii",
@@ -139,22 +140,15 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", ridge: floa
     known = stats.join(y, "doc_id").where(~held_out(F.col("doc_id"))).withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int"))
     known = cut(known.select("x", "y", "fold"))
 
-    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((FOLDS, features + 1, features + 2))
-        for f in frames:
-            z, target = fourier(as_matrix(f["x"]), mean, scale, model.frequencies, model.phases), f["y"].to_numpy()
-            for k in range(FOLDS):
-                at = f["fold"].to_numpy() == k
-                total[k] += z[at].T @ np.hstack([z[at], target[at, None]])
-        yield pd.DataFrame({"i": np.arange(FOLDS * (features + 1)), "row": list(total.reshape(-1, features + 2))})
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"i": [pdf["i"].iloc[0]], "row": [np.sum(np.stack(pdf["row"].to_numpy()), axis=0)]})
+    def sums(rows: np.ndarray) -> np.ndarray:
+        z, target, fold = fourier(rows[:, :d], mean, scale, model.frequencies, model.phases), rows[:, d], rows[:, d + 1]
+        return np.concatenate([(z[fold == k].T @ np.hstack([z[fold == k], target[fold == k, None]])).ravel() for k in range(FOLDS)])
 
-    parts = known.mapInPandas(sums, "i int, row array<double>").groupBy("i").applyInPandas(add, "i int, row array<double>").orderBy("i").toPandas()  # FOLDS x (features + 1) rows
-    if not len(parts):
+    packed = known.select(F.concat("x", F.array(F.col("y"), F.col("fold").cast("double"))).alias("r"))
+    parts = matrix_sum(packed, sums, "r")  # each partition adds up its own equations; partial sums meet in shrinking rounds
+    if parts is None:
         return model
-    total = np.stack(parts["row"].to_numpy()).reshape(FOLDS, features + 1, features + 2)
+    total = parts.reshape(FOLDS, features + 1, features + 2)
     penalty = ridge * np.eye(features + 1)
     penalty[0, 0] = 1e-9
     solve = lambda s: np.linalg.lstsq(s[:, :-1] + penalty * max(1.0, s[0, 0] / 1000), s[:, -1], rcond=None)[0]

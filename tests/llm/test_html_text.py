@@ -1,5 +1,6 @@
 """Layout on hand-written pages; visible words of the table against the standard library's parser."""
 
+import random
 from html.parser import HTMLParser
 
 import pytest
@@ -21,7 +22,7 @@ CASES = {
     "<dl><dt>t<dd>d<dt>u<dd>e</dl>": "t\n    d\nu\n    e",
     "<blockquote>q<p>r</blockquote>s": "    q\n\n    r\n\ns",
     "one<!-- open": "one", "<p>un<b>closed": "unclosed", "</p>x</div>": "x", "1 < 2 and 3 > 2": "1 < 2 and 3 > 2",
-    "<select><option>a<option>b</select><textarea>t</textarea>v": "v", "<a href='x>y'>z</a>": "z", "": "", "   ": "", "<td>lone": "lone",
+    "<select><option>a<option>b</select><textarea>t</textarea>v": "atv", "<a href='x>y'>z</a>": "z", "": "", "   ": "", "<td>lone": "lone",
 }
 
 
@@ -56,6 +57,77 @@ def test_shown_elements():
     assert visible_text("<head><title>t</title><p>seen") == "seen" and visible_text("<head>seen") == "seen"
 
 
+SPANS = {
+    "<table><tr><td rowspan=2>A<td>b<tr><td>c</table>": "A  b\n   c",
+    "<table><tr><td>a<td rowspan=2 colspan=2>B<td>c<tr><td>d<td>e<tr><td>f<td>g<td>h<td>i</table>": "a  B     c\nd        e\nf  g  h  i",
+    "<table><tr><td rowspan=0>x<td>1<tr><td>2<tr><td>3</table>": "x  1\n   2\n   3",
+    "<table><tr><td rowspan=3>x<tr><tr><td>y</table>": "x\n   y",
+    "<table><tr><td>漢字<td>b<tr><td>abc<td>d<tr><td>e\u0301<td>f</table>": "漢字  b\nabc   d\ne\u0301     f",
+    "<table><tr><td rowspan=x colspan=-1>a<td>b</table>": "a  b",
+}
+
+
+@pytest.mark.parametrize("page", list(SPANS))
+def test_spans_and_widths(page):
+    assert visible_text(page) == SPANS[page]
+
+
+def grid(cells):
+    """Plain layout: place every cell on a dense grid, then print each row of one-line cells."""
+    used, at = {}, []
+    for r, row in enumerate(cells):
+        c = 0
+        for text, wide, high in row:
+            while (r, c) in used:
+                c += 1
+            for i in range(high):
+                for j in range(wide):
+                    used[r + i, c + j] = ""
+            at.append((r, c, wide, text))
+            c += wide
+    widths = [0] * (max(c + w for _, c, w, _ in at))
+    for _, c, w, text in at:
+        if w == 1:
+            widths[c] = max(widths[c], len(text))
+    lines = []
+    for r in range(len(cells)):
+        line = ""
+        for k, (_, c, _, text) in enumerate([x for x in at if x[0] == r]):
+            line = (line + "  " if k else "").ljust(sum(widths[:c]) + 2 * c) + text
+        lines.append(line.rstrip())
+    return "\n".join(x for x in lines if x)
+
+
+def test_random_grids():
+    r = random.Random(4)
+    for _ in range(200):
+        cells = [[("".join(r.choice("abc") for _ in range(r.randrange(1, 6))), r.choice([1, 1, 1, 2]), r.choice([1, 1, 2])) for _ in range(r.randrange(1, 5))] for _ in range(4)]
+        page = "<table>" + "".join("<tr>" + "".join(f"<td colspan={w} rowspan={h}>{t}</td>" for t, w, h in row) + "</tr>" for row in cells) + "</table>"
+        assert visible_text(page) == grid(cells)
+
+
+def test_sections_outside_drawings_are_comments():
+    assert visible_text("x<![CDATA[secret]]>y") == "xy" and visible_text("x<![CDATA[a>b]]>y") == "xb]]>y" and visible_text("x<![CDATA[open") == "x"
+    assert visible_text("<svg><text><![CDATA[a<b]]></text></svg>") == "a<b" and visible_text("<math><mi><![CDATA[k]]></mi></math>") == "k"
+
+
+def test_visible_parts_of_hidden_elements():
+    assert visible_text("<div style='visibility:hidden'>a<b style='visibility: visible'>b<i>c</i></b>d</div>e") == "bc\ne"
+    assert visible_text("<ul style='visibility:collapse'><li>a<li style='visibility:visible'>b</ul>") == "* b"
+    assert visible_text("<p style='visibility:hidden; visibility:visible'>a<textarea style='visibility:hidden'>no</textarea>") == "a"
+    assert visible_text("<div style='display:none'>a<b style='visibility:visible'>b</b></div>c") == "c"
+    assert visible_text("<table style='visibility:hidden'><tr><td>a<td style='visibility:visible'>b</table>") == "  b"
+
+
+def test_controls():
+    assert visible_text("<select><option>a<option selected>b<option>c</select>") == "b"
+    assert visible_text("<select multiple><optgroup label=g><option>a<option> b  c</optgroup><option hidden>d</select>") == "a b c"
+    assert visible_text("<select size=3><option>a<option>b</select>") == "a b" and visible_text("<select></select>x") == "x"
+    assert visible_text("<textarea>\n k &amp; l\n m</textarea>") == " k & l\n m"
+    assert visible_text("<input value=v> <input type=submit> <input type=button value='Go on'> <input type=hidden value=no><input type=password value=no><input>") == "v Submit Go on"
+    assert visible_text("<button>Send <b>now</b></button>") == "Send now"
+
+
 def test_any_depth():
     deep = "<b>" * 300
     assert visible_text(deep + "<i hidden>no</i><u style='display:none'>no</u>a</i></b>b") == "ab"
