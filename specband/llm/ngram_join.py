@@ -343,7 +343,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = PERCENT, frequent: in
     ``class_id`` is the smallest id with the same set; ``component_id`` the smallest id reachable by links between sets
     (100 * intersection >= percent * union), over any number of steps.  Null and empty texts have no n-grams and are alone.
     Repeated rows and ids are copies of each other where their texts agree.  A null id never names a component: such a row
-    gets its component's smallest id, or null.
+    gets its component's smallest id, or null.  A very long text is a slice of its own and one set, as large as its n-grams; an empty table gives no rows.
     """
     parts = partitions(docs)
     blobs = cut(shared(scan(id_text(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))), n, parts, frequent), parts))

@@ -109,6 +109,7 @@ def sanitise(docs: DataFrame, share: float = 0.8, contexts: int = 3, id_col: str
     ``base`` are the pattern spans, ``added`` those of disclosing terms (kind 4), both as (start, kind, end, value) in code points,
     end exclusive.  In ``clean_text`` a value is its kind in brackets, a generalised term ``[TERM]``, a removed one nothing.
     Null and empty texts have no spans and stay as they are; repeated rows get equal results; values count once per row.
+    Texts are judged whole at any length; an empty table gives no rows.
     """
     carried = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(0).alias("_"))
     src = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), carried.alias("in"))

@@ -175,7 +175,8 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", ridge: floa
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row; without any label every score is 0.5.
 
-    Null and empty texts are scored by their (zero) statistics; repeated rows get equal scores.
+    Null and empty texts are scored by their (zero) statistics; repeated rows get equal scores; statistics cover whole texts, a very long one
+    being a slice of its own; an empty table gives no rows.
     """
     stats = cut(document_statistics(id_text(docs, id_col, text_col)))
     model = fit(stats, labels, label)

@@ -41,7 +41,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, pre
     """``doc_id, n_words, n_removed, kept_text, spans`` (removed word ranges, end exclusive) for every row.
 
     A word goes when a ``window``-word run over it also starts in a document with a smaller id.  Null and empty texts
-    have no words; rows that share an id do not remove from each other; a row without an id loses nothing.
+    have no words; rows that share an id do not remove from each other; a row without an id loses nothing.  A very long text is a slice of
+    its own; texts may have up to 2^28 words.  An empty table gives no rows.
     """
 
     def finish(ids, body, offsets, at, mask, w0, w1) -> pa.RecordBatch:

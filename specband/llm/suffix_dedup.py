@@ -36,7 +36,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, freque
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (the remaining bytes) and ``spans`` (removed byte ranges) for every row.
 
     A byte goes when a ``length``-byte string over it also starts in a document with a smaller id.  Null is empty; rows
-    that share an id do not remove from each other; a row without an id loses nothing.  Cuts may fall inside a character.
+    that share an id do not remove from each other; a row without an id loses nothing.  Cuts may fall inside a character.  A very long
+    text is a slice of its own; texts may have up to 2^28 bytes.  An empty table gives no rows.
     """
 
     def finish(ids, body, offsets, at, mask, w0, w1) -> pa.RecordBatch:
