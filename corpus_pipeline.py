@@ -18,7 +18,10 @@ def rewritten(df: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; the others lose the lines that failed."""
+    """Rejected documents go; the others lose the lines that failed.
+
+    Null and empty texts have no words and go; repeated rows are judged alike; texts are whole at any length; an empty table stays empty.
+    """
     out = rules.quality_rules(docs, keep=COLUMNS).where("kept")
     return rewritten(out.select("in.*", "clean_text").withColumn("text", F.col("clean_text")))
 
@@ -38,7 +41,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of benchmark windows are cut out; a document of nothing else goes."""
+    """Words of benchmark windows are cut out; a document of nothing else goes.
+
+    Null and empty texts have no hits and stay; repeated rows lose the same words; texts are whole at any length; an empty benchmark cuts nothing.
+    """
     out = winnow.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=COLUMNS)
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, s: acc + s["b"] - s["a"])
     kept = out.where((n_hit == 0) | (n_hit < F.col("n_words")))
@@ -46,13 +52,16 @@ def benchmark_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Values and disclosing terms are replaced; every document stays."""
+    """Values and disclosing terms are replaced; every document stays.
+
+    Null and empty texts stay as they are; repeated rows get equal texts and each counts in the corpus statistics; texts are whole at any length.
+    """
     out = pii.sanitise(docs, keep=COLUMNS)
     return rewritten(out.select("in.*", "clean_text").withColumn("text", F.col("clean_text")))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document."""
+    """Piece ids of every document; null and empty texts have none, repeated rows get equal ids, texts are whole at any length."""
     import public_tokenizers
 
     return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model")).withColumn("n_pieces", F.size("ids").cast("bigint"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Sequence
 
@@ -24,6 +26,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         shared = tempfile.mkdtemp(prefix="specband-ckpt-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)  # this process made it and nobody else knows it
     sc.setCheckpointDir(shared)
 
 
