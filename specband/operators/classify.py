@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from specband.functions.columns import PIXEL, hash_order_key, let
-from specband.functions.scale import bounded_pandas, checked_broadcast, cut, ordinal, scalars
+from specband.functions.scale import bounded_pandas, checked_broadcast, cut, ordinal, require_bounded, scalars
 from specband.operators.compare import rect_join, roi_mapping
 from specband.operators.knn import neighbors
 from specband.operators.kmeans import Run, best_of, label as nearest_label, lockstep
@@ -158,12 +158,29 @@ def union_spectra_files(spark, path: str, schema: str) -> DataFrame:
 
 # -- K-means ---------------------------------------------------------------------------------------
 
-def kmeans(pixels: DataFrame, k: int = 5, n_init: int = 10, seed: int = 42, max_iter: int = 300, tol: float = 1e-4) -> tuple[DataFrame, Run]:
-    """Best of ``n_init`` seeded starts by cost, all fitted in the same passes: pixels with ``cluster``, and the run."""
-    best = _fits(pixels, [k], n_init, seed, max_iter, tol)[k]
+def kmeans(pixels: DataFrame, k: int = 5, n_init: int = 10, seed: int = 42, max_iter: int = 300, tol: float = 1e-4, starts: DataFrame | None = None) -> tuple[DataFrame, Run]:
+    """Best of ``n_init`` seeded starts by cost, all fitted in the same passes: pixels with ``cluster``, and the run.
+
+    ``starts`` (``cluster, center``; k rows) gives the starting centres instead.
+    """
+    if starts is not None:
+        best = _from_starts(pixels, starts, max_iter, tol, _as_is)
+    else:
+        best = _fits(pixels, [k], n_init, seed, max_iter, tol)[k]
     return nearest_label(pixels, best, _as_is), best
 
 
+def _from_starts(pixels: DataFrame, starts: DataFrame, max_iter: int, tol: float, shape) -> Run:
+    """One run from given centres, which are shaped like the spectra."""
+    given = np.array([r["center"] for r in require_bounded(starts.select("cluster", "center").orderBy("cluster"), "starting centres").to_dict("records")], dtype=float)
+    given = shape(given)
+    data = pixels.select("spectrum").persist()
+    try:
+        return lockstep(data, [Run(np.arange(given.shape[1]), len(given), 0, given)], shape, max_iter, tol)[0]
+    finally:
+        data.unpersist()
+
+
 def _as_is(x: np.ndarray) -> np.ndarray:
     return x
 
@@ -180,10 +197,10 @@ def _fits(pixels: DataFrame, ks: list[int], n_init: int, seed: int, max_iter: in
 
 
 def kmeans_large(pixels: DataFrame, k: int, sample: int | None = None, n_init: int = 10, seed: int = 42, use_pca: bool = True,
-                 key: str = "pixel_id") -> DataFrame:
+                 key: str = "pixel_id", starts: DataFrame | None = None, max_iter: int = 300) -> DataFrame:
     """Optional reduction to 50 axes, scaling on all rows, fit on all rows (or, on request, on a reproducible sample), predict everywhere.
 
-    Fewer clusters than asked for lead to one more search over all rows with twice the starts.
+    Fewer clusters than asked for lead to one more search over all rows with twice the starts.  ``starts`` as in ``kmeans``.
     """
     _, mean, cov, _ = moments(pixels)
     values, vectors = np.linalg.eigh(cov)
@@ -195,15 +212,18 @@ def kmeans_large(pixels: DataFrame, k: int, sample: int | None = None, n_init: i
     def shape(x: np.ndarray) -> np.ndarray:
         return (x - mean) @ axes / spread
 
-    def fit(rows: DataFrame, starts: int, first: int, rounds: int) -> Run:
+    if starts is not None:
+        return nearest_label(pixels, _from_starts(pixels, starts, max_iter, 1e-4, shape), shape)
+
+    def fit(rows: DataFrame, tries: int, first: int, rounds: int) -> Run:
         data = rows.select("spectrum").persist()
         try:
-            return best_of(lockstep(data, [Run(np.arange(axes.shape[1]), k, first + i) for i in range(starts)], shape, rounds, 1e-4))
+            return best_of(lockstep(data, [Run(np.arange(axes.shape[1]), k, first + i) for i in range(tries)], shape, rounds, 1e-4))
         finally:
             data.unpersist()
 
     chosen = pixels if sample is None else cut(pixels.orderBy(hash_order_key(key, seed), key).limit(sample))
-    run = fit(chosen, n_init, seed, 300)
+    run = fit(chosen, n_init, seed, max_iter)
     if run.filled < k:  # counts of the last round
         run = fit(pixels, 2 * n_init, seed + 1, 500)
     return nearest_label(pixels, run, shape)

@@ -115,7 +115,7 @@ def spread_centers(pixels: DataFrame, runs: list[Run], shape, partitions: int |
 def lockstep(pixels: DataFrame, runs: list[Run], shape, max_iter: int, tol: float) -> list[Run]:
     """Seed and fit all runs on ``shape(spectra)`` of cached pixels; a run stops when its centres move by at most ``tol`` (squared)."""
     partitions = pixels.rdd.getNumPartitions()  # of cached rows
-    spread_centers(pixels, runs, shape, partitions)
+    spread_centers(pixels, [r for r in runs if not len(r.centers)], shape, partitions)  # runs with given centres keep them
     runs = [r for r in runs if len(r.centers)]
     for _ in range(max_iter + 1):
         work = [(r.columns, r.centers) for r in runs if r.active]

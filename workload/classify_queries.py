@@ -110,6 +110,31 @@ def _(t):
     return cl.kmeans_large(t.pixels.select("pixel_id", "spectrum"), 5).select("pixel_id", "cluster")
 
 
+def _lloyd(rows, rounds):
+    """Rounds of K-means in SQL from the first five pixels, then the labels; ``rows``: pixel_id, band_id, v."""
+    label = """SELECT pixel_id, arg_min(cluster, d * 1000000 + cluster * 1e-9) AS cluster FROM
+        (SELECT z.pixel_id, c.cluster, sum(pow(z.v - c.v, 2)) AS d FROM z JOIN c ON c.band_id = z.band_id {where} GROUP BY z.pixel_id, c.cluster) q GROUP BY pixel_id"""
+    return f"""WITH RECURSIVE z AS ({rows}), c AS (SELECT 0 AS it, pixel_id AS cluster, band_id, v FROM z WHERE pixel_id < 5
+        UNION ALL SELECT (SELECT max(it) FROM c) + 1, l.cluster, z.band_id, avg(z.v) FROM z JOIN ({label.format(where="")}) l ON l.pixel_id = z.pixel_id
+          WHERE (SELECT max(it) FROM c) < {rounds} GROUP BY l.cluster, z.band_id)
+    SELECT pixel_id, CAST(cluster AS INT) AS cluster FROM ({label.format(where=f"WHERE c.it = {rounds}")}) q"""
+
+
+def first_five(t):
+    return t.pixels.where("pixel_id < 5").select(F.col("pixel_id").cast("int").alias("cluster"), F.col("spectrum").alias("center"))
+
+
+@case("g09_kmeans_from_starts", _lloyd("SELECT pixel_id, band_id, value AS v FROM longpix", 6))
+def _(t):
+    out, _ = cl.kmeans(t.pixels.select("pixel_id", "spectrum"), max_iter=5, tol=0.0, starts=first_five(t))
+    return out.select("pixel_id", "cluster")
+
+
+@case("g10_kmeans_large_from_starts", _lloyd("SELECT pixel_id, l.band_id, (value - m) / s AS v FROM longpix l JOIN (SELECT band_id, avg(value) AS m, stddev_pop(value) AS s FROM longpix GROUP BY band_id) n ON n.band_id = l.band_id", 4))
+def _(t):
+    return cl.kmeans_large(t.pixels.select("pixel_id", "spectrum"), 5, use_pca=False, starts=first_five(t), max_iter=3).select("pixel_id", "cluster")
+
+
 @case("g11_kmeans_k_sweep")
 def _(t):
     return cl.kmeans_k_sweep(t.pixels, [2, 3, 4, 5, 6, 7, 8], "label")
