@@ -79,6 +79,32 @@ for _id, _method in (("m04_als_step_clip_two", "clip"), ("m05_als_step_ridge_two
         return rd(um.Mcr(s, fit["mse"], fit["explained_variance"]).profile_table(t.spark))
 
 
+def _rounds(method, n):
+    """``n`` alternations with two components in SQL, one block of tables per round, then the concentrations on the last profiles."""
+    c1, c2 = _pair(method, "a", "b", "c", "h1", "h2")
+    n1, n2 = _pair(method, "ga", "gb", "gc", "x1", "x2")
+    start = _two(method).split("g AS (")[0].rstrip().rstrip(",")
+    text = start + ", t0 AS (SELECT s1.band_id, s1.v AS v1, s2.v AS v2 FROM s1 JOIN s2 ON s1.band_id = s2.band_id)"
+    for r in range(n + 1):
+        text += f""", g{r} AS (SELECT sum(v1 * v1) AS a, sum(v1 * v2) AS b, sum(v2 * v2) AS c FROM t{r}),
+    k{r} AS (SELECT px.pixel_id, sum(px.v * v1) AS h1, sum(px.v * v2) AS h2 FROM px JOIN t{r} ON t{r}.band_id = px.band_id GROUP BY px.pixel_id),
+    c{r} AS (SELECT pixel_id, {c1} AS c1, {c2} AS c2 FROM k{r}, g{r})"""
+        if r < n:
+            text += f""", gg{r} AS (SELECT sum(c1 * c1) AS ga, sum(c1 * c2) AS gb, sum(c2 * c2) AS gc FROM c{r}),
+    cx{r} AS (SELECT band_id, sum(c1 * v) AS x1, sum(c2 * v) AS x2 FROM px JOIN c{r} ON c{r}.pixel_id = px.pixel_id GROUP BY band_id),
+    n{r} AS (SELECT band_id, {n1} AS n1, {n2} AS n2 FROM cx{r}, gg{r}),
+    t{r + 1} AS (SELECT band_id, n1 / (SELECT sqrt(sum(n1 * n1)) FROM n{r}) AS v1, n2 / (SELECT sqrt(sum(n2 * n2)) FROM n{r}) AS v2 FROM n{r})"""
+    return text + f""" SELECT c.pixel_id, i AS component, round(CASE WHEN i = 0 THEN c1 ELSE c2 END, 5) AS value FROM c{n} c, (SELECT CAST(unnest([0, 1]) AS INT) AS i) q"""
+
+
+for _id, _method in (("m07_fit_mcr_two_clip", "clip"), ("m07_fit_mcr_two_nnls", "nnls")):  # the fit alone, round by round; m07_fit_mcr runs to its end
+    @case(_id, _rounds(_method, 3))
+    def _(t, method=_method):
+        px = positive(t)
+        fit = um.fit_mcr(px, 2, max_iter=3, tol=0.0, init="farthest", method=method, normalize=True)
+        return fit.concentrations(px).select("pixel_id", F.posexplode("concentration").alias("component", "value")).withColumn("value", F.round("value", 5))
+
+
 M3 = """WITH px AS (SELECT pixel_id, band_id, abs(value) AS v FROM longpix), sq AS (SELECT pixel_id, sum(v * v) AS n FROM px GROUP BY pixel_id),
     s1 AS (SELECT band_id, v FROM px WHERE pixel_id = (SELECT pixel_id FROM sq ORDER BY n DESC LIMIT 1)),
     d1 AS (SELECT px.pixel_id, sum(px.v * s1.v) AS h1 FROM px JOIN s1 ON s1.band_id = px.band_id GROUP BY px.pixel_id),
