@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from specband.functions.scale import ensure_checkpoint_dir
 
@@ -30,6 +30,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def matrix(column: pa.Array) -> np.ndarray:
     """Arrow list column -> rows x bands (missing cells 0)."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    if len(column) and len(flat) % len(column):
+        raise ValueError("spectra of different lengths")
     return np.nan_to_num(flat.reshape(len(column), -1)) if len(column) else np.zeros((0, 0))
 
 
@@ -64,9 +66,11 @@ def write_blocks(df: DataFrame, rows: int, name: str) -> str:
         if held:
             yield pa.RecordBatch.from_pylist([{"block": number} | pack(part, held)], schema)
 
-    folder = shared_folder(df.sparkSession, name)
+    spark, folder = df.sparkSession, shared_folder(df.sparkSession, name)
     ddl = "block bigint, part int, lo double, hi double, n int, id binary, tag binary, label binary, spectra binary"
     df.select("part", "at", "id", "tag", "label", "spectrum").mapInArrow(run, ddl).write.partitionBy("block").parquet(folder)
+    known = spark.read.schema(ddl).parquet(folder).select("block", "part", "lo", "hi", "n", F.col("_metadata.file_path").alias("path"))
+    known.repartition(1).sortWithinPartitions("block").write.parquet(f"{folder}-ranges")  # a line per block, for tasks that choose among them
     return folder
 
 
@@ -74,23 +78,19 @@ class Blocks:
     """What a task sees of written blocks: the ranges of all, and the rows of those it asks for."""
 
     def __init__(self, folder: str, keep: int = KEEP_BYTES) -> None:
-        from pyarrow import fs
+        from pyarrow import fs, parquet
 
         if folder.startswith("file:"):
             folder = "/" + folder.removeprefix("file:").lstrip("/")
         self.files, self.folder = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
         self.keep, self.held, self.bytes, self.reads = keep, OrderedDict(), 0, 0
-        self.paths = {int(f.path.rsplit("block=", 1)[1].split("/")[0]): f.path for f in self.files.get_file_info(fs.FileSelector(self.folder, recursive=True))
-                      if "block=" in f.path and f.path.endswith(".parquet")} if self.files.get_file_info(self.folder).type != fs.FileType.NotFound else {}
+        found = [f.path for f in self.files.get_file_info(fs.FileSelector(f"{self.folder}-ranges")) if f.path.endswith(".parquet")]
+        self.known = pa.concat_tables([parquet.read_table(p, filesystem=self.files, partitioning=None) for p in found])
+        self.paths = dict(zip(self.known.column("block").to_pylist(), self.known.column("path").to_pylist()))
 
     def ranges(self) -> dict[str, np.ndarray]:
         """``block, part, lo, hi, n`` of every block, in block order."""
-        import pyarrow.parquet as pq
-
-        order = sorted(self.paths)
-        rows = [pq.read_table(self.paths[k], columns=["part", "lo", "hi", "n"], filesystem=self.files, partitioning=None) for k in order]
-        table = pa.concat_tables(rows) if rows else None
-        return {"block": np.array(order, np.int64)} | {c: table.column(c).to_numpy() if table else np.zeros(0) for c in ("part", "lo", "hi", "n")}
+        return {c: self.known.column(c).to_numpy() for c in ("block", "part", "lo", "hi", "n")}
 
     def read(self, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Spectra, ids, labels and tags of one block; recently read blocks are kept within a bound of bytes."""
@@ -99,7 +99,8 @@ class Blocks:
         if block in self.held:
             self.held.move_to_end(block)
             return self.held[block]
-        row = pq.read_table(self.paths[block], filesystem=self.files, partitioning=None).to_pylist()[0]
+        name = self.folder.rsplit("/", 1)[1]
+        row = pq.read_table(f"{self.folder}/{self.paths[block].rsplit(f'/{name}/', 1)[1]}", filesystem=self.files, partitioning=None).to_pylist()[0]
         n = row["n"]
         out = (np.frombuffer(row["spectra"]).reshape(n, -1), np.frombuffer(row["id"], np.int64), np.frombuffer(row["label"], np.int32), np.frombuffer(row["tag"], np.int32))
         self.reads += 1

@@ -118,6 +118,8 @@ def spectra_matrix(column) -> np.ndarray:
         column = column.combine_chunks()
     n = len(column)
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    if n and len(flat) % n:
+        raise ValueError("spectra of different lengths")
     return np.nan_to_num(flat.reshape(n, -1)) if n else np.zeros((0, 0))
 
 
