@@ -3,11 +3,14 @@
 Both sides keep, of every ``t - k + 1`` consecutive k-gram hashes, the smallest (the leftmost of equal ones).  A span of at
 least ``t`` words that a document shares with an item then shares a kept fingerprint at the same place, so only windows
 around matching fingerprints are looked at.  A match is extended: every ``t``-word window that covers the fingerprint is
-looked up among the items' windows, and hit windows join to spans.  Items shorter than ``t`` words are one window of
-their own length, which winnowing cannot promise to find; those few lengths are looked up at every word.
-
-The benchmark is sent to the tasks in blocks of at most ``block_windows`` windows, one pass over the documents a
-block; hits of several blocks are merged per document.  Documents are never shuffled when there is one block.
+a candidate, and candidates are joined with the items' windows by hash; hit windows join to spans.  Items shorter than
+``t`` words are one window of their own length, which winnowing cannot promise to find; those few lengths are looked up at
+every word.
+
+Fingerprints and windows of the benchmark reach the tasks as bit tables of a fixed size, which never miss and only
+sometimes let a stranger through; the exact test is a shuffled join of candidates and windows, the same for a benchmark of
+any size.  Of the benchmark, the driver holds nothing but the bit tables.  Rows without a candidate are never shuffled; the others
+are numbered and written once, so that hits find their row whatever the scan order was.
 """
 
 from __future__ import annotations
@@ -16,12 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from specband.llm.common import ALNUM, BYTE_CODE, LOWER, Powers, Rolling, buffers, cut_runs, owners, slices, within, word_spans
+from specband.functions.scale import cut
+from specband.llm.common import ALNUM, BYTE_CODE, LOWER, Powers, Rolling, buffers, mix, owners, slices, within, word_spans
 
 WINDOW, GRAM = 10, 5
-BLOCK_WINDOWS = 2_000_000  # windows of the benchmark in one broadcast: 16 MB of hashes and 8 MB of item numbers
+BLOCK_WINDOWS = 2_000_000  # windows the bit tables are sized for: 16 bits each, three tables of 4 MB
+SALTS = 16  # parts of the candidates of one window, which many documents may share
+POSITION_BITS = 28
+PRINT, FULL, SHORT, LENGTH = range(4)  # bit tables, and the lengths of short windows
+RANGES = "array<struct<a:bigint,b:bigint,s:bigint,e:bigint>>"
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -34,10 +42,17 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def winnowed(grams: np.ndarray, width: int) -> np.ndarray:
-    """For every window of ``width`` grams, the position of its smallest gram (leftmost of equal ones)."""
+def winnowed(grams: np.ndarray, width: int, bits: int = POSITION_BITS) -> np.ndarray:
+    """For every window of ``width`` grams, the position of its smallest gram (leftmost of equal ones).
+
+    Positions take the low ``bits`` of a hash; a longer sequence goes in parts that overlap by a window.
+    """
+    part = 1 << bits
+    if len(grams) > part:
+        step = part - width + 1
+        return np.concatenate([at + winnowed(grams[at : at + part], width, bits) for at in range(0, len(grams) - width + 1, step)])
     at = np.arange(len(grams), dtype=np.uint64)
-    low = np.uint64((1 << 28) - 1)  # a slice holds far fewer positions
+    low = np.uint64(part - 1)
     return (sliding_min((grams & ~low) | at, width) & low).astype(np.int64)
 
 
@@ -47,8 +62,8 @@ def word_hashes(body: np.ndarray, offsets: np.ndarray, powers: Powers):
     return Rolling(BYTE_CODE[low], powers).raw(starts, ends), starts, ends, words
 
 
-def item_windows(bench: DataFrame, window: int) -> DataFrame:
-    """``item, length, hash`` of every window of every item."""
+def item_windows(bench: DataFrame, window: int, gram: int) -> DataFrame:
+    """``item, length, hash`` of every window of every item, and of its winnowed fingerprints with length 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -57,124 +72,86 @@ def item_windows(bench: DataFrame, window: int) -> DataFrame:
             for i, j in slices(offsets):
                 part = offsets[i : j + 1] - offsets[i]
                 h, _, _, words = word_hashes(body[offsets[i] : offsets[j]], part, powers)
-                roll, sizes = Rolling(h, powers), np.diff(words)
+                roll, sizes, own = Rolling(h, powers), np.diff(words), owners(words)
                 full = np.flatnonzero(within(words, window, len(h)))
                 short = np.flatnonzero((sizes > 0) & (sizes < window))
+                grams = roll.windows(gram)
+                best = winnowed(grams, window - gram + 1)
+                prints = np.unique(best[within(words, window, len(best))])
                 start = np.r_[full, words[short]]
                 length = np.r_[np.full(len(full), window), sizes[short]]
-                who = np.r_[owners(words)[full], short]
+                who = np.r_[own[full], short, own[prints]]
+                hashes = np.r_[roll.raw(start, start + length), grams[prints]]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i).take(pa.array(who)), pa.array(length.astype(np.int32)), pa.array(roll.raw(start, start + length).view(np.int64))],
+                    [batch.column(0).slice(i, j - i).take(pa.array(who)), pa.array(np.r_[length, np.zeros(len(prints))].astype(np.int32)), pa.array(hashes.view(np.int64))],
                     names=["item", "length", "hash"])
 
     return bench.mapInArrow(run, "item string, length int, hash bigint")
 
 
-class Block:
-    """Windows of some items, sorted by hash, for look-ups inside tasks."""
+def probes(hashes: np.ndarray, cells: int) -> list[np.ndarray]:
+    """Three cells of a bit table for every hash."""
+    shift = np.uint64(64 - (cells.bit_length() - 1))
+    return [h >> shift for h in (hashes, mix(hashes), mix(~hashes))]
 
-    def __init__(self, items: list[str], item: np.ndarray, length: np.ndarray, hashes: np.ndarray, window: int, gram: int) -> None:
-        self.items, self.window, self.gram = items, window, gram
-        self.tables = {}
-        for n in np.unique(length).tolist():
-            at = length == n
-            order = np.argsort(hashes[at], kind="stable")
-            h = hashes[at][order]
-            runs = cut_runs(h)
-            self.tables[n] = (h[runs[:-1]], runs, item[at][order])
-        self.prints: np.ndarray | None = None
 
-    def lookup(self, n: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions among ``hashes`` that hold a window of length ``n``, and their rows in its table."""
-        keys = self.tables[n][0]
-        row = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-        hit = np.flatnonzero(keys[row] == hashes)
-        return hit, row[hit]
+def held(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes the table may hold; it never misses one that it does."""
+    ok = np.ones(len(hashes), bool)
+    for cell in probes(hashes, len(table) * 64):
+        ok &= (table[cell >> np.uint64(6)] >> (cell & np.uint64(63))) & np.uint64(1) == 1
+    return ok
 
-    def of(self, n: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Items of table rows: (index into rows, item)."""
-        _, runs, item = self.tables[n]
-        size = runs[rows + 1] - runs[rows]
-        which = np.repeat(np.arange(len(rows)), size)
-        inner = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
-        return which, item[runs[rows][which] + inner]
 
+def bit_tables(windows: DataFrame, window: int, cells: int) -> tuple[np.ndarray, list[int]]:
+    """Bit tables of fingerprints, full and short windows, and the lengths that windows have.
 
-def fingerprints(bench: DataFrame, window: int, gram: int) -> DataFrame:
-    """Distinct winnowed k-gram hashes of the items: ``item, hash``."""
+    Every partition fills its own tables, their words are combined by OR; the driver gets at most three tables.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
+        tables, lengths = np.zeros((3, cells // 64), np.uint64), set()
         for batch in batches:
-            body, offsets = buffers(batch.column(1))
-            for i, j in slices(offsets):
-                part = offsets[i : j + 1] - offsets[i]
-                h, _, _, words = word_hashes(body[offsets[i] : offsets[j]], part, powers)
-                grams, own = Rolling(h, powers).windows(gram), owners(words)
-                best = winnowed(grams, window - gram + 1)
-                ok = within(words, window, len(best))
-                at = np.unique(best[ok])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(own[at])), pa.array(grams[at].view(np.int64))], names=["item", "hash"])
-
-    return bench.mapInArrow(run, "item string, hash bigint").distinct()
-
-
-def find_hits(body: np.ndarray, offsets: np.ndarray, block: Block, powers: Powers):
-    """Per text of a slice: words, hit word spans (text, first, last + 1), hit items (text, item), byte bounds of words."""
+            length, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            kind = np.where(length == 0, PRINT, np.where(length == window, FULL, SHORT))
+            lengths.update(np.unique(length[length > 0]).tolist())
+            for cell in probes(hashes, cells):
+                np.bitwise_or.at(tables, (kind, (cell >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (cell & np.uint64(63)))
+        kind, word = np.nonzero(tables)
+        more = np.array(sorted(lengths), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[kind, np.full(len(more), LENGTH)].astype(np.int32)), pa.array(np.r_[word, more].astype(np.int32)),
+                                          pa.array(np.r_[tables[kind, word].view(np.int64), np.ones(len(more), np.int64)])], names=["kind", "word", "bits"])
+
+    parts = windows.select("length", "hash").mapInArrow(run, "kind int, word int, bits bigint")
+    got = parts.groupBy("kind", "word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    kind, word, bits = (got[c].to_numpy(t) for c, t in (("kind", np.int64), ("word", np.int64), ("bits", np.int64)))
+    tables, cell = np.zeros((3, cells // 64), np.uint64), kind < LENGTH
+    tables[kind[cell], word[cell]] = bits[cell].view(np.uint64)
+    return tables, sorted(word[~cell].tolist())
+
+
+def candidates(body: np.ndarray, offsets: np.ndarray, tables: np.ndarray, lengths: list[int], window: int, gram: int, powers: Powers):
+    """Word offsets of the texts of a slice, and windows that may be an item's: text, first word, length, hash, first and last byte in the slice."""
     h, starts, ends, words = word_hashes(body, offsets, powers)
-    roll, own = Rolling(h, powers), owners(words)
-    spans, found = [], []
-    for n in block.tables:
-        if n == block.window:
-            grams = roll.windows(block.gram)
-            at = np.unique(winnowed(grams, n - block.gram + 1)[within(words, n, max(0, len(h) - n + 1))])
-            at = at[np.isin(grams[at], block.prints)]
+    roll, own, out = Rolling(h, powers), owners(words), []
+    for n in lengths:
+        if n == window:
+            grams = roll.windows(gram)
+            at = np.unique(winnowed(grams, n - gram + 1)[within(words, n, max(0, len(h) - n + 1))])
+            at = at[held(tables[PRINT], grams[at])]
             # extend: every window that covers a matching fingerprint
-            start = np.unique((at[:, None] - np.arange(n - block.gram + 1)[None, :]).ravel())
-            start = start[start >= 0]
-            start = start[(own[start] == own[np.minimum(start + n - 1, len(own) - 1)]) & (start + n <= len(own))] if len(own) else start
+            start = np.unique((at[:, None] - np.arange(n - gram + 1)[None, :]).ravel())
+            start = start[(start >= 0) & (start + n <= len(h))]
+            start = start[own[start] == own[start + n - 1]]
         else:
             start = np.flatnonzero(within(words, n, len(h)))
-        hit, rows = block.lookup(n, roll.raw(start, start + n))
-        start = start[hit]
-        spans.append(np.stack([own[start], start, start + n], 1))
-        which, item = block.of(n, rows)
-        found.append(np.stack([own[start][which], item], 1))
-    spans = np.concatenate(spans) if spans else np.zeros((0, 3), np.int64)
-    found = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-    return words, merge(spans), found, starts, ends
-
-
-def merge(spans: np.ndarray) -> np.ndarray:
-    """Union of (text, first, end) spans, text by text."""
-    if not len(spans):
-        return spans
-    spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
-    new = np.ones(len(spans), bool)
-    top = np.maximum.accumulate(spans[:, 0] * (1 << 40) + spans[:, 2]) & ((1 << 40) - 1)
-    new[1:] = (spans[1:, 0] != spans[:-1, 0]) | (spans[1:, 1] > top[:-1])
-    first = np.flatnonzero(new)
-    last = np.r_[first[1:], len(spans)] - 1
-    return np.stack([spans[first, 0], spans[first, 1], top[last]], 1)
-
-
-def blocks(bench: DataFrame, window: int, gram: int, block_windows: int) -> Iterator[Block]:
-    """Bounded parts of the benchmark; their number follows the benchmark's size."""
-    wins = item_windows(bench, window)
-    prints = fingerprints(bench, window, gram)
-    total = wins.count()
-    parts = -(-total // block_windows)
-    for p in range(parts):
-        mine = lambda df: df if parts == 1 else df.where(F.pmod(F.xxhash64("hash", "item"), F.lit(parts)) == p)
-        # a part holds block_windows windows on average; fingerprints are looked up whole, they only start the search
-        rows = mine(wins).toPandas()
-        if not len(rows):
-            continue
-        names, item = np.unique(rows["item"].to_numpy(str), return_inverse=True)
-        block = Block(names.tolist(), item.astype(np.int64), rows["length"].to_numpy(np.int64), rows["hash"].to_numpy(np.int64).view(np.uint64), window, gram)
-        here = prints if parts == 1 else prints.join(mine(wins).select("item").distinct(), "item").select("hash").distinct()
-        block.prints = np.unique(here.select("hash").toPandas()["hash"].to_numpy(np.int64).view(np.uint64))
-        yield block
+        hashes = roll.raw(start, start + n)
+        ok = held(tables[FULL if n == window else SHORT], hashes)
+        out.append((start[ok], np.full(int(ok.sum()), n), hashes[ok]))
+    start, length, hashes = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, t) for k, t in enumerate((np.int64, np.int64, np.uint64)))
+    order = np.lexsort((length, start))
+    start, length, hashes = start[order], length[order], hashes[order]
+    return words, own[start], start, length, hashes, starts[start], ends[start + length - 1]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_windows: int = BLOCK_WINDOWS,
@@ -182,64 +159,61 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     """One row per input row: ``doc_id, text, n_words, spans`` (hit word ranges, end exclusive), ``cuts`` (their byte ranges),
     ``items`` (ids as strings, sorted) and the columns named in ``keep``.
 
+    ``block_windows`` sizes the bit tables; a larger benchmark only lets more candidates through to the exact join.
     Null and empty texts and items have no words, hence no hits; repeated rows get equal results; an empty benchmark hits
-    nothing; items with a null id count as the item "null".
+    nothing; items with a null id count as the item "null"; texts are whole at any length.
     """
     bench = benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("null")).alias("item"), F.col(f"`{item_text}`").cast("string").alias("text"))
     rest = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(0).alias("_"))
     src = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), rest.alias("in"))
-    spark, found = docs.sparkSession, list(blocks(bench, window, gram, block_windows))
-    if len(found) > 1:  # rows must be told apart to merge what the blocks found
-        src = src.withColumn("in", F.struct("in", F.monotonically_increasing_id().alias("row")))
-    schema = f"doc_id bigint, text string, in {src.schema['in'].dataType.simpleString()}, n_words bigint, spans array<struct<a:bigint,b:bigint>>, cuts array<struct<a:bigint,b:bigint>>, items array<string>"
-
-    def passing(block: Block | None):
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block, powers = shared.value or Block([], *[np.zeros(0, np.int64)] * 2, np.zeros(0, np.uint64), window, gram), Powers()
-            for batch in batches:
-                body, offsets = buffers(batch.column(1))
-                for i, j in slices(offsets):
-                    part, n = offsets[i : j + 1] - offsets[i], j - i
-                    words, spans, hits, starts, ends = find_hits(body[offsets[i] : offsets[j]], part, block, powers)
-                    at = np.searchsorted(spans[:, 0], np.arange(n + 1))
-                    lists = lambda a, b: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.StructArray.from_arrays([pa.array(a), pa.array(b)], ["a", "b"]))
-                    s, w0 = spans, words[spans[:, 0]] if len(spans) else np.zeros(0, np.int64)
-                    b0 = part[s[:, 0]] if len(s) else w0
-                    names = [[] for _ in range(n)]
-                    for t, item in hits.tolist():
-                        names[t].append(block.items[item])
-                    yield pa.RecordBatch.from_arrays(
-                        [*(batch.column(c).slice(i, n) for c in range(3)), pa.array(np.diff(words)), lists(s[:, 1] - w0, s[:, 2] - w0),
-                         lists(starts[s[:, 1]] - b0 if len(s) else w0, ends[s[:, 2] - 1] - b0 if len(s) else w0), pa.array([sorted(x) for x in names], pa.list_(pa.string()))],
-                        names=["doc_id", "text", "in", "n_words", "spans", "cuts", "items"])
-
-        return src.mapInArrow(run, schema)
-
-    if len(found) < 2:
-        out = passing(found[0] if found else None)
-    else:
-        first, *others = [passing(b) for b in found]
-        hits = first.select("in", "spans", "cuts", "items")
-        for o in others:
-            hits = hits.union(o.select("in", "spans", "cuts", "items"))
-        hits = hits.where(F.size("items") > 0).groupBy(F.col("in.row").alias("row")).agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "cuts", "items")])
-        hits = hits.select("row", joined_ranges("spans"), joined_ranges("cuts"), F.array_sort(F.array_distinct("items")).alias("items"))
-        none = {c: F.coalesce(F.col(c), F.array().cast(first.schema[c].dataType)).alias(c) for c in ("spans", "cuts", "items")}
-        out = first.select("doc_id", "text", "in", "n_words", F.col("in.row").alias("row")).join(hits, "row", "left").select(
-            "doc_id", "text", F.col("in.in").alias("in"), "n_words", *none.values())
-    return out.select("doc_id", "text", "n_words", "spans", "cuts", "items", *([F.col(f"in.`{c}`").alias(c) for c in keep if c not in (id_col, text_col)] if keep else []))
-
-
-def joined_ranges(name: str):
-    """Union of an array of (a, b) ranges, touching ones joined."""
-    last = lambda acc: F.element_at(acc, -1)
-    step = lambda acc, x: F.when((F.size(acc) > 0) & (F.coalesce(F.try_element_at(acc, F.lit(-1))["b"], F.lit(-1)) >= x["a"]),
-                                 F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last(acc)["a"].alias("a"), F.greatest(last(acc)["b"], x["b"]).alias("b"))))
-                                 ).otherwise(F.concat(acc, F.array(x)))
-    kind = "array<struct<a:bigint,b:bigint>>"
-    return F.aggregate(F.array_sort(F.col(name)), F.array().cast(kind), lambda acc, x: step(acc, x).cast(kind)).alias(name)
+    every = item_windows(bench, window, gram)
+    tables, lengths = bit_tables(every, window, max(64, 1 << (16 * block_windows).bit_length()))
+    shared = docs.sparkSession.sparkContext.broadcast(tables)
+    schema = f"doc_id bigint, text string, in {src.schema['in'].dataType.simpleString()}, n_words bigint, near array<struct<length:int,hash:bigint,a:bigint,s:bigint,e:bigint>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            body, offsets = buffers(batch.column(1))
+            for i, j in slices(offsets):
+                part, n = offsets[i : j + 1] - offsets[i], j - i
+                words, who, start, length, hashes, s, e = candidates(body[offsets[i] : offsets[j]], part, shared.value, lengths, window, gram, powers)
+                fields = [length.astype(np.int32), hashes.view(np.int64), start - words[who], s - part[who], e - part[who]]
+                near = pa.StructArray.from_arrays([pa.array(f) for f in fields], ["length", "hash", "a", "s", "e"])
+                at = np.searchsorted(who, np.arange(n + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, n) for c in range(3)), pa.array(np.diff(words)), pa.ListArray.from_arrays(pa.array(at), near)],
+                                                 names=["doc_id", "text", "in", "n_words", "near"])
+
+    marked = src.mapInArrow(run, schema)
+    none = F.array()
+    out = marked.where(F.size("near") == 0).select("doc_id", "text", "in", "n_words", none.cast(RANGES).alias("hit"), none.cast("array<string>").alias("items"))
+    if lengths:
+        suspects = cut(marked.where(F.size("near") > 0).withColumn("row", F.monotonically_increasing_id()))
+        near = suspects.select("row", F.explode("near").alias("w")).select("row", "w.*", F.pmod(F.hash("row"), F.lit(SALTS)).alias("salt"))
+        windows = every.where("length > 0").groupBy("length", "hash").agg(F.array_sort(F.collect_set("item")).alias("items"))
+        windows = windows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        span = F.struct("a", (F.col("a") + F.col("length")).alias("b"), "s", "e")
+        # neighbouring windows mostly have the same items, so a row gathers few different lists
+        hits = near.join(windows, ["length", "hash", "salt"]).groupBy("row").agg(F.collect_list(span).alias("w"), F.collect_set("items").alias("i"))
+        hits = hits.select("row", joined_ranges(F.col("w")).alias("hit"), F.array_sort(F.array_distinct(F.flatten("i"))).alias("items"))
+        empty = {"hit": RANGES, "items": "array<string>"}
+        found = suspects.join(hits, "row", "left").select("doc_id", "text", "in", "n_words", *[F.coalesce(c, none.cast(t)).alias(c) for c, t in empty.items()])
+        out = out.union(found)
+    ranges = lambda a, b: F.transform("hit", lambda r: F.struct(r[a].alias("a"), r[b].alias("b")))
+    return out.select("doc_id", "text", "n_words", ranges("a", "b").alias("spans"), ranges("s", "e").alias("cuts"), "items",
+                      *([F.col(f"in.`{c}`").alias(c) for c in keep if c not in (id_col, text_col)] if keep else []))
+
+
+def joined_ranges(windows: Column) -> Column:
+    """Union of word ranges (a, b) with their byte ranges (s, e); ranges whose words touch are joined."""
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        longer = F.struct(last["a"].alias("a"), F.greatest(last["b"], x["b"]).alias("b"), last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))
+        touches = (F.size(acc) > 0) & F.coalesce(last["b"] >= x["a"], F.lit(False))
+        return F.when(touches, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(acc, F.array(x))).cast(RANGES)
+
+    return F.aggregate(F.array_sort(windows), F.array().cast(RANGES), step)
 
 
 def without_hits(df: DataFrame, text_col: str = "text"):

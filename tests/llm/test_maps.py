@@ -1,5 +1,6 @@
 """Quality rules, token counts and decontamination against plain Python."""
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -97,3 +98,32 @@ def test_decontamination_of_the_table(spark, sf_dir):
     got = sorted(tuple(r) for r in winnow.digest(winnow.decontaminate(docs, bench)).collect())
     assert got == sorted(brute.contaminated([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in bench.collect()]))
     assert any(r[-1] for r in got)
+
+
+def test_decontamination_of_strangers_past_the_bit_tables(make, spark, odd_texts):
+    """Tables far too small hold every bit: the exact join alone must sort the strangers out, in repeated rows and ids too."""
+    r = np.random.default_rng(1)
+    items = [(i, " ".join(f"w{k}" for k in r.integers(0, 50, 40))) for i in range(30)] + [(99, "w1 w2"), (98, "w3")]
+    docs = [(i // 2, " ".join(f"w{k}" for k in r.integers(4, 50, 60))) for i in range(40)] + [(7, "w9 " + items[3][1] + " w9")] * 3 + odd_texts
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    out = winnow.decontaminate(make(docs).repartition(5), bench, block_windows=1)
+    got = sorted((tuple(x) for x in winnow.digest(out).collect()), key=str)
+    assert got == sorted(brute.contaminated(docs, items), key=str)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "near" in plan and "Join" in plan
+
+
+def test_bit_tables_never_miss():
+    h = np.random.default_rng(2).integers(0, 1 << 64, 500, dtype=np.uint64)
+    table = np.zeros(1 << 10, np.uint64)
+    for cell in winnow.probes(h, 1 << 16):
+        np.bitwise_or.at(table, (cell >> np.uint64(6)).astype(np.int64), np.uint64(1) << (cell & np.uint64(63)))
+    other = np.random.default_rng(3).integers(0, 1 << 64, 5000, dtype=np.uint64)
+    assert winnow.held(table, h).all() and winnow.held(table, other).mean() < 0.01
+
+
+@pytest.mark.parametrize("width", [1, 3, 6])
+def test_winnowing_in_parts(width):
+    grams = np.random.default_rng(4).integers(0, 40, 3000).astype(np.uint64) << np.uint64(40)  # many ties
+    want = [i + int(np.argmin(grams[i : i + width])) for i in range(len(grams) - width + 1)]
+    assert winnow.winnowed(grams, width).tolist() == want and winnow.winnowed(grams, width, bits=5).tolist() == want
