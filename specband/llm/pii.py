@@ -7,7 +7,9 @@ discloses at least ``share`` of that information, in at least ``contexts`` docum
 document that mentions the entity: it is removed if it discloses everything, else generalised.  Copies of one document
 are one of these documents, so a term is not blamed for being copied along.
 
-Only documents with a protected value are joined with their terms; all others pass with a projection.
+Only documents with a protected value are joined with their terms; they are written once, so that patterns are not searched again
+for every step, and all others pass with a projection.  A document gets those disclosing terms that it holds.  Joins by entity
+are salted, for one entity may be in a large part of all documents.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from specband.functions.scale import cut
 from specband.llm.quality_rules import let
 
 # The kinds in their order.  A look-behind or \G (end of the last match) starts a match where the plain
@@ -32,6 +35,7 @@ OCTETS = rf"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{{1,2}})\.){{3}}0*(?:2
 TERM = r"[\p{L}\p{N}]++"
 GAP = r"[^\p{L}\p{N}]+"
 SPAN = "array<struct<s:int,k:int,e:int,v:string>>"
+SALTS = 16  # parts of the documents of one entity
 
 
 def digits(m: Column) -> Column:
@@ -84,6 +88,12 @@ def mentions(found: DataFrame) -> DataFrame:
     return rows.select("key", "words", F.xxhash64("words").alias("context"), F.explode("entities").alias("entity"))
 
 
+def by_entity(seen: DataFrame, few: DataFrame) -> DataFrame:
+    """Rows of ``seen`` whose entity is in ``few`` (one row an entity, repeated for every salt), with its columns."""
+    parts = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return seen.withColumn("salt", F.pmod(F.hash("context", "key"), F.lit(SALTS))).join(parts, ["entity", "salt"]).drop("salt")
+
+
 def disclosing_terms(docs: DataFrame, seen: DataFrame, share: float, contexts: int) -> DataFrame:
     """``entity, term, all``: terms that disclose an entity; ``all``: completely.
 
@@ -93,7 +103,7 @@ def disclosing_terms(docs: DataFrame, seen: DataFrame, share: float, contexts: i
     total = docs.select(F.count(F.lit(1)).alias("n"))
     ent = seen.groupBy("entity", "context").agg(F.count("*").alias("m")).groupBy("entity").agg(F.count("*").alias("c"), F.sum("m").alias("df_e"))
     ent = ent.where(F.col("c") >= contexts).select("entity", "df_e")
-    groups = seen.join(ent, "entity").groupBy("entity", "df_e", "context").agg(F.count("*").alias("m"), F.first("words").alias("words"))
+    groups = by_entity(seen, ent).groupBy("entity", "df_e", "context").agg(F.count("*").alias("m"), F.first("words").alias("words"))
     both = groups.select("entity", "df_e", "m", F.explode("words").alias("term")).groupBy("entity", "df_e", "term").agg(F.count("*").alias("c"), F.sum("m").alias("co"))
     words = docs.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
     n = total.scalar().cast("double")
@@ -115,11 +125,11 @@ def sanitise(docs: DataFrame, share: float = 0.8, contexts: int = 3, id_col: str
     src = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), carried.alias("in"))
     found = src.withColumn("base", base_spans(F.coalesce("text", F.lit(""))))
     none = F.array().cast("array<struct<term:string,all:boolean>>")
-    hits = found.where(F.size("base") > 0).withColumn("key", F.xxhash64("doc_id", "text"))
+    hits = cut(found.where(F.size("base") > 0).withColumn("key", F.monotonically_increasing_id()))
     seen = mentions(hits.select("key", "text", "base"))
-    risky = disclosing_terms(src.select("text"), seen, share, contexts)
-    per_doc = seen.select("key", "entity").distinct().join(risky, "entity").groupBy("key").agg(
-        F.collect_set(F.struct("term", F.col("all").alias("all"))).alias("risky"))  # bounded by the values of one document
+    risky = cut(disclosing_terms(src.select("text"), seen, share, contexts))
+    mine = by_entity(seen, risky.select("entity").distinct()).select("key", "entity", F.explode("words").alias("term"))
+    per_doc = mine.join(risky, ["entity", "term"]).groupBy("key").agg(F.collect_set(F.struct("term", F.col("all").alias("all"))).alias("risky"))
     hits = hits.join(per_doc, "key", "left").drop("key").withColumn("risky", F.coalesce("risky", none))
     clean = found.where(F.size("base") == 0).select("doc_id", "in", "base", F.array().cast(SPAN).alias("added"), F.col("text").alias("clean_text"))
     listed = matches(F.col("text"), TERM, 4, lambda m: F.exists("risky", lambda r: r["term"] == F.lower(m)))

@@ -66,6 +66,14 @@ def test_terms_against_plain_counting(make):
     assert want and {(g.entity.v, g.term, g["all"]) for g in got} == want
 
 
+def test_one_entity_in_most_documents(make):
+    """Every document gets the terms it holds itself, however many its entity has elsewhere."""
+    docs = [(i, f"a.b@c.org Kestrel{i % 40} pads{i} h{i // 3}") for i in range(200)] + [(1000 + i, f"other {i}") for i in range(900)]
+    out = {r.doc_id: r for r in pii.sanitise(make(docs).repartition(7)).collect()}
+    assert all([s.v for s in out[i].added] == [f"Kestrel{i % 40}"] + ([f"h{i // 3}"] if i < 198 else []) for i in range(200))
+    assert not any(out[1000 + i].added for i in range(900))
+
+
 def test_copies_are_one_context(make):
     docs = [(i, "Kestrel lives at a.b@c.org now") for i in range(9)] + [(20 + i, f"word{i}") for i in range(9)]
     assert all(not r.added for r in pii.sanitise(make(docs)).collect())
