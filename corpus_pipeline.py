@@ -29,13 +29,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar rows the one with the smallest id stays; all other rows stay, also those that share an id with one that goes.
 
-    Rows are told apart by a hash of all their columns, so equal rows are one; rows without words or without an id are in no group.
+    Rows meet their group by one hash of all their columns and are told apart by two, so equal rows are one and different rows
+    that share the first hash both stay; rows without words or without an id are in no group.
     """
-    rows = docs.where("doc_id IS NOT NULL").select(*COLUMNS).withColumn("row", F.xxhash64(*COLUMNS))
+    rows = docs.where("doc_id IS NOT NULL").select(*COLUMNS).withColumns({"row": F.xxhash64(*COLUMNS), "twin": F.xxhash64(F.lit(1), *COLUMNS)})
     members = grams.ngram_join(rows, id_col="row").select(F.col("doc_id").alias("row"), "component_id", (F.col("n_shingles") > 0).alias("grouped")).distinct()
     ids = rows.select("row", "doc_id").distinct()
     stay = members.join(ids, "row").groupBy("component_id").agg(F.min(F.struct("doc_id", "row", "grouped")).alias("m")).select("m.row", "m.grouped")
-    kept = rows.join(stay, "row").groupBy("row", "grouped").agg(F.min(F.struct(*COLUMNS)).alias("d"), F.count("*").cast("int").alias("n"))
+    kept = rows.join(stay, "row").groupBy("row", "twin", "grouped").agg(F.min(F.struct(*COLUMNS)).alias("d"), F.count("*").cast("int").alias("n"))
     kept = kept.withColumn("_", F.explode(F.sequence(F.lit(1), F.when(F.col("grouped"), 1).otherwise(F.col("n"))))).select("d.*")
     return kept.union(docs.where("doc_id IS NULL").select(*COLUMNS))
 
