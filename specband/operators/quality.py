@@ -20,12 +20,18 @@ from specband.operators.knn import BLOCK_ROWS
 from specband.operators.reshape import cluster_map
 
 
+CELLS = 262_144  # pairs measured at once: they stay in the cache
+NEAR = 1e-4  # share of the squared sizes below which a squared distance is not left to a matrix product
+TASK_ROWS = 8192
+
+
 def silhouette(pixels: DataFrame, sample: int | None = None, key: str = "pixel_id", seed: int = 42, approx: bool = False,
                block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Mean silhouette with Euclidean distances over all rows, or on request over a reproducible sample.
 
     The rows are written once as blocks of one cluster each; every task adds up, block against block, the distances of its own rows to each
-    cluster, so one pass yields the value and no row passes the driver.  ``approx`` uses squared distances, which need the cluster sums only.
+    cluster, so one pass yields the value and no row passes the driver.  The work grows with the square of the rows, whatever the machine;
+    tasks hold at most ``TASK_ROWS`` rows on average, so that it spreads.  ``approx`` uses squared distances, which need the cluster sums only.
     """
     pts = pixels.select(key, F.col("cluster").cast("int").alias("cluster"), "spectrum")
     if approx:
@@ -52,7 +58,7 @@ def silhouette(pixels: DataFrame, sample: int | None = None, key: str = "pixel_i
             sums = np.zeros((len(x), len(ids)))
             for block, c in zip(ranges["block"], part):
                 t = blocks.read(int(block))[0]
-                step = max(1, 4_000_000 // len(t))
+                step = max(1, CELLS // len(t))
                 for lo in range(0, len(x), step):
                     sums[lo:lo + step, c] += exact_distances(x[lo:lo + step], t).sum(1)
             rows, n = np.arange(len(x)), counts[cls]
@@ -67,16 +73,25 @@ def silhouette(pixels: DataFrame, sample: int | None = None, key: str = "pixel_i
                 value = np.where((n > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0.0)
             yield pa.RecordBatch.from_arrays([pa.array(value)], names=["v"])
 
-    return pts.select("cluster", "spectrum").mapInArrow(run, "v double").agg(F.coalesce(F.avg("v"), F.lit(0.0)).alias("silhouette"))
+    own, tasks = pts.select("cluster", "spectrum"), -(-pts.count() // TASK_ROWS)
+    if tasks > own.rdd.getNumPartitions():
+        own = own.repartition(tasks)
+    return own.mapInArrow(run, "v double").agg(F.coalesce(F.avg("v"), F.lit(0.0)).alias("silhouette"))
 
 
 def exact_distances(x: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Euclidean distances band by band: sums of squares without the cancellation of a matrix product."""
-    total = np.zeros((len(x), len(t)))
-    for b in range(x.shape[1]):
-        d = x[:, b, None] - t[None, :, b]
-        total += d * d
-    return np.sqrt(total)
+    """Euclidean distances by a matrix product; pairs near enough for cancellation (or too large for squares) are measured by their differences."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        size = (x * x).sum(1)[:, None] + (t * t).sum(1)[None, :]
+        total = x @ (-2 * t).T
+        total += size
+        size *= NEAR
+        r, c = np.nonzero(~(total > size))
+        step = max(1, CELLS // max(1, x.shape[1]))
+        for lo in range(0, len(r), step):
+            d = x[r[lo:lo + step]] - t[c[lo:lo + step]]
+            total[r[lo:lo + step], c[lo:lo + step]] = (d * d).sum(1)
+        return np.sqrt(total, out=total)
 
 
 def centroids(pixels: DataFrame) -> DataFrame:

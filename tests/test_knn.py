@@ -1,5 +1,7 @@
 """The partition index of the neighbour search, and the block form of the silhouette."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,12 @@ from specband.functions import blocks
 from specband.operators import classify as cl, knn, quality as q
 
 
+def timed(work):
+    start = time.perf_counter()
+    work()
+    return time.perf_counter() - start
+
+
 def table(spark, x, **columns):
     names = list(columns)
     rows = [(i, *[int(columns[c][i]) for c in names], [float(v) for v in r]) for i, r in enumerate(x)]
@@ -97,3 +105,37 @@ def test_silhouette_of_odd_clusterings(spark, data):
     assert q.silhouette(df, block_rows=37).first()[0] == pytest.approx(np.mean(s), rel=1e-9)
     assert q.silhouette(df.withColumn("cluster", F.lit(1))).first()[0] == 0.0
     assert q.silhouette(df.where("pixel_id < 0")).first()[0] == 0.0
+
+
+def test_distances_of_near_far_and_huge_rows(data):
+    x, t, _ = data
+    for offset in (0.0, 1e6):
+        a, b = x + offset, np.vstack([t, x, x + 1e-7]) + offset
+        want = np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1))
+        assert q.exact_distances(a, b) == pytest.approx(want, rel=1e-9, abs=0)
+    big = np.array([[1e308, 1.0], [1e308, 4.0], [0.0, 0.0]])
+    assert q.exact_distances(big, big).tolist() == [[0, 3, np.inf], [3, 0, np.inf], [np.inf, np.inf, 0]]
+
+
+def test_distances_take_a_matrix_product():
+    r = np.random.default_rng(4)
+    x, t = r.normal(size=(128, 64)), r.normal(size=(2048, 64))
+
+    def band_by_band():
+        total = np.zeros((len(x), len(t)))
+        for b in range(64):
+            total += (x[:, b, None] - t[None, :, b]) ** 2
+        return np.sqrt(total)
+
+    assert q.exact_distances(x, t) == pytest.approx(band_by_band(), rel=1e-9)
+    assert min(timed(lambda: q.exact_distances(x, t)) for _ in range(20)) < min(timed(band_by_band) for _ in range(5)) / 3
+
+
+def test_silhouette_work_is_spread(spark, data, monkeypatch):
+    _, t, _ = data
+    monkeypatch.setattr(q, "TASK_ROWS", 50)
+    df = table(spark, t, cluster=np.arange(len(t)) % 3).coalesce(1)
+    got = q.silhouette(df)
+    assert "RoundRobin" in got._jdf.queryExecution().toString()
+    monkeypatch.setattr(q, "TASK_ROWS", 8192)
+    assert got.first()[0] == pytest.approx(q.silhouette(df).first()[0], rel=1e-9)
