@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from specband.functions.columns import PIXEL, clip, let
-from specband.functions.scale import checked_broadcast, quantiles, require_bounded, scalars
+from specband.functions.scale import MAX_BROADCAST_ROWS, checked_broadcast, quantiles, require_bounded, scalars
 from specband.operators.calibrate import scan_grid, scan_shapes, valid_pixels
 
 
@@ -25,14 +25,21 @@ def wide_name(emission: Column, excitation: Column) -> Column:
 def cube_to_wide(cubes: DataFrame, names: list[str], only_valid: str | None = None) -> DataFrame:
     """One row per pixel, one column per ``emission-excitation`` name; absent names stay NULL.
 
-    The names are given, so no extra job looks for pivot values; of several values of a cell the largest stays.
+    The names are given, so no extra job looks for pivot values; of several values of a cell the largest stays.  The rows of a pixel meet in
+    one exchange as narrow cells, the present bands become a short map, and the columns are read from it: no aggregate holds a wide row.
     """
     if only_valid:
         cubes = cubes.join(valid_pixels(cubes, only_valid), PIXEL, "left_semi")
-    return (
-        cubes.withColumn("__band", wide_name(F.col("emission"), F.col("excitation")))
-        .groupBy(*PIXEL).pivot("__band", names).agg(F.max("value"))
-    )
+    spark = cubes.sparkSession
+    known = spark.range(1).select(F.posexplode(F.array(*[F.lit(n) for n in names]).cast("array<string>")).alias("__i", "__band"))
+    known = F.broadcast(known) if len(names) <= MAX_BROADCAST_ROWS else known
+    cells = cubes.select(*PIXEL, wide_name(F.col("emission"), F.col("excitation")).alias("__band"), "value").join(known, "__band", "left")
+    # dealt by position, which serves both aggregates even if there is one scan; a given number of partitions is not merged again, so a task's share stays small
+    cells = cells.select(*PIXEL, "__i", "value").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "y", "x")
+    one = cells.groupBy(*PIXEL, "__i").agg(F.max("value").alias("__v"))
+    short = one.groupBy(*PIXEL).agg(F.collect_list(F.when(F.col("__i").isNotNull() & F.col("__v").isNotNull(), F.struct("__i", "__v"))).alias("__s"))
+    found = short.withColumn("__m", F.map_from_entries("__s"))
+    return found.select(*PIXEL, *[F.col("__m")[i].alias(n) for i, n in enumerate(names)])
 
 
 def cube_to_spectrum(cubes: DataFrame, bands: DataFrame, n_bands: int, rule: str | None = "all_excitations", manifest: DataFrame | None = None) -> DataFrame:

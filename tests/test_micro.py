@@ -499,3 +499,17 @@ def test_two_sample_t(spark):
     got = {(r["a"], r["b"]): (r["df"], r["mean_diff"], r["t"]) for r in ex.two_sample_t(df, "g", "v").collect()}
     assert got["a", "b"] == (3, -3.0, pytest.approx(-3.0 / np.sqrt((2 * 1.0 + 1 * 2.0) / 3 * (1 / 3 + 1 / 2))))
     assert set(got) == {("a", "b"), ("a", "c"), ("b", "c")}
+
+
+def test_wide_form_holds_no_wide_aggregate(spark):
+    rows = [("s", 300.0, 420.0, 0, 0, 1.0), ("s", 300.0, 420.0, 0, 0, 3.0), ("s", 300.0, 430.0, 0, 0, None), ("s", 320.0, 420.0, 0, 1, float("nan")),
+            ("s", 320.0, 420.0, 0, 1, 5.0), ("s", 999.0, 420.0, 7, 7, 2.0), ("s", None, 420.0, 8, 8, 2.0), (None, 300.0, 420.0, 0, 0, 9.0), ("t", 300.0, 420.0, None, 0, 4.0)]
+    cells = spark.createDataFrame(rows, "scan_id STRING, excitation DOUBLE, emission DOUBLE, y INT, x INT, value DOUBLE")
+    names = ["420-300", "430-300", "420-320", "440-340"]
+    wide = rs.cube_to_wide(cells, names)
+    assert wide.columns == ["scan_id", "y", "x", *names]
+    got = {tuple(r)[:3]: tuple("nan" if v != v else v for v in tuple(r)[3:]) for r in wide.collect()}
+    assert got == {("s", 0, 0): (3.0, None, None, None), ("s", 0, 1): (None, None, "nan", None), ("s", 7, 7): (None,) * 4, ("s", 8, 8): (None,) * 4,
+                   (None, 0, 0): (9.0, None, None, None), ("t", None, 0): (4.0, None, None, None)}
+    plan = rs.cube_to_wide(cells.withColumn("scan_id", F.lit("s")), names)._jdf.queryExecution().executedPlan().toString()
+    assert "pivotfirst" not in plan and plan.count("Exchange hashpartitioning") == 1
