@@ -16,8 +16,11 @@ OBJ = ["scan_id", "object_id"]
 METRICS = ["accuracy", "precision", "recall", "f1", "cohen_kappa", "mcc"]
 
 
-def label_tile(y: np.ndarray, x: np.ndarray, connectivity: int, split: np.ndarray | None = None) -> np.ndarray:
-    """Smallest raster key of every pixel's component inside one tile (array form of min-label hooking)."""
+AREA = 256  # side in pixels of the areas whose tiles are labelled in one call
+
+
+def label_tile(y: np.ndarray, x: np.ndarray, connectivity: int, *split: np.ndarray) -> np.ndarray:
+    """Smallest raster key of every pixel's component inside one area (array form of min-label hooking); pixels touch where every ``split`` is equal."""
     y0, x0 = y.min(), x.min()
     h, w = int(y.max() - y0) + 1, int(x.max() - x0) + 1
     at = np.full((h, w), -1, dtype=np.int64)
@@ -30,8 +33,8 @@ def label_tile(y: np.ndarray, x: np.ndarray, connectivity: int, split: np.ndarra
         u.append(a[both])
         v.append(b[both])
     u, v = np.concatenate(u), np.concatenate(v)
-    if split is not None:
-        same = split[u] == split[v]
+    for part in split:
+        same = part[u] == part[v]
         u, v = u[same], v[same]
     order = np.argsort(y * ROW + x, kind="stable")
     rank = np.empty(len(y), dtype=np.int64)
@@ -78,18 +81,21 @@ def graph_components(edges: DataFrame) -> DataFrame:
 def connected_components(foreground: DataFrame, connectivity: int = 8, tile: int = 256, split_by: str | None = None) -> DataFrame:
     """Foreground pixels with ``object_id`` 1.. in raster order of each object's first pixel.
 
-    Touching classes merge unless ``split_by`` names a label column.  Tiles are labelled on their own (a
-    group is at most tile x tile pixels); only pixels along tile borders then link the tile parts.
+    Touching classes merge unless ``split_by`` names a label column.  Tiles are labelled on their own, small
+    ones many at a time (a group is an area of whole tiles, at most 256 x 256 or tile x tile pixels); only
+    pixels along tile borders then link the tile parts.
     """
     cols = [*PIXEL] + ([split_by] if split_by else [])
-    px = foreground.select(*cols).withColumns({"__ty": F.floor(F.col("y") / tile), "__tx": F.floor(F.col("x") / tile)})
+    area = max(1, AREA // tile) * tile
+    px = foreground.select(*cols).withColumns({"__ty": F.floor(F.col("y") / area), "__tx": F.floor(F.col("x") / area)})
     types = dict(px.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in cols) + ", node BIGINT"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = pdf[cols].copy()
-        s = pdf[split_by].to_numpy() if split_by else None
-        out["node"] = label_tile(pdf["y"].to_numpy(np.int64), pdf["x"].to_numpy(np.int64), connectivity, s)
+        y, x = pdf["y"].to_numpy(np.int64), pdf["x"].to_numpy(np.int64)
+        split = [y // tile, x // tile] + ([pdf[split_by].to_numpy()] if split_by else [])
+        out["node"] = label_tile(y, x, connectivity, *split)
         return out
 
     parts = cut(px.groupBy("scan_id", "__ty", "__tx").applyInPandas(run, schema))

@@ -513,3 +513,20 @@ def test_wide_form_holds_no_wide_aggregate(spark):
                    (None, 0, 0): (9.0, None, None, None), ("t", None, 0): (4.0, None, None, None)}
     plan = rs.cube_to_wide(cells.withColumn("scan_id", F.lit("s")), names)._jdf.queryExecution().executedPlan().toString()
     assert "pivotfirst" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_many_tiles_are_labelled_in_one_call(spark):
+    r = np.random.default_rng(8)
+    y, x = np.nonzero(r.random((40, 33)) < 0.6)
+    c = r.integers(0, 2, len(y))
+    for split in ([], [c]):
+        for conn in (4, 8):
+            got = ob.label_tile(y, x, conn, y // 7, x // 7, *split)
+            for t in {*zip((y // 7).tolist(), (x // 7).tolist())}:
+                at = (y // 7 == t[0]) & (x // 7 == t[1])
+                assert (got[at] == ob.label_tile(y[at], x[at], conn, *[v[at] for v in split])).all()
+    px = spark.createDataFrame([("s", int(a), int(b), int(k)) for a, b, k in zip(y, x, c)], "scan_id STRING, y INT, x INT, class INT")
+    for split_by in (None, "class"):
+        small, whole = ({(p.y, p.x): p.object_id for p in ob.connected_components(px, 8, t, split_by).collect()} for t in (7, 256))
+        assert small == whole
+    assert len(small) == len(y)
