@@ -13,7 +13,7 @@ from specband.functions.columns import PIXEL, hash_order_key, let
 from specband.functions.scale import bounded_pandas, checked_broadcast, cut, ordinal, require_bounded, scalars
 from specband.operators.compare import rect_join, roi_mapping
 from specband.operators.knn import neighbors
-from specband.operators.kmeans import Run, best_of, label as nearest_label, lockstep
+from specband.operators.kmeans import Run, best_of, label as nearest_label, labels as nearest_labels, lockstep
 from specband.operators.stats import moments
 
 
@@ -234,10 +234,7 @@ def kmeans_k_sweep(pixels: DataFrame, ks: list[int], truth_col: str | None = Non
     from pyspark.ml.evaluation import ClusteringEvaluator
 
     fits = _fits(pixels, ks, n_init, seed, 300)
-    out = pixels.withColumn("__v", array_to_vector("spectrum"))
-    for k, run in fits.items():  # one pass labels every k
-        out = nearest_label(out.drop("__v"), run, _as_is, f"__k{k}")
-    out = out.persist()
+    out = nearest_labels(pixels.select("spectrum", *([truth_col] if truth_col else [])), {f"__k{k}": run for k, run in fits.items()}, _as_is).persist()
     rows = []
     for k, run in fits.items():
         sil = ClusteringEvaluator(featuresCol="__v", predictionCol=f"__k{k}").evaluate(out.withColumn("__v", array_to_vector("spectrum")))

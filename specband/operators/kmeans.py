@@ -148,13 +148,19 @@ def best_of(runs: list[Run]) -> Run:
 
 def label(pixels: DataFrame, run: Run, shape, name: str = "cluster") -> DataFrame:
     """``pixels`` with the number of the nearest centre."""
-    keep = pixels.columns
-    at, columns, centers = keep.index("spectrum"), run.columns, run.centers
-    schema = ", ".join(f"`{c}` {t}" for c, t in pixels.dtypes) + f", {name} INT"
+    return labels(pixels, {name: run}, shape)
+
+
+def labels(pixels: DataFrame, runs: dict[str, Run], shape) -> DataFrame:
+    """``pixels`` with the number of the nearest centre of every run, in a column of that name: one Python worker per task, however many runs."""
+    keep, names = pixels.columns, [*runs]
+    at, work = keep.index("spectrum"), [(r.columns, r.centers) for r in runs.values()]
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in pixels.dtypes), *(f"{n} INT" for n in names)])
 
     def run_labels(batches):
         for b in batches:
-            lab = nearest_center(shape(spectra_matrix(b.column(at)))[:, columns], centers)[0] if b.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lab.astype(np.int32))], names=[*keep, name])
+            z = shape(spectra_matrix(b.column(at))) if b.num_rows else None
+            found = [nearest_center(z[:, columns], centers)[0] if b.num_rows else np.zeros(0) for columns, centers in work]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(lab.astype(np.int32)) for lab in found)], names=[*keep, *names])
 
     return pixels.mapInArrow(run_labels, schema)

@@ -4,6 +4,7 @@ import warnings
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from specband.operators import classify as cl, kmeans as km
 
@@ -59,3 +60,24 @@ def test_noise_differs_by_row_without_warnings():
         warnings.simplefilter("error")
         a, b = km.row_noise(0, 2000, 42), km.row_noise(1000, 1000, 42)
     assert len(set(a.tolist())) == 2000 and (a[1000:] == b).all() and 0.45 < a.mean() < 0.55 and a.min() > 0
+
+
+def test_all_runs_are_labelled_in_one_pass(spark):
+    x = np.random.default_rng(6).normal(size=(200, 3))
+    df = frame(spark, x)
+    runs = {f"c{k}": km.Run(np.arange(3), k, 0, x[:k]) for k in (1, 2, 5, 9)}
+    out = km.labels(df, runs, lambda v: v)
+    assert out.columns == ["pixel_id", "spectrum", *runs]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    for r in out.collect():
+        d = ((x[r.pixel_id] - x) ** 2).sum(1)
+        assert [r[f"c{k}"] for k in (1, 2, 5, 9)] == [int(d[:k].argmin()) for k in (1, 2, 5, 9)]
+    assert km.label(df.where("pixel_id < 0"), runs["c2"], lambda v: v, "z").columns == ["pixel_id", "spectrum", "z"]
+
+
+def test_sweep_labels_in_one_pass(spark, monkeypatch):
+    calls, plain = [], cl.nearest_labels
+    monkeypatch.setattr(cl, "nearest_labels", lambda *a: calls.append(len(a[1])) or plain(*a))
+    df = frame(spark, np.random.default_rng(7).normal(size=(90, 2))).withColumn("class", F.col("pixel_id") % 2)
+    got = cl.kmeans_k_sweep(df, [2, 3, 4], "class", n_init=2).orderBy("k").collect()
+    assert calls == [3] and [r.k for r in got] == [2, 3, 4] and all(0.5 <= r.purity <= 1 for r in got)
