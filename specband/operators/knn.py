@@ -22,7 +22,8 @@ from specband.functions.scale import cut
 
 BLOCK_ROWS = 2048
 PIVOTS, PIVOT_SAMPLE = 256, 4096
-CELLS = 4_000_000  # entries of the bound matrix handled at once
+CELLS = 1_000_000  # entries of the bound matrix handled at once
+PAIRS = 262_144  # pairs measured at once: they stay in the cache
 OPEN = np.iinfo(np.int64).max
 
 
@@ -48,22 +49,34 @@ def pivots_of(rows: np.ndarray, n: int, rounds: int = 3) -> np.ndarray:
     return p
 
 
-def nearest(x: np.ndarray, t: np.ndarray, ids: np.ndarray, k: int, metric: str, barred: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def nearest(x: np.ndarray, t: np.ndarray, ids: np.ndarray, k: int, metric: str, barred: np.ndarray | None = None,
+            within: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Columns and exact distances (rows x k, by distance then id) of the k nearest rows; -1 and infinity where there are fewer.
 
     Rough distances shortlist the candidates with a slack far above their rounding error; only the shortlist is measured exactly.
-    ``barred`` marks pairs that do not count.
+    ``barred`` marks pairs that do not count; rows beyond ``within``, a distance per row of ``x``, need not be found.
     """
-    rough = distances(x, t, metric)
+    within = np.full(len(x), np.inf) if within is None else within
     if metric == "euclidean":
-        rough *= rough
-        size = (x * x).sum(1) + (float((t * t).sum(1).max()) if len(t) else 0.0)
+        sx, st = (x * x).sum(1), (t * t).sum(1)
+        rough = x @ (-2 * t).T  # squared
+        rough += sx[:, None]
+        rough += st[None, :]
+        size, limit = sx + (float(st.max()) if len(t) else 0.0), within * within
     else:
-        size = np.abs(x).sum(1) + (float(np.abs(t).sum(1).max()) if len(t) else 0.0)
+        rough = distances(x, t, metric)
+        size, limit = np.abs(x).sum(1) + (float(np.abs(t).sum(1).max()) if len(t) else 0.0), within
     if barred is not None:
         rough[barred] = np.inf
-    limit = (np.partition(rough, k - 1, axis=1)[:, k - 1] if t.shape[0] > k else np.full(len(x), np.inf)) + 1e-9 * (size + 1.0)
-    r, c = np.nonzero((rough <= limit[:, None]) & np.isfinite(rough))
+    slack = 1e-9 * (size + 1.0)
+    short = rough <= (limit + slack)[:, None]
+    many = np.flatnonzero(np.count_nonzero(short, axis=1) > k)
+    if len(many):
+        own = rough[many]
+        short[many] &= own <= (np.partition(own, k - 1, axis=1)[:, k - 1] + slack[many])[:, None]
+    r, c = np.nonzero(short)
+    real = np.isfinite(rough[r, c])
+    r, c = r[real], c[real]
     diff = x[r] - t[c]
     d = np.sqrt((diff * diff).sum(1)) if metric == "euclidean" else np.abs(diff).sum(1)
     order = np.lexsort((ids[c], d, r))
@@ -108,10 +121,12 @@ class Index:
 
         def visit(block: int, rows: np.ndarray) -> None:
             t, ids, labels, own = self.blocks.read(int(self.ranges["block"][block]))
-            step = max(1, CELLS // len(t))
+            step = max(1, PAIRS // len(t))
             for at in range(0, len(rows), step):
                 r = rows[at:at + step]
-                column, d = nearest(x[r], t, ids, k, self.metric, own[None, :] == tags[r][:, None] if bar_same_tag else None)
+                column, d = nearest(x[r], t, ids, k, self.metric, own[None, :] == tags[r][:, None] if bar_same_tag else None, best_d[r, -1])
+                hit = np.flatnonzero(column[:, 0] >= 0)  # most rows find nothing nearer
+                r, column, d = r[hit], column[hit], d[hit]
                 d = np.concatenate([best_d[r], d], axis=1)
                 i = np.concatenate([best_i[r], np.where(column >= 0, ids[column], OPEN)], axis=1)
                 c = np.concatenate([best_c[r], labels[column]], axis=1)

@@ -139,3 +139,32 @@ def test_silhouette_work_is_spread(spark, data, monkeypatch):
     assert "RoundRobin" in got._jdf.queryExecution().toString()
     monkeypatch.setattr(q, "TASK_ROWS", 8192)
     assert got.first()[0] == pytest.approx(q.silhouette(df).first()[0], rel=1e-9)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_rows_beyond_the_known_bound_are_left_out(data, metric):
+    x, t, _ = data
+    ids, k = np.arange(len(t))[::-1].copy(), 5
+    plain_c, plain_d = knn.nearest(x, t, ids, k, metric)
+    assert [[(round(float(d), 9), int(ids[c])) for c, d in zip(*r)] for r in zip(plain_c, plain_d)] == brute(x, t, ids, k, metric)
+    column, d = knn.nearest(x, t, ids, k, metric, None, plain_d[:, 2])  # ties at the bound stay
+    inside = plain_d <= plain_d[:, 2:3]
+    assert (column[inside] == plain_c[inside]).all() and (d[inside] == plain_d[inside]).all()
+    none, far = knn.nearest(x, t, ids, k, metric, np.ones((len(x), len(t)), bool), plain_d[:, 0])
+    assert (none == -1).all() and np.isinf(far).all()
+
+
+def test_search_memory_is_bounded(spark):
+    import tracemalloc
+
+    r = np.random.default_rng(9)
+    t = r.normal(size=(6000, 16))
+    folder, pivots = knn.build(table(spark, t, **{"class": np.zeros(len(t))}), 3, "euclidean", None, "pixel_id", 16, None)
+    index = knn.Index(folder, pivots, "euclidean")
+    x = r.normal(size=(10_000, 16))
+    tracemalloc.start()
+    step = max(1, knn.CELLS // len(index.part))
+    index.search(x[:step], np.zeros(len(x[:step]), int), 3, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6
