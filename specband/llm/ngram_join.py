@@ -7,12 +7,14 @@ can be left out of the comparison since they never meet; so only sets with a sha
 
 1. One scan turns texts into n-gram hashes and sends them, as blobs, to partitions by hash (map-side: equal sets of a
    slice once, n-grams that are frequent in a slice as one entry).  The partition tells which n-grams several sets hold.
-2. Per set, the shared n-grams of its prefix are listed.  Sets that share one are tied to the smallest of them; the
+2. Per set, the shared n-grams of its prefix go as blobs to partitions by hash.  Sets that share one are tied to the smallest of them; the
    components of these ties bound who can match whom, without listing pairs.
 3. Sets of a component meet in groups of at most ``group_sets`` sets and 32 MB (a larger component is cut into blocks, and every pair of
    blocks is a group), where each set is probed against a trie of the sets before it: shared beginnings are counted
    once, and a subtree is left when its remaining n-grams cannot reach the overlap, or when all of it already belongs to
-   the probe's class.  Every link between two classes is found, so classes are exact.
+   the probe's class.  In a large group, where a walk would meet most of the trie, classes are first joined by what the n-grams
+   that many sets hold tell as bits; only sets that may have a link out of their class then walk.  Every link between two classes
+   is found, so classes are exact.
 """
 
 from __future__ import annotations
@@ -20,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -33,6 +34,8 @@ PERCENT = 75
 FREQUENT = 16  # sets of one slice that make an n-gram frequent
 GROUP_SETS = 4000
 GROUP_BYTES = 32 << 20
+LARGE, COMMON = 64, 32  # sets of a group whose classes are joined by bits first; an n-gram is a bit if one in so many sets holds it
+ROW_TOKENS, HELD_TOKENS = 2048, 1 << 20  # n-grams of a blob row aimed at, and those a scanning task holds for it at most
 TOKENS, FLAT, DOC = 0, 1, 2  # kinds of rows of the exchanges
 
 
@@ -78,9 +81,31 @@ def blob_rows(part: np.ndarray, kind: int, sigs: np.ndarray, sizes: np.ndarray,
 BLOBS = "part int, kind int, sigs binary, sizes binary, counts binary, tokens binary"
 
 
+class Outbox:
+    """Rows of several slices, held until a partition gets a blob worth a row: else rows grow with slices times partitions."""
+
+    def __init__(self, parts: int) -> None:
+        self.limit, self.rows, self.held = min(parts * ROW_TOKENS, HELD_TOKENS), {}, 0
+
+    def put(self, part: np.ndarray, kind: int, sigs: np.ndarray, sizes: np.ndarray, who: np.ndarray, tokens: np.ndarray) -> None:
+        if len(part):
+            self.rows.setdefault(kind, []).append((part, sigs, sizes, who, tokens))
+            self.held += len(part)
+
+    def full(self) -> bool:
+        return self.held >= self.limit
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        for kind, rows in self.rows.items():
+            first = np.cumsum([0, *(len(r[1]) for r in rows)])
+            part, sigs, sizes, tokens = (np.concatenate([r[k] for r in rows]) for k in (0, 1, 2, 4))
+            yield blob_rows(part, kind, sigs, sizes, np.concatenate([r[3] + f for r, f in zip(rows, first)]), tokens)
+        self.rows, self.held = {}, 0
+
+
 def scan(docs: DataFrame, n: int, parts: int, frequent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, sent = Powers(), set()
+        powers, sent, box = Powers(), set(), Outbox(parts)
         for batch in batches:
             body, offsets = buffers(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -90,7 +115,7 @@ def scan(docs: DataFrame, n: int, parts: int, frequent: int) -> DataFrame:
                 m = j - i
                 # every document with its set's number, to a partition by that number
                 home = (sigs % parts).astype(np.int32)
-                yield blob_rows(home, DOC, sigs, sizes, np.arange(m), ids[i:j].astype(np.int64))
+                box.put(home, DOC, sigs, sizes, np.arange(m), ids[i:j].astype(np.int64).view(np.uint64))
                 fresh = np.zeros(m, bool)
                 for d, s in enumerate(sigs.tolist()):
                     if s and s not in sent:
@@ -102,11 +127,14 @@ def scan(docs: DataFrame, n: int, parts: int, frequent: int) -> DataFrame:
                 names, inverse, times = np.unique(tokens, return_inverse=True, return_counts=True)
                 often = times >= frequent
                 flat = often[inverse]
-                yield blob_rows(part[~flat], TOKENS, sigs, sizes, who[~flat], tokens[~flat])
+                box.put(part[~flat], TOKENS, sigs, sizes, who[~flat], tokens[~flat])
                 if flat.any():  # one entry for the partition; each set keeps its own list
                     hot = names[often]
-                    yield blob_rows((hot % np.uint64(parts)).astype(np.int32), TOKENS, np.array([-1]), np.array([0]), np.zeros(len(hot), np.int64), hot)
-                    yield blob_rows((sigs[who[flat]] % parts).astype(np.int32), FLAT, sigs, sizes, who[flat], tokens[flat])
+                    box.put((hot % np.uint64(parts)).astype(np.int32), TOKENS, np.array([-1]), np.array([0]), np.zeros(len(hot), np.int64), hot)
+                    box.put((sigs[who[flat]] % parts).astype(np.int32), FLAT, sigs, sizes, who[flat], tokens[flat])
+                if box.full():
+                    yield from box.out()
+        yield from box.out()
 
     return docs.mapInArrow(run, BLOBS)
 
@@ -196,18 +224,6 @@ def candidates(blobs: DataFrame, parts: int, percent: int) -> tuple[DataFrame, D
     return docs, sets
 
 
-def prefix_tokens(sets: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sig, prefix, at = batch.column(0).to_numpy(), batch.column(2).to_numpy(), batch.column(3)
-            ends = np.frombuffer(at.buffers()[1], np.int32)[at.offset : at.offset + len(at) + 1].astype(np.int64) // 8
-            ends -= ends[0]
-            take = np.repeat(ends[:-1] - np.r_[0, np.cumsum(prefix)[:-1]], prefix) + np.arange(prefix.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(sig, prefix)), pa.array(joined(at, np.int64)[take])], names=["sig", "token"])
-
-    return sets.mapInArrow(run, "sig bigint, token bigint")
-
-
 class Node:
     """Trie edge: a run of tokens, then children or a set that ends here."""
 
@@ -295,32 +311,111 @@ class PrefixTree:
             step.one = all(c.one and self.find(c.any) == mine for c in step.children.values()) and all(self.find(e) == mine for e in step.ends)
 
 
-def tree_join(pdf: pd.DataFrame, percent: int, every: bool, cross: bool) -> pd.DataFrame:
-    """Links among the sets of a group: all of them, or enough to join every class."""
-    pdf = pdf.sort_values(["n", "sig"], kind="stable")
-    lists = [np.frombuffer(b, np.uint64) for b in pdf["tokens"]]
-    flat = np.concatenate(lists)
+def bit_links(local: np.ndarray, at: np.ndarray, sizes: np.ndarray, block: np.ndarray, percent: int, cross: bool) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """Links that the n-grams held by many sets settle, the classes they make, and the sets that may have a link out of their class.
+
+    Sets are sorted by size.  Many sets are a ``1 / COMMON``-th of the group, so bits take no more than half of the n-grams' space; of
+    the n-grams that fewer, but not only one, hold, two sets share at most those of the set that has less of them.
+    """
+    m = len(sizes)
+    held = np.bincount(local)
+    common = held >= max(2, m / COMMON)
+    who, bit = owners(at), np.cumsum(common) - 1
+    use = common[local]
+    words = int(common.sum()) // 64 + 1
+    bits = np.zeros(m * words, np.uint64)
+    cell, shift = who[use] * words + bit[local[use]] // 64, (bit[local[use]] % 64).astype(np.uint64)
+    np.bitwise_or.at(bits, cell, np.uint64(1) << shift)
+    bits = bits.reshape(m, words)
+    rare = np.bincount(who[(held[local] > 1) & ~use], minlength=m)
+    label, open_, links = np.arange(m), np.zeros(m, bool), []
+    first = np.searchsorted(sizes * 100, sizes * percent)  # smaller ones cannot be similar
+    for i in range(m):
+        j = first[i]
+        both = np.bitwise_count(bits[j:i] & bits[i]).sum(axis=1, dtype=np.int64)
+        floor = percent * (sizes[j:i] + sizes[i])
+        near = (both + np.minimum(rare[j:i], rare[i])) * (100 + percent) >= floor
+        if cross:
+            near &= block[j:i] != block[i]
+        other = np.flatnonzero(near)
+        other = other[label[j + other] != label[i]]
+        sure = j + other[both[other] * (100 + percent) >= floor[other]]
+        if len(sure):
+            classes, one = np.unique(label[sure], return_index=True)
+            links += [(i, int(x)) for x in sure[one]]
+            label[np.isin(label, classes)] = label[i]
+            other = other[label[j + other] != label[i]]
+        if len(other):
+            open_[i] = open_[j + other] = True
+    return links, label, open_
+
+
+def tree_join(sig: np.ndarray, n: np.ndarray, block: np.ndarray, lists: list[np.ndarray], percent: int, every: bool, cross: bool) -> list[tuple[int, int, int, int]]:
+    """Links among the sets of a group: all of them, or enough to join every class.
+
+    In a large group all links need not be known, so most classes are joined by bits first, and the tree takes the sets that may
+    have further links, as members of these classes.
+    """
+    order = np.lexsort((sig, n))
+    sig, sizes, block, lists = sig[order], n[order], block[order], [lists[k] for k in order]
     # shared n-grams from rare to common; where frequent ones fall does not matter inside a group, as long as it is one order
-    names, local = np.unique(flat, return_inverse=True)
-    ends = np.cumsum([len(x) for x in lists])
-    tree, sizes, out = PrefixTree(percent, len(names), every), pdf["n"].to_numpy(), []
-    sig = pdf["sig"].to_numpy()
-    tree.block = pdf["block"].tolist()
-    for i in range(len(lists)):
-        tokens = np.sort(local[ends[i] - len(lists[i]) : ends[i]])
-        tree.parent.append(i)
+    names, local = np.unique(np.concatenate(lists), return_inverse=True)
+    at = np.r_[0, np.cumsum([len(x) for x in lists])]
+    tree, out = PrefixTree(percent, len(names), every), []
+    tree.block = block.tolist()
+    tree.parent = list(range(len(lists)))
+    todo = range(len(lists))
+    if not every and len(lists) >= LARGE:
+        links, label, open_ = bit_links(local, at, sizes, block, percent, cross)
+        for i, j in links:
+            overlap = len(np.intersect1d(lists[i], lists[j], assume_unique=True))
+            out.append((sig[i], sig[j], overlap, int(sizes[i] + sizes[j] - overlap)))
+        tree.parent, todo = label.tolist(), np.flatnonzero(open_).tolist()
+    for i in todo:
+        tokens = np.sort(local[at[i] : at[i + 1]])
         for other, overlap in tree.probe(i, tokens, int(sizes[i]), sizes, cross):
             out.append((sig[i], sig[other], overlap, int(sizes[i] + sizes[other] - overlap)))
         tree.insert(i, tokens, int(sizes[i]))
-    return pd.DataFrame(out, columns=["u", "v", "overlap", "together"]).astype("int64")
+    return out
+
+
+def tied(sets: DataFrame, parts: int) -> DataFrame:
+    """Ties ``u, v``: every set with the smallest one that shares an n-gram of both prefixes."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig, n, prefix, at = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3)
+            ends = np.frombuffer(at.buffers()[1], np.int32)[at.offset : at.offset + len(at) + 1].astype(np.int64) // 8
+            ends -= ends[0]
+            take = np.repeat(ends[:-1] - np.r_[0, np.cumsum(prefix)[:-1]], prefix) + np.arange(prefix.sum())
+            tokens = joined(at, np.uint64)[take]
+            yield blob_rows((tokens % np.uint64(parts)).astype(np.int32), TOKENS, sig, n, np.repeat(np.arange(len(sig)), prefix), tokens)
+
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sigs, tokens = [], []
+        for batch in batches:
+            sigs.append(np.repeat(joined(batch.column(2), np.int64), joined(batch.column(4), np.int32)))
+            tokens.append(joined(batch.column(5), np.uint64).copy())
+        if not tokens:
+            return
+        sigs, tokens = np.concatenate(sigs), np.concatenate(tokens)
+        order = np.argsort(tokens, kind="stable")
+        v, runs = sigs[order], cut_runs(tokens[order])
+        if len(runs) < 2:
+            return
+        u = np.repeat(np.minimum.reduceat(v, runs[:-1]), np.diff(runs))
+        u, v = u[u != v], v[u != v]
+        order = np.lexsort((v, u))
+        u, v = u[order], v[order]
+        new = np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])][: len(u)]
+        yield pa.RecordBatch.from_arrays([pa.array(u[new]), pa.array(v[new])], names=["u", "v"])
+
+    return sets.mapInArrow(send, BLOBS).repartitionById(parts, "part").mapInArrow(tie, "u bigint, v bigint").distinct()
 
 
 def set_links(sets: DataFrame, percent: int, group_sets: int = GROUP_SETS, every: bool = False) -> DataFrame:
     """Links ``u, v, overlap, together`` between distinct sets."""
-    tok = cut(prefix_tokens(sets))
-    low = tok.groupBy("token").agg(F.min("sig").alias("u"), F.max("sig").alias("__x")).where("u < __x").select("token", "u")
-    ties = tok.join(low, "token").where("sig <> u").select("u", F.col("sig").alias("v")).distinct()
-    ties = cut(ties)
+    ties = cut(tied(sets, partitions(sets)))
     if ties.isEmpty():
         return sets.sparkSession.createDataFrame([], "u bigint, v bigint, overlap bigint, together bigint")
     root = graph_components(ties).select(F.col("node").alias("sig"), "root")
@@ -331,10 +426,33 @@ def set_links(sets: DataFrame, percent: int, group_sets: int = GROUP_SETS, every
     placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
     placed = placed.select("root", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "sig", "n", "tokens")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return tree_join(pdf, percent, every, pdf["i"].iloc[0] != pdf["j"].iloc[0])
+    def group(rows: list[pa.RecordBatch]) -> list[tuple[int, int, int, int]]:
+        """The rows of one group, which may lie in several batches."""
+        i, j = rows[0].column(1)[0].as_py(), rows[0].column(2)[0].as_py()
+        block, sig, n = (np.concatenate([r.column(k).to_numpy() for r in rows]) for k in (3, 4, 5))
+        return tree_join(sig, n, block, [np.frombuffer(x.as_buffer(), np.uint64) for r in rows for x in r.column(6)], percent, every, i != j)
 
-    return placed.groupBy("root", "i", "j").applyInPandas(run, "u bigint, v bigint, overlap bigint, together bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, last = [], None
+        for batch in batches:
+            keys, links = np.stack([batch.column(k).to_numpy() for k in range(3)]), []
+            heads = np.r_[0, np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, batch.num_rows] if batch.num_rows else [0]
+            for a, b in zip(heads[:-1], heads[1:]):
+                if rows and last != tuple(keys[:, a]):
+                    links += group(rows)
+                    rows = []
+                rows.append(batch.slice(a, b - a))
+                last = tuple(keys[:, a])
+            yield listed(links)
+        if rows:
+            yield listed(group(rows))
+
+    def listed(links: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+        cols = np.array(links, np.int64).reshape(-1, 4)
+        return pa.RecordBatch.from_arrays([pa.array(cols[:, k]) for k in range(4)], names=["u", "v", "overlap", "together"])
+
+    keys = ["root", "i", "j"]
+    return placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u bigint, v bigint, overlap bigint, together bigint")
 
 
 def ngram_join(docs: DataFrame, n: int = 5, percent: int = PERCENT, frequent: int = FREQUENT, group_sets: int = GROUP_SETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -77,6 +77,62 @@ def test_tree_overlaps_are_exact():
         tree.insert(i, s, len(s))
 
 
+def one_text(seed, size, words=80, edits=9):
+    """Variants of one text: some near the threshold, some beyond it, some with passages in common that the text does not have."""
+    r, base = random.Random(seed), [f"b{i}" for i in range(words)]
+    extra, rows = [f"e{i}" for i in range(12)], []
+    for d in range(size):
+        w = list(base)
+        for _ in range(r.randrange(edits)):
+            w[r.randrange(words)] = f"x{r.randrange(30)}"
+        at = r.randrange(words)
+        rows.append((d, " ".join(w[:at] + extra * (r.random() < 0.3) + w[at:])))
+    return rows
+
+
+@pytest.mark.parametrize("group", [4000, 70])
+def test_large_groups(make, group):
+    rows = one_text(5, 230) + [(1000 + d, t) for d, t in one_text(6, 150, 40, 5)]
+    want = sorted(brute.components(rows))
+    assert result(grams.ngram_join(make(rows), group_sets=group)) == want
+    assert len({c for _, _, c in want}) > 20
+
+
+@pytest.mark.parametrize("cross", [False, True])
+def test_large_groups_rarely_walk_the_tree(monkeypatch, cross):
+    """Most sets of a group are linked, or out of reach of all others, without a walk; the classes are those of the walks."""
+    rows, walks, probe = one_text(7, 600, 200, 12), [], grams.PrefixTree.probe
+    monkeypatch.setattr(grams.PrefixTree, "probe", lambda self, *a: walks.append(a[0]) or probe(self, *a))
+    words = [t.split(" ") for _, t in rows]
+    sets = [{hash(tuple(w[i : i + 5])) & (2**63 - 1) for i in range(len(w) - 4)} for w in words]
+    lists = [np.array(sorted(s), np.uint64) for s in sets]
+    n, sig = np.array([len(s) for s in sets]), np.arange(len(sets))
+    block = sig % 2
+
+    def classes():
+        label = list(range(len(sets)))
+        for u, v, overlap, together in grams.tree_join(sig, n, block, lists, 75, False, cross):
+            assert overlap == len(sets[u] & sets[v]) and together == len(sets[u] | sets[v]) and 100 * overlap >= 75 * together
+            assert not cross or block[u] != block[v]
+            label = [label[u] if x == label[v] else x for x in label]
+        return {frozenset(i for i, x in enumerate(label) if x == y) for y in label}
+
+    got = classes()
+    few = len(walks)
+    monkeypatch.setattr(grams, "LARGE", len(sets) + 1)
+    assert got == classes()
+    assert 0 < few < len(sets) / 3 and len(walks) - few == len(sets)
+
+
+def test_blobs_of_many_slices_are_one(spark, make):
+    """Rows of the first exchange do not grow with slices times partitions."""
+    r = random.Random(2)
+    rows = [(d, " ".join(f"w{r.randrange(10**6)}" for _ in range(6000))) for d in range(120)]
+    slices = sum(len(t) for _, t in rows) / (1 << 20)
+    blobs = grams.scan(make(rows).coalesce(1), 5, 200, 16)
+    assert slices > 4 and blobs.count() < 200 * slices
+
+
 def test_the_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert result(grams.ngram_join(docs)) == sorted(brute.components([(r.doc_id, r.text) for r in docs.collect()]))
