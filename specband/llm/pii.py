@@ -30,7 +30,9 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-HINTS = {"email": "@", "ip": ".", "phone": "+"}  # characters without which a pattern cannot match
+# What a text has where a pattern matches; looked for first, at a fraction of the cost.
+HINTS = {"email": lambda t: F.contains(t, F.lit("@")), "ip": lambda t: F.rlike(t, F.lit("[0-9][.][0-9]")), "card": lambda t: F.rlike(t, F.lit("[0-9][ -]?[0-9]")),
+         "phone": lambda t: F.contains(t, F.lit("+"))}
 OCTETS = rf"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{{1,2}})\.){{3}}0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{{1,2}})$"
 TERM = r"[\p{L}\p{N}]++"
 GAP = r"[^\p{L}\p{N}]+"
@@ -72,8 +74,7 @@ def base_spans(text: Column) -> Column:
     each = []
     for k, kind in enumerate(KINDS):
         spans = matches(text, PATTERNS[kind], k, lambda m, kind=kind: valid(kind, m))
-        hint = F.contains(text, F.lit(HINTS[kind])) if kind in HINTS else F.rlike(text, F.lit("[0-9][ -]?[0-9]"))
-        each.append(F.when(hint, spans).otherwise(F.array().cast(SPAN)))
+        each.append(F.when(HINTS[kind](text), spans).otherwise(F.array().cast(SPAN)))
     return F.array_sort(F.concat(*each))
 
 
@@ -124,15 +125,15 @@ def sanitise(docs: DataFrame, share: float = 0.8, contexts: int = 3, id_col: str
     carried = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(0).alias("_"))
     src = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), carried.alias("in"))
     found = src.withColumn("base", base_spans(F.coalesce("text", F.lit(""))))
-    none = F.array().cast("array<struct<term:string,all:boolean>>")
+    none = F.array().cast("array<string>")
     hits = cut(found.where(F.size("base") > 0).withColumn("key", F.monotonically_increasing_id()))
     seen = mentions(hits.select("key", "text", "base"))
     risky = cut(disclosing_terms(src.select("text"), seen, share, contexts))
     mine = by_entity(seen, risky.select("entity").distinct()).select("key", "entity", F.explode("words").alias("term"))
-    per_doc = mine.join(risky, ["entity", "term"]).groupBy("key").agg(F.collect_set(F.struct("term", F.col("all").alias("all"))).alias("risky"))
-    hits = hits.join(per_doc, "key", "left").drop("key").withColumn("risky", F.coalesce("risky", none))
+    per_doc = mine.join(risky, ["entity", "term"]).groupBy("key").agg(F.collect_set("term").alias("risky"), F.collect_set(F.when(F.col("all"), F.col("term"))).alias("gone"))
+    hits = hits.join(per_doc, "key", "left").drop("key").withColumns({c: F.coalesce(c, none) for c in ("risky", "gone")})
     clean = found.where(F.size("base") == 0).select("doc_id", "in", "base", F.array().cast(SPAN).alias("added"), F.col("text").alias("clean_text"))
-    listed = matches(F.col("text"), TERM, 4, lambda m: F.exists("risky", lambda r: r["term"] == F.lower(m)))
+    listed = matches(F.col("text"), TERM, 4, lambda m: F.array_contains("risky", F.lower(m)))
     outside = lambda spans: F.filter(spans, lambda s: ~F.exists("base", lambda b: (b["s"] < s["e"]) & (s["s"] < b["e"])))
     hits = hits.withColumn("added", F.when(F.size("risky") == 0, F.array().cast(SPAN)).otherwise(outside(listed)))
     return hits.select("doc_id", "in", "base", "added", replaced().alias("clean_text")).union(clean).select(
@@ -142,10 +143,9 @@ def sanitise(docs: DataFrame, share: float = 0.8, contexts: int = 3, id_col: str
 def replaced() -> Column:
     """``text`` with all spans replaced, overlapping ones by the first of them."""
     tags = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS], F.lit("[TERM]"))
-    gone = F.transform(F.filter("risky", lambda r: r["all"]), lambda r: r["term"])
 
     def step(acc: Column, s: Column) -> Column:
-        tag = F.when((s["k"] == 4) & F.array_contains(gone, F.lower(s["v"])), F.lit("")).otherwise(F.element_at(tags, s["k"] + 1))
+        tag = F.when((s["k"] == 4) & F.array_contains("gone", F.lower(s["v"])), F.lit("")).otherwise(F.element_at(tags, s["k"] + 1))
         put = F.struct(F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["s"] - acc["at"], F.lit(0))), F.when(s["s"] >= acc["at"], tag).otherwise("")).alias("out"),
                        F.greatest(acc["at"], s["e"]).alias("at"))
         return put

@@ -86,3 +86,26 @@ def test_the_table(spark, sf_dir):
     assert rows_of(pii.sanitise(docs)) == sorted(((d, *brute.pii(t)[0]) for d, t in rows), key=str)
     plan = pii.digest(pii.sanitise(docs))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_hints_are_cheap_and_miss_nothing(spark, make):
+    """A dot alone starts no search for addresses; what the patterns find has its hint."""
+    r = random.Random(9)
+    texts = ["No digits. None. At all.", "1 . 2 . 3", "v.1", *ODD, *("".join(r.choices("019.+-@a ()", k=60)) for _ in range(300))]
+    rows = make(list(enumerate(texts)))
+    hint = {k: f(F.col("text")) for k, f in pii.HINTS.items()}
+    found = {k: F.regexp_extract_all("text", F.lit(pii.PATTERNS[k]), F.lit(0)) for k in pii.KINDS}
+    assert rows.where("doc_id < 3").where(hint["ip"]).count() == 0
+    for k in pii.KINDS:
+        assert rows.where(F.size(found[k]) > 0).where(~hint[k]).count() == 0 and rows.where(F.size(found[k]) > 0).count() > 0
+
+
+def test_many_disclosing_terms(make):
+    """Words are looked up in one list of the row, not compared with its disclosing terms one by one, each time in lower case."""
+    secret = [f"Secret{i}" for i in range(200)]
+    rows = [(d, f"call {d} me@x.org " + " ".join(secret + [f"own{d}x{i}" for i in range(300)])) for d in range(4)] + [(9 + d, "other words only") for d in range(400)]
+    df = pii.sanitise(make(rows))
+    out = {x.doc_id: x.clean_text for x in df.collect()}
+    assert all("Secret" not in out[d] and f"own{d}x299" in out[d] and "[EMAIL]" in out[d] for d in range(4))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains(" in plan and "exists(risky" not in plan and "exists(coalesce(risky" not in plan
